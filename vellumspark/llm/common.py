@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space that separates words, as a Java and RE2 character class.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -62,6 +63,11 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_col: st
     return by_broadcast.unionByName(rest.join(groups.filter(F.col(n_col) <= limit), keys, "inner"))
 
 
-def sample_below(spark: SparkSession, counts: dict, per_key: int) -> dict[object, int]:
-    """Thresholds on a 32-bit hash that leave about ``per_key`` rows of each key."""
-    return {k: min(1 << 32, int(per_key / max(1, n) * (1 << 32))) for k, n in counts.items()}
+def with_fields(df: DataFrame, *fields: tuple[str, str]) -> tuple[DataFrame, StructType]:
+    """df without columns of these names, and its schema with them added at the end."""
+    df = df.drop(*(name for name, _ in fields))
+    schema = StructType(list(df.schema.fields))
+    for name, kind in fields:
+        schema = schema.add(name, kind)
+    return df, schema
+
