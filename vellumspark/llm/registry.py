@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, mixing, quality, simhash
+from . import decontaminate, exact_dedup, langid, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_min_cost_flow": mixing.op4_mix_min_cost_flow,
     "op5_quality_ftrl": quality.op5_quality_ftrl,
+    "op7_decontaminate_cgk": decontaminate.op7_decontaminate_cgk,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash_anchor": simhash.op9_simhash_anchor,
     "op10_langid_ftrl": langid.op10_langid_ftrl,
