@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, langid, mixing, quality, simhash
+from . import decontaminate, exact_dedup, langid, lm_score, mixing, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ctw_score": lm_score.op2_ctw_score,
     "op4_mix_min_cost_flow": mixing.op4_mix_min_cost_flow,
     "op5_quality_ftrl": quality.op5_quality_ftrl,
     "op7_decontaminate_cgk": decontaminate.op7_decontaminate_cgk,
