@@ -27,23 +27,32 @@ EIGHT = np.uint64(8)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """ln gamma(x) for x >= 0.5, by Stirling's series after shifting small x up."""
-    shift = np.zeros_like(x)
-    x = x.copy()
-    for _ in range(8):
-        small = x < 8
-        shift[small] += np.log(x[small])
-        x[small] += 1
-    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - shift
+    """ln gamma(x) for x >= 8, by Stirling's series."""
+    return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+
+class _Table:
+    """ln gamma(n + offset) - ln gamma(offset) for whole n >= 0."""
+
+    def __init__(self, offset: float, size: int = 4096):
+        self.offset, self.size = offset, size
+        self.low = np.concatenate(([0.0], np.cumsum(np.log(np.arange(size - 1) + offset))))
+        self.gap = self.low[-1] - _log_gamma(np.array([size - 1 + offset]))[0]
+
+    def __call__(self, n: np.ndarray) -> np.ndarray:
+        out = self.low[np.minimum(n, self.size - 1).astype(np.int64)]
+        large = n >= self.size
+        if large.any():
+            out[large] = _log_gamma(n[large] + self.offset) + self.gap
+        return out
+
+
+_HALF, _ONE = _Table(0.5), _Table(1.0)
 
 
 def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """ln of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    out = np.zeros(len(a))
-    some = (a + b) > 0
-    x, y = a[some], b[some]
-    out[some] = _log_gamma(x + 0.5) + _log_gamma(y + 0.5) - _log_gamma(x + y + 1) - 1.1447298858494002  # ln pi
-    return out
+    """ln of the Krichevsky-Trofimov probability of a zeros and b ones (whole numbers)."""
+    return _HALF(a) + _HALF(b) - _ONE(a + b)
 
 
 def _mask(bits: int) -> np.uint64:
@@ -70,23 +79,23 @@ def gram_keys(parts: list[tuple[bytes, bytes]], depth: int) -> np.ndarray:
     return keys[own[depth:]]
 
 
-def pieces(text: bytes, depth: int, most: int) -> list[tuple[bytes, bytes, bytes]]:
-    """(context, bytes, words) of consecutive pieces of a text, cut before white space; the last piece ends with END."""
+def pieces(text: bytes, depth: int, most: int) -> list[tuple[bytes, bytes]]:
+    """(context, bytes) of consecutive pieces of a text, cut before spaces; the last piece ends with END."""
     out, at, context = [], 0, bytes([START]) * depth
-    while len(text) - at > most:
-        stop = next((i for i in range(at + most, len(text)) if text[i] in b"\t\n\x0b\x0c\r "), len(text))
-        body = text[at:stop]
-        out.append((context, body, body))
-        context, at = (context + body)[-depth:], stop
-    return [*out, (context, text[at:] + bytes([END]), text[at:])]
+    while len(text) - at > most and (stop := text.find(b" ", at + most)) >= 0:
+        out.append((context, text[at:stop]))
+        context, at = (context + text[at:stop])[-depth:], stop
+    return [*out, (context, text[at:] + bytes([END]))]
 
 
 def bit_chain(keys: np.ndarray, counts: np.ndarray, depth: int, j: int):
     """Levels depth to TOP for bit j: index of each key's deepest node, p(0) there, and the nodes at TOP (key, a, b, ln Pw).
 
-    All keys that share their TOP last context bytes must be given together.
+    Keys are sorted and distinct; all that share their TOP last context bytes must be given together.
     """
-    nodes, at = np.unique(keys >> np.uint64(8 - j), return_inverse=True)
+    shifted = keys >> np.uint64(8 - j)  # keys are sorted, so these are
+    first = np.diff(shifted, prepend=~shifted[:1]) != 0
+    nodes, at = shifted[first], np.cumsum(first) - 1
     one = ((keys >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
     a = np.bincount(at, np.where(one, 0.0, counts), len(nodes))
     b = np.bincount(at, np.where(one, counts, 0.0), len(nodes))

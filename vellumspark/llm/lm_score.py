@@ -1,8 +1,12 @@
 """LM scoring by context-tree weighting, beside an add-half unigram base, with a model as large as the corpus asks for.
 
+What is scored is the text as its tokens: A-Z lower-cased, words (runs of
+anything but white space ``[\\x20\\x09-\\x0D]``) joined by one space, then an end.
+
 The model is never sent whole to anyone.  Documents are dealt into blocks of
-about ``block_bytes`` by a hash of the id.  Each block asks, once per distinct
-gram (context bytes and next byte) and word in it, and gets the answers back:
+``block_bytes`` at most, on average, by a hash of the id.  Each block asks, once
+per distinct gram (context bytes and next byte) and word in it, and gets the
+answers back:
 
 1. A block counts its grams and words: sorted packed arrays, one for each of
    ``parts`` parts of the hashed key space.  Counts are of learning rows only;
@@ -12,7 +16,8 @@ gram (context bytes and next byte) and word in it, and gets the answers back:
    subtrees of the context tree meet; those give the sums for the top of the
    tree (at most 256 * 255 nodes, a fixed bound, sent to all tasks) and then
    the probability of every gram's byte.
-4. Parts answer the blocks; a block scores its documents with array look-ups.
+4. Parts answer the blocks in the order of the blocks' own keys; a block scores
+   its documents with array look-ups.
 
 Number of parts: 8 * sqrt(blocks), so that neither the arrays nor the groups
 become many or large.  Words travel as 64-bit hashes (XXH64).
@@ -25,6 +30,7 @@ other columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -51,15 +57,23 @@ class WordHashes(dict):
         return value
 
 
+def pack_values(values: np.ndarray) -> bytes:
+    return pa.compress(values.astype(np.float64).tobytes(), "zstd", asbytes=True)
+
+
+def unpack_values(n: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.float64)
+
+
 def pack(keys: np.ndarray, values: np.ndarray) -> tuple[int, bytes, bytes]:
     """Sorted keys as differences, and float64 values, both compressed."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    return len(keys), pa.compress(steps.tobytes(), "zstd", asbytes=True), pa.compress(values.astype(np.float64).tobytes(), "zstd", asbytes=True)
+    return len(keys), pa.compress(steps.tobytes(), "zstd", asbytes=True), pack_values(values)
 
 
 def unpack(n: int, keys: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     steps = np.frombuffer(pa.decompress(keys, 8 * n, "zstd", asbytes=True), np.uint64)
-    return np.cumsum(steps, dtype=np.uint64), np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.float64)
+    return np.cumsum(steps, dtype=np.uint64), unpack_values(n, data)
 
 
 def add_up(arrays: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +112,16 @@ def _out(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.Ta
 PACKED_OUT = (["block", "part", "kind", "n", "keys", "data"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])
 
 
+def _texts(rows: pa.Table) -> list[bytes]:
+    return [b" ".join((x or b"").lower().split()) for x in rows["text"].cast(pa.binary()).to_pylist()]
+
+
 def _chunks(texts: list[bytes], depth: int):
-    """Lists of (row, context, bytes, words), each of about CHUNK bytes."""
+    """Lists of (row, context, bytes), each of about CHUNK bytes."""
     held, size = [], 0
     for row, text in enumerate(texts):
-        for context, body, words in ctw.pieces(text, depth, CHUNK):
-            held.append((row, context, body, words))
+        for context, body in ctw.pieces(text, depth, CHUNK):
+            held.append((row, context, body))
             size += len(body)
             if size >= CHUNK:
                 yield held
@@ -112,32 +130,32 @@ def _chunks(texts: list[bytes], depth: int):
         yield held
 
 
-def _texts(rows: pa.Table) -> list[bytes]:
-    return [(x or b"").lower() for x in rows["text"].cast(pa.binary()).to_pylist()]
+def _word_hashes(chunk: list[tuple], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens, and each token's row; an end is the hash of the empty word."""
+    words = [b[:-1].split() + [b""] if b[-1] == ctw.END else b.split() for _, _, b in chunk]
+    sizes = [len(w) for w in words]
+    return np.fromiter(map(hashes.__getitem__, itertools.chain.from_iterable(words)), np.uint64, sum(sizes)), np.repeat([r for r, *_ in chunk], sizes)
 
 
-def _words(body: bytes, words: bytes) -> list[bytes]:
-    found = words.split()
-    if len(body) > len(words):
-        found.append(b"")  # the end of the text
-    return found
+def _block_keys(texts: list[bytes], depth: int, counted: float, hashes: WordHashes) -> dict[int, list]:
+    """Distinct grams and words with counts, by chunk."""
+    kept: dict[int, list] = {GRAM: [], WORD: []}
+    for chunk in _chunks(texts, depth):
+        for kind, keys in ((GRAM, ctw.gram_keys([x[1:] for x in chunk], depth)), (WORD, _word_hashes(chunk, hashes)[0])):
+            keys, n = np.unique(keys, return_counts=True)
+            kept[kind].append((keys, n * counted))
+    return kept
 
 
 def _count_block(depth: int, parts: int):
     def run(rows: pa.Table) -> pa.Table:
         block, learn, hashes = rows["block"][0].as_py(), rows["learn"].to_pylist(), WordHashes()
         texts = _texts(rows)
-        kept: dict[int, list] = {GRAM: [], WORD: []}
-        for counted in (True, False):
-            for chunk in _chunks([t for t, x in zip(texts, learn, strict=True) if x == counted], depth):
-                keys, n = np.unique(ctw.gram_keys([(c, b) for _, c, b, _ in chunk], depth), return_counts=True)
-                kept[GRAM].append((keys, n * float(counted)))
-                words = [w for _, _, body, text in chunk for w in _words(body, text)]
-                keys, n = np.unique(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), return_counts=True)
-                kept[WORD].append((keys, n * float(counted)))
+        learned = _block_keys([t for t, x in zip(texts, learn, strict=True) if x], depth, 1.0, hashes)
+        others = _block_keys([t for t, x in zip(texts, learn, strict=True) if not x], depth, 0.0, hashes)
         out = []
-        for kind, arrays in kept.items():
-            keys, n = add_up(arrays)
+        for kind in (GRAM, WORD):
+            keys, n = add_up(learned[kind] + others[kind])
             out += [(block, p, kind, *pack(k, v)) for p, k, v in split(keys, n, part_of(keys, parts))]
         return _out(out, *PACKED_OUT)
 
@@ -180,59 +198,58 @@ def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
     out = []
     for block, part, kind, n, k, d in zip(*(asked[c].to_pylist() for c in PACKED_OUT[0]), strict=True):
         mine, _ = unpack(n, k, d)
-        out.append((block, part, kind, *pack(mine, values[np.searchsorted(keys, mine)])))
-    return _out(out, *PACKED_OUT)
+        out.append((block, part, kind, n, pack_values(values[np.searchsorted(keys, mine)])))
+    return _out(out, ["block", "part", "kind", "n", "data"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()])
 
 
-def _score_block(depth: int, totals: tuple[int, int]):
+def _score_block(depth: int, parts: int, totals: tuple[int, int]):
     tokens, distinct = totals
-    base_of = lambda c: np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         texts, hashes, tables = _texts(rows), WordHashes(), {}
-        kinds = np.array(answers["kind"].to_pylist(), np.int64)
-        for kind in (GRAM, WORD):
-            tables[kind] = ctw.KeyTable(*add_up(_unpacked(answers.take(np.flatnonzero(kinds == kind)))))
+        got = {(r["kind"], r["part"]): unpack_values(r["n"], r["data"]) for r in answers.to_pylist()}
+        for kind, arrays in _block_keys(texts, depth, 1.0, hashes).items():
+            keys, _ = add_up(arrays)
+            found = [(k, got.pop((kind, p))) for p, k, _ in split(keys, keys, part_of(keys, parts))]
+            tables[kind] = ctw.KeyTable(np.concatenate([k for k, _ in found]), np.concatenate([v for _, v in found]))
         n_tokens, n_known, base, score = (np.zeros(len(texts)) for _ in range(4))
         for chunk in _chunks(texts, depth):
-            row = np.array([r for r, *_ in chunk])
-            values = tables[GRAM].get(ctw.gram_keys([(c, b) for _, c, b, _ in chunk], depth))
-            stops = np.cumsum([len(b) for _, _, b, _ in chunk])
-            np.add.at(score, row, np.add.reduceat(np.append(values, 0.0), stops - [len(b) for _, _, b, _ in chunk]))
-            words = [_words(body, text) for _, _, body, text in chunk]
-            sizes = np.array([len(w) for w in words])
-            owner = np.repeat(row, sizes)
-            counts = tables[WORD].get(np.fromiter((hashes[w] for ws in words for w in ws), np.uint64, int(sizes.sum())))
+            values = tables[GRAM].get(ctw.gram_keys([x[1:] for x in chunk], depth))
+            sizes = np.array([len(b) for *_, b in chunk])
+            np.add.at(score, [r for r, *_ in chunk], np.add.reduceat(values, np.cumsum(sizes) - sizes))
+            words, owner = _word_hashes(chunk, hashes)
+            counts = tables[WORD].get(words)
             n_tokens += np.bincount(owner, minlength=len(texts))
             n_known += np.bincount(owner, counts > 0, len(texts))
-            base += np.bincount(owner, base_of(counts), len(texts))
+            base += np.bincount(owner, np.log10((counts + 0.5) / (tokens + 0.5 * (distinct + 1))), len(texts))
         return pa.table({"id": rows["id"], "learn": rows["learn"], "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64), "base_score": base, "score": score})
 
     return run
 
 
-def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, block_bytes: int = 16 << 20) -> DataFrame:
+def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, block_bytes: int = 32 << 20, least_block_bytes: int = 4 << 20) -> DataFrame:
     """Per row: SCORES and train_tokens. ``learn`` marks the rows that the model learns from; depth: 2 to 6 bytes of context."""
     if not 2 <= depth <= 6:
         raise ValueError("depth must be 2 to 6")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
+    at_once = docs.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-size // block_bytes), min(at_once, -(-size // least_block_bytes)))
     parts = max(1, round(8 * math.sqrt(blocks)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), text.alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("id", F.lit(0))), F.lit(blocks)))
-    asked = cut(rows.groupBy("block").applyInArrow(_count_block(depth, parts), PACKED))
+    asked = cut(rows.groupBy("block").applyInArrow(_count_block(depth, parts), PACKED).repartition(parts, "part"))
     merged = cut(asked.groupBy("part", "kind").applyInArrow(_merge_part, "part int, kind int, n long, keys binary, data binary, known long, total long"))
     known, total = merged.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     buckets = merged.filter(F.col("kind") == GRAM).select("n", "keys", "data").mapInArrow(_to_buckets, "bucket int, n long, keys binary, data binary")
     sums = buckets.groupBy("bucket").applyInArrow(_bucket_top(depth), "node long, a double, b double, below double")
     top = sums.groupBy("node").agg(F.sum("a"), F.sum("b"), F.sum("below")).orderBy("node").collect()  # 256 * 255 nodes at most
     columns = [np.array(c) for c in zip(*top, strict=True)] or [np.zeros(0)] * 4
-    table_ = ctw.TopTable(columns[0].astype(np.uint64), *(c.astype(float) for c in columns[1:]))
-    model = buckets.groupBy("bucket").applyInArrow(_bucket_model(depth, parts, table_), "part int, kind int, n long, keys binary, data binary")
+    top_table = ctw.TopTable(columns[0].astype(np.uint64), *(c.astype(float) for c in columns[1:]))
+    model = buckets.groupBy("bucket").applyInArrow(_bucket_model(depth, parts, top_table), "part int, kind int, n long, keys binary, data binary")
     model = model.unionByName(merged.filter(F.col("kind") == WORD).select("part", "kind", "n", "keys", "data"))
-    answers = asked.groupBy("part", "kind").cogroup(model.groupBy("part", "kind")).applyInArrow(_answer, PACKED)
-    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(depth, (total, known)), SCORES)
+    answers = asked.groupBy("part", "kind").cogroup(model.groupBy("part", "kind")).applyInArrow(_answer, "block long, part int, kind int, n long, data binary")
+    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(depth, parts, (total, known)), SCORES)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))
 
 
