@@ -32,6 +32,7 @@ give an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -218,27 +219,49 @@ def _matcher(index: BenchmarkIndex):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, walks: int = 8, samples: int = 6, places: int = 4, seed: int = 11, block_chars: int = 16 << 20) -> DataFrame:
-    """One row for each (document, item) with a passage within the threshold: RESULT. Offsets are in the lower-cased text."""
-    spark = docs.sparkSession
+def _keeper(index: BenchmarkIndex, at: int):
+    """Drops the rows whose text, column number ``at``, holds a passage of an item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, rows, held = np.ones(batch.num_rows, bool), [], 0
+            for k, text in enumerate(batch.column(at)):
+                if text.is_valid:
+                    rows.append((k, text.as_py()))
+                    held += len(rows[-1][1])
+                if rows and (held >= 6 * BATCH_WORDS or k == batch.num_rows - 1):
+                    keep[[hit[0] for hit in _match_batch(index, rows)]] = False
+                    rows, held = [], 0
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def indexes(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, walks: int = 8, samples: int = 6, places: int = 4, seed: int = 11, block_chars: int = 16 << 20) -> Iterator[BenchmarkIndex]:
+    """Indexes of blocks of items, each of about ``block_chars`` characters."""
     bench = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = None
     for b in range(blocks):
-        block = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else bench
-        index = BenchmarkIndex(sorted((r["item_id"] if r["item_id"] is not None else -1, r["text"]) for r in block.collect()), similarity, walks, samples, places, seed)
+        block = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
+        found = sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        index = BenchmarkIndex(found, similarity, walks, samples, places, seed)
         if index.items:
-            part = rows.mapInArrow(_matcher(index), RESULT)
-            found = part if found is None else found.unionByName(part)
-    return found if found is not None else spark.createDataFrame([], RESULT)
+            yield index
+
+
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row for each (document, item) with a passage within the threshold: RESULT. Offsets are in the lower-cased text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    parts = [rows.mapInArrow(_matcher(index), RESULT) for index in indexes(items, **settings)]
+    return functools.reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], RESULT)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """docs without the documents that hold a passage of an item; rows with a null id stay."""
-    hit = leaks(docs, items, id_col=id_col, **settings).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(hit, id_col, "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", **settings) -> DataFrame:
+    """docs without the rows that hold a passage of an item; nothing is shuffled."""
+    for index in indexes(items, **settings):
+        docs = docs.mapInArrow(_keeper(index, docs.columns.index(text_col)), docs.schema)
+    return docs
 
 
 def op7_decontaminate_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,10 +32,10 @@ KEYS = ["digest", "norm_len", "check"]
 RUN_SCHEMA = "slot long, bucket long, digest binary, norm_len long, check long, neg_points long, no_id boolean, id long, row_id long, n long"
 
 
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, digest of the normalised text, lengths, and a row number that stays fixed."""
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, digest of the normalised text, lengths, a row number that stays fixed, and the carried columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.length(text).cast("long").alias("points"), F.regexp_replace(text, f"{SPACE_CLASS}+", "").alias("norm"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.length(text).cast("long").alias("points"), F.regexp_replace(text, f"{SPACE_CLASS}+", "").alias("norm"), *carry)
     return rows.select(
         "id",
         "points",
@@ -43,6 +43,7 @@ def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.length("norm").cast("long").alias("norm_len"),
         F.xxhash64("norm").alias("check"),
         F.monotonically_increasing_id().alias("row_id"),
+        *carry,
     )
 
 
@@ -89,17 +90,18 @@ def merge_runs(rows: DataFrame, fan_in: int = 4, slots: int | None = None) -> Da
     return runs.select(*KEYS, "best", F.col("n").alias("group_size"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 4) -> DataFrame:
-    """Per row: id, keep_id, group_size, kept, digest, row_id."""
-    rows = cut(digest_rows(docs, id_col, text_col))
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = 4, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, keep_id, group_size, kept, text_sha256, and the carried columns."""
+    rows = cut(digest_rows(docs, id_col, text_col, carry))
     groups = cut(merge_runs(rows, fan_in))
-    joined = attach_groups(rows.select("id", "row_id", *KEYS), groups, KEYS, "group_size")
+    joined = attach_groups(rows.select("id", "row_id", *KEYS, *carry), groups, KEYS, "group_size")
     return joined.select(
         "id",
         F.col("best.id").alias("keep_id"),
         "group_size",
         (F.col("row_id") == F.col("best.row_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        *carry,
     )
 
 

@@ -29,8 +29,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import attach_groups, cut, table
+from .common import attach_groups, cut, table, with_fields
 from .graph import components
 
 CHUNK = 1 << 16
@@ -57,11 +58,13 @@ def simhash64(text: bytes, width: int = 3, seed: int = 42) -> int:
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = [simhash64(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column("text")]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.array(prints, np.uint64).view(np.int64))], ["id", "fp"])
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.array(prints, np.uint64).view(np.int64))], [*kept, "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprint, "id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    rows, schema = with_fields(docs.select(F.col(id_col).cast("long").alias("id"), *carry, F.col(text_col).cast("string").alias("text")), ("fp", "long"))
+    return rows.mapInArrow(_fingerprint, StructType([f for f in schema.fields if f.name != "text"]))
 
 
 def anchors_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,14 +114,14 @@ def links(distinct_fp: DataFrame, threshold: int = 3) -> DataFrame:
     return joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 3) -> DataFrame:
-    """Per row: id, fp (signed long), component_id, component_size, exact copies of the fingerprint."""
-    rows = cut(fingerprints(docs, id_col, text_col))
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: id, fp (signed long), component_id, n (rows with this fingerprint), and the carried columns."""
+    rows = cut(fingerprints(docs, id_col, text_col, carry))
     prints = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
     roots = components(links(prints, threshold)).withColumnRenamed("node", "fp")
     tagged = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = tagged.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = cut(tagged.filter("root IS NOT NULL").join(ids, "root").select("fp", "component_id", "n"))
+    linked = cut(tagged.join(ids, "root").select("fp", "component_id", "n"))
     return attach_groups(rows, linked, ["fp"], "n")
 
 
