@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .license_texts import LICENSES, SPELLINGS
 
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©)[^\n]*$"
+# a line that opens with a copyright mark, or with the word and has a mark or a year: wrapped prose may open with the word alone
+COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(?:copyright\b[^\n]*(?:\(c\)|©|(?:19|20)[0-9]{2})|\(c\)[ \t]|©)[^\n]*$"
 NOT_WORDS = r"[^\p{L}\p{N}]+"
 # longer spellings first, so that one that begins another doesn't hide it
 ORDERED = sorted(SPELLINGS, key=lambda s: (-len(s), s))

@@ -57,6 +57,8 @@ SPELLINGS: dict[str, str] = {
     "labelling": "labeling",
     "labour": "labor",
     "licence": "license",
+    "licenced": "licensed",
+    "licences": "licenses",
     "maximise": "maximize",
     "modelled": "modeled",
     "modelling": "modeling",
@@ -73,6 +75,7 @@ SPELLINGS: dict[str, str] = {
     "recognise": "recognize",
     "signalling": "signaling",
     "sub license": "sublicense",
+    "sublicence": "sublicense",
     "utilisation": "utilization",
     "whilst": "while",
     "wilful": "willful",
