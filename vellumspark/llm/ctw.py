@@ -63,9 +63,14 @@ def _beta(a, b, below):
     return np.exp(np.clip(log_kt(a, b) - below, -700, 700))
 
 
-def gram_keys(parts: list[tuple[bytes, bytes]], depth: int) -> np.ndarray:
-    """Grams of all bytes of the parts, in order; a part is ``depth`` bytes of context and the bytes after it."""
-    data = np.frombuffer(b"".join([x for part in parts for x in part]), np.uint8).astype(np.uint64)
+def lay_out(texts: list[bytes], depth: int) -> np.ndarray:
+    """The texts, each after ``depth`` bytes START and before an END, as one array of bytes."""
+    head, end = bytes([START]) * depth, bytes([END])
+    return np.frombuffer(b"".join([x for t in texts for x in (head, t, end)]), np.uint8)
+
+
+def gram_keys(data: np.ndarray, depth: int) -> np.ndarray:
+    """Grams of all bytes and ends of texts that are laid out, in order."""
     n = len(data) - depth
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -73,19 +78,7 @@ def gram_keys(parts: list[tuple[bytes, bytes]], depth: int) -> np.ndarray:
     for j in range(depth + 1):
         keys <<= EIGHT
         keys |= data[j : j + n]
-    sizes = np.array([depth + len(body) for _, body in parts])
-    own = np.ones(len(data), bool)
-    own[((np.cumsum(sizes) - sizes)[:, None] + np.arange(depth)).ravel()] = False
-    return keys[own[depth:]]
-
-
-def pieces(text: bytes, depth: int, most: int) -> list[tuple[bytes, bytes]]:
-    """(context, bytes) of consecutive pieces of a text, cut before spaces; the last piece ends with END."""
-    out, at, context = [], 0, bytes([START]) * depth
-    while len(text) - at > most and (stop := text.find(b" ", at + most)) >= 0:
-        out.append((context, text[at:stop]))
-        context, at = (context + text[at:stop])[-depth:], stop
-    return [*out, (context, text[at:] + bytes([END]))]
+    return keys[data[depth:] != START]
 
 
 def bit_chain(keys: np.ndarray, counts: np.ndarray, depth: int, j: int):
@@ -161,7 +154,7 @@ class KeyTable:
     """Values by distinct unsigned 64-bit keys: an open-addressing hash table with array look-ups."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        bits = max(4, int(2 * len(keys)).bit_length())
+        bits = max(4, int(3 * len(keys)).bit_length())
         self.shift, self.wrap = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.append(keys, np.uint64(0)), np.append(values, 0)
         self.slots = np.full(1 << bits, len(keys), np.int32)

@@ -20,7 +20,7 @@ answers back:
    its documents with array look-ups.
 
 Number of parts: 8 * sqrt(blocks), so that neither the arrays nor the groups
-become many or large.  Words travel as 64-bit hashes (XXH64).
+become many or large.  Words travel as 63-bit hashes, a polynomial in their bytes.
 
 Defined results: a null text counts as empty and has one token, its end; a null
 id is dealt as one block key; repeated rows count and are scored each; without
@@ -30,45 +30,41 @@ other columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ctw
-from .common import crc_mod, cut, table
+from .common import crc_mod, cut, table, tidy
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 GRAM, WORD = 0, 1
 BUCKETS = 512
 PACKED = "block long, part int, kind int, n long, keys binary, data binary"
 SCORES = "id long, learn boolean, n_tokens long, n_known long, base_score double, score double"
+ONE = np.uint64(1)
+#: The polynomial's odd base, its inverse modulo 2**64, and a final multiplier.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+FINAL = np.uint64(0xD6E8FEB86659FD93)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def pack_values(values: np.ndarray) -> bytes:
-    return pa.compress(values.astype(np.float64).tobytes(), "zstd", asbytes=True)
+def pack_values(values: np.ndarray, kind: str = "f8") -> bytes:
+    return kind.encode() + pa.compress(values.astype(kind).tobytes(), "zstd", asbytes=True)
 
 
 def unpack_values(n: int, data: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.float64)
+    kind = data[:2].decode()
+    return np.frombuffer(pa.decompress(data[2:], n * int(kind[1]), "zstd", asbytes=True), kind)
 
 
-def pack(keys: np.ndarray, values: np.ndarray) -> tuple[int, bytes, bytes]:
-    """Sorted keys as differences, and float64 values, both compressed."""
+def pack(keys: np.ndarray, values: np.ndarray, kind: str = "f8") -> tuple[int, bytes, bytes]:
+    """Sorted keys as differences, and the values in the given type, both compressed."""
     steps = np.diff(keys, prepend=np.uint64(0))
-    return len(keys), pa.compress(steps.tobytes(), "zstd", asbytes=True), pack_values(values)
+    return len(keys), pa.compress(steps.tobytes(), "zstd", asbytes=True), pack_values(values, kind)
 
 
 def unpack(n: int, keys: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +88,12 @@ def split(keys: np.ndarray, values: np.ndarray, parts: np.ndarray):
         yield p, keys[o], values[o]
 
 
-def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return (((keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+def part_of(keys: np.ndarray, parts: int, kind: int, depth: int) -> np.ndarray:
+    """Words go by ranges of their hash, grams by a hash of their first bytes: neighbours stay together, so that differences are small."""
+    if kind == WORD:
+        return (((keys >> np.uint64(31)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    first = keys >> np.uint64(8 * max(0, depth - 3))
+    return (((first ^ (first >> np.uint64(15))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
 
 
 def bucket_of(grams: np.ndarray) -> np.ndarray:
@@ -117,46 +117,71 @@ def _texts(rows: pa.Table) -> list[bytes]:
 
 
 def _chunks(texts: list[bytes], depth: int):
-    """Lists of (row, context, bytes), each of about CHUNK bytes."""
-    held, size = [], 0
-    for row, text in enumerate(texts):
-        for context, body in ctw.pieces(text, depth, CHUNK):
-            held.append((row, context, body))
-            size += len(body)
-            if size >= CHUNK:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def _word_hashes(chunk: list[tuple], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens, and each token's row; an end is the hash of the empty word."""
-    words = [b[:-1].split() + [b""] if b[-1] == ctw.END else b.split() for _, _, b in chunk]
-    sizes = [len(w) for w in words]
-    return np.fromiter(map(hashes.__getitem__, itertools.chain.from_iterable(words)), np.uint64, sum(sizes)), np.repeat([r for r, *_ in chunk], sizes)
-
-
-def _block_keys(texts: list[bytes], depth: int, counted: float, hashes: WordHashes) -> dict[int, list]:
-    """Distinct grams and words with counts, by chunk."""
-    kept: dict[int, list] = {GRAM: [], WORD: []}
-    for chunk in _chunks(texts, depth):
-        for kind, keys in ((GRAM, ctw.gram_keys([x[1:] for x in chunk], depth)), (WORD, _word_hashes(chunk, hashes)[0])):
-            keys, n = np.unique(keys, return_counts=True)
-            kept[kind].append((keys, n * counted))
-    return kept
+    """(first row, rows, bytes laid out) of runs of texts of about CHUNK bytes."""
+    first, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= CHUNK or i == len(texts) - 1:
+            yield first, i + 1 - first, ctw.lay_out(texts[first : i + 1], depth)
+            first, size = i + 1, 0
+
+
+class Powers:
+    """Powers of BASE and of its inverse modulo 2**64, grown as needed."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def at_least(self, n: int):
+        if len(self.up) < n:
+            for name, base in (("up", BASE), ("down", INVERSE)):
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+        return self.up, self.down
+
+
+def word_hashes(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """63-bit hashes of the words of texts that are laid out, in order, and the number of each word's text."""
+    up, down = powers.at_least(len(data) + 1)
+    stops = np.flatnonzero((data == 0x20) | (data >= ctw.START))
+    starts = np.concatenate(([0], stops[:-1] + 1))
+    some = stops > starts
+    starts, ends = starts[some], stops[some]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + ONE) * up[: len(data)], dtype=np.uint64)))
+    h = (sums[ends] - sums[starts]) * down[starts]
+    h = (h ^ (h >> np.uint64(32))) * FINAL
+    return (h ^ (h >> np.uint64(29))) >> ONE, np.cumsum(data == ctw.END)[starts]
+
+
+def _flagged(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """keys hold a key and, in the lowest bit, 1 if it isn't counted: distinct keys in order, and counts. Sorts in place."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), (keys[1:] ^ keys[:-1]) > ONE)))
+    if not len(first):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return keys[first] >> ONE, np.add.reduceat((keys & ONE) ^ ONE, first).astype(np.int64)
+
+
+def _block_keys(texts: list[bytes], depth: int, left_out: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Distinct grams and words of a block, and how often they occur in texts that aren't left out."""
+    powers, found = Powers(), {GRAM: [], WORD: []}
+    sizes = np.array([len(t) + 1 for t in texts], np.int64)
+    flags = left_out.astype(np.uint64)
+    for first, n, data in _chunks(texts, depth):
+        mine = flags[first : first + n]
+        found[GRAM].append((ctw.gram_keys(data, depth) << ONE) | np.repeat(mine, sizes[first : first + n]))
+        words, owner = word_hashes(data, powers)
+        found[WORD].append((words << ONE) | mine[owner])
+    return {kind: _flagged(np.concatenate(found.pop(kind) or [np.zeros(0, np.uint64)])) for kind in (GRAM, WORD)}
 
 
 def _count_block(depth: int, parts: int):
     def run(rows: pa.Table) -> pa.Table:
-        block, learn, hashes = rows["block"][0].as_py(), rows["learn"].to_pylist(), WordHashes()
-        texts = _texts(rows)
-        learned = _block_keys([t for t, x in zip(texts, learn, strict=True) if x], depth, 1.0, hashes)
-        others = _block_keys([t for t, x in zip(texts, learn, strict=True) if not x], depth, 0.0, hashes)
+        block, learn = rows["block"][0].as_py(), np.array(rows["learn"].to_pylist(), bool)
         out = []
-        for kind in (GRAM, WORD):
-            keys, n = add_up(learned[kind] + others[kind])
-            out += [(block, p, kind, *pack(k, v)) for p, k, v in split(keys, n, part_of(keys, parts))]
+        for kind, (keys, n) in _block_keys(_texts(rows), depth, ~learn).items():
+            out += [(block, p, kind, *pack(k, v, "u4")) for p, k, v in split(keys, n, part_of(keys, parts, kind, depth))]
         return _out(out, *PACKED_OUT)
 
     return run
@@ -187,8 +212,8 @@ def _bucket_top(depth: int):
 def _bucket_model(depth: int, parts: int, top: ctw.TopTable):
     def run(rows: pa.Table) -> pa.Table:
         keys, counts = add_up(_unpacked(rows))
-        values = ctw.log10_probabilities(keys, counts, depth, top).astype(np.float32)  # to float32 and back: half the bytes when packed
-        return _out([(p, GRAM, *pack(k, v)) for p, k, v in split(keys, values, part_of(keys, parts))], ["part", "kind", "n", "keys", "data"], PACKED_OUT[1][1:])
+        values = ctw.log10_probabilities(keys, counts, depth, top)
+        return _out([(p, GRAM, *pack(k, v, "f4")) for p, k, v in split(keys, values, part_of(keys, parts, GRAM, depth))], ["part", "kind", "n", "keys", "data"], PACKED_OUT[1][1:])
 
     return run
 
@@ -198,47 +223,50 @@ def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
     out = []
     for block, part, kind, n, k, d in zip(*(asked[c].to_pylist() for c in PACKED_OUT[0]), strict=True):
         mine, _ = unpack(n, k, d)
-        out.append((block, part, kind, n, pack_values(values[np.searchsorted(keys, mine)])))
+        out.append((block, part, kind, n, pack_values(values[np.searchsorted(keys, mine)], "f4" if kind == GRAM else "f8")))
     return _out(out, ["block", "part", "kind", "n", "data"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()])
 
 
-def _score_block(depth: int, parts: int, totals: tuple[int, int]):
-    tokens, distinct = totals
+def _score_block(depth: int, parts: int, totals: tuple[int, int, int]):
+    """totals: tokens, distinct tokens and ends of the learning rows."""
+    tokens, distinct, ends = totals
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        texts, hashes, tables = _texts(rows), WordHashes(), {}
+        texts, powers, tables = _texts(rows), Powers(), {}
         got = {(r["kind"], r["part"]): unpack_values(r["n"], r["data"]) for r in answers.to_pylist()}
-        for kind, arrays in _block_keys(texts, depth, 1.0, hashes).items():
-            keys, _ = add_up(arrays)
-            found = [(k, got.pop((kind, p))) for p, k, _ in split(keys, keys, part_of(keys, parts))]
-            tables[kind] = ctw.KeyTable(np.concatenate([k for k, _ in found]), np.concatenate([v for _, v in found]))
+        for kind, (keys, _) in _block_keys(texts, depth, np.zeros(len(texts), bool)).items():
+            found = [(k, got.pop((kind, p))) for p, k, _ in split(keys, keys, part_of(keys, parts, kind, depth))]
+            tables[kind] = ctw.KeyTable(*(np.concatenate([f[i] for f in found]) if found else np.zeros(0, (np.uint64, float)[i]) for i in (0, 1)))
+        base_of = lambda c: np.log10((c + 0.5) / (tokens + 0.5 * (distinct + 1)))
         n_tokens, n_known, base, score = (np.zeros(len(texts)) for _ in range(4))
-        for chunk in _chunks(texts, depth):
-            values = tables[GRAM].get(ctw.gram_keys([x[1:] for x in chunk], depth))
-            sizes = np.array([len(b) for *_, b in chunk])
-            np.add.at(score, [r for r, *_ in chunk], np.add.reduceat(values, np.cumsum(sizes) - sizes))
-            words, owner = _word_hashes(chunk, hashes)
+        for first, n, data in _chunks(texts, depth):
+            to = slice(first, first + n)
+            sizes = np.array([len(t) + 1 for t in texts[to]])
+            score[to] = np.add.reduceat(tables[GRAM].get(ctw.gram_keys(data, depth)), np.cumsum(sizes) - sizes)
+            words, owner = word_hashes(data, powers)
             counts = tables[WORD].get(words)
-            n_tokens += np.bincount(owner, minlength=len(texts))
-            n_known += np.bincount(owner, counts > 0, len(texts))
-            base += np.bincount(owner, np.log10((counts + 0.5) / (tokens + 0.5 * (distinct + 1))), len(texts))
+            n_tokens[to] = np.bincount(owner, minlength=n) + 1
+            n_known[to] = np.bincount(owner, counts > 0, n) + (ends > 0)
+            base[to] = np.bincount(owner, base_of(counts), n) + base_of(np.float64(ends))
         return pa.table({"id": rows["id"], "learn": rows["learn"], "n_tokens": n_tokens.astype(np.int64), "n_known": n_known.astype(np.int64), "base_score": base, "score": score})
 
     return run
 
 
-def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, block_bytes: int = 32 << 20, least_block_bytes: int = 4 << 20) -> DataFrame:
+def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, block_bytes: int = 12 << 20, least_block_bytes: int = 4 << 20) -> DataFrame:
     """Per row: SCORES and train_tokens. ``learn`` marks the rows that the model learns from; depth: 2 to 6 bytes of context."""
     if not 2 <= depth <= 6:
         raise ValueError("depth must be 2 to 6")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    size = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
+    learns = F.coalesce(learn, F.lit(False))
+    size, ends = docs.agg(F.coalesce(F.sum(F.octet_length(text) + 1), F.lit(0)), F.count_if(learns)).first()
     at_once = docs.sparkSession.sparkContext.defaultParallelism
     blocks = max(1, -(-size // block_bytes), min(at_once, -(-size // least_block_bytes)))
     parts = max(1, round(8 * math.sqrt(blocks)))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), text.alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), learns.alias("learn"), text.alias("text"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.coalesce("id", F.lit(0))), F.lit(blocks)))
-    asked = cut(rows.groupBy("block").applyInArrow(_count_block(depth, parts), PACKED).repartition(parts, "part"))
+    asked = cut(rows.groupBy("block").applyInArrow(_count_block(depth, parts), PACKED))
+    tidy(docs.sparkSession)
     merged = cut(asked.groupBy("part", "kind").applyInArrow(_merge_part, "part int, kind int, n long, keys binary, data binary, known long, total long"))
     known, total = merged.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     buckets = merged.filter(F.col("kind") == GRAM).select("n", "keys", "data").mapInArrow(_to_buckets, "bucket int, n long, keys binary, data binary")
@@ -246,11 +274,12 @@ def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
     top = sums.groupBy("node").agg(F.sum("a"), F.sum("b"), F.sum("below")).orderBy("node").collect()  # 256 * 255 nodes at most
     columns = [np.array(c) for c in zip(*top, strict=True)] or [np.zeros(0)] * 4
     top_table = ctw.TopTable(columns[0].astype(np.uint64), *(c.astype(float) for c in columns[1:]))
+    tidy(docs.sparkSession)
     model = buckets.groupBy("bucket").applyInArrow(_bucket_model(depth, parts, top_table), "part int, kind int, n long, keys binary, data binary")
     model = model.unionByName(merged.filter(F.col("kind") == WORD).select("part", "kind", "n", "keys", "data"))
     answers = asked.groupBy("part", "kind").cogroup(model.groupBy("part", "kind")).applyInArrow(_answer, "block long, part int, kind int, n long, data binary")
-    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(depth, parts, (total, known)), SCORES)
-    return scored.withColumn("train_tokens", F.lit(total).cast("long"))
+    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(depth, parts, (total + ends, known + (ends > 0), ends)), SCORES)
+    return scored.withColumn("train_tokens", F.lit(total + ends).cast("long"))
 
 
 def op2_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
