@@ -69,7 +69,7 @@ def squeeze(text: Column) -> Column:
 
 def break_before_markers(text: Column) -> Column:
     """A newline before every article or chapter marker that stands inside a line."""
-    return F.regexp_replace(text, r"(?<=[^\n])[ \t]*(?=(?:Điều \d+\.|CHƯƠNG [IVXLC0-9]+|MỤC [IVXLC0-9]+))", "\n")
+    return F.regexp_replace(text, r"(?<=[^\n \t])[ \t]*(?=(?:Điều \d+\.|CHƯƠNG [IVXLC0-9]+|MỤC [IVXLC0-9]+))", "\n")
 
 
 def wiki_clean(text: Column) -> Column:

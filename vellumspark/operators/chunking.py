@@ -222,7 +222,7 @@ STATUTE_RULES = {
     "v4": StatuteRules(r"(?i:Điều\s+\d+)", r"(CHƯƠNG|MỤC|PHẦN)\s+[IVX0-9]+", True, w.STATUTE_GARBAGE, shortest=6, breaks=True, not_title=("ĐIỀU", "CỘNG HÒA"), leaders=True),
     "strict": StatuteRules(r"(?i:Điều\s+\d+)", r"(CHƯƠNG|MỤC|PHẦN)\s+", True, w.STATUTE_GARBAGE, not_title=("ĐIỀU", "CỘNG HÒA")),
 }
-_MARKER = re.compile(r"(?<=[^\n])[ \t]*(?=(?:Điều \d+\.|CHƯƠNG [IVXLC0-9]+|MỤC [IVXLC0-9]+))")
+_MARKER = re.compile(r"(?<=[^\n \t])[ \t]*(?=(?:Điều \d+\.|CHƯƠNG [IVXLC0-9]+|MỤC [IVXLC0-9]+))")
 
 
 def parse_statute(text: str | None, title: str, rules: StatuteRules) -> list[str]:

@@ -41,7 +41,7 @@ def read_lines(spark: SparkSession, path: str, name: str = "line") -> DataFrame:
 
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) for each file, without a byte order mark."""
-    return spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("text"))
 
 
 def seeds(spark: SparkSession, values: list[str], name: str = "node") -> DataFrame:
