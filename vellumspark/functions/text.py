@@ -11,6 +11,8 @@ from . import words as w
 
 #: uuid5 name space for DNS names (RFC 9562)
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
+#: White space and the 32 ASCII punctuation marks
+TOKEN_GAP = r"[ \t\n\r\f\x0B!-/:-@\[-`{-~]+"
 
 
 def any_of(tests: list[Column]) -> Column:
@@ -42,12 +44,12 @@ def nfc_spaces(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case words; the 32 ASCII punctuation marks count as spaces; null gives an empty array."""
-    plain = F.translate(lower(text), w.PUNCTUATION, " " * len(w.PUNCTUATION))
-    return F.filter(F.split(plain, r"[ \t\n\r\f\x0B]+"), lambda t: t != "")
+    return F.filter(F.split(lower(text), TOKEN_GAP), lambda t: t != "")
 
 
 def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(w.W + "+"))
+    """Runs of word characters of any script. By splitting: counting matches copies the text for each of them."""
+    return F.size(F.filter(F.split(text, w.NOT_W + "+"), lambda t: t != ""))
 
 
 def approx_tokens(text: Column) -> Column:

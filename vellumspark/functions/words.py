@@ -2,6 +2,7 @@
 
 # Letters, digits and underscore in any script, as Python's \w
 W = r"[\p{L}\p{N}_]"
+NOT_W = r"[^\p{L}\p{N}_]"
 
 FOOTER_WIKI = ["tham khảo", "liên kết ngoài", "chú thích", "đọc thêm"]
 FOOTER_STEM = ["tham khảo", "liên kết ngoài", "chú thích", "đọc thêm", "nguồn", "xem thêm", "thư mục", "bài liên quan"]

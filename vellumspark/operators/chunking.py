@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import words as w
+from .retrieval import spread
 from .tables import remaining
 
 _CITATION = re.compile(w.CITATION)
@@ -150,6 +151,7 @@ def chunk_articles(articles: DataFrame, profile: str = "stem", least: int = 100,
     profile: stem, sub (submission) or wiki.  chunk_index counts before the
     filter, so ids may have gaps.
     """
+    articles = articles if articles.isStreaming else spread(articles.select("title", "url", "text", "categories"))
     if profile == "wiki":
         category = t.first_category(F.col("categories"))
         rows = articles.select("title", "url", category.alias("category"), t.wiki_clean(F.coalesce("text", F.lit(""))).alias("clean")).filter(F.length("clean") >= 50)

@@ -24,6 +24,12 @@ def _score_order(score: str, tie: str) -> list[Column]:
     return [F.col(score).desc(), F.col(tie)]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions than that: text work then runs in parallel. Large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def top_k(df: DataFrame, k: int, score: str = "score", key: str = "qid", tie: str = "chunk_id", name: str = "rank") -> DataFrame:
     """Rows of rank 1 to k per key, by score then tie."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*_score_order(score, tie)))).filter(F.col(name) <= k)
@@ -38,6 +44,7 @@ def doc_tokens(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def build_bm25(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "vector_text") -> dict[str, DataFrame]:
     """The index tables: postings(term, chunk_id, tf, dl), doc_stats, term_stats, corpus_stats (one row)."""
+    chunks = spread(chunks.select(id_col, text_col))
     docs = doc_tokens(chunks, id_col, text_col)
     postings = docs.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     return {
@@ -63,15 +70,18 @@ def bm25_search(chunks: DataFrame, questions: DataFrame, k: int, id_col: str = "
     Only postings of the batch's terms are made: the corpus's tokens are joined
     to the distinct query terms before anything is shuffled.
     """
+    chunks = spread(chunks.select(id_col, text_col))
     docs = doc_tokens(chunks, id_col, text_col)
-    n_docs, avgdl = docs.agg(F.count(F.lit(1)), F.avg("dl")).first()
+    n_docs, avgdl = chunks.agg(F.count(F.lit(1)), F.avg(F.size(tokens(F.col(text_col))))).first()
     asked = questions.select(F.col(qid_col).alias("qid"), F.explode(tokens(F.col(question_col))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    terms = small(asked.select("term").distinct())
+    few = asked.limit(MOST_SENT + 1).count() <= MOST_SENT  # then the terms and the weighted query are as few
+    send = F.broadcast if few else lambda df: df
+    terms = send(asked.select("term").distinct())
     postings = docs.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(terms, "term").groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf(F.lit(n_docs or 0), F.col("df")).alias("idf"))
     weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
     query = asked.join(stats, "term")
-    scored = postings.join(small(query), "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score"))
+    scored = postings.join(send(query), "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score"))
     return top_k(scored.filter("score > 0"), k)
 
 
@@ -161,9 +171,17 @@ def fuse_max_norm(sparse: DataFrame, dense: DataFrame, k: int, alpha: float = 0.
     return top_k(both.select("qid", "chunk_id", F.round(score, 8).alias("score")), k)
 
 
-def with_payload(hits: DataFrame, chunks: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """Late materialisation: texts join after the cut; hits without a payload are dropped."""
-    return chunks.select(F.col(id_col).alias("chunk_id"), *columns).join(small(hits), "chunk_id")
+def with_payload(hits: DataFrame, chunks: DataFrame, id_col: str, columns: list[str], most: int | None = None) -> DataFrame:
+    """Late materialisation: texts join after the cut; hits without a payload are dropped.
+
+    most: a known bound on the number of hits (questions times k); under
+    MOST_SENT the hits go to the texts.  Without one the hits are counted first.
+    """
+    if most is None:
+        hits = small(hits)
+    elif most <= MOST_SENT:
+        hits = F.broadcast(hits)
+    return chunks.select(F.col(id_col).alias("chunk_id"), *columns).join(hits, "chunk_id")
 
 
 def parse_ranking(reply: Column, n: Column, k: int) -> Column:

@@ -45,9 +45,9 @@ def retrieve(questions: DataFrame, chunks: DataFrame, points: DataFrame, vectors
     return fused.join(open_.select("qid", most.alias("k")), "qid").filter(F.col("rank") <= F.col("k")).drop("k")
 
 
-def contexts(hits: DataFrame, chunks: DataFrame, settings: Settings) -> DataFrame:
+def contexts(hits: DataFrame, chunks: DataFrame, settings: Settings, questions: int) -> DataFrame:
     """(qid, passages) in rank order; over most_context characters only five passages of 2,000 stay."""
-    found = with_payload(hits, chunks, "chunk_id", ["display_text"])
+    found = with_payload(hits, chunks, "chunk_id", ["display_text"], questions * max(settings.k_stem, settings.k_other))
     listed = found.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "display_text"))), lambda x: x["display_text"]).alias("passages"))
     size = F.aggregate("passages", F.lit(0), lambda n, x: n + F.length(x))
     return listed.withColumn("passages", F.when(size > settings.most_context, F.transform(F.slice("passages", 1, 5), lambda x: F.substring(x, 1, 2000))).otherwise(F.col("passages")))
@@ -65,7 +65,7 @@ def answer(questions: DataFrame, chunks: DataFrame, points: DataFrame, vectors:
     """(qid, answer, tag, status) for every question."""
     settings = settings or Settings()
     routed = route(lettered(questions), router).persist()
-    found = contexts(retrieve(routed, chunks, points, vectors, settings), chunks, settings)
+    found = contexts(retrieve(routed, chunks, points, vectors, settings), chunks, settings, routed.count())
     ready = routed.join(found, "qid", "left").withColumn("passages", F.coalesce("passages", F.array().cast("array<string>")))
     open_ = ready.filter(~F.col("route.is_unsafe"))
     stem = F.col("route.is_stem")

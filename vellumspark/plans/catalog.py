@@ -129,7 +129,7 @@ def dense_topk(spark, d):
 
 @query(f"WITH {S_DENSE.format(20)} SELECT qid, chunk_id, score, label FROM dr JOIN embeddings ON vec_id = chunk_id WHERE rank <= 5")
 def dense_payload(spark, d):
-    return retrieval.with_payload(dense(spark, d, 5, 20), tbl(spark, d, "embeddings"), "vec_id", ["label"]).select("qid", "chunk_id", "score", "label")
+    return retrieval.with_payload(dense(spark, d, 5, 20), tbl(spark, d, "embeddings"), "vec_id", ["label"], 5 * 20).select("qid", "chunk_id", "score", "label")
 
 
 def _fusion(score: str, dense_rows: str = "SELECT qid, chunk_id, score FROM dr WHERE rank <= 10", sparse_rows: str = "SELECT qid, chunk_id, score FROM sr WHERE rank <= 20") -> str:
@@ -177,7 +177,7 @@ def payload_complete(spark, d):
 @query(f"""WITH {S_BM25} SELECT qid, len(string_agg(body, chr(10) || chr(10) ORDER BY rank)) AS n_chars, sha256(string_agg(body, chr(10) || chr(10) ORDER BY rank)) AS block
 FROM (SELECT qid, rank, '[' || rank || '] ' || substring(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 1, 2000) AS body FROM sr JOIN documents ON doc_id = chunk_id WHERE rank <= 8) GROUP BY qid""")
 def context_block(spark, d):
-    found = retrieval.with_payload(bm25(spark, d, 8), tbl(spark, d, "documents"), "doc_id", ["text"])
+    found = retrieval.with_payload(bm25(spark, d, 8), retrieval.spread(tbl(spark, d, "documents")), "doc_id", ["text"], 8 * tbl(spark, d, "benchmark").count())
     listed = found.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("texts"))
     block = r.context_block(F.col("texts"), 2000, first=8, squeezed=True)
     return listed.select("qid", F.length(block).alias("n_chars"), F.sha2(block, 256).alias("block"))
@@ -339,7 +339,7 @@ S_WORDS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+'))"
 
 @query("SELECT doc_id, " + ", ".join(f"{s_flag(n, 'text')} AS {n}" for n in S_FLAGS) + f", {S_WORDS.format('text')} >= 20 AS is_substantial FROM documents")
 def content_flags(spark, d):
-    return tbl(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in t.content_flags(F.col("text")).items()])
+    return retrieval.spread(tbl(spark, d, "documents").select("doc_id", "text")).select("doc_id", *[c.alias(n) for n, c in t.content_flags(F.col("text")).items()])
 
 
 @query(f"SELECT doc_id, {s_match('text', [w.MATH_SUB])} AS has_math, {s_match('lower(text)', [w.LEGAL_SUB])} AS has_legal, {S_WORDS.format('text')} >= 15 AS is_substantial FROM documents")
