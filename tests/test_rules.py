@@ -109,3 +109,17 @@ def test_balanced(text, want):
 def test_verdict(spark, reply, want):
     got = ask(spark, verdict(A), reply=reply)
     assert (got and (got["safety"], got["domain"])) == want
+
+
+def test_older_variants(spark):
+    two = lambda reply, *c: ask(spark, r.extract_two_step(A, O), reply=reply, choices=list(c) or CHOICES)
+    assert [two("### Đáp án: b"), two("**C**"), two("I think D or Z"), two(None), two("x")] == ["B", "C", "D", "A", "A"]
+    negated = lambda q: ask(spark, r.overlap_answer_negated(Q, O), q=q, choices=["hai", "ba ba ba"])
+    assert negated("hai ngoại trừ") == "B" and negated("hai") == "A"
+    assert ask(spark, r.refusal_reply(A), reply="Đoạn văn không đủ cơ sở") and not ask(spark, r.refusal_reply(A), reply="B")
+    assert ask(spark, r.refusal_key_old(O), choices=["không có dữ liệu", "vi phạm"]) == "B"
+    old = lambda q, *c: ask(spark, r.route_rules_old(Q, O), q=q, choices=list(c) or CHOICES)
+    assert old("q", "a", "Tôi không thể trả lời")["tag"] == "BLOCKED-REGEX-ANS-SAFETY"
+    assert old("$x$", "a", "Không đủ thông tin")["refusal_key"] == "B" and old("x", "a", "Không đủ thông tin")["refusal_key"] is None
+    assert ask(spark, r.axes_reply(A), reply="unsafe | stem") == (True, True, False)
+    assert ask(spark, r.sensitive_topic(Q), q="ma túy") and not ask(spark, r.sensitive_topic(Q), q="tác hại của ma túy")

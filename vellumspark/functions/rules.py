@@ -222,3 +222,66 @@ def messages(system: Column, user: Column) -> Column:
 
 def trace_status(answer: Column, truth: Column) -> Column:
     return F.when(truth.isNull(), "unlabelled").when(F.trim(answer) == F.trim(truth), "right").otherwise("wrong")
+
+
+# --- older variants
+
+
+def extract_two_step(reply: Column, opts: Column) -> Column:
+    """The heading's letter, a bold one, the last lone capital that is an option, else the first option."""
+    text = F.trim(F.coalesce(reply, F.lit("")))
+    lone = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])([A-Z])(?![\p{L}\p{N}_])"), F.lit(1))
+    named = F.filter(lone, lambda x: F.exists(opts, lambda o: o["key"] == x))
+    return F.coalesce(
+        _valid(F.regexp_extract(F.lower(text), w.ANSWER_STRICT[0], 1), opts),
+        _valid(F.regexp_extract(text, r"\*\*([A-Z])\*\*", 1), opts),
+        F.get(named, F.size(named) - 1),
+        _first(opts),
+    )
+
+
+def overlap_answer_negated(question: Column, opts: Column) -> Column:
+    """A negated question takes the longest option, any other the one that overlaps most."""
+    return F.when(contains_any(lower(question), w.NEGATIVE_WORDS), longest_answer(opts)).otherwise(overlap_answer(question, opts))
+
+
+def refusal_reply(reply: Column) -> Column:
+    """The model says that it does not know."""
+    return contains_any(lower(reply), w.REFUSAL_REPLIES)
+
+
+def refusal_key_old(opts: Column) -> Column:
+    """Phrases of a refusal before phrases of missing information."""
+    return F.coalesce(_first(_where(opts, lambda t: contains_any(t, w.OLD_REFUSALS))), _first(_where(opts, lambda t: contains_any(t, w.OLD_NO_INFO))))
+
+
+def route_rules_old(question: Column, opts: Column) -> Column:
+    """The older fallback: dirty words, intent, a safety option, else open; a no-information key stays for mathematics only."""
+    q, no, yes, none = lower(question), F.lit(False), F.lit(True), F.lit(None)
+    blocked = lambda tag: _route(yes, no, no, F.lit(f"BLOCKED-{tag}"), blocked_key(opts), F.lit("SAFETY"))
+    math = F.coalesce(question, F.lit("")).rlike(w.MATH_HINT)
+    key = F.when(math & (refusal_type(opts) == "NO_INFO"), refusal_key(opts))
+    return (
+        F.when(contains_any(q, w.OLD_DIRTY), blocked("REGEX-DIRTY"))
+        .when(matches_any(q, w.OLD_BAD_INTENT), blocked("REGEX-INTENT"))
+        .when(refusal_type(opts) == "SAFETY", blocked("REGEX-ANS-SAFETY"))
+        .otherwise(_route(no, math, yes, F.lit("REGEX-FALLBACK"), key, F.when(key.isNotNull(), "NO_INFO").otherwise(none)))
+    )
+
+
+def sensitive_topic(question: Column) -> Column:
+    """The older two-state test: a listed word without an academic one."""
+    q = lower(question)
+    return contains_any(q, w.OLD_BLACKLIST) & ~contains_any(q, w.OLD_WHITELIST)
+
+
+def hard_axes(question: Column) -> Column:
+    """struct(is_math, is_legal): what the older router knows without a model."""
+    q = lower(question)
+    return F.struct(F.coalesce(question, F.lit("")).rlike(w.MATH_HARD).alias("is_math"), contains_any(q, w.LEGAL_HARD).alias("is_legal"))
+
+
+def axes_reply(reply: Column) -> Column:
+    """A three-axis text reply: struct(is_unsafe, is_stem, is_complex) by words; an empty one is safe, social and complex."""
+    up = F.upper(F.coalesce(reply, F.lit("")))
+    return F.struct(F.contains(up, F.lit("UNSAFE")).alias("is_unsafe"), F.contains(up, F.lit("STEM")).alias("is_stem"), (F.contains(up, F.lit("COMPLEX")) | (up == "")).alias("is_complex"))

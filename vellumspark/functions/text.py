@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from . import words as w
 
-#: uuid5 name space for DNS names (RFC 9562)
+#: uuid5 name spaces for DNS names and URLs (RFC 9562)
 DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 #: White space and the 32 ASCII punctuation marks
 TOKEN_GAP = r"[ \t\n\r\f\x0B!-/:-@\[-`{-~]+"
 
@@ -188,9 +189,9 @@ def prefix_sub(short: Column, title: Column, content: Column) -> Column:
     return F.concat(F.lit("["), short, F.lit("] "), title, F.lit("\n"), content)
 
 
-def uuid5(name: Column) -> Column:
-    """uuid5 of the name in the DNS name space, as text."""
-    digest = F.sha1(F.concat(F.unhex(F.lit(DNS_NAMESPACE)), F.encode(name, "UTF-8")))
+def uuid5(name: Column, namespace: str = DNS_NAMESPACE) -> Column:
+    """uuid5 of the name, as text."""
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))
     variant = F.lower(F.hex((F.conv(F.substring(digest, 17, 2), 16, 10).cast("long").bitwiseAND(0x3F)).bitwiseOR(0x80)))
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 19, 2)), F.substring(digest, 21, 12))
 
@@ -206,3 +207,14 @@ def syntax_issues(text: Column) -> Column:
     end = F.when(~F.right(text, F.lit(1)).isin(".", "!", "?", '"', "'"), "no final mark")
     both = F.concat_ws(", ", start, end)
     return F.when(F.length(text) == 0, "empty").when(both == "", "OK").otherwise(both)
+
+
+def keep_lines(text: Column, denied: list[str] = w.GARBAGE_LINES, longer: int = 5) -> Column:
+    """Trimmed lines without denied words (in any case) and longer than ``longer``."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    return F.array_join(F.filter(lines, lambda x: (F.length(x) > longer) & ~contains_any(F.lower(x), denied)), "\n")
+
+
+def uuid5_namespace(stored: Column, name: Column) -> Column:
+    """'dns', 'url' or 'neither': the name space in which the stored id is the name's uuid5."""
+    return F.when(stored == uuid5(name), "dns").when(stored == uuid5(name, URL_NAMESPACE), "url").otherwise("neither")

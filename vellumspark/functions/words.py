@@ -117,3 +117,32 @@ FOUR_LOGIC = [
 STATUTE_GARBAGE = ["Tải về", "Mục lục", "Về đầu trang"]
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+# Line and link filters of crawled pages
+GARBAGE_LINES = ["quảng cáo", "xem thêm", "tải về", "mục lục", "bản in", "trang chủ", "vietjack", "bình luận", "theo dõi chúng tôi"]
+DENIED_LINKS = ["facebook", "youtube", "#"]
+
+# Older heuristics
+NEGATIVE_WORDS = ["không", "ngoại trừ", "sai", "trừ"]
+REFUSAL_REPLIES = ["không có thông tin", "không tìm thấy", "không được đề cập", "không đủ cơ sở"]
+OLD_REFUSALS = [
+    "tôi không thể", "không thể chia sẻ", "không thể trả lời", "không hỗ trợ", "không được phép", "vi phạm",
+    "nhạy cảm", "tiêu chuẩn cộng đồng", "chính sách", "không phù hợp", "tôi là ai",
+]
+OLD_NO_INFO = ["không có thông tin", "không được đề cập", "không tìm thấy", "không đủ cơ sở", "không có dữ liệu", "tất cả đều sai", "không có phương án"]
+OLD_DIRTY = ["khiêu dâm", "ấu dâm", "sex", "porn", "xxx", "cá độ"]
+OLD_BAD_INTENT = [
+    r"(?:cách|phương pháp)[^\n]*(?:vi phạm|trốn|tránh|lách|làm giả)",
+    r"tránh[^\n]*(?:cung cấp|khai báo)[^\n]*(?:thông tin|hồ sơ)",
+    r"tiếp tục[^\n]*hoạt động[^\n]*(?:bị đình chỉ|bị cấm)",
+]
+OLD_BLACKLIST = [
+    "sex", "khiêu dâm", "đồi trụy", "làm tình", "ấu dâm", "kích dục", "phản động", "khủng bố", "giết người", "ma túy",
+    "buôn lậu", "vũ khí", "bạo lực", "xúc phạm", "lăng mạ", "đảng cộng sản", "xuyên tạc", "cờ bạc", "cá độ",
+]
+OLD_WHITELIST = [
+    "luật", "nghị định", "quy định", "thông tư", "pháp luật", "hiến pháp", "lịch sử", "chiến tranh", "kháng chiến", "vụ án",
+    "tòa án", "xét xử", "tác hại", "phòng chống", "ngăn chặn", "khái niệm", "định nghĩa",
+]
+LEGAL_HARD = ["luật", "nghị định", "thông tư", "hiến pháp", "quy định", "điều khoản", "phạt tù", "xử phạt"]
+MATH_HARD = r"\$|\\frac|\\int|\\sum|\^\{|sin\(|cos\(|tan\("

@@ -5,9 +5,12 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import words as w
+from ..functions.text import contains_any
+
 #: Fixed values
 DROPPED_TAGS = {"script", "style", "nav", "header", "footer", "aside", "form", "iframe", "noscript"}
 NOISE = ("ad", "ads", "banner", "menu", "sidebar", "breadcrumb", "comment", "share", "related", "footer", "col-md-3", "col-md-4")
@@ -155,3 +158,21 @@ def traverse(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
 
 def crawl_state(pages: DataFrame) -> DataFrame:
     return pages.select(F.md5("url").alias("url_hash"), "url")
+
+
+def listed_links(found: DataFrame, pattern: str, denied: list[str] = w.DENIED_LINKS) -> DataFrame:
+    """Links that have the pattern and none of the denied parts."""
+    return found.filter(F.contains(F.col("link"), F.lit(pattern)) & ~contains_any(F.col("link"), denied))
+
+
+def until_empty(listing: DataFrame, most_empty: int = 3, most_pages: int = 70) -> DataFrame:
+    """Pages of each list up to the third in a row without new links.
+
+    listing: category, page (from 1), n_new.  A page of known links only counts
+    as empty.
+    """
+    order = Window.partitionBy("category").orderBy("page")
+    back = Window.partitionBy("category").orderBy("page").rowsBetween(-(most_empty - 1), Window.currentRow)
+    run = listing.withColumn("stop", (F.max("n_new").over(back) == 0) & (F.count(F.lit(1)).over(back) == most_empty))
+    stopped = F.coalesce(F.max(F.col("stop").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return run.withColumn("stopped", stopped).filter((F.col("stopped") == 0) & (F.col("page") <= most_pages)).drop("stop", "stopped")

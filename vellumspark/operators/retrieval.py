@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import tokens, uuid5
+from ..providers import embed
 
 #: A query batch of at most this many rows is sent to all tasks; larger ones are joined by shuffle.
 MOST_SENT = 200_000
@@ -126,6 +127,19 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm == 0, 1, norm)
 
 
+def vector_points(chunks: DataFrame, provider) -> DataFrame:
+    """The vector table: uuid5 id, vector, payload; a chunk that the provider gives no vector has a null one."""
+    payload = F.struct(F.col("doc_title").alias("title"), F.col("display_text").alias("text"), F.col("doc_category").alias("category"), F.col("doc_url").alias("url"), "chunk_id")
+    embedded = embed(chunks.select("chunk_id", "vector_text", payload.alias("payload")), provider, "vector_text")
+    return embedded.select(uuid5(F.col("chunk_id")).alias("id"), "vector", "payload")
+
+
+def index_new(chunks: DataFrame, indexed: DataFrame, provider) -> tuple[DataFrame, DataFrame]:
+    """(points to upsert, dead letters) of the chunks whose id is not indexed yet. Persist or write the points before reading them twice."""
+    points = vector_points(chunks.join(indexed.select(F.col("payload.chunk_id").alias("chunk_id")), "chunk_id", "left_anti"), provider)
+    return points.filter("vector IS NOT NULL"), points.filter("vector IS NULL").select(F.col("payload.chunk_id").alias("chunk_id"))
+
+
 # --- fusion
 
 

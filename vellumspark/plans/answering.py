@@ -61,6 +61,26 @@ def _final(reply: Column) -> Column:
     return F.coalesce(sound, heuristic, F.lit("A"))
 
 
+FORCE_PROMPT = "Use your own knowledge to choose the best letter. No explanation. End with: ### ĐÁP ÁN: <letter>"
+
+
+def again(replied: DataFrame, chat) -> DataFrame:
+    """Second pass over replies that say they do not know: the option that says so answers, else the model is asked without passages."""
+    unsure = r.refusal_reply(F.col("reply"))
+    kept = replied.withColumn("unsure", F.coalesce(unsure, F.lit(False))).persist()  # a paid reply is used twice below
+    sure = kept.filter(~F.col("unsure"))
+    option = r.no_info_key(F.col("options"))
+    chosen = kept.filter(F.col("unsure") & option.isNotNull()).withColumn("reply", F.concat(F.lit("### ĐÁP ÁN: "), option))
+    user = F.concat(F.lit("Question: "), F.col("question"), F.lit("\n"), r.options_block(F.col("options")))
+    open_ = kept.filter(F.col("unsure") & option.isNull()).drop("reply").withColumns({"system": F.lit(FORCE_PROMPT), "user": user})
+    return sure.unionByName(chosen).unionByName(ask(open_, chat, "system", "user", "reply")).drop("unsure")
+
+
+def counters(answers: DataFrame) -> DataFrame:
+    """Answers by route tag and status."""
+    return answers.groupBy("tag", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 def answer(questions: DataFrame, chunks: DataFrame, points: DataFrame, vectors: DataFrame, router, chat, settings: Settings | None = None) -> DataFrame:
     """(qid, answer, tag, status) for every question."""
     settings = settings or Settings()
@@ -73,6 +93,7 @@ def answer(questions: DataFrame, chunks: DataFrame, points: DataFrame, vectors:
     user = F.concat(F.lit("Passages:\n"), block, F.lit("\n\nQuestion: "), F.col("question"), F.lit("\n"), r.options_block(F.col("options")))
     prompts = open_.withColumn("system", F.when(stem, STEM_PROMPT).otherwise(SOCIAL_PROMPT)).withColumn("user", user)
     replied = ask(prompts.select("qid", "question", "options", "route", "system", "user"), chat, "system", "user", "reply")
+    replied = again(replied, chat)
     answered = replied.select("qid", _final(F.col("reply")).alias("answer"), F.col("route.tag").alias("tag"), F.when(F.coalesce("reply", F.lit("")) == "", "fallback").otherwise("replied").alias("status"))
     blocked = ready.filter("route.is_unsafe").select("qid", F.col("route.refusal_key").alias("answer"), F.col("route.tag").alias("tag"), F.lit("blocked").alias("status"))
     return answered.unionByName(blocked)

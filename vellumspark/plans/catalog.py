@@ -440,6 +440,12 @@ def route_four_class(spark, d):
     return phrased(spark, d).select("conv_id", "turn", r.route_four(F.col("q")).alias("class"))
 
 
+@query(f"SELECT conv_id, turn, {s_any('lower(q)', w.OLD_BLACKLIST)} AND NOT {s_any('lower(q)', w.OLD_WHITELIST)} AS sensitive, {s_match('q', [w.MATH_HARD])} AS is_math, {s_any('lower(q)', w.LEGAL_HARD)} AS is_legal FROM ({S_PHRASED})")
+def sensitive_old(spark, d):
+    axes = r.hard_axes(F.col("q"))
+    return phrased(spark, d).select("conv_id", "turn", r.sensitive_topic(F.col("q")).alias("sensitive"), axes["is_math"].alias("is_math"), axes["is_legal"].alias("is_legal"))
+
+
 @query(f"SELECT tag, count(*) AS n, CAST(count_if(starts_with(tag, 'BLOCKED')) AS BIGINT) AS n_blocked FROM (SELECT CASE WHEN {s_any('l', w.ACADEMIC)} THEN 'REGEX-ACADEMIC' WHEN {s_any('l', w.DIRTY)} THEN 'BLOCKED-REGEX-DIRTY' WHEN {s_match('l', [w.BAD_INTENT])} THEN 'BLOCKED-REGEX-INTENT' ELSE 'REGEX-FALLBACK' END AS tag FROM (SELECT lower(q) AS l FROM ({S_PHRASED}))) GROUP BY tag")
 def router_report(spark, d):
     return route_rules(spark, d).groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("tag").startswith("BLOCKED")).alias("n_blocked"))
@@ -529,6 +535,53 @@ def extract_answer(spark, d):
     return tbl(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", r.extract_answer(reply, opts).alias("answer"))
 
 
+@query(f"WITH {S_OPTIONS} SELECT qid, CASE WHEN {s_any('lower(question)', w.NEGATIVE_WORDS)} OR qid % 3 = 0 THEN {s_argmax('length(o)')} ELSE {s_argmax(f'len(list_intersect({s_tokens("o")}, {s_tokens("question")}))')} END AS answer FROM q")
+def overlap_answer_negated(spark, d):
+    asked = F.when(F.col("qid") % 3 == 0, F.concat("question", F.lit(" ngoại trừ"))).otherwise(F.col("question"))
+    return option_questions(spark, d).select("qid", r.overlap_answer_negated(asked, F.col("options")).alias("answer"))
+
+
+@query(f"""SELECT conv_id, turn, ([{', '.join(map(s_lit, ['B', 'D', 'D', 'A', 'A', 'A', 'C', 'B', 'A', 'A', 'D']))}])[(conv_id + turn) % {len(REPLIES)} + 1] AS answer FROM conversations WHERE role = 'assistant'""")
+def extract_two_step(spark, d):
+    replies = [x.replace("đáp án: c", "### đáp án: d") for x in REPLIES]
+    replies[2] = "Chọn D"
+    replies[9] = "Đáp án Z. Chọn: b"
+    reply = F.element_at(F.array(*[F.lit(x) for x in replies]), ((F.col("conv_id") + F.col("turn")) % len(replies) + 1).cast("int"))
+    opts = r.options(F.array(*[F.lit(x) for x in ("one", "two", "three", "four")]))
+    return tbl(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", r.extract_two_step(reply, opts).alias("answer"))
+
+
+@query(f"WITH {S_OPTIONS}, {S_REFUSAL} SELECT qid, coalesce({s_key(s_any('trim(lower(o))', w.OLD_REFUSALS))}, {s_key(s_any('trim(lower(o))', w.OLD_NO_INFO))}) AS refusal_key FROM r")
+def refusal_first_old(spark, d):
+    return refusal_questions(spark, d).select("qid", r.refusal_key_old(F.col("options")).alias("refusal_key"))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN {s_any('l', w.OLD_DIRTY)} THEN 'BLOCKED-REGEX-DIRTY' WHEN {s_match('l', w.OLD_BAD_INTENT)} THEN 'BLOCKED-REGEX-INTENT' ELSE 'REGEX-FALLBACK' END AS tag FROM (SELECT *, lower(q) AS l FROM ({S_PHRASED}))""")
+def route_rules_old(spark, d):
+    route = r.route_rules_old(F.col("q"), r.options(F.array(F.lit("yes"), F.lit("no"))))
+    return phrased(spark, d).select("conv_id", "turn", route["tag"].alias("tag"))
+
+
+@query(f"SELECT doc_id, length(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 5 AND NOT {s_any('lower(x)', w.GARBAGE_LINES)}), chr(10))) AS n FROM documents")
+def keep_lines(spark, d):
+    return tbl(spark, d, "documents").select("doc_id", F.length(t.keep_lines(F.col("text"))).alias("n"))
+
+
+@query("SELECT source AS category, doc_id // 20 + 1 AS page, n_chars % 3 AS n_new FROM documents WHERE doc_id // 20 + 1 <= 70 AND doc_id // 20 <= coalesce((SELECT min(d2.doc_id // 20) FROM documents d2 WHERE d2.source = documents.source AND d2.doc_id >= 40 AND d2.n_chars % 3 = 0 AND (SELECT max(d3.n_chars % 3) FROM documents d3 WHERE d3.source = d2.source AND d3.doc_id // 20 IN (d2.doc_id // 20 - 1, d2.doc_id // 20 - 2)) = 0), 1000000)")
+def paged_until_empty(spark, d):
+    listing = tbl(spark, d, "documents").select(F.col("source").alias("category"), F.expr("doc_id div 20 + 1").alias("page"), (F.col("n_chars") % 3).alias("n_new"))
+    return pages.until_empty(listing)
+
+
+@query()
+def vector_index(spark, d):
+    """Points of the chunks that are not indexed yet: ids and payload."""
+    chunks = chunking.chunk_articles(from_documents(tbl(spark, d, "documents")), "sub")
+    indexed = retrieval.vector_points(chunks.filter("chunk_index = 1"), HashedEmbedder())
+    points, _ = retrieval.index_new(chunks, indexed, HashedEmbedder())
+    return points.select("id", F.size("vector").alias("dimensions"), t.uuid5_namespace(F.col("id"), F.col("payload.chunk_id")).alias("namespace"))
+
+
 # --- pages
 
 HREF = r'<a\s[^>]*href="([^"#]+)'

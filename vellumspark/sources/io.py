@@ -67,3 +67,9 @@ def replace_table(df: DataFrame, path: str, staging: str) -> None:
     """Overwrite a table that df may read: the rows are written aside first."""
     df.write.mode("overwrite").parquet(staging)
     df.sparkSession.read.parquet(staging).write.mode("overwrite").parquet(path)
+
+
+def folder_size(spark: SparkSession, folder: str) -> DataFrame:
+    """(n_files, n_bytes) of a folder and those below it, by the store's listing; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
