@@ -37,10 +37,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def tidy(spark: SparkSession) -> None:
     """Lets the driver's cleaner remove shuffle files of plans that have been cut off and are no longer used."""
-    for _ in range(3):  # a plan's parts are let go one after the other
+    for _ in range(3):  # a plan's parts are let go one after the other, and the cleaner works on its own thread
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+        time.sleep(1)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -277,7 +277,9 @@ def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
     tidy(docs.sparkSession)
     model = buckets.groupBy("bucket").applyInArrow(_bucket_model(depth, parts, top_table), "part int, kind int, n long, keys binary, data binary")
     model = model.unionByName(merged.filter(F.col("kind") == WORD).select("part", "kind", "n", "keys", "data"))
-    answers = asked.groupBy("part", "kind").cogroup(model.groupBy("part", "kind")).applyInArrow(_answer, "block long, part int, kind int, n long, data binary")
+    answers = cut(asked.groupBy("part", "kind").cogroup(model.groupBy("part", "kind")).applyInArrow(_answer, "block long, part int, kind int, n long, data binary"))
+    del asked, merged, buckets, sums, model  # what was asked and the model go before the texts are dealt again
+    tidy(docs.sparkSession)
     scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(depth, parts, (total + ends, known + (ends > 0), ends)), SCORES)
     return scored.withColumn("train_tokens", F.lit(total + ends).cast("long"))
 
