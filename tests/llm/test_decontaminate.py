@@ -58,6 +58,49 @@ def test_recall(rate, least):
     assert hits >= least * len(items) and clean == 0
 
 
+def changed(words, k, kind, rng, pool):
+    if kind == "mixed":
+        return edited(words, k, rng, pool)
+    out = list(words)
+    for _ in range(k):
+        p = rng.randrange(len(out))
+        if kind == "insertions":
+            out.insert(p, rng.choice(pool))
+        else:
+            del out[p]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["insertions", "deletions", "mixed"])
+@pytest.mark.parametrize("length", [5, 9, 40, 100, 150, 200, 300, 400])
+def test_recall_is_whole_at_every_length(length, kind):
+    rng = random.Random(length)
+    pool = " ".join(data.prose(300, 9, vocabulary=3000)).split()
+    items = [(i, " ".join(rng.choices(pool, k=length))) for i in range(20)]
+    index = BenchmarkIndex(items, 0.8, 8, 6, 4, 11)
+    for i, text in items:
+        words = changed(text.split(), length // 5, kind, rng, pool)
+        doc = " ".join(rng.choices(pool, k=50) + words + rng.choices(pool, k=50))
+        assert any(r[1] == i and r[2] <= length // 5 for r in _match_batch(index, [(0, "one before"), (1, doc)]))
+
+
+def test_matches_are_those_of_brute_force():
+    rng = random.Random(5)
+    for similarity in (0.6, 0.8, 0.95, 1.0):
+        pool = [f"w{i}" for i in range(40)]
+        items = [(i, " ".join(rng.choices(pool, k=rng.randint(1, 30)))) for i in range(25)]
+        index = BenchmarkIndex(items, similarity, 1, 1, 4, 11)
+        docs = [(d, " ".join(rng.choices(pool, k=rng.randint(0, 20)) + edited(rng.choice(items[:20])[1].split() * 2, d % 5, rng, pool) + rng.choices(pool, k=rng.randint(0, 20)))) for d in range(20)]
+        got = {(r[0], r[1]): r[2] for r in _match_batch(index, docs)}
+        want = {}
+        for d, text in docs:
+            for i, item in items:
+                least = brute_infix(item.split(), text.split())
+                if least <= int((1 - similarity) * len(item.split()) + 1e-9):
+                    want[d, i] = least
+        assert got == want
+
+
 def test_results_are_verified_and_spans_are_right(spark, tmp_path):
     items = [(1, "One two, three four five six seven eight nine ten."), (2, None), (3, ""), (4, "lonely"), (5, "alpha beta gamma delta")]
     docs = [
