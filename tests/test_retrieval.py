@@ -64,3 +64,22 @@ def test_settings():
     assert Settings(alpha=0.3).stats()["alpha"] == 0.3
     with pytest.raises(ValueError):
         Settings(alpha=1.5)
+
+
+def test_all_queries_have_a_dense_leg(spark, tmp_path):
+    from vellumspark.plans.catalog import QUERIES
+
+    spark.createDataFrame([(i, [float(i % 7 - 3), 1.0, float(i % 11)], i % 3) for i in range(300)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, f"nothing shared {i}") for i in range(5, 260)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, "some words") for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    ids = lambda name: {r["qid"] for r in QUERIES[name](spark, str(tmp_path)).select("qid").distinct().collect()}
+    for name in ("dense_topk_whole", "dense_payload_whole"):
+        assert ids(name) == set(range(0, 300, 20))
+    for name in ("hybrid_rrf", "hybrid_rrf_compat", "hybrid_rrf_9999", "hybrid_max_norm", "hybrid_threshold", "payload_complete"):
+        assert ids(f"{name}_whole") == set(range(5, 260))
+
+
+def test_dense_in_blocks(spark):
+    points = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "vec_id long, embedding array<float>")
+    asked = points.selectExpr("vec_id AS qid", "embedding AS vector")
+    assert sorted(rt.dense_search_blocks(points, asked, 3, block=7).collect()) == sorted(rt.dense_search(points, asked, 3).collect())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,6 +123,13 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int, id_col: str = "v
     return top_k(points.select(id_col, vector_col).mapInArrow(run, schema), k)
 
 
+def dense_search_blocks(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", qid_col: str = "qid", query_col: str = "vector", block: int = 10_000) -> DataFrame:
+    """``dense_search`` for any number of queries: blocks of about ``block`` by a hash of the query id, one search each."""
+    blocks = max(1, -(-queries.count() // block))
+    parts = [queries.filter(F.pmod(F.xxhash64(qid_col), F.lit(blocks)) == b) for b in range(blocks)]
+    return functools.reduce(DataFrame.unionByName, [dense_search(points, q, k, id_col, vector_col, qid_col, query_col) for q in parts])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     norm = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(norm == 0, 1, norm)

@@ -94,6 +94,10 @@ vp AS (SELECT vec_id AS chunk_id, list_transform(embedding, lambda x: CAST(x AS
 vs AS (SELECT qid, chunk_id, round(list_cosine_similarity(qv, v), 6) AS score FROM vq, vp),
 dr AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INT) AS rank FROM vs)"""
 
+#: The same for the vectors that a condition names
+S_DENSE_OF = S_DENSE.replace("vec_id < {0}", "{0}")
+S_ASKED, S_ITEMS = S_DENSE_OF.format("vec_id % 20 = 0"), S_DENSE_OF.format("vec_id IN (SELECT item_id FROM benchmark)")
+
 
 def bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
     return retrieval.bm25_search(tbl(spark, d, "documents"), tbl(spark, d, "benchmark"), k, "doc_id", "text", "item_id", "text")
@@ -105,6 +109,21 @@ def dense(spark: SparkSession, d: str, k: int, queries: int) -> DataFrame:
     return retrieval.dense_search(points, asked, k)
 
 
+def dense_of(spark: SparkSession, d: str, k: int, asked: DataFrame) -> DataFrame:
+    """The dense leg of all asked rows of the vectors, in blocks."""
+    return retrieval.dense_search_blocks(tbl(spark, d, "embeddings"), asked.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), k)
+
+
+def asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return tbl(spark, d, "embeddings").filter("vec_id % 20 = 0")
+
+
+def dense_items(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """The dense leg of every benchmark item that has a vector."""
+    items = tbl(spark, d, "benchmark").select(F.col("item_id").alias("vec_id"))
+    return dense_of(spark, d, k, tbl(spark, d, "embeddings").join(items, "vec_id", "left_semi"))
+
+
 @query(f"WITH {S_BM25} SELECT qid, chunk_id, score, rank FROM sr WHERE rank <= 10")
 def bm25_topk(spark, d):
     return bm25(spark, d, 10)
@@ -132,9 +151,9 @@ def dense_payload(spark, d):
     return retrieval.with_payload(dense(spark, d, 5, 20), tbl(spark, d, "embeddings"), "vec_id", ["label"], 5 * 20).select("qid", "chunk_id", "score", "label")
 
 
-def _fusion(score: str, dense_rows: str = "SELECT qid, chunk_id, score FROM dr WHERE rank <= 10", sparse_rows: str = "SELECT qid, chunk_id, score FROM sr WHERE rank <= 20") -> str:
+def _fusion(score: str, dense_rows: str = "SELECT qid, chunk_id, score FROM dr WHERE rank <= 10", sparse_rows: str = "SELECT qid, chunk_id, score FROM sr WHERE rank <= 20", legs: str = S_DENSE.format(200)) -> str:
     ranked = lambda x: f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS r, max(score) OVER (PARTITION BY qid) AS m FROM ({x})"
-    return f"""WITH {S_BM25}, {S_DENSE.format(200)}, s AS ({ranked(sparse_rows)}), v AS ({ranked(dense_rows)}),
+    return f"""WITH {S_BM25}, {legs}, s AS ({ranked(sparse_rows)}), v AS ({ranked(dense_rows)}),
 f AS (SELECT qid, chunk_id, {score} AS score FROM v FULL OUTER JOIN s USING (qid, chunk_id)),
 fr AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INT) AS rank FROM f)
 SELECT qid, chunk_id, score, rank FROM fr WHERE rank <= 10"""
@@ -174,6 +193,54 @@ def payload_complete(spark, d):
     return retrieval.complete_payload(bm25(spark, d, 20), dense(spark, d, 10, 200))
 
 
+# the same for all queries: dense_topk and dense_payload above ask vectors 0 to 19, the fusions have no dense leg for items from 200 on
+
+
+@query(f"WITH {S_ASKED} SELECT qid, chunk_id, score, rank FROM dr WHERE rank <= 10")
+def dense_topk_whole(spark, d):
+    return dense_of(spark, d, 10, asked_vectors(spark, d))
+
+
+@query(f"WITH {S_ASKED} SELECT qid, chunk_id, score, label FROM dr JOIN embeddings ON vec_id = chunk_id WHERE rank <= 5")
+def dense_payload_whole(spark, d):
+    asked = asked_vectors(spark, d)
+    return retrieval.with_payload(dense_of(spark, d, 5, asked), tbl(spark, d, "embeddings"), "vec_id", ["label"], 5 * asked.count()).select("qid", "chunk_id", "score", "label")
+
+
+S_RRF = "round(coalesce(0.5 / (60 + v.r), 0) + coalesce(0.5 / (60 + s.r), 0), 8)"
+S_MAX_NORM = "round(0.5 * coalesce(CASE WHEN v.m > 0 THEN v.score / v.m ELSE 0 END, 0) + 0.5 * coalesce(CASE WHEN s.m > 0 THEN s.score / s.m ELSE 0 END, 0), 8)"
+
+
+@query(_fusion(S_RRF, legs=S_ITEMS))
+def hybrid_rrf_whole(spark, d):
+    return retrieval.fuse_ranks(bm25(spark, d, 20), dense_items(spark, d, 10), 10)
+
+
+@query(_fusion(S_RRF, COMPAT, legs=S_ITEMS))
+def hybrid_rrf_compat_whole(spark, d):
+    return retrieval.fuse_ranks(bm25(spark, d, 20), dense_items(spark, d, 10), 10, compat=True)
+
+
+@query(_fusion("round(coalesce(0.5 / (60 + v.r), 0.5 / 10059) + coalesce(0.5 / (60 + s.r), 0.5 / 10059), 8)", legs=S_ITEMS))
+def hybrid_rrf_9999_whole(spark, d):
+    return retrieval.fuse_ranks(bm25(spark, d, 20), dense_items(spark, d, 10), 10, absent=9999)
+
+
+@query(_fusion(S_MAX_NORM, legs=S_ITEMS))
+def hybrid_max_norm_whole(spark, d):
+    return retrieval.fuse_max_norm(bm25(spark, d, 20), dense_items(spark, d, 10), 10)
+
+
+@query(_fusion(S_MAX_NORM, sparse_rows="SELECT qid, chunk_id, score FROM (SELECT *, max(CASE WHEN rank = pos THEN score END) OVER (PARTITION BY qid) AS bound FROM (SELECT *, floor(count(*) OVER (PARTITION BY qid) * 0.3) + 1 AS pos FROM sr WHERE rank <= 20)) WHERE score >= greatest(1.0, bound)", legs=S_ITEMS))
+def hybrid_threshold_whole(spark, d):
+    return retrieval.fuse_max_norm(bm25(spark, d, 20), dense_items(spark, d, 10), 10, least=1.0, share=0.3)
+
+
+@query(f"WITH {S_BM25}, {S_ITEMS} {COMPAT}")
+def payload_complete_whole(spark, d):
+    return retrieval.complete_payload(bm25(spark, d, 20), dense_items(spark, d, 10))
+
+
 @query(f"""WITH {S_BM25} SELECT qid, len(string_agg(body, chr(10) || chr(10) ORDER BY rank)) AS n_chars, sha256(string_agg(body, chr(10) || chr(10) ORDER BY rank)) AS block
 FROM (SELECT qid, rank, '[' || rank || '] ' || substring(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 1, 2000) AS body FROM sr JOIN documents ON doc_id = chunk_id WHERE rank <= 8) GROUP BY qid""")
 def context_block(spark, d):
