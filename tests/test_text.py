@@ -71,3 +71,14 @@ def test_keep_rules(spark):
 def test_syntax(spark):
     assert [one(spark, t.syntax_issues(F.col("x")), x=v) for v in ("Ok.", "ừ", "", "bad.")] == ["OK", "lower-case start, no final mark", "empty", "lower-case start"]
     assert one(spark, t.slug_title(F.col("x")), x="http://a.b/luat-dat-dai/") == "Luat Dat Dai"
+
+
+def test_chunk_filters_read_every_paragraph(spark, tmp_path):
+    from vellumspark.plans.catalog import QUERIES
+
+    rows = [(1, "short\n\nF = ma"), (2, "short\n\n| a |\n| b |"), (3, "short\nnăm 1945"), (4, "short\n\nnăm 1945\n\n" + "x" * 60), (5, ""), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lambda name: {tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got("keep_chunk_stem_whole") == {(1, 1, 6), (2, 1, 11), (4, 2, 60)}
+    assert got("keep_chunk_wiki_whole") == {(3, 0, 14), (4, 1, 8), (4, 2, 60)}
+    assert got("keep_chunk_sub_whole") >= {(3, 0, 14), (4, 1, 8), (4, 2, 60)}

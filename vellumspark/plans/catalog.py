@@ -429,6 +429,32 @@ def keep_chunk_wiki(spark, d):
     return tbl(spark, d, "documents").select("doc_id", line1().alias("l")).filter(t.keep_chunk_wiki(F.col("l"))).select("doc_id", F.length("l").alias("n"))
 
 
+# the same for every paragraph of the text (a table needs two lines), not only the first line
+
+S_PARTS = "(SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INT) AS part, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ls FROM documents))"
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, part, l): all paragraphs of all texts."""
+    docs = retrieval.spread(tbl(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n\n")).alias("part", "l"))
+
+
+@query(f"SELECT doc_id, part, length(l) AS n FROM {S_PARTS} WHERE length(l) >= 50 OR {s_flag('has_formula', 'l')} OR {s_flag('has_table', 'l')} OR {s_flag('has_legal', 'l')}")
+def keep_chunk_stem_whole(spark, d):
+    return parts(spark, d).filter(t.keep_chunk_stem(F.col("l"))).select("doc_id", "part", F.length("l").alias("n"))
+
+
+@query(f"SELECT doc_id, part, length(l) AS n FROM {S_PARTS} WHERE length(l) >= 50 OR {s_match('l', [w.MATH_SUB])} OR {s_match('lower(l)', [w.LEGAL_SUB])} OR ({s_any('l', w.TIMELINE)} AND regexp_matches(l, '\\d'))")
+def keep_chunk_sub_whole(spark, d):
+    return parts(spark, d).filter(t.keep_chunk_sub(F.col("l"))).select("doc_id", "part", F.length("l").alias("n"))
+
+
+@query(f"SELECT doc_id, part, length(l) AS n FROM {S_PARTS} WHERE (length(l) >= 30 OR ({s_any('l', w.TIMELINE)} AND regexp_matches(l, '\\d'))) AND NOT (contains(l, 'Mục lục') AND length(l) < 50)")
+def keep_chunk_wiki_whole(spark, d):
+    return parts(spark, d).filter(t.keep_chunk_wiki(F.col("l"))).select("doc_id", "part", F.length("l").alias("n"))
+
+
 CATEGORY = "CASE doc_id % 4 WHEN 0 THEN 'Toán_học > Đại_số > ' || source WHEN 1 THEN lang || ' > ' || source WHEN 2 THEN source ELSE 'Bộ_luật > ' || lang END"
 
 
