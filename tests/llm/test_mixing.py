@@ -43,6 +43,12 @@ def test_overlapping_sources_use_shared_documents_where_needed():
     assert flows[2] == {"b": pytest.approx(50)} and flows[1] == {"a": pytest.approx(30)} and flows[0] == {"a": pytest.approx(10)}
 
 
+def test_small_sources_do_not_depend_on_large_ones():
+    small = [((f"s{i}",), i) for i in range(5)]
+    flows = route([(("big",), 1_500_000_000), *small], {"big": 2_000_000_000.4, **{f"s{i}": 2.0 * i for i in range(5)}})
+    assert flows == [{"big": 2_000_000_000}, {}, *({f"s{i}": 2 * i} for i in range(1, 5))]
+
+
 def check(rows, got):
     sizes, source = {}, {}
     for doc_id, text, _, src, _ in rows:

@@ -52,31 +52,30 @@ def targets(sizes: dict, weights: tuple[float, ...] = (5, 2, 1), share: float =
     return out
 
 
-def min_cost_flow(n: int, arcs: list[tuple[int, int, float, float]], start: int, end: int) -> list[float]:
-    """Flow on each arc (from, to, capacity, cost >= 0): a maximum flow of least cost, by successive shortest paths."""
+def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], start: int, end: int) -> list[int]:
+    """Flow on each arc (from, to, capacity, cost >= 0): a maximum flow of least cost, by successive shortest paths. All in whole numbers."""
     to, room, cost, at = [], [], [], [[] for _ in range(n)]
     for a, b, capacity, c in arcs:
-        for x, y, r, k in ((a, b, capacity, c), (b, a, 0.0, -c)):
+        for x, y, r, k in ((a, b, capacity, c), (b, a, 0, -c)):
             at[x].append(len(to))
             to.append(y)
             room.append(r)
             cost.append(k)
-    least = 1e-9 * max([1.0, *(a[2] for a in arcs)])
-    potential = [0.0] * n
+    potential = [0] * n
     while True:
         dist, via = [math.inf] * n, [-1] * n
-        dist[start], queue = 0.0, [(0.0, start)]
+        dist[start], queue = 0, [(0, start)]
         while queue:
             d, u = heapq.heappop(queue)
-            if d > dist[u] + 1e-12:
+            if d > dist[u]:
                 continue
             for e in at[u]:
-                if room[e] > least and (nd := d + max(0.0, cost[e] + potential[u] - potential[to[e]])) + 1e-12 < dist[to[e]]:
+                if room[e] > 0 and (nd := d + max(0, cost[e] + potential[u] - potential[to[e]])) < dist[to[e]]:
                     dist[to[e]], via[to[e]] = nd, e
                     heapq.heappush(queue, (nd, to[e]))
         if dist[end] == math.inf:
             return [capacity - room[2 * i] for i, (_, _, capacity, _) in enumerate(arcs)]
-        potential = [p + (d if d < math.inf else 0.0) for p, d in zip(potential, dist, strict=True)]
+        potential = [p + (d if d < math.inf else 0) for p, d in zip(potential, dist, strict=True)]
         push, v = math.inf, end
         while v != start:
             push, v = min(push, room[via[v]]), to[via[v] ^ 1]
@@ -88,18 +87,18 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, float, float]], start: int,
 
 
 def route(patterns: list[tuple[tuple, int]], quotas: dict, repeats: int = 2) -> list[dict]:
-    """For each pattern (sources, tokens): tokens sent to each of its sources. The r-th use of a token costs r squared."""
+    """For each pattern (sources, tokens): tokens sent to each of its sources. The r-th use of a token costs r squared; quotas are rounded."""
     names = list(quotas)
     place = {s: 1 + len(patterns) + i for i, s in enumerate(names)}
     end = 1 + len(patterns) + len(names)
     arcs, kept = [], []
     for i, (members, tokens) in enumerate(patterns):
-        arcs += [(0, 1 + i, float(tokens), float(r * r)) for r in range(repeats)]
+        arcs += [(0, 1 + i, tokens, r * r) for r in range(repeats)]
         for s in members:
             if s in place:
                 kept.append((len(arcs), i, s))
-                arcs.append((1 + i, place[s], float(repeats * tokens), 0.0))
-    arcs += [(place[s], end, float(quotas[s]), 0.0) for s in names]
+                arcs.append((1 + i, place[s], repeats * tokens, 0))
+    arcs += [(place[s], end, round(quotas[s]), 0) for s in names]
     flow = min_cost_flow(end + 1, arcs, 0, end)
     out: list[dict] = [{} for _ in patterns]
     for arc, i, s in kept:
@@ -131,7 +130,7 @@ def mix(docs: DataFrame, quotas: dict | None = None, sources_col: str = "sources
     flows = route([(m, t) for _, m, t in patterns], quotas, repeats)
     plan = []
     for (pattern, _, tokens), flow in zip(patterns, flows, strict=True):
-        passes, part = divmod(min(round(sum(flow.values())), repeats * tokens), tokens) if tokens else (0, 0)
+        passes, part = divmod(min(sum(flow.values()), repeats * tokens), tokens) if tokens else (0, 0)
         plan.append((pattern, int(passes), int(part)))
     planned = F.broadcast(spark.createDataFrame(plan, "pattern string, passes long, part long"))  # at most MOST_PATTERNS rows
     sums = rows.groupBy("pattern", "bucket").agg(F.sum(size_col).alias("in_bucket"))
