@@ -82,3 +82,14 @@ def test_windows(spark):
     events = spark.createDataFrame([(i, at(m), u, "t", 1.0, "{}") for i, (m, u) in enumerate([(0, 1), (20, 1), (59, 1), (60, 2)])], jobs.EVENTS)
     assert sorted(r["n"] for r in jobs.window_counts(events).collect()) == [1, 3]
     assert sorted((r["user_id"], r["n"]) for r in jobs.sessions(events).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_bookkeeping_reads_all_documents(spark, tmp_path):
+    from vellumspark.plans.catalog import QUERIES
+
+    rows = [(i, ["en", "es", None][i % 3], "a", i) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["state_upsert_whole"](spark, str(tmp_path)).select("doc_id", "source").collect()}
+    assert got == {(i, "a" if i % 2 else "new") for i in range(12)}
+    got = sorted((tuple(r) for r in QUERIES["insert_ignore_whole"](spark, str(tmp_path)).select("doc_id", "lang").collect()), key=lambda r: r[0])
+    assert got == [(-1 - i, "new") for i in (11, 9, 7, 5, 3, 1)] + [(r[0], r[1]) for r in rows]

@@ -277,6 +277,24 @@ def insert_ignore(spark, d):
     return tables.insert_or_ignore(docs.filter("lang IN ('en', 'fr')"), docs.filter("lang IN ('fr', 'de')").withColumn("lang", F.lit("new")), "doc_id")
 
 
+# the same with all documents on the existing side, the even ones again as a second version
+
+
+@query("""SELECT doc_id, arg_max(source, (n_chars, new)) AS source, max(n_chars) AS n_chars FROM (
+  SELECT doc_id, source, n_chars, 0 AS new FROM documents UNION ALL
+  SELECT doc_id, 'new' AS source, n_chars, 1 AS new FROM documents WHERE doc_id % 2 = 0) GROUP BY doc_id""")
+def state_upsert_whole(spark, d):
+    docs = tbl(spark, d, "documents").select("doc_id", "source", "n_chars")
+    return tables.upsert(docs, docs.filter("doc_id % 2 = 0").withColumn("source", F.lit("new")), "doc_id", "n_chars")
+
+
+@query("SELECT doc_id, lang FROM documents UNION ALL SELECT -1 - doc_id, 'new' FROM documents WHERE doc_id % 2 = 1")
+def insert_ignore_whole(spark, d):
+    docs = tbl(spark, d, "documents").select("doc_id", "lang")
+    again = docs.withColumns({"doc_id": F.expr("CASE WHEN doc_id % 2 = 1 THEN -1 - doc_id ELSE doc_id END"), "lang": F.lit("new")})
+    return tables.insert_or_ignore(docs, again, "doc_id")
+
+
 @query("SELECT md5(url) AS url_hash, url FROM pages")
 def url_md5(spark, d):
     return pages.crawl_state(tbl(spark, d, "pages"))
