@@ -96,14 +96,15 @@ SMALL = [r for r in data.ODD if len(r[1] or "") < 1000] + [(100 + i, t, None, No
 def test_query_equals_brute_force(spark, tmp_path):
     d = data.write(spark, tmp_path, documents=spark.createDataFrame(SMALL, data.DOCS).repartition(3))
     got = op2_ctw_score(spark, d)
-    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    same(got.collect(), brute(SMALL, crc_held, 6))
+    assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
+    assert all(r["n_bytes"] > 0 and r["bits_per_byte"] == pytest.approx(-r["score"] / math.log10(2) / r["n_bytes"]) for r in got.collect())
+    same([r[:7] for r in got.collect()], brute(SMALL, crc_held, 6))
 
 
-@pytest.mark.parametrize("depth", [2, 4])
+@pytest.mark.parametrize("depth", [2, 3, 4, 6])
 def test_many_blocks_and_small_chunks(spark, depth):
     df = spark.createDataFrame(SMALL, data.DOCS)
-    got = score_corpus(df, F.col("doc_id") % 2 == 0, depth=depth, block_bytes=300, least_block_bytes=200).collect()
+    got = score_corpus(df, F.col("doc_id") % 2 == 0, depth=depth, block_bytes=300, least_block_bytes=200, part_bytes=500).collect()
     want = brute(SMALL, lambda i: i is None or i % 2 != 0, depth)
     same([(r["id"], not r["learn"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got], want)
 
@@ -115,7 +116,7 @@ def test_probabilities_of_all_bytes_sum_to_one():
     every = np.unique(np.concatenate([(np.unique(seen >> np.uint64(8))[:, None] << np.uint64(8) | np.arange(256, dtype=np.uint64)).ravel()]))
     counts = np.zeros(len(every))
     counts[np.searchsorted(every, seen)] = n
-    p = ctw.log10_probabilities(every, counts, 3, ctw.TopTable(*ctw.top_rows(every, counts, 3)))
+    p = ctw.log10_probabilities(every, counts, 3, ctw.Levels(*ctw.top_rows(every, counts, 3), 2, 0).mix)
     assert np.allclose(np.add.reduceat(10**p, np.arange(0, len(every), 256)), 1)
 
 
@@ -135,6 +136,30 @@ def test_key_table():
     assert np.array_equal(ctw.KeyTable(keys, values).get(keys[::-1]), values[::-1])
 
 
+def test_sums_in_steps(monkeypatch):
+    rng = np.random.default_rng(1)
+    arrays = [(np.unique(rng.integers(0, 900, 80).astype(np.uint64)),) for _ in range(40)]
+    arrays = [(k, np.ones(len(k))) for (k,) in arrays]
+    whole = lm_score.add_up(iter(arrays))
+    monkeypatch.setattr(lm_score, "HELD_KEYS", 50)
+    for a, b in zip(whole, lm_score.add_up(iter(arrays)), strict=True):
+        assert np.array_equal(a, b)
+    assert [len(x) for x in lm_score.add_up([])] == [0, 0]
+
+
+def test_texts_packed():
+    rows = ([b"a b", b"", b"c"], [1, None, -3], [True, False, True])
+    texts, ids, learn = lm_score.unpack_texts(*lm_score.pack_texts(*rows))
+    assert (texts, ids, learn.tolist()) == rows
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(None, f"text {i % 3}", None, None, None) for i in range(50)] + [(1, "text 1", None, None, None)] * 30
+    got = score_corpus(spark.createDataFrame(rows, data.DOCS).repartition(4), F.lit(True), block_bytes=60, least_block_bytes=50, part_bytes=100).collect()
+    want = brute(rows, lambda i: False, 6)
+    same([(r["id"], False, r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got], want)
+
+
 def test_log_kt_table_and_series():
     a = np.array([0.0, 1, 5, 4095, 4096, 1e6, 0])
     b = np.array([0.0, 0, 7, 4096, 3, 2e6, 1e7])

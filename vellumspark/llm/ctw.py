@@ -12,8 +12,11 @@ the context, from the deepest up, with beta = Pe / product of the children's Pw:
 
     p_d = (beta_d * kt_d + p_(d+1)) / (beta_d + 1).
 
-A gram is the context's bytes, oldest first, then the byte itself, packed into an
-unsigned 64-bit number.  Texts begin after ``depth`` bytes START and end with one
+A gram is the context's bytes, newest first, then the byte itself, packed into an
+unsigned 64-bit number, so that sorted grams keep subtrees together.  A node is the
+context's bytes and the bits so far.  Grams that share their ``cutoff(depth)``
+newest bytes are mixed together, at most 256**3 of them at depth 6 however large the
+corpus; the levels above are mixed from sums, by ``Levels``.  Texts begin after ``depth`` bytes START and end with one
 byte END; neither occurs in UTF-8.
 """
 
@@ -22,10 +25,14 @@ from __future__ import annotations
 import numpy as np
 
 START, END = 0xFE, 0xFF
-TOP = 2  # contexts of up to this many bytes less one are mixed from a table that all tasks hold
 EIGHT = np.uint64(8)
 
 
+def cutoff(depth: int) -> int:
+    """The level down to which grams are mixed together."""
+    return min(4, depth)
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """ln gamma(x) for x >= 8, by Stirling's series."""
     return (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
@@ -75,16 +82,21 @@ def gram_keys(data: np.ndarray, depth: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     keys = np.zeros(n, np.uint64)
-    for j in range(depth + 1):
+    for j in (*range(depth - 1, -1, -1), depth):
         keys <<= EIGHT
         keys |= data[j : j + n]
     return keys[data[depth:] != START]
 
 
+def parent(nodes: np.ndarray, j: int) -> np.ndarray:
+    """Nodes for bit j without their oldest context byte."""
+    return ((nodes >> np.uint64(8 + j)) << np.uint64(j)) | (nodes & _mask(j))
+
+
 def bit_chain(keys: np.ndarray, counts: np.ndarray, depth: int, j: int):
-    """Levels depth to TOP for bit j: index of each key's deepest node, p(0) there, and the nodes at TOP (key, a, b, ln Pw).
+    """Levels depth to the cutoff for bit j: index of each key's deepest node, its bit, p(0) there, and the nodes at the cutoff (key, path to them, a, b, ln Pw).
 
-    Keys are sorted and distinct; all that share their TOP last context bytes must be given together.
+    Keys are sorted and distinct; all that share their newest cutoff(depth) context bytes must be given together.
     """
     shifted = keys >> np.uint64(8 - j)  # keys are sorted, so these are
     first = np.diff(shifted, prepend=~shifted[:1]) != 0
@@ -93,8 +105,8 @@ def bit_chain(keys: np.ndarray, counts: np.ndarray, depth: int, j: int):
     a = np.bincount(at, np.where(one, 0.0, counts), len(nodes))
     b = np.bincount(at, np.where(one, counts, 0.0), len(nodes))
     log_w, p, path = log_kt(a, b), (a + 0.5) / (a + b + 1), np.arange(len(nodes))
-    for level in range(depth - 1, TOP - 1, -1):
-        nodes, up = np.unique(nodes & _mask(8 * level + j), return_inverse=True)
+    for _ in range(depth - cutoff(depth)):
+        nodes, up = np.unique(parent(nodes, j), return_inverse=True)
         a, b, below = (np.bincount(up, x, len(nodes)) for x in (a, b, log_w))
         path = up[path]
         beta = _beta(a, b, below)
@@ -103,49 +115,56 @@ def bit_chain(keys: np.ndarray, counts: np.ndarray, depth: int, j: int):
     return at, one, p, nodes, path, a, b, log_w
 
 
-class TopTable:
-    """beta and p(0) of the nodes of the levels under TOP, from sums over the nodes of level TOP per node of level TOP - 1."""
+def top_rows(keys: np.ndarray, counts: np.ndarray, depth: int):
+    """(node << 3 | bit number, a, b, ln Pw) per node of level cutoff(depth) - 1, summed over the given nodes below; by bit, then sorted."""
+    out = []
+    for j in range(8):
+        *_, nodes, _, a, b, log_w = bit_chain(keys, counts, depth, j)
+        up, at = np.unique(parent(nodes, j), return_inverse=True)
+        out.append(((up << np.uint64(3)) | np.uint64(j), *(np.bincount(at, v, len(up)) for v in (a, b, log_w))))
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
 
-    def __init__(self, node: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray):
-        """node: (context and bit prefix) << 3 | bit number."""
-        self.levels = {}
+class Levels:
+    """The nodes of levels ``high`` to ``low``, from sums over the nodes below for each node of level ``high``."""
+
+    def __init__(self, node: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray, high: int, low: int):
+        """node: node << 3 | bit number."""
+        self.high, self.low, self.levels, above = high, low, {}, []
         for j in range(8):
             mine = (node & np.uint64(7)) == j
             keys, x, y, s = node[mine] >> np.uint64(3), a[mine], b[mine], below[mine]
-            for level in range(TOP - 1, -1, -1):
-                order = np.argsort(keys)
-                keys, x, y, s = keys[order], x[order], y[order], s[order]
+            order = np.argsort(keys)
+            keys, x, y, s = keys[order], x[order], y[order], s[order]
+            for level in range(high, low - 1, -1):
                 self.levels[j, level] = keys, _beta(x, y, s), (x + 0.5) / (x + y + 1)
-                log_w = np.logaddexp(log_kt(x, y), s) - np.log(2)
                 if level:
-                    keys, up = np.unique(keys & _mask(8 * (level - 1) + j), return_inverse=True)
+                    log_w = np.logaddexp(log_kt(x, y), s) - np.log(2)
+                    keys, up = np.unique(parent(keys, j), return_inverse=True)
                     x, y, s = (np.bincount(up, v, len(keys)) for v in (x, y, log_w))
-
-    def mix(self, j: int, nodes: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """p(0) at the root for paths whose node at level TOP is given."""
-        for level in range(TOP - 1, -1, -1):
+            above.append(((keys << np.uint64(3)) | np.uint64(j), x, y, s))
+        #: the same sums for the nodes of level low - 1
+        self.above = [np.concatenate(c) for c in zip(*above, strict=True)]
+
+    def mix(self, j: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(m, c, parents): where p is p(0) below the given nodes of level high, it is m * p + c at level low; and their nodes at level low - 1."""
+        m, c = np.ones(len(nodes)), np.zeros(len(nodes))
+        for level in range(self.high, self.low - 1, -1):
             keys, beta, own = self.levels[j, level]
-            at = np.searchsorted(keys, nodes & _mask(8 * level + j))
-            p = (beta[at] * own[at] + p) / (beta[at] + 1)
-        return p
-
-
-def top_rows(keys: np.ndarray, counts: np.ndarray, depth: int):
-    """(node, a, b, ln Pw) per node of level TOP - 1, summed over the given nodes of level TOP."""
-    out = []
-    for j in range(8):
-        *_, nodes, _, a, b, log_w = bit_chain(keys, counts, depth, j)
-        up, at = np.unique(nodes & _mask(8 * (TOP - 1) + j), return_inverse=True)
-        out.append(((up << np.uint64(3)) | np.uint64(j), *(np.bincount(at, v, len(up)) for v in (a, b, log_w))))
-    return [np.concatenate(c) for c in zip(*out, strict=True)]
+            at = np.searchsorted(keys, nodes)
+            share = 1 / (beta[at] + 1)
+            m, c = m * share, (c + beta[at] * own[at]) * share
+            nodes = parent(nodes, j)
+        return m, c, nodes
 
 
-def log10_probabilities(keys: np.ndarray, counts: np.ndarray, depth: int, top: TopTable) -> np.ndarray:
-    """log10 of the probability of each key's byte after its context."""
+def log10_probabilities(keys: np.ndarray, counts: np.ndarray, depth: int, mix) -> np.ndarray:
+    """log10 of the probability of each key's byte after its context. mix(j, nodes): m and c to the root for nodes of level cutoff(depth) - 1."""
     total = np.zeros(len(keys))
     for j in range(8):
         at, one, p, nodes, path, *_ = bit_chain(keys, counts, depth, j)
-        zero = top.mix(j, nodes[path], p)[at]
+        m, c, *_ = mix(j, parent(nodes, j))
+        zero = (m[path] * p + c[path])[at]
         total += np.log10(np.where(one, 1 - zero, zero))
     return total
 
