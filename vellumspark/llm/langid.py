@@ -4,26 +4,26 @@ Features: n-grams of 1 to 3 code points of the lower-cased text, hashed to 2**14
 slots; value (1 + ln tf) * idf, scaled to length 1.  One pass over all learning
 rows gathers document frequencies (all of them) and the features of a bounded
 sample: about ``per_label`` rows of each language, ``most_rows`` in all, chosen
-by a hash of the id.  One task trains the model on that sample with
+by a hash of id and text, and at least one row of every language.  One task trains the model on that sample with
 follow-the-regularised-leader and elastic-net penalties; a fifth of the sample,
 unseen in training, sets the temperature.  The model (2**14 slots times the
 number of languages) is what scoring tasks get.
 
 Defined results: text that is null or has no letter gives ``und`` and score 0;
 rows without lang or text are not learned from; without any learning row all
-texts give ``und``; with one language its score is 1; an id that is null hashes
-as the empty text; repeated rows are scored each; an empty table gives an empty
-result; other columns are not read.
+texts give ``und``; with one language its score is 1; null and repeated ids are
+told apart by their texts, rows with equal id, text and language are sampled as
+one; repeated rows are scored each; an empty table gives an empty result; other
+columns are not read.  A letter is a character of Unicode category L.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, cut, table, with_fields
@@ -31,21 +31,30 @@ from .ftrl import Ftrl, fit_temperature, probabilities
 
 SLOTS = 1 << 14
 CHUNK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+#: Texts of at most so many code points are counted by sorting.
+SHORT = 256
 A, B, C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Slots that occur and how often."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    total = np.zeros(SLOTS, np.int64)
+    total = np.zeros(SLOTS, np.int64) if len(points) > SHORT else None
     for at in range(0, len(points), CHUNK):
         p = points[at : at + CHUNK + 2]
         one = p * A
         two = one[:-1] * B + p[1:] * C
         three = two[:-1] * B + p[2:] * A
-        for n, h in ((1, one[:CHUNK]), (2, two[:CHUNK]), (3, three[:CHUNK])):
-            total += np.bincount(((h ^ (h >> np.uint32(15))) * C + np.uint32(n)) >> np.uint32(18), minlength=SLOTS)
+        h = np.concatenate((one[:CHUNK], two[:CHUNK], three[:CHUNK]))
+        h ^= h >> np.uint32(15)
+        h *= C
+        h += np.repeat(np.arange(1, 4, dtype=np.uint32), (len(one[:CHUNK]), len(two[:CHUNK]), len(three[:CHUNK])))
+        h >>= np.uint32(18)
+        if total is None:
+            return np.unique(h, return_counts=True)
+        total += np.bincount(h, minlength=SLOTS)
+    if total is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     slots = np.flatnonzero(total)
     return slots, total[slots]
 
@@ -57,7 +66,7 @@ def tf_idf(slots: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row of document frequencies for each task, and the features of each row that is in the sample."""
-    df, rows = np.zeros(SLOTS, np.int64), 0
+    df, rows, told = np.zeros(SLOTS, np.int64), 0, set()
 
     def out(label, split, slots, counts):
         return pa.RecordBatch.from_arrays([pa.array([label], pa.string()), pa.array([split], pa.int64()), pa.array([slots], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int64()))], ["label", "split", "slots", "counts"])
@@ -67,7 +76,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             slots, counts = ngram_counts(text.as_py())
             df[slots] += 1
             rows += 1
-            if split is not None:
+            if split is not None and (label, split) not in told:  # equal rows have one draw
+                told.add((label, split))
                 yield out(label, split, slots, counts)
     slots = np.flatnonzero(df)
     yield out(None, rows, slots, df[slots])
@@ -81,11 +91,12 @@ def _train(languages: list[str], idf: np.ndarray, settings: dict):
                 slots = np.array(r["slots"], np.int64)
                 rows.append((r["split"], r["label"], slots, np.array(r["counts"], np.int64)))
         rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[3].sum()))
-        data = [(split % 5 == 0, (slots, tf_idf(slots, counts, idf), place[label])) for split, label, slots, counts in rows]
-        learn = [x for held, x in data if not held] or [x for _, x in data]
+        some = {label for split, label, *_ in rows if split % 5}  # a language without such rows is learned from those it has
+        data = [(split % 5 == 0, label in some, (slots, tf_idf(slots, counts, idf), place[label])) for split, label, slots, counts in rows]
+        learn = [x for held, other, x in data if not (held and other)]
         model = Ftrl(SLOTS, len(languages), alpha=settings["alpha"], l1=settings["l1"], l2=settings["l2"])
         w = model.fit(learn, settings["epochs"])
-        held = [x for h, x in data if h]
+        held = [x for h, _, x in data if h]
         logits = np.array([v @ w[i] + w[-1] for i, v, _ in held]).reshape(-1, len(languages))
         t = fit_temperature(logits, np.array([y for *_, y in held], np.int64)) if len(languages) > 1 else 1.0
         yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()]), pa.array([t])], ["weights", "temperature"])
@@ -100,7 +111,7 @@ class LanguageModel:
         self.languages, self.idf, self.weights, self.temperature = languages, idf, weights, temperature
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if text is None or not self.languages or not LETTER.search(text):
+        if text is None or not self.languages or not any(map(str.isalpha, text)):
             return "und", 0.0
         if len(self.languages) == 1:
             return self.languages[0], 1.0
@@ -114,7 +125,9 @@ class LanguageModel:
 def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_label: int = 1500, most_rows: int = 12_000, most_labels: int = 1000, alpha: float = 2.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 3) -> LanguageModel:
     """Learn from all given rows that have text and language."""
     known = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"), F.col(id_col).cast("string").alias("id")).filter("text IS NOT NULL AND label IS NOT NULL")
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).limit(most_labels + 1).collect()}
+    draw = F.shiftrightunsigned(F.xxhash64("label", "id", F.md5("text")), 32)
+    known = known.select("text", "label", draw.alias("draw"))
+    counts = {r["label"]: (r["n"], r["least"]) for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).limit(most_labels + 1).collect()}
     if len(counts) > most_labels:
         raise ValueError(f"over {most_labels} languages")
     languages = sorted(counts)
@@ -122,9 +135,9 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
         return LanguageModel([], np.zeros(SLOTS), np.zeros((SLOTS + 1, 0), np.float32), 1.0)
     want = max(1, min(per_label, most_rows // len(languages)))
     spark = docs.sparkSession
-    bounds = spark.createDataFrame([(k, want / n * (1 << 32)) for k, n in counts.items()], "label string, bound double")
-    draw = F.conv(F.substring(F.md5(F.coalesce("id", F.lit(""))), 1, 8), 16, 10).cast("long")
-    drawn = known.join(F.broadcast(bounds), "label").select("text", "label", F.when(draw < F.col("bound"), draw).alias("split"))
+    # the row of least draw is always in, so that no language is without one
+    bounds = spark.createDataFrame([(k, max(want / n * (1 << 32), float(least))) for k, (n, least) in counts.items()], "label string, bound double")
+    drawn = known.join(F.broadcast(bounds), "label").select("text", "label", F.when(F.col("draw") <= F.col("bound"), F.col("draw")).alias("split"))
     gathered = cut(drawn.mapInArrow(_gather, "label string, split long, slots array<int>, counts array<long>"))
     rows = gathered.filter("label IS NULL").agg(F.sum("split")).first()[0] or 0
     pairs = gathered.filter("label IS NULL").select(F.explode(F.arrays_zip("slots", "counts")).alias("x")).groupBy("x.slots").agg(F.sum("x.counts").alias("df")).collect()
@@ -132,8 +145,10 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
     for slot, n in pairs:
         df[slot] = n
     idf = np.log((1.0 + rows) / (1.0 + df)) + 1.0
-    # the draw gives about ``want`` rows of each language; the limit makes the bound strict
-    sample = gathered.filter("label IS NOT NULL").orderBy("split", "label").limit(2 * most_rows)
+    # the draw gives about ``want`` rows of each language; the rank makes the bound strict
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("split"))
+    sample = gathered.filter("label IS NOT NULL").groupBy("label", "split").agg(F.first("slots").alias("slots"), F.first("counts").alias("counts"))
+    sample = sample.withColumn("rank", rank).filter(F.col("rank") <= 2 * want).drop("rank")
     settings = {"alpha": alpha, "l1": l1, "l2": l2, "epochs": epochs}
     got = cut(sample.repartition(1).mapInArrow(_train(languages, idf, settings), "weights binary, temperature double")).first()
     weights = np.frombuffer(got["weights"], np.float32).reshape(SLOTS + 1, len(languages))
