@@ -8,7 +8,7 @@ sparse dot product with the weights (1 MB) in every task.
 
 Defined results: a null text counts as empty; an empty text gets the score of
 the bias alone; labels that are null are left out, of several labels of one id
-the largest holds; without learning rows every score is 0.5; repeated rows are
+the largest holds and of several texts the first in order; without learning rows every score is 0.5; repeated rows are
 scored each; an empty table gives an empty result; other columns are not read.
 """
 
@@ -77,7 +77,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     marked = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).filter("key IS NOT NULL AND label IN (0, 1)").groupBy("key").agg(F.max("label").alias("label"))
     sample = marked.withColumn("draw", draw).orderBy("draw", "key").limit(most_rows)  # bounded, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "key")
-    rows = texts.select("draw", "label", "text").mapInArrow(_featurise, "draw long, label int, slots array<long>, counts array<double>")
+    once = texts.groupBy("draw", "key").agg(F.min("label").alias("label"), F.min(F.coalesce("text", F.lit(""))).alias("text"))  # most_rows at most, however often an id occurs
+    rows = once.select("draw", "label", "text").mapInArrow(_featurise, "draw long, label int, slots array<long>, counts array<double>")
     got = cut(rows.repartition(1).mapInArrow(_train({"alpha": alpha, "l1": l1, "l2": l2, "epochs": epochs}), "weights binary")).first()
     return np.frombuffer(got["weights"], np.float32) if got else np.zeros((1 << BITS) + 1, np.float32)
 
