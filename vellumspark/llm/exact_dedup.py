@@ -82,7 +82,7 @@ def merge_runs(rows: DataFrame, fan_in: int = 4, slots: int | None = None) -> Da
         to = F.expr(f"(bucket div {tail}) * {tail} + slot % {tail}")
         runs = (
             runs.withColumn("slot", to)
-            .repartition(p, "slot")
+            .repartitionById(p, F.col("slot").cast("int"))
             .sortWithinPartitions("slot", "bucket", *KEYS)
             .groupBy("slot", "bucket", *KEYS)
             .agg(F.min("best").alias("best"), F.sum("n").alias("n"))
