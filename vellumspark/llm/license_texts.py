@@ -30,6 +30,72 @@ LICENSES: dict[str, str] = {
     "notice-MIT": "Released under the MIT License.",
 }
 
+#: Title lines with which the texts also occur.
+TITLES: dict[str, list[str]] = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License"],
+    "BSD-3-Clause": ["BSD 3-Clause License"],
+    "ISC": ["ISC License"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"],
+    "MIT-0": ["MIT No Attribution"],
+    "Zlib": ["zlib License"],
+}
+
+#: SHA-256 of the canonical long licences, whole and where they end with their terms.
+LONG_LICENSES: dict[str, list[str]] = {
+    "Apache-2.0": [
+        "1503ed7ce6c2188ed269646562607a76b5c74bff588f36b20862ee3af525f3ea",
+        "f9138026e58bdb767e6c6e974637ff9aacbaedf2695e30fef144e5d7d84448ff",
+        "6fb8411669deea22294b6190fad00b8e39899d0b7b6c5cf97a3b15b47e129c38",
+    ],
+    "Artistic-1.0-Perl": [
+        "64e91f5cc481723b420f8e1ecf131ec7eba02da96cf0a78bb4b764fb30984f7a",
+    ],
+    "CC0-1.0": [
+        "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
+    ],
+    "GFDL-1.2": [
+        "b6270c129be9b0e0172ebf4f39b974d927f155b0569e6689a4fd15068977ecdd",
+    ],
+    "GFDL-1.3": [
+        "7a546845f0b9175c013adbd275ab046668c2cd62fa85809f866f6d3218d6adcd",
+    ],
+    "GPL-1.0": [
+        "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f",
+        "3b5b36de4a3801680b9eb44e80739b3aeb71c4bf6ca623ee5f87b2e2b03d3ed9",
+        "4575f8cf583cfe5694de121df7d28ae3c2043234ee2357a6bc38c20fc1856cf0",
+    ],
+    "GPL-2.0": [
+        "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6",
+        "a76cc6ce70778ba70e43b9b1838f9e3f88b3fc7c5acbb3b8a9847918003b63e0",
+        "611467176757b44c5c63b6b18b9b61a9e3d7bd13d738d6dde1cdce99fb1f12ef",
+    ],
+    "GPL-3.0": [
+        "ee0d2b91860148fdc6916d4fbea5723c7b0c7330d7a45ee71fabe123ce7175f8",
+        "4a9083dfa89bea4f460e373a4c7a4645205d5e3d3be775d544b10357e357f57b",
+        "7ffc4b405b2d22c9a01c3a22db88495dbca721fad42a69191637c049f0108153",
+    ],
+    "LGPL-2.0": [
+        "bea988245c65edbddad6f43ff12ca2472c232324e916d42648b90eac944d833e",
+        "7d5246cc24a9d78fffd01a07fbc2e71edd1e94ad8d403f3180a4cf5fef43d389",
+        "3ea7beb964a4396aa5ad75de90dd58ff01913b237f397517e8563b7acf07d87c",
+    ],
+    "LGPL-2.1": [
+        "ed875dac9045cba09a17867210991f3a4a82f80b82096b054560a3a8dae9d692",
+        "65484d3c9f900f96945bd4e6c5397aaa24f93bdc8f720eae06fbd377c62cfe97",
+        "9c2c2afdce244f7835e438f43966f864ce47d82ebd6316bbcb123927f3280e30",
+    ],
+    "LGPL-3.0": [
+        "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    ],
+    "MPL-1.1": [
+        "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6",
+    ],
+    "MPL-2.0": [
+        "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a",
+    ],
+}
+
 #: Equivalent spellings (left is written as right), lower case, after punctuation has become spaces.
 SPELLINGS: dict[str, str] = {
     "acknowledgement": "acknowledgment",
