@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vellumspark.llm.decontaminate import BenchmarkIndex, _match_batch, decontaminate, infix_distance, leaks, op7_decontaminate_cgk
 
@@ -49,7 +50,7 @@ def test_recall(rate, least):
     rng = random.Random(7)
     items = [(i, t) for i, t in enumerate(data.prose(150, 8, words=60, vocabulary=3000)) if len(t.split()) >= 10]
     pool = " ".join(data.prose(100, 9, vocabulary=3000)).split()
-    index, hits, clean = BenchmarkIndex(items, 0.8, 8, 6, 4, 11), 0, 0
+    index, hits, clean = BenchmarkIndex(items, 0.8), 0, 0
     for i, text in items:
         words = edited(text.split(), int(rate * len(text.split())), rng, pool)
         doc = " ".join(rng.choices(pool, k=50) + words + rng.choices(pool, k=50))
@@ -77,7 +78,7 @@ def test_recall_is_whole_at_every_length(length, kind):
     rng = random.Random(length)
     pool = " ".join(data.prose(300, 9, vocabulary=3000)).split()
     items = [(i, " ".join(rng.choices(pool, k=length))) for i in range(20)]
-    index = BenchmarkIndex(items, 0.8, 8, 6, 4, 11)
+    index = BenchmarkIndex(items, 0.8)
     for i, text in items:
         words = changed(text.split(), length // 5, kind, rng, pool)
         doc = " ".join(rng.choices(pool, k=50) + words + rng.choices(pool, k=50))
@@ -89,7 +90,7 @@ def test_matches_are_those_of_brute_force():
     for similarity in (0.6, 0.8, 0.95, 1.0):
         pool = [f"w{i}" for i in range(40)]
         items = [(i, " ".join(rng.choices(pool, k=rng.randint(1, 30)))) for i in range(25)]
-        index = BenchmarkIndex(items, similarity, 1, 1, 4, 11)
+        index = BenchmarkIndex(items, similarity, most_walks=2)
         docs = [(d, " ".join(rng.choices(pool, k=rng.randint(0, 20)) + edited(rng.choice(items[:20])[1].split() * 2, d % 5, rng, pool) + rng.choices(pool, k=rng.randint(0, 20)))) for d in range(20)]
         got = {(r[0], r[1]): r[2] for r in _match_batch(index, docs)}
         want = {}
@@ -114,7 +115,7 @@ def test_results_are_verified_and_spans_are_right(spark, tmp_path):
     assert {k for k in got if k[0] and k[0] >= 10} == {(10, 1), (11, 1), (13, 4)}
     assert {k[0] for k in got if k[1] == 5} == {1, 2, 3, None}
     r = got[10, 1]
-    assert r["distance"] == 0 and docs[0][1].lower()[r["char_start"] : r["char_end"]] == "one two three four five six seven eight nine ten"
+    assert r["distance"] == 0 and docs[0][1][r["char_start"] : r["char_end"]].lower() == "one two three four five six seven eight nine ten"
     assert got[11, 1]["distance"] == 2 and got[11, 1]["similarity"] == pytest.approx(0.8)
 
 
@@ -129,6 +130,45 @@ def test_blocks_of_items_and_filter(spark):
     assert sorted(kept, key=str) == sorted([r[0] for r in docs.collect() if (r[0], r[1]) not in {(i, f"start {t} end") for i, t in enumerate(texts[:20])}], key=str)
 
 
+def test_walks_reach_the_target_by_themselves():
+    rng = random.Random(3)
+    pool = " ".join(data.prose(300, 9, vocabulary=3000)).split()
+    for length in (8, 20, 60, 150, 500, 1000):
+        items = [(i, " ".join(rng.choices(pool, k=length))) for i in range(12)]
+        index = BenchmarkIndex(items, 0.8, target_recall=0.9)
+        assert min(index.recalls.values()) >= 0.9
+        found = 0
+        for i, text in items:
+            words = edited(text.split(), length // 5, rng, pool)
+            ids = np.array([index.vocabulary.get(w, 0) for w in rng.choices(pool, k=30) + words + rng.choices(pool, k=2 * length)] + [0] * 2 * length)
+            known = np.concatenate(([0], np.cumsum(ids > 0)))
+            seen = [index.walked(ids, items_, starts, known) for _, items_, starts in index.seeded(ids, np.array([0]))]
+            found += any((c[:, 1] == i).any() for c in seen)
+        assert found >= 9
+
+
+def test_target_sets_the_repetitions():
+    items = [(i, t) for i, t in enumerate(data.prose(60, 8, words=60, vocabulary=3000))]
+    few, many = BenchmarkIndex(items, target_recall=0.3), BenchmarkIndex(items, target_recall=0.99)
+    codes = lambda x: sum(len(c["sets"]) for c in x.classes)
+    assert codes(few) < codes(many)
+
+
+def test_repeated_items_and_clashing_columns(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta")] * 50 + [(2, "alpha beta gamma delta")], ITEMS).withColumn("id", F.lit("x"))
+    got = sorted((str(r["doc_id"]), r["item_id"]) for r in leaks(data.clashing(spark), items).collect())
+    assert got == sorted((str(i), k) for i in (1, 2, 3, None) for k in (1, 2))
+    kept = decontaminate(data.clashing(spark), items)
+    assert kept.columns == data.clashing(spark).columns and kept.count() == len(data.ODD) - 4
+    assert {r["id"] for r in kept.collect()} == {"clash"}
+
+
+def test_letters_that_grow_when_lowered():
+    text = "İİ " * 3 + "one two three four five"
+    (r,) = _match_batch(BenchmarkIndex([(1, "one two three four five")]), [(0, text)])
+    assert text[r[6] : r[7]] == "one two three four five"
+
+
 def test_empty(spark):
     items = spark.createDataFrame([(1, "some words here")], ITEMS)
     assert leaks(data.empty(spark), items).count() == 0

@@ -7,32 +7,35 @@ n words leaks into a document where some passage is within floor((1 - similarity
 The CGK embedding walks a sequence with one random bit per (step, word): each
 step emits the current word and advances by the bit, so that edit distance k
 becomes a Hamming distance of O(k**2) with good odds, independent of position.
-Benchmark items and item-sized windows of the documents walk alike; each of
-``walks`` independent walks gives ``samples`` codes, each of ``places`` embedded
-coordinates (8 hashed bits a coordinate).  Equal codes make a candidate, which
-word-level edit distance then verifies exactly around the window.
-
-The walks find a near copy by chance only, the less likely the longer the item.
-Seeds find what they miss: an item with k edits allowed is cut into k + 1 pieces,
-and since an edit touches one piece at most, every passage within k edits holds
-one piece unchanged, at most k words away from its place in the item.  Every
-occurrence of a piece (of its first SEED_WORDS words) is a candidate too.
-
-Windows are those that can match at all: a passage within k edits of an item of
-n words has at least n - k words of the benchmark's vocabulary in its first n
-words, a count that prefix sums give for every start.  This drops no match.
+Benchmark items and item-sized windows of the documents walk alike; each walk
+gives ``samples`` codes, each of some embedded coordinates (8 hashed bits a
+coordinate).  Equal codes make a candidate, which word-level edit distance then
+verifies exactly around the window.  For each class of item lengths the number of
+coordinates (4 at most) and of walks (``most_walks`` at most) is what finds
+``target_recall`` of trial copies, made of the items themselves with as many
+random edits as are allowed; ``BenchmarkIndex.recalls`` has what was reached.
+
+Windows are those that can match at all.  An item with k edits allowed is cut into
+k + 1 pieces, and since an edit touches one piece at most, every passage within k
+edits holds one piece unchanged, at most k words away from its place in the item:
+windows begin within k words of where a piece (its first SEED_WORDS words) puts the
+item, and have at least n - k words of the benchmark's vocabulary.  This drops no
+match, and leaves few windows to walk however large the benchmark.
+
+Where the walks miss, by chance and more often the longer the item, the exact way
+goes on: windows that no candidate covers are verified too, if they share enough
+words with the item.  So recall for copies within the threshold is 1 at every
+length; a target recall below 1 only says how much the walks find by themselves.
 
 Items are taken in blocks of at most ``block_chars`` characters (at least one
 item), each block sent to all tasks; the documents stay where they are, nothing
 is shuffled, and hot passages cost no more than others.
 
-Recall for copies within the threshold is 1 at every item length, whatever the walks.
-
 Defined results: null or wordless texts and items match nothing; an item of
 fewer words than 1 / (1 - similarity) matches exactly only; repeated rows give
-repeated results; of several places of an item in one text the one of least
-distance, then the first, is given; other columns are not read; empty tables
-give an empty result.
+repeated results, repeated items count once; of several places of an item in one text
+the one of least distance, then the first, is given; other columns are not read,
+whatever their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -56,6 +59,10 @@ BATCH_WORDS = 1 << 20
 SEED_WORDS = 8
 #: Seed occurrences times items that are held at once, if they are not in one document.
 HELD_HITS = 1 << 22
+#: Copies with edits that a class of lengths is tried with.
+TRIALS = 60
+MARK_BITS = 20
+ONE = np.uint64(1)
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, item_id long, distance int, similarity double, word_start int, word_end int, char_start int, char_end int"
 
@@ -63,9 +70,9 @@ RESULT = "doc_id long, item_id long, distance int, similarity double, word_start
 def walk_codes(words: np.ndarray, starts: np.ndarray, places: list[np.ndarray], seed: np.ndarray) -> list[np.ndarray]:
     """Codes of the CGK walks from the starts: one array for each set of sampled steps.
 
-    words: int ids with enough zeros at the end; seed: one odd 64-bit number a step.
+    words: int ids with enough zeros at the end, or these as unsigned numbers greater by one; seed: one odd 64-bit number a step.
     """
-    words = words.astype(np.uint64) + np.uint64(1)
+    words = words if words.dtype == np.uint64 else words.astype(np.uint64) + ONE
     at, codes = starts.astype(np.int64), [np.zeros(len(starts), np.uint64) for _ in places]
     last = max(int(p[-1]) for p in places)
     sampled = [set(p.tolist()) for p in places]
@@ -79,6 +86,26 @@ def walk_codes(words: np.ndarray, starts: np.ndarray, places: list[np.ndarray],
     return codes
 
 
+def walk_symbols(words: np.ndarray, starts: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """The embedded coordinates (8 bits each) of CGK walks of len(seed) steps: one row a step."""
+    words, at = words.astype(np.uint64) + ONE, starts.astype(np.int64)
+    out = np.zeros((len(seed), len(starts)), np.uint8)
+    for step, odd in enumerate(seed):
+        symbol = words[at]
+        out[step] = (symbol * MULTIPLY) >> np.uint64(56)
+        at += ((symbol * odd) >> np.uint64(63)).view(np.int64)
+    return out
+
+
+def edited(words: np.ndarray, edits: int, vocabulary: int, rng: np.random.Generator) -> np.ndarray:
+    """A copy with so many random insertions, deletions and substitutions."""
+    out = words.tolist()
+    for kind in rng.integers(3, size=edits):
+        at, word = int(rng.integers(len(out) + 1)), int(rng.integers(1, vocabulary + 1))
+        out[at : at + (kind > 0)] = [word] if kind < 2 else []
+    return np.array(out, np.int64)
+
+
 def infix_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Least edit distance of item to any part of text, and that part's start and end."""
     n = len(text)
@@ -101,7 +128,7 @@ def infix_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 class BenchmarkIndex:
     """Codes of a block of items, by length class."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float, walks: int, samples: int, places: int, seed: int):
+    def __init__(self, items: list[tuple[int, str]], similarity: float = 0.8, target_recall: float = 0.95, most_walks: int = 12, samples: int = 6, seed: int = 11):
         self.vocabulary: dict[str, int] = {}
         self.items, lengths = [], []
         for item_id, text in items:
@@ -109,21 +136,24 @@ class BenchmarkIndex:
             if words:
                 self.items.append((item_id, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64)))
                 lengths.append(len(words))
-        self.allowed = [math.floor((1 - similarity) * n + 1e-9) for n in lengths]
+        self.allowed = np.array([math.floor((1 - similarity) * n + 1e-9) for n in lengths], np.int64)
         self.distinct = [frozenset(words.tolist()) for _, words in self.items]
         self.longest = max(lengths, default=0)
-        self.classes = []
+        self.classes, self.class_of, self.recalls = [], np.zeros(len(lengths), np.int64), {}
         rng = np.random.default_rng(seed)
         low = 1
         while low <= self.longest:
             high = max(low, int(low * 1.15))
             members = [i for i, n in enumerate(lengths) if low <= n <= high]
             if members:
-                self.classes.append(self._class(members, lengths, rng, walks, samples, places))
+                self.class_of[members] = len(self.classes)
+                self.classes.append(self._class(members, lengths, rng, target_recall, most_walks, samples))
+                self.recalls[low, high] = self.classes[-1]["recall"]
             low = high + 1
         self.mixers = rng.integers(1, 1 << 63, size=SEED_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.own = [np.unique(words) for _, words in self.items]
         self.seeds = self._seeds(lengths)
+        self.mark = np.zeros(len(self.vocabulary) + 1, bool)  # of use in verify, all False between calls
 
     def _seeds(self, lengths) -> dict[int, tuple[np.ndarray, ...]]:
         """For each seed length: sorted hashes, where each one's places begin, and the places as item and offset."""
@@ -138,7 +168,9 @@ class BenchmarkIndex:
         for size, rows in held.items():
             rows.sort()
             keys, first = np.unique(np.array([r[0] for r in rows], np.uint64), return_index=True)
-            out[size] = keys, np.append(first, len(rows)), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+            marks = np.zeros(1 << MARK_BITS, bool)  # most words begin no piece: one look-up tells
+            marks[(keys * MULTIPLY) >> np.uint64(64 - MARK_BITS)] = True
+            out[size] = keys, np.append(first, len(rows)), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), marks
         return out
 
     def seed_hits(self, ids: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -152,18 +184,19 @@ class BenchmarkIndex:
             known = word > 0
             at, code = at[known], code[known] + word[known].astype(np.uint64) * self.mixers[size - 1]
             if size in self.seeds:
-                keys, first, _, _ = self.seeds[size]
-                k = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-                hit = keys[k] == code
+                keys, first, _, _, marks = self.seeds[size]
+                maybe = np.flatnonzero(marks[(code * MULTIPLY) >> np.uint64(64 - MARK_BITS)])
+                k = np.minimum(np.searchsorted(keys, code[maybe]), len(keys) - 1)
+                hit = keys[k] == code[maybe]
                 k = k[hit]
-                for column, part in zip(found, (at[hit], np.full(len(k), size), first[k], first[k + 1]), strict=True):
+                for column, part in zip(found, (at[maybe[hit]], np.full(len(k), size), first[k], first[k + 1]), strict=True):
                     column.append(part)
         place, *rest = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in found)
         order = np.argsort(place, kind="stable")
         return place[order], *(c[order] for c in rest)
 
     def seeded(self, ids: np.ndarray, begins: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Candidates (document, item, start) by seeds, a document's together: starts are within the item's edits of the true one."""
+        """Windows (document, item, start) by seeds, a document's together: starts are within the item's edits of the true one."""
         place, size, first, last = self.seed_hits(ids)
         doc = np.searchsorted(begins, place, "right") - 1
         total = np.concatenate(([0], np.cumsum(last - first)))
@@ -172,7 +205,7 @@ class BenchmarkIndex:
             b = max(a + 1, int(np.searchsorted(total, total[a] + HELD_HITS, "right")) - 1)
             b = int(np.searchsorted(doc, doc[b - 1], "right")) if b < len(place) else len(place)
             docs, items, starts = [], [], []
-            for s, (_, _, item, offset) in self.seeds.items():
+            for s, (_, _, item, offset, _) in self.seeds.items():
                 rows = a + np.flatnonzero(size[a:b] == s)
                 many = last[rows] - first[rows]
                 entry = np.arange(many.sum()) + np.repeat(first[rows] - np.cumsum(many) + many, many)
@@ -183,48 +216,76 @@ class BenchmarkIndex:
             yield np.concatenate(docs), np.concatenate(items), np.concatenate(starts)
             a = b
 
-    def _class(self, members, lengths, rng, walks, samples, places) -> dict:
+    def _class(self, members, lengths, rng, target_recall, most_walks, samples) -> dict:
         shortest, edits = min(lengths[i] for i in members), max(self.allowed[i] for i in members)
-        steps = max(1, int(1.4 * shortest))
-        # each step draws its own share of places, so that codes see all of the item
-        sets = [[np.sort(rng.choice(steps, size=min(places, steps), replace=False)) for _ in range(samples)] for _ in range(walks)]
-        seeds = [rng.integers(1, 1 << 63, size=steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(walks)]
-        pad = 2 * self.longest + steps
+        steps, longest = max(1, int(1.4 * shortest)), max(lengths[i] for i in members)
+        seeds = [rng.integers(1, 1 << 63, size=steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(most_walks)]
+        trials = [members[int(i)] for i in rng.integers(len(members), size=TRIALS)]
+        pairs = [x for i in trials for x in (self.items[i][1], edited(self.items[i][1], int(self.allowed[i]), len(self.vocabulary), rng))]
+        # what follows an item in a document is other text
+        laid = np.concatenate([x for words in pairs for x in (words, rng.integers(1, len(self.vocabulary) + 1, size=steps + 2))])
+        at = np.cumsum([0] + [len(words) + steps + 2 for words in pairs[:-1]])
+        agree: list[np.ndarray] = []
+        for places in range(min(4, steps), 0, -1):
+            sets, found = [], np.zeros(TRIALS, bool)
+            for w in range(most_walks):
+                if w == len(agree):
+                    symbols = walk_symbols(laid, at, seeds[w])
+                    agree.append(symbols[:, ::2] == symbols[:, 1::2])
+                # each step draws its own share of places, so that codes see all of the item
+                sets.append([np.sort(rng.choice(steps, size=places, replace=False)) for _ in range(samples)])
+                for chosen in sets[-1]:
+                    found |= agree[w][chosen].all(axis=0)
+                if found.mean() >= target_recall:
+                    break
+            if found.mean() >= target_recall:
+                break
+        pad = steps + 2
         words = np.concatenate([np.concatenate((self.items[i][1], np.zeros(pad, np.int64))) for i in members])
         starts = np.cumsum([0] + [lengths[i] + pad for i in members[:-1]])
         tables = []
-        for chosen, seed in zip(sets, seeds, strict=True):
+        for chosen, seed in zip(sets, seeds, strict=False):
             codes = walk_codes(words, starts, chosen, seed)
-            tables.append([{} for _ in chosen])
-            for lookup, code in zip(tables[-1], codes, strict=True):
-                for c, i in zip(code.tolist(), members, strict=True):
-                    lookup.setdefault(c, []).append(i)
-        keys = [[np.sort(np.array(list(x), np.uint64)) for x in row] for row in tables]
-        return {"need": max(1, shortest - edits), "size": shortest, "sets": sets, "seeds": seeds, "tables": tables, "keys": keys}
-
-    def search(self, ids: np.ndarray) -> set[tuple[int, int]]:
-        """Candidates (start, item) over word ids (0: not in the vocabulary), with zeros at the end."""
-        found: set[tuple[int, int]] = set()
-        known = np.concatenate(([0], np.cumsum(ids > 0)))
-        for c in self.classes:
-            end = np.minimum(np.arange(len(ids)) + c["size"], len(ids))
-            starts = np.flatnonzero(known[end] - known[:-1] >= c["need"])
-            if not len(starts):
-                continue
-            for chosen, seed, tables, keys in zip(c["sets"], c["seeds"], c["tables"], c["keys"], strict=True):
-                for code, lookup, key in zip(walk_codes(ids, starts, chosen, seed), tables, keys, strict=True):
-                    at = np.minimum(np.searchsorted(key, code), len(key) - 1)
-                    for k in np.flatnonzero(key[at] == code):
-                        found.update((int(starts[k]), i) for i in lookup[int(code[k])])
-        return found
-
-    def verify(self, ids: np.ndarray, begin: int, stop: int, starts: np.ndarray, i: int) -> tuple[int, int, int] | None:
-        """Distance, start and end (words of ids) of the best place of item i near the sorted starts, within its document."""
-        item, k = self.items[i][1], self.allowed[i]
-        low, high = np.maximum(begin, starts - k), np.minimum(stop, starts + len(item) + 2 * k)
+            tables.append([])
+            for code in codes:
+                order = np.argsort(code, kind="stable")
+                tables[-1].append((code[order], np.array(members)[order]))
+        return {"need": max(1, shortest - edits), "size": shortest, "edits": int(edits), "sets": sets, "seeds": seeds[: len(sets)], "tables": tables, "recall": float(found.mean()), "longest": longest}
+
+    def walked(self, ids: np.ndarray, items: np.ndarray, starts: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Candidates (start, item), distinct and sorted, of the walks over the windows that the seeds allow; ids have zeros at the end."""
+        found = [np.zeros(0, np.int64)]
+        group, words = self.class_of[items], ids.astype(np.uint64) + ONE
+        for number in np.unique(group).tolist():
+            c = self.classes[number]
+            near = np.unique(starts[group == number])
+            near = np.unique((near[:, None] + np.arange(-c["edits"], c["edits"] + 1)).ravel())
+            near = near[(near >= 0) & (near < len(ids))]
+            near = near[known[np.minimum(near + c["size"], len(ids))] - known[near] >= c["need"]]
+            for chosen, seed, tables in zip(c["sets"], c["seeds"], c["tables"], strict=True):
+                if not len(near):
+                    break
+                for code, (keys, members) in zip(walk_codes(words, near, chosen, seed), tables, strict=True):
+                    first, last = np.searchsorted(keys, code), np.searchsorted(keys, code, "right")
+                    many = last - first
+                    entry = np.arange(many.sum()) + np.repeat(first - np.cumsum(many) + many, many)
+                    found.append(np.unique(np.repeat(near, many) * len(self.items) + members[entry]))
+        return np.column_stack(np.divmod(np.unique(np.concatenate(found)), len(self.items)))
+
+    def verify(self, ids: np.ndarray, begin: int, stop: int, starts: np.ndarray, i: int, wide: int = 0) -> tuple[tuple[int, int, int] | None, int, int]:
+        """(distance, start, end) of the best place of item i near the sorted starts, within its document; and the range that was seen. wide: words more at both ends."""
+        item, k = self.items[i][1], int(self.allowed[i])
+        same = starts[(starts >= begin) & (starts + len(item) <= stop)]
+        same = same[ids[same] == item[0]]
+        for s in same.tolist():
+            if np.array_equal(ids[s : s + len(item)], item):
+                return (0, s, s + len(item)), 0, 0  # an earlier one may not be among the starts
+        low, high = np.maximum(begin, starts - k - wide), np.minimum(stop, starts + len(item) + 2 * k + wide)
         a = int(low[0])
         part = ids[a : int(high[-1])]
-        shared = np.concatenate(([0], np.cumsum(np.isin(part, self.own[i]))))
+        self.mark[self.own[i]] = True
+        shared = np.concatenate(([0], np.cumsum(self.mark[part])))
+        self.mark[self.own[i]] = False
         fit = shared[high - a] - shared[low - a] >= len(item) - k  # an edit removes one word at most
         best = None
         for lo, hi in _joined(low[fit], high[fit]):
@@ -233,7 +294,7 @@ class BenchmarkIndex:
             distance, s, e = infix_distance(item, ids[lo:hi])
             if distance <= k and (best is None or (distance, lo + s, lo + e) < best):
                 best = distance, lo + s, lo + e
-        return best
+        return best, a, int(high[-1])
 
 
 def _joined(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -243,46 +304,57 @@ def _joined(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int]]:
         yield from zip(low[np.append(0, new)].tolist(), high[np.append(new - 1, len(low) - 1)].tolist(), strict=True)
 
 
-class _Ids(dict):
-    def __missing__(self, word: str) -> int:
-        return 0
-
-
 def _match_batch(index: BenchmarkIndex, rows: list[tuple[int, str]]) -> Iterator[tuple]:
-    gap = np.zeros(2 * index.longest + int(1.4 * index.longest) + 2, np.int64)
+    gap = np.zeros(2 * index.longest + int(1.4 * index.longest) + 4, np.int64)
     parts, spans, at = [], [], 0
-    id_of = _Ids(index.vocabulary).__getitem__
     for doc_id, text in rows:
         words = WORD.findall(text.lower())
-        ids = np.fromiter(map(id_of, words), np.int64, len(words))
+        ids = np.fromiter(map(index.vocabulary.get, words, itertools.repeat(0)), np.int64, len(words))
         spans.append((at, at + len(ids), doc_id, text))
         parts += [ids, gap]
         at += len(ids) + len(gap)
     ids = np.concatenate(parts)
-    begins = np.array([s[0] for s in spans])
+    begins, ends = (np.array([s[i] for s in spans]) for i in (0, 1))
+    known = np.concatenate(([0], np.cumsum(ids > 0)))
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    walked = np.array(sorted(index.search(ids)), np.int64).reshape(-1, 2)
-    owner = np.searchsorted(begins, walked[:, 0], "right") - 1
-    within = walked[:, 0] < np.array([s[1] for s in spans])[owner]
-    by_walk = owner[within], walked[within, 1], walked[within, 0]
-    for docs, items, starts in itertools.chain([by_walk], index.seeded(ids, begins)):
+
+    def look(docs: np.ndarray, items: np.ndarray, starts: np.ndarray, seen: dict, wide: bool) -> None:
         order = np.lexsort((starts, items, docs))
         docs, items, starts = docs[order], items[order], starts[order]
         firsts = np.flatnonzero(np.diff(docs, prepend=-1) | np.diff(items, prepend=-1))
         for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(docs)], strict=False):
             n, i = int(docs[a]), int(items[a])
-            if best.get((n, i), (1,))[0] == 0:  # walks find every equal passage, and so the first
-                continue
-            begin, stop, _, _ = spans[n]
-            got = index.verify(ids, begin, stop, starts[a:b], i)
-            if got and got < best.get((n, i), (1 << 60,)):
-                best[n, i] = got
+            near, k, (begin, stop, _, _) = starts[a:b], int(index.allowed[i]), spans[n]
+            if (n, i) in seen:
+                lo, hi = seen[n, i]
+                near = near[(np.maximum(begin, near - k) < lo) | (np.minimum(stop, near + len(index.items[i][1]) + 2 * k) > hi)]
+            if len(near):
+                got, lo, hi = index.verify(ids, begin, stop, near, i, k if wide else 0)
+                if wide and (len(near) == 1 or near[-1] - near[0] <= k):  # else the range has holes
+                    seen[n, i] = lo, hi
+                if got and got < best.get((n, i), (1 << 60,)):
+                    best[n, i] = got
+
+    for docs, items, starts in index.seeded(ids, begins):
+        seen: dict[tuple[int, int], tuple[int, int]] = {}
+        candidates = index.walked(ids, items, starts, known)
+        owner = np.searchsorted(begins, candidates[:, 0], "right") - 1
+        within = candidates[:, 0] < ends[owner]
+        look(owner[within], candidates[within, 1], candidates[within, 0], seen, True)
+        look(docs, items, starts, seen, False)  # what the walks have missed
+    last = -1
     for (n, i), (distance, s, e) in sorted(best.items()):
         begin, _, doc_id, text = spans[n]
         item_id, item = index.items[i]
-        places = [m.span() for m in WORD.finditer(text.lower())]
+        if n != last:
+            last, low = n, text.lower()
+            places = [m.span() for m in WORD.finditer(low)]
         a, b = s - begin, e - begin
-        yield doc_id, item_id, distance, 1 - distance / len(item), a, b, places[a][0] if a < len(places) else 0, places[b - 1][1] if b > a else 0
+        span = places[a][0] if a < len(places) else 0, places[b - 1][1] if b > a else 0
+        if len(low) != len(text):  # some letters grow when lowered
+            grown = np.cumsum([len(c.lower()) for c in text])
+            span = int(np.searchsorted(grown, span[0], "right")), int(np.searchsorted(grown, span[1], "left")) + (span[1] > 0)
+        yield doc_id, item_id, distance, 1 - distance / len(item), a, b, *span
 
 
 def _matcher(index: BenchmarkIndex):
@@ -326,21 +398,21 @@ def _keeper(index: BenchmarkIndex, at: int):
     return run
 
 
-def indexes(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, walks: int = 8, samples: int = 6, places: int = 4, seed: int = 11, block_chars: int = 16 << 20) -> Iterator[BenchmarkIndex]:
+def indexes(items: DataFrame, item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, target_recall: float = 0.95, most_walks: int = 12, samples: int = 6, seed: int = 11, block_chars: int = 16 << 20) -> Iterator[BenchmarkIndex]:
     """Indexes of blocks of items, each of about ``block_chars`` characters."""
-    bench = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL")
+    bench = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).filter("text IS NOT NULL").distinct()
     size = bench.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
     for b in range(blocks):
         block = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         found = sorted(((r["item_id"], r["text"]) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        index = BenchmarkIndex(found, similarity, walks, samples, places, seed)
+        index = BenchmarkIndex(found, similarity, target_recall, most_walks, samples, seed)
         if index.items:
             yield index
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """One row for each (document, item) with a passage within the threshold: RESULT. Offsets are in the lower-cased text."""
+    """One row for each (document, item) with a passage within the threshold: RESULT."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = [rows.mapInArrow(_matcher(index), RESULT) for index in indexes(items, **settings)]
     return functools.reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], RESULT)
