@@ -373,20 +373,23 @@ def score_corpus(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
     mids = min(MOST_MIDS, parts)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), learns.alias("learn"), text.alias("text"))
     asked = cut(rows.mapInArrow(_count_blocks(depth, parts, min(block_bytes, share)), PACKED))
-    keys = asked.filter(F.col("kind") != TEXT)
+    # as many tasks as groups, so that what a task reads does not grow with the corpus
+    keys = asked.filter(F.col("kind") != TEXT).repartition(2 * parts, "part", "kind")
     merged = cut(keys.groupBy("part", "kind").applyInArrow(_merge_part(depth, mids), MERGED))
     known, total = merged.filter(F.col("kind") == WORD).agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    nodes = merged.filter(F.col("kind") == MID)
+    nodes = merged.filter(F.col("kind") == MID).repartition(mids, "mid")
     sums = nodes.groupBy("mid").applyInArrow(_mid_top(depth), "node long, a double, b double, below double")
     top = sums.groupBy("node").agg(F.sum("a"), F.sum("b"), F.sum("below")).orderBy("node").collect()  # 256 * 255 nodes at most
     columns = [np.array(c) for c in zip(*top, strict=True)] or [np.zeros(0)] * 4
     table_of_top = ctw.Levels(columns[0].astype(np.uint64), *(c.astype(float) for c in columns[1:]), mid_level(depth) - 1, 0)
     told = nodes.groupBy("mid").applyInArrow(_mid_answer(depth, table_of_top), MERGED)
-    model = merged.filter(F.col("kind") != MID).unionByName(told)
+    model = merged.filter(F.col("kind") != MID).unionByName(told).repartition(2 * parts, "part", "kind")
     answers = cut(keys.groupBy("part", "kind").cogroup(model.groupBy("part", "kind")).applyInArrow(_answer(depth, mids), "block long, part int, kind int, n long, data binary"))
     texts = cut(asked.filter(F.col("kind") == TEXT))
     drop_cut(asked)
     drop_cut(merged)
+    blocks = max(1, texts.count())
+    texts, answers = texts.repartition(blocks, "block"), answers.repartition(blocks, "block")
     scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score_block(depth, parts, (total + ends, known + (ends > 0), ends)), SCORES)
     bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
     return scored.withColumn("train_tokens", F.lit(total + ends).cast("long")).withColumn("bits_per_byte", bits)
