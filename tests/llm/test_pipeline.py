@@ -32,7 +32,7 @@ def test_run_equals_brute_force(spark, tmp_path):
     live = [r for r in live if r[0] in kept]
     low = brute_components([(r[0], brute_print(r[1])) for r in live], lambda a, b: (a[1] ^ b[1]).bit_count() <= 3)
     live = [r for r, c in zip(live, low, strict=True) if r[0] == c]
-    index = BenchmarkIndex([(7, LEAK)], 0.8, 8, 6, 4, 11)
+    index = BenchmarkIndex([(7, LEAK)], 0.8)
     dirty = {hit[0] for hit in _match_batch(index, [(r[0], r[1]) for r in live])}
     live = [r for r in live if r[0] not in dirty]
     assert not any(r[0] >= 700 for r in live) and len(live) > 100

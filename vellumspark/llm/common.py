@@ -90,6 +90,23 @@ def attach_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n_col: st
     return by_broadcast.unionByName(rest.join(groups.filter(F.col(n_col) <= limit), keys, "inner"))
 
 
+def hot_keys(rows: DataFrame, keys: list[str], most: int = 1000, least: int = 100) -> DataFrame | None:
+    """The keys with most rows: ``most`` of them, of those with over ``least`` rows; None if there are none. Any other key has at most 1/most of all rows."""
+    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > least)
+    hot = n.orderBy(F.desc("n")).limit(most).drop("n")
+    found = hot.collect()
+    return rows.sparkSession.createDataFrame(found, hot.schema) if found else None
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], how: str, hot: DataFrame | None) -> DataFrame:
+    """Join (inner or left) of rows to ``groups``, one row per key, where the rows' ``hot_keys`` meet their groups by broadcast and so are not gathered."""
+    if hot is None:
+        return rows.join(groups, keys, how)
+    hot = F.broadcast(hot)
+    there = rows.join(hot, keys, "left_semi").join(F.broadcast(groups.join(hot, keys, "left_semi")), keys, how)
+    return there.unionByName(rows.join(hot, keys, "left_anti").join(groups, keys, how))
+
+
 def with_fields(df: DataFrame, *fields: tuple[str, str]) -> tuple[DataFrame, StructType]:
     """df without columns of these names, and its schema with them added at the end."""
     df = df.drop(*(name for name, _ in fields))

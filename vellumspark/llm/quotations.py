@@ -32,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import attach_groups, cut, drop_cut, hot_keys, spread_join, table
 
 MARKS = re.compile(r"^((?:[ \t]*>)+)[ \t]?")
 WHOLE, PARAGRAPH, LINE = 0, 1, 2
-PARSED = "conv_id long, turn long, own_text string, own array<struct<unit:int,hash:binary>>, quotes array<struct<place:int,level:int,unit:int,hash:binary>>, n_quotes int"
+PARSED = "conv_id long, turn long, role string, own_text string, own array<struct<unit:int,hash:binary>>, quotes array<struct<place:int,level:int,unit:int,hash:binary>>, n_quotes int"
 
 
 def passages(text: str) -> list[tuple[int, str]]:
@@ -76,12 +76,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             quoted = [(i, level, p) for i, (level, p) in enumerate(parts) if level]
             quotes.append([{"place": i, "level": level, "unit": u, "hash": h} for i, level, p in quoted for u, h in unit_hashes(p)])
             n.append(len(quoted))
-        arrays = [batch.column("conv_id"), batch.column("turn"), pa.array(texts, pa.string()), pa.array(own, own_kind), pa.array(quotes, quote_kind), pa.array(n, pa.int32())]
-        yield pa.RecordBatch.from_arrays(arrays, ["conv_id", "turn", "own_text", "own", "quotes", "n_quotes"])
+        arrays = [batch.column("conv_id"), batch.column("turn"), batch.column("role"), pa.array(texts, pa.string()), pa.array(own, own_kind), pa.array(quotes, quote_kind), pa.array(n, pa.int32())]
+        yield pa.RecordBatch.from_arrays(arrays, ["conv_id", "turn", "role", "own_text", "own", "quotes", "n_quotes"])
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    return messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("text").cast("string").alias("text")).mapInArrow(_parse, PARSED)
+    role = F.col("role").cast("string") if "role" in messages.columns else F.lit(None).cast("string")
+    return messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.col("text").cast("string").alias("text")).mapInArrow(_parse, PARSED)
 
 
 def quote_links(parsed: DataFrame) -> DataFrame:
@@ -90,9 +91,10 @@ def quote_links(parsed: DataFrame) -> DataFrame:
     units = keyed.select("conv_id", "turn", F.explode("own").alias("o")).select("conv_id", "turn", "o.hash")
     here = units.groupBy("conv_id", "hash").agg(F.min("turn").alias("first_turn"))
     quotes = keyed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*")
-    near = quotes.join(here, ["conv_id", "hash"], "left").withColumn("target", F.when(F.col("first_turn") < F.col("turn"), F.struct("conv_id", F.col("first_turn").alias("turn"))))
+    near = cut(spread_join(quotes, here, ["conv_id", "hash"], "left", hot_keys(quotes, ["conv_id", "hash"]))).withColumn("target", F.when(F.col("first_turn") < F.col("turn"), F.struct("conv_id", F.col("first_turn").alias("turn"))))
     anywhere = here.groupBy("hash").agg(F.min(F.struct("conv_id", F.col("first_turn").alias("turn"))).alias("first"))
-    far = near.filter("target IS NULL").join(anywhere, "hash").withColumn("target", F.when(F.col("first") < F.struct("conv_id", "turn"), F.col("first")))
+    lone = near.filter("target IS NULL")
+    far = spread_join(lone, anywhere, ["hash"], "inner", hot_keys(lone, ["hash"])).withColumn("target", F.when(F.col("first") < F.struct("conv_id", "turn"), F.col("first")))
     columns = ["conv_id", "turn", "place", "level", "unit", "target"]
     linked = near.select(*columns).unionByName(far.select(*columns)).filter("target IS NOT NULL")
     # the lowest level, then the last passage, then its largest unit
@@ -107,27 +109,28 @@ def roots(links: DataFrame, most_rounds: int = 64) -> DataFrame:
         if not state.filter(~F.col("done")).limit(1).count():
             return state.select("node.conv_id", "node.turn", F.col("up").alias("root"), "depth")
         over = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        moved = state.filter(~F.col("done")).join(over, "up", "left")
+        left = state.filter(~F.col("done"))
+        moved = spread_join(left, over, ["up"], "left", hot_keys(left, ["up"]))
         moved = moved.select("node", F.coalesce("next", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.col("next").isNull().alias("done"))
-        state = cut(state.filter("done").unionByName(moved))
+        before, state = state, cut(state.filter("done").unionByName(moved))
+        drop_cut(before)
     raise RuntimeError(f"replies are deeper than 2 ** {most_rounds}")
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:
-    """Per message: conv_id, turn, parent_conv, parent_turn, root_conv, root_turn, depth, n_quotes, n_linked, text (own words).
-
-    Sorted by (root_conv, root_turn, conv_id, turn) the rows are the reply-ordered
-    conversations: every message after its parent; see ``in_reply_order``.
-    """
+    """Per message: conv_id, turn, role, parent_conv, parent_turn, root_conv, root_turn, depth, n_quotes, n_linked, text (own words)."""
     parsed = parse_messages(messages)
     slim = cut(parsed.select("conv_id", "turn", "own", "quotes"))
     links = cut(quote_links(slim))
+    drop_cut(slim)
     deep = roots(links)
     told = links.join(deep, ["conv_id", "turn"])
-    out = parsed.select("conv_id", "turn", "own_text", "n_quotes").join(told, ["conv_id", "turn"], "left")
+    keys = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"))
+    out = spread_join(parsed.select("conv_id", "turn", "role", "own_text", "n_quotes"), told, ["conv_id", "turn"], "left", hot_keys(keys, ["conv_id", "turn"]))
     return out.select(
         "conv_id",
         "turn",
+        "role",
         F.col("parent.conv_id").alias("parent_conv"),
         F.col("parent.turn").alias("parent_turn"),
         F.coalesce("root.conv_id", "conv_id").alias("root_conv"),
@@ -139,24 +142,47 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     )
 
 
+REPLY_ORDER = ["root_conv", "root_turn", "conv_id", "turn"]
+
+
 def in_reply_order(linked: DataFrame) -> DataFrame:
-    """All messages sorted over partitions into reply order."""
-    order = ["root_conv", "root_turn", "conv_id", "turn"]
-    return linked.repartitionByRange(*order).sortWithinPartitions(*order)
+    """The conversations without quotes: all messages sorted over partitions, each with its ``position`` (from 0) among those of its root.
+
+    A message stands after its parent.  The rows are numbered over all
+    partitions, so a thread may hold any share of them.  A message without
+    conv_id or turn has position 0.
+    """
+    made = linked.repartitionByRange(*REPLY_ORDER, F.xxhash64("text")).sortWithinPartitions(*REPLY_ORDER).withColumn("at", F.monotonically_increasing_id())
+    made = cut(made)  # numbers go up from partition to partition
+    task = F.shiftright("at", 33)
+    sizes = sorted((r["task"], r["n"]) for r in made.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, before = [], 0
+    for number, n in sizes:
+        starts.append((number, before))
+        before += n
+    offsets = F.broadcast(linked.sparkSession.createDataFrame(starts, "task long, offset long"))  # one row a partition
+    told = made.withColumn("task", task).join(offsets, "task").withColumn("place", F.col("offset") + F.col("at").bitwiseAND((1 << 33) - 1))
+    keyed = told.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
+    first = keyed.groupBy("root_conv", "root_turn").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("messages"))
+    placed = attach_groups(keyed, cut(first), ["root_conv", "root_turn"], "messages").withColumn("position", F.col("place") - F.col("first"))
+    lost = told.filter("conv_id IS NULL OR turn IS NULL").withColumn("position", F.lit(0).cast("long"))
+    return placed.select(*linked.columns, "position").unionByName(lost.select(*linked.columns, "position"))
 
 
 def quoted_conversations(conversations: DataFrame) -> DataFrame:
-    """The conversations as mail: each message after the first quotes a line of the one before, and of the one before that a level deeper."""
-    line = F.regexp_extract(F.coalesce("text", F.lit("")), "^[^\\n]+", 0)
-    heads = conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), line.alias("head"))
+    """The conversations as mail: each message after the first quotes the one before (by turns its whole text, its first paragraph, its first line), and what that one quoted a level deeper."""
+    whole = F.regexp_replace(F.coalesce("text", F.lit("")), "^\\n+|\\n+$", "")
+    part = F.when(F.col("turn") % 3 == 0, whole).when(F.col("turn") % 3 == 1, F.element_at(F.split(whole, "\n[ \t]*\n"), 1)).otherwise(F.regexp_extract(whole, "^[^\\n]*", 0))
+    heads = conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), part.alias("head"))
     heads = heads.groupBy("conv_id", "turn").agg(F.min("head").alias("head"))
     older = heads.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("head").alias("older"))
     quotes = heads.join(older, ["conv_id", "turn"], "left").filter("head != ''")
-    deep = F.when(F.coalesce("older", F.lit("")) != "", F.concat(F.lit(">> "), "older", F.lit("\n"))).otherwise("")
-    quoted = quotes.select("conv_id", "turn", F.concat(F.lit("They wrote:\n"), deep, F.lit("> "), "head", F.lit("\n")).alias("quoted"))
+    marked = lambda c, marks: F.concat(F.lit(marks), F.replace(c, F.lit("\n"), F.lit(f"\n{marks}")), F.lit("\n"))
+    deep = F.when(F.coalesce("older", F.lit("")) != "", marked(F.col("older"), ">> ")).otherwise("")
+    quoted = quotes.select("conv_id", "turn", F.concat(F.lit("They wrote:\n"), deep, marked(F.col("head"), "> ")).alias("quoted"))
     return conversations.join(quoted, ["conv_id", "turn"], "left").withColumn("text", F.concat(F.coalesce("quoted", F.lit("")), F.coalesce("text", F.lit("")))).drop("quoted")
 
 
 def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = link_quotations(quoted_conversations(table(spark, sf_dir, "conversations")))
-    return linked.withColumn("own_sha256", F.sha2("text", 256)).drop("text")
+    """The conversations without their quotes, in reply order: sort by root_conv, root_turn, position."""
+    return in_reply_order(link_quotations(quoted_conversations(table(spark, sf_dir, "conversations"))))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import attach_groups, cut, table, with_fields
+from .common import attach_groups, cut, drop_cut, table, with_fields
 from .graph import components
 
 CHUNK = 1 << 16
@@ -67,8 +67,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprint, StructType([f for f in schema.fields if f.name != "text"]))
 
 
-def anchors_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For uint64 fingerprints: row index, anchor, whether it is the row's home; every anchor within 2."""
+def anchors_of(fp: np.ndarray, homes: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For uint64 fingerprints: row index, anchor, whether it is the row's home; every anchor within 2, or the homes only."""
     index, anchor, home = [], [], []
     rows = np.arange(len(fp))
     for half in (0, 1):
@@ -86,6 +86,8 @@ def anchors_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             home.append(np.full(len(which), is_home))
 
         add(rows, nearest, last, True)
+        if homes:
+            continue
         add(rows, nearest, last ^ np.uint64(1), False)
         for place in range(1, 32):
             other = syndrome ^ np.uint64(place)
@@ -94,23 +96,26 @@ def anchors_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(index), np.concatenate(anchor), np.concatenate(home)
 
 
-def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-        for at in range(0, len(fp), CHUNK):
-            part = fp[at : at + CHUNK]
-            index, anchor, home = anchors_of(part)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(part[index].view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
+def _replicate(name: str, homes: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for at in range(0, len(fp), CHUNK):
+                part = fp[at : at + CHUNK]
+                index, anchor, _ = anchors_of(part, homes)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(part[index].view(np.int64))], ["anchor", name])
+
+    return run
 
 
 def links(distinct_fp: DataFrame, threshold: int = 3) -> DataFrame:
     """Edges (a, b), a < b, between distinct fingerprints within the threshold (3 at most)."""
     if not 0 <= threshold <= 3:
         raise ValueError("the anchors cover thresholds 0 to 3")
-    copies = cut(distinct_fp.select("fp").mapInArrow(_replicate, "anchor long, fp long, home boolean"))
-    homes = copies.filter("home").select("anchor", F.col("fp").alias("x"))
+    # replicas are made twice rather than stored: 34 rows a fingerprint go straight to the shuffle
+    homes, copies = (distinct_fp.select("fp").mapInArrow(_replicate(name, only), f"anchor long, {name} long") for name, only in (("x", True), ("y", False)))
     near = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= threshold
-    joined = homes.join(copies.select("anchor", F.col("fp").alias("y")), "anchor").filter((F.col("x") != F.col("y")) & near)
+    joined = homes.join(copies, "anchor").filter((F.col("x") != F.col("y")) & near)
     return joined.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
@@ -120,8 +125,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
     roots = components(links(prints, threshold)).withColumnRenamed("node", "fp")
     tagged = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = tagged.groupBy("root").agg(F.min("low").alias("component_id"))
-    linked = cut(tagged.join(ids, "root").select("fp", "component_id", "n"))
+    tagged = cut(tagged.select("root", "fp", "low", "n"))
+    ids = tagged.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("prints"))
+    linked = cut(attach_groups(tagged, ids, ["root"], "prints").select("fp", "component_id", "n"))
+    drop_cut(tagged)
+    drop_cut(prints)
     return attach_groups(rows, linked, ["fp"], "n")
 
 
