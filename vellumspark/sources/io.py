@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,12 +13,37 @@ def read_parquet(spark: SparkSession, path: str, schema: str | None = None, colu
     return df.select(*columns) if columns else df
 
 
-def unreadable_files(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> list[str]:
-    """Names of files without Parquet's marks at both ends; only 4 bytes of each end are kept."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    mark = F.lit(b"PAR1")
-    bad = files.filter((F.substring("content", 1, 4) != mark) | (F.expr("right(content, 4)") != mark))
-    return sorted(r["path"] for r in bad.select("path").collect())
+def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(place, path, n_bytes) of a folder's files and those below it, by name; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("n_bytes")).withColumn("place", F.row_number().over(Window.orderBy("path")) - 1).select("place", "path", "n_bytes")
+
+
+def silent_files(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet") -> DataFrame:
+    """(path) of the Parquet files that give no row: unreadable, or empty. Of readable files only footers are read."""
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    heard = reader.schema(schema).parquet(folder).select(F.col("_metadata.file_path").alias("path")).distinct()
+    return list_files(spark, folder, pattern).join(heard, "path", "left_anti").select("path")
+
+
+def read_state(spark: SparkSession, path: str, name: str = "title") -> DataFrame:
+    """The strings of a JSON list, one a row."""
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "array<string>")).alias(name))
+
+
+def write_state(df: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """A column of strings as one JSON list; over ``most`` of them is an error: a larger state is a table."""
+    name = df.columns[0]
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} entries")
+    df.agg(F.to_json(F.array_sort(F.collect_list(name)))).coalesce(1).write.mode("overwrite").text(path)
+
+
+def export_json(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """A subset as one JSON array; over ``most`` rows is an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows")
+    df.agg(F.to_json(F.collect_list(F.struct(*df.columns)))).coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -36,7 +61,7 @@ def read_results(spark: SparkSession, path: str, schema: str = "qid string, answ
 
 def read_lines(spark: SparkSession, path: str, name: str = "line") -> DataFrame:
     """Trimmed lines, blanks dropped."""
-    return spark.read.text(path).select(F.trim("value").alias(name)).filter(F.col(name) != "")
+    return spark.read.option("lineSep", "\n").text(path).select(F.trim("value").alias(name)).filter(F.col(name) != "")
 
 
 def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -73,3 +98,13 @@ def folder_size(spark: SparkSession, folder: str) -> DataFrame:
     """(n_files, n_bytes) of a folder and those below it, by the store's listing; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes"))
+
+
+def category_members(listing: DataFrame, json_col: str = "reply", namespaces: dict[int, str] | None = None) -> DataFrame:
+    """(category, title, kind) from the replies of a category listing: JSON with a list of members (ns, title); other name spaces are left out."""
+    kinds = namespaces or {0: "article", 14: "category"}
+    members = F.from_json(json_col, "query struct<categorymembers:array<struct<ns:int,title:string>>>")["query"]["categorymembers"]
+    kind = F.lit(None).cast("string")
+    for number, name in kinds.items():
+        kind = F.when(F.col("m.ns") == number, name).otherwise(kind)
+    return listing.select("category", F.explode(members).alias("m")).select("category", "m.title", kind.alias("kind")).filter("kind IS NOT NULL")

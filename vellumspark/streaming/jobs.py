@@ -2,26 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk_articles
 from ..operators.tables import upsert
 from ..schemas import from_documents
+from ..storage import drop_folder, exists
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A folder that all executors share if the session names one, else a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    made = tempfile.mkdtemp(prefix="vellumspark-stream-")
-    return f"{shared.rstrip('/')}/{made.rsplit('/', 1)[-1]}" if shared else made
-
-
 def source(spark: SparkSession, folder: str, pattern: str, schema: str, files_at_once: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
     return (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).parquet(folder)
@@ -34,19 +26,29 @@ def chunk_stream(documents: DataFrame, table: str, checkpoint: str, profile: str
 
 
 def upsert_stream(rows: DataFrame, table: str, checkpoint: str, key: str, version: str):
-    """Keyed last-wins upsert of each micro-batch: versions of the table are numbered folders, the newest is the table."""
+    """Keyed last-wins upsert of each micro-batch: versions of the table are numbered folders, the newest is the table.
+
+    A batch that is run again reads the version before it and overwrites its own;
+    a version that is missing or can't be read is an error, never an empty table.
+    Only the newest two versions are kept.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        try:
-            before = spark.read.parquet(f"{table}/v={number - 1}")
-        except Exception:  # the first batch has no table before it
-            before = batch.limit(0)
-        upsert(before, batch, key, version).write.mode("overwrite").parquet(f"{table}/v={number}")
+        spark, at = batch.sparkSession, lambda n: f"{table}/v={n}"
+        before = spark.read.parquet(at(number - 1)) if number else batch.limit(0)
+        upsert(before, batch, key, version).write.mode("overwrite").parquet(at(number))
+        if number > 1 and exists(spark, at(number - 2)):
+            drop_folder(spark, at(number - 2))
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def newest_version(spark: SparkSession, table: str) -> DataFrame:
+    """The table that ``upsert_stream`` has written."""
+    number = spark.read.parquet(table).agg(F.max("v")).first()[0]
+    return spark.read.parquet(f"{table}/v={number}")
+
+
 def window_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Tumbling windows by type; a batch frame gives all windows, a stream closes them by the watermark."""
     marked = events.withWatermark("ts", late) if events.isStreaming else events
