@@ -46,6 +46,15 @@ def test_query_without_sql_runs(spark, duck, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
+def test_missing_llm_folders_are_the_only_import_error_that_passes(monkeypatch):
+    def missing(name):
+        raise ModuleNotFoundError(f"No module named '{name}'", name="xxhash")
+
+    monkeypatch.setattr(entry.importlib, "import_module", missing)
+    with pytest.raises(ModuleNotFoundError):
+        entry._if_there("vellumspark.llm.registry")
+
+
 def test_entry(spark, duck):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -73,10 +73,10 @@ def test_all_queries_have_a_dense_leg(spark, tmp_path):
     spark.createDataFrame([(i, f"nothing shared {i}") for i in range(5, 260)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i, "some words") for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     ids = lambda name: {r["qid"] for r in QUERIES[name](spark, str(tmp_path)).select("qid").distinct().collect()}
-    for name in ("dense_topk_whole", "dense_payload_whole"):
+    for name in ("dense_topk", "dense_payload"):
         assert ids(name) == set(range(0, 300, 20))
     for name in ("hybrid_rrf", "hybrid_rrf_compat", "hybrid_rrf_9999", "hybrid_max_norm", "hybrid_threshold", "payload_complete"):
-        assert ids(f"{name}_whole") == set(range(5, 260))
+        assert ids(f"{name}") == set(range(5, 260))
 
 
 def test_dense_in_blocks(spark):

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from vellumspark.operators import pages, tables
@@ -53,10 +55,10 @@ def test_sources_and_sinks(spark, tmp_path):
     assert rows(io.read_lines(spark, f"{tmp_path}/lines.txt"), "line") == [("a",), ("b",)]
     (tmp_path / "bom.txt").write_text("﻿whole\ntext", encoding="utf-8")
     assert io.read_whole_texts(spark, f"{tmp_path}/bom.txt").first()["text"] == "whole\ntext"
-    io.write_parquet(df, f"{tmp_path}/pq", rows_per_file=1)
+    io.write_parquet(df.coalesce(1), f"{tmp_path}/pq", rows_per_file=1)
     (tmp_path / "pq" / "bad.parquet").write_bytes(b"junk")
     assert io.read_parquet(spark, f"{tmp_path}/pq", "qid string, answer string", ["qid"], skip_bad=True).count() == 2
-    assert [p.rsplit("/", 1)[-1] for p in io.unreadable_files(spark, f"{tmp_path}/pq")] == ["bad.parquet"]
+    assert [r["path"].rsplit("/", 1)[-1] for r in io.silent_files(spark, f"{tmp_path}/pq", "qid string, answer string").collect()] == ["bad.parquet"]
     io.replace_table(io.read_results(spark, f"{tmp_path}/csv").limit(1), f"{tmp_path}/csv2", f"{tmp_path}/staging")
     assert spark.read.parquet(f"{tmp_path}/csv2").count() == 1
 
@@ -74,7 +76,20 @@ def test_streams(spark, tmp_path):
         batch.coalesce(1).write.mode("append").parquet(f"{tmp_path}/up")
         stream = jobs.source(spark, f"{tmp_path}/up", "*.parquet", jobs.DOCUMENTS)
         jobs.upsert_stream(stream, f"{tmp_path}/table", f"{tmp_path}/upstate", "doc_id", "n_chars").awaitTermination()
-    assert rows(spark.read.parquet(f"{tmp_path}/table/v=1"), "doc_id", "source") == [(0, "s"), (1, "new"), (2, "s")]
+    assert rows(jobs.newest_version(spark, f"{tmp_path}/table"), "doc_id", "source") == [(0, "s"), (1, "new"), (2, "s")]
+
+
+def test_a_damaged_version_is_an_error(spark, tmp_path):
+    docs = lambda ids: spark.createDataFrame([(i, "t", "en", "s", i) for i in ids], jobs.DOCUMENTS)
+    run = lambda: jobs.upsert_stream(jobs.source(spark, f"{tmp_path}/up", "*.parquet", jobs.DOCUMENTS), f"{tmp_path}/table", f"{tmp_path}/state", "doc_id", "n_chars").awaitTermination()
+    docs([1, 2]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/up")
+    run()
+    for file in (tmp_path / "table" / "v=0").glob("*.parquet"):
+        file.write_bytes(b"damaged")
+    docs([3]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/up")
+    with pytest.raises(StreamingQueryException):
+        run()
+    assert not (tmp_path / "table" / "v=1").exists()
 
 
 def test_windows(spark):
@@ -89,7 +104,7 @@ def test_bookkeeping_reads_all_documents(spark, tmp_path):
 
     rows = [(i, ["en", "es", None][i % 3], "a", i) for i in range(12)]
     spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {tuple(r) for r in QUERIES["state_upsert_whole"](spark, str(tmp_path)).select("doc_id", "source").collect()}
+    got = {tuple(r) for r in QUERIES["state_upsert"](spark, str(tmp_path)).select("doc_id", "source").collect()}
     assert got == {(i, "a" if i % 2 else "new") for i in range(12)}
-    got = sorted((tuple(r) for r in QUERIES["insert_ignore_whole"](spark, str(tmp_path)).select("doc_id", "lang").collect()), key=lambda r: r[0])
+    got = sorted((tuple(r) for r in QUERIES["insert_ignore"](spark, str(tmp_path)).select("doc_id", "lang").collect()), key=lambda r: r[0])
     assert got == [(-1 - i, "new") for i in (11, 9, 7, 5, 3, 1)] + [(r[0], r[1]) for r in rows]

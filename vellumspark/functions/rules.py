@@ -103,6 +103,31 @@ def route_model(question: Column, opts: Column, safety: Column, domain: Column,
     )
 
 
+def political_rescue(question: Column) -> Column:
+    """Whether a question that the older router's model calls unsafe is a historical one after all."""
+    q = lower(question)
+    return contains_any(q, w.RESCUE) & ~contains_any(q, w.NO_RESCUE)
+
+
+def route_model_old(question: Column, opts: Column, safety: Column, domain: Column) -> Column:
+    """The older model router: rescue, then intent, large from 500 characters on, a no-information option kept for STEM only; an unreadable reply takes the older rules."""
+    q, no, yes = lower(question), F.lit(False), F.lit(True)
+    told, domain = F.upper(safety), F.upper(F.coalesce(domain, F.lit("SOCIAL")))
+    unsafe = ((told == "UNSAFE") & ~political_rescue(question)) | matches_any(q, w.INTENT_OVERRIDE_OLD)
+    stem = domain == "STEM"
+    large = stem | (domain == "LEGAL") | (F.length(question) > 500)
+    key = F.when(stem & (refusal_type(opts) == "NO_INFO"), refusal_key(opts))
+    tag = F.concat(F.lit("AI-"), domain, F.when(large, "-L").otherwise("-S"))
+    blocked = _route(yes, no, no, F.lit("BLOCKED-AI-BLOCKED"), blocked_key(opts), F.lit("SAFETY"))
+    open_ = _route(no, stem, large, tag, key, F.when(key.isNotNull(), "NO_INFO"))
+    return F.when(told.isNull(), route_rules_old(question, opts)).when(unsafe, blocked).otherwise(open_)
+
+
+def confirmed_unsafe(reply: Column) -> Column:
+    """The safety filter's reply says UNSAFE; no reply says nothing."""
+    return F.contains(F.upper(F.coalesce(reply, F.lit(""))), F.lit("UNSAFE"))
+
+
 def route_four(question: Column) -> Column:
     """BLOCKED, STEM, COMPLEX or SIMPLE."""
     q = lower(question)
@@ -170,12 +195,13 @@ def longest_answer(opts: Column) -> Column:
     return F.array_max(F.transform(opts, lambda o, i: F.struct(F.length(o["text"]).alias("n"), (-i).alias("place"), o["key"].alias("key"))))["key"]
 
 
-def _number(text: Column) -> Column:
+def first_number(text: Column) -> Column:
+    """The first run of digits and points as a number, null if it is none."""
     return F.regexp_extract(text, r"([\d\.]+)", 1).try_cast("double")
 
 
 def _extreme(opts: Column, sign: int) -> Column:
-    numbers = F.transform(opts, lambda o, i: F.struct((sign * _number(o["text"])).alias("n"), (-i).alias("place"), o["key"].alias("key")))
+    numbers = F.transform(opts, lambda o, i: F.struct((sign * first_number(o["text"])).alias("n"), (-i).alias("place"), o["key"].alias("key")))
     return F.array_max(F.filter(numbers, lambda x: x["n"].isNotNull()))["key"]
 
 
@@ -202,6 +228,19 @@ def contradicts(answer: Column, opts: Column) -> Column:
     return F.coalesce(all_above(chosen) & (refusal_key(opts) != answer), F.lit(False))
 
 
+def uncertain(reply: Column, answer: Column) -> Column:
+    """No letter, or a reply that speaks of missing information."""
+    low = lower(reply)
+    return answer.isNull() | (F.contains(low, F.lit(w.NOT)) & F.contains(low, F.lit(w.INFORMATION)))
+
+
+def checked_answer(reply: Column, answer: Column, opts: Column, hint_key: Column, hint_type: Column, use_hint: bool = False) -> Column:
+    """The letter after the checks: an uncertain one gives way to a no-information hint (if such hints are used), one that contradicts the options goes."""
+    hinted = F.when((hint_type == "NO_INFO") & uncertain(reply, answer), hint_key) if use_hint else F.lit(None).cast("string")
+    last = F.coalesce(hinted, answer)
+    return F.when(~contradicts(last, opts), last)
+
+
 # --- prompts
 
 
@@ -212,6 +251,18 @@ def context_block(texts: Column, limit: int, first: int | None = None, squeezed:
     return F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), body(t))), "\n\n")
 
 
+def context_words(texts: Column, words: int) -> Column:
+    """Numbered paragraphs of the first words each."""
+    body = lambda t: F.array_join(F.slice(F.split(squeeze(t), " "), 1, words), " ")
+    return F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), body(t), F.lit("..."))), "\n\n")
+
+
+def titled_context(titles: Column, texts: Column) -> Column:
+    """Whole paragraphs, each under the title of its source."""
+    both = F.arrays_zip(titles.alias("title"), texts.alias("text"))
+    return F.array_join(F.transform(both, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] ("), F.coalesce(x["title"], F.lit("Unknown")), F.lit(")\n"), x["text"])), "\n\n")
+
+
 def options_block(opts: Column) -> Column:
     return F.array_join(F.transform(opts, lambda o: F.concat(o["key"], F.lit(". "), o["text"])), "\n")
 
@@ -224,6 +275,11 @@ def trace_status(answer: Column, truth: Column) -> Column:
     return F.when(truth.isNull(), "unlabelled").when(F.trim(answer) == F.trim(truth), "right").otherwise("wrong")
 
 
+def trace_line(key: Column, answer: Column, truth: Column) -> Column:
+    shown = F.coalesce(F.trim(truth), F.lit("-"))
+    return F.concat(F.lit("["), key.cast("string"), F.lit("] "), F.upper(trace_status(answer, truth)), F.lit(" answer="), F.coalesce(F.trim(answer), F.lit("-")), F.lit(" truth="), shown)
+
+
 # --- older variants
 
 

@@ -1,11 +1,15 @@
-"""Text columns: clean-up, tokens, flags, categories, ids. All JVM-side; no Python UDF."""
+"""Text columns: clean-up, tokens, flags, categories, ids. All JVM-side but for composing characters and segmenting words."""
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import words as w
 
@@ -37,7 +41,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def nfc_spaces(text: Column) -> Column:
+@F.pandas_udf(StringType())
+def nfc(texts: pd.Series) -> pd.Series:
+    """Composed normal form. Keyword rules match composed text only; no built-in expression composes."""
+    return texts.map(lambda x: x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
+
+
+def clean_spaces(text: Column) -> Column:
     """Non-breaking spaces to spaces, zero-width characters and carriage returns removed, lines trimmed."""
     plain = F.translate(text, " ​‌‍﻿\r", " ")
     return F.array_join(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), "\n")
@@ -48,6 +58,32 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(lower(text), TOKEN_GAP), lambda t: t != "")
 
 
+def segmented(segment: Callable[[str], list[str]]) -> Callable[[Column], Column]:
+    """A tokenizer like ``tokens`` whose words a segmenter groups: it gets the words joined by spaces."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: [w for w in segment(x) if w])
+
+    return lambda text: run(F.array_join(tokens(text), " "))
+
+
+class LongestMatch:
+    """Groups the longest known phrases from the left, joined by underscores."""
+
+    def __init__(self, phrases: list[str]):
+        self.phrases = {tuple(p.split()) for p in phrases}
+        self.longest = max(map(len, self.phrases), default=1)
+
+    def __call__(self, text: str) -> list[str]:
+        words, out, at = text.split(), [], 0
+        while at < len(words):
+            n = next((n for n in range(min(self.longest, len(words) - at), 1, -1) if tuple(words[at : at + n]) in self.phrases), 1)
+            out.append("_".join(words[at : at + n]))
+            at += n
+        return out
+
+
 def word_count(text: Column) -> Column:
     """Runs of word characters of any script. By splitting: counting matches copies the text for each of them."""
     return F.size(F.filter(F.split(text, w.NOT_W + "+"), lambda t: t != ""))
@@ -72,7 +108,7 @@ def squeeze(text: Column) -> Column:
 
 def break_before_markers(text: Column) -> Column:
     """A newline before every article or chapter marker that stands inside a line."""
-    return F.regexp_replace(text, r"(?<=[^\n \t])[ \t]*(?=(?:Điều \d+\.|CHƯƠNG [IVXLC0-9]+|MỤC [IVXLC0-9]+))", "\n")
+    return F.regexp_replace(text, w.MARKER_INSIDE, "\n")
 
 
 def wiki_clean(text: Column) -> Column:
@@ -201,6 +237,15 @@ def slug_title(url: Column) -> Column:
     return F.initcap(F.translate(F.element_at(F.split(F.regexp_replace(url, r"/+$", ""), "/"), -1), "-_", "  "))
 
 
+def iso_time(at: Column) -> Column:
+    """A timestamp as ISO text, in the session's time zone; the clock is the caller's."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def day_month_year(at: Column) -> Column:
+    return F.date_format(at, "dd/MM/yyyy")
+
+
 def syntax_issues(text: Column) -> Column:
     """'lower-case start', 'no final mark', both, or 'OK'."""
     start = F.when(text.rlike("^[a-zà-ỹ]"), "lower-case start")

@@ -116,12 +116,34 @@ FOUR_LOGIC = [
 # Statutes
 STATUTE_GARBAGE = ["Tải về", "Mục lục", "Về đầu trang"]
 
+MARKER_INSIDE = r"(?<=[^\n])(?=Điều \d+|CHƯƠNG|MỤC|PHẦN)"
+STATUTE_GARBAGE_WIDE = ["Tải về", "Mục lục", "Về đầu trang", "Quảng cáo", "In bài viết", "Copy thành công"]
+
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # Line and link filters of crawled pages
 GARBAGE_LINES = ["quảng cáo", "xem thêm", "tải về", "mục lục", "bản in", "trang chủ", "vietjack", "bình luận", "theo dõi chúng tôi"]
 DENIED_LINKS = ["facebook", "youtube", "#"]
 
+DENIED_LINKS_OF_LISTS = ["print", "javascript", "#", "download", "jpg", "png"]
+DETAIL_LINKS = ["chi-tiet", "handle"]
+SITE_GARBAGE = ["ads", "quangcao", "box-lien-quan", "bottom-mobile", "tool-bar"]
+SITE_LINKS = ["Tải về", "Xem thêm"]
+SITE_TAGS = ["script", "style", "noscript", "iframe", "button", "input"]
+
+# Checks of replies
+NOT = "không"
+INFORMATION = "thông tin"
+
+# Older router
+RESCUE = ["hồ chí minh", "bác hồ", "đảng", "cách mạng", "chiến tranh", "kháng chiến", "lịch sử"]
+NO_RESCUE = ["khiêu dâm", "sex", "porn", "lật đổ", "khủng bố", "xuyên tạc", "bôi nhọ"]
+INTENT_OVERRIDE_OLD = [
+    r"(?:cách|phương pháp)[^\n]*(?:vi phạm|trốn|tránh|lách)",
+    r"tránh[^\n]*(?:cung cấp|khai báo)[^\n]*thông tin",
+    r"tiếp tục[^\n]*hoạt động[^\n]*(?:bị đình chỉ|bị cấm)",
+]
+
 # Older heuristics
 NEGATIVE_WORDS = ["không", "ngoại trừ", "sai", "trừ"]
 REFUSAL_REPLIES = ["không có thông tin", "không tìm thấy", "không được đề cập", "không đủ cơ sở"]

@@ -206,25 +206,34 @@ class StatuteRules:
 
     article and context: patterns of lines that open an article or a chapter;
     titles: whether other upper-case lines join the context; garbage: lines with
-    any of these are skipped; breaks: put markers inside lines on lines of their own.
+    any of these (in any case, if fold) are skipped; breaks: put markers inside lines on lines of their own;
+    upper-case lines under ``title_below`` characters end an article in any case;
+    leaders: dots that mark a line of a table of contents.
     """
 
-    def __init__(self, article: str, context: str, titles: bool, garbage: list[str], shortest: int = 1, breaks: bool = False, not_title: tuple[str, ...] = ("ĐIỀU",), leaders: bool = False):
+    def __init__(self, article: str, context: str, titles: bool, garbage: list[str], shortest: int = 1, breaks: bool = False, not_title: tuple[str, ...] = ("ĐIỀU",), leaders: str = "", title_below: int = 100, fold: bool = False):
+        self.title_below = title_below
         self.article, self.context = re.compile(article), re.compile(context, re.IGNORECASE)
         self.titles, self.garbage, self.shortest, self.breaks, self.not_title, self.leaders = titles, garbage, shortest, breaks, not_title, leaders
 
+        self.fold = fold
+
+    def is_garbage(self, line: str) -> bool:
+        return any(x.lower() in line.lower() if self.fold else x in line for x in self.garbage) or bool(self.leaders and self.leaders in line)
+
     def is_title(self, line: str) -> bool:
-        return line.isupper() and len(line) < 100 and not any(x in line for x in self.not_title)
+        return line.isupper() and len(line) < self.title_below and not any(x in line for x in self.not_title)
 
 
 #: Patterns and words of the parser's option sets.
 STATUTE_RULES = {
     "v1": StatuteRules(r"Điều \d+[\.\:\s]", r"(CHƯƠNG|MỤC|PHẦN) [IVX0-9]+", False, ["TVPL"], shortest=5),
-    "v3": StatuteRules(r"(?i:Điều\s+\d+)", r"(CHƯƠNG|MỤC|PHẦN)\s+[IVX0-9]+", True, [], breaks=True, not_title=("ĐIỀU", "CỘNG HÒA"), leaders=True),
-    "v4": StatuteRules(r"(?i:Điều\s+\d+)", r"(CHƯƠNG|MỤC|PHẦN)\s+[IVX0-9]+", True, w.STATUTE_GARBAGE, shortest=6, breaks=True, not_title=("ĐIỀU", "CỘNG HÒA"), leaders=True),
+    "v2": StatuteRules(r"Điều \d+[\.\:\s]", r"(CHƯƠNG|MỤC|PHẦN) [IVX0-9]+", False, [], breaks=True, leaders=".......", title_below=150),
+    "v3": StatuteRules(r"Điều \d+[\.\:\s]", r"(CHƯƠNG|MỤC|PHẦN) [IVX0-9]+", False, [], shortest=3, breaks=True, not_title=("ĐIỀU", "CỘNG HÒA"), leaders="......", title_below=150),
+    "v4": StatuteRules(r"Điều \d+[\.\:\s]", r"(CHƯƠNG|MỤC|PHẦN) [IVX0-9]+", False, w.STATUTE_GARBAGE_WIDE, shortest=3, breaks=True, not_title=("ĐIỀU", "CỘNG HÒA"), title_below=150, fold=True),
     "strict": StatuteRules(r"(?i:Điều\s+\d+)", r"(CHƯƠNG|MỤC|PHẦN)\s+", True, w.STATUTE_GARBAGE, not_title=("ĐIỀU", "CỘNG HÒA")),
 }
-_MARKER = re.compile(r"(?<=[^\n \t])[ \t]*(?=(?:Điều \d+\.|CHƯƠNG [IVXLC0-9]+|MỤC [IVXLC0-9]+))")
+_MARKER = re.compile(w.MARKER_INSIDE)
 
 
 def parse_statute(text: str | None, title: str, rules: StatuteRules) -> list[str]:
@@ -234,7 +243,7 @@ def parse_statute(text: str | None, title: str, rules: StatuteRules) -> list[str
     context: list[str] = []
     open_ = False
     for line in map(str.strip, text.split("\n")):
-        if len(line) < rules.shortest or any(x in line for x in rules.garbage) or (rules.leaders and "....." in line):
+        if len(line) < rules.shortest or rules.is_garbage(line):
             continue
         chapter = bool(rules.context.match(line))
         if rules.article.match(line):

@@ -70,6 +70,30 @@ class _Reader(HTMLParser):
         return out
 
 
+class _SiteReader(_Reader):
+    """Drops elements by parts of their classes, and links by their words."""
+
+    def __init__(self, dropped: set[str], parts: tuple[str, ...], words: tuple[str, ...]):
+        self.parts, self.words, self.link = parts, words, None
+        super().__init__(dropped, ())
+
+    def handle_starttag(self, tag, attrs):
+        super().handle_starttag(tag, attrs)
+        marks = " ".join(v or "" for k, v in attrs if k == "class")
+        if tag not in VOID and any(p in marks for p in self.parts):
+            self.open[-1] = (tag, True)
+        if tag == "a" and self.link is None:
+            self.link = (self.blocks[-1], len(self.blocks[-1]["text"]))
+
+    def handle_endtag(self, tag):
+        if tag == "a" and self.link:
+            block, at = self.link
+            if any(x in "".join(block["text"][at:]) for x in self.words):
+                del block["text"][at:]
+            self.link = None
+        super().handle_endtag(tag)
+
+
 def read_page(html: str | None, dropped: set[str] = DROPPED_TAGS, noise: tuple[str, ...] = NOISE) -> _Reader:
     reader = _Reader(dropped, noise)
     reader.feed(html or "")
@@ -87,6 +111,22 @@ def boilerplate_free(html: Column) -> Column:
     return run(html)
 
 
+def site_free(html: Column, tags: list[str] = w.SITE_TAGS, garbage: list[str] = w.SITE_GARBAGE, links: list[str] = w.SITE_LINKS) -> Column:
+    """A law site's text, one block a line: without these tags, elements with a class that has one of these parts, and links with these words."""
+
+    @F.pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        def lines(page: str | None) -> str:
+            reader = _SiteReader(set(tags), tuple(garbage), tuple(links))
+            reader.feed(page or "")
+            reader.close()
+            return "\n".join(text for text, _ in reader.lines())
+
+        return pages.map(lines)
+
+    return run(html)
+
+
 def main_content(html: Column, least: int = 200, shortest_block: int = 25, most_linked: float = 0.5) -> Column:
     """struct(title, text, n_blocks): blocks of enough text with few links; all blocks if that leaves too little."""
 
@@ -160,9 +200,29 @@ def crawl_state(pages: DataFrame) -> DataFrame:
     return pages.select(F.md5("url").alias("url_hash"), "url")
 
 
-def listed_links(found: DataFrame, pattern: str, denied: list[str] = w.DENIED_LINKS) -> DataFrame:
-    """Links that have the pattern and none of the denied parts."""
-    return found.filter(F.contains(F.col("link"), F.lit(pattern)) & ~contains_any(F.col("link"), denied))
+def listed_links(found: DataFrame, pattern: str, denied: list[str] = w.DENIED_LINKS, title_longer: int | None = None, url_longer: int | None = None, detail: list[str] | None = None) -> DataFrame:
+    """Links that have the pattern and none of the denied parts.
+
+    title_longer: a title of more characters (column title); url_longer: more
+    characters than the page's URL by so many; detail: or rather one of these
+    parts, for sites whose detail pages have them.
+    """
+    kept = found.filter(F.contains(F.col("link"), F.lit(pattern)) & ~contains_any(F.col("link"), denied))
+    if title_longer is not None:
+        kept = kept.filter(F.length(F.trim("title")) > title_longer)
+    if detail:
+        kept = kept.filter(contains_any(F.col("link"), detail))
+    elif url_longer is not None:
+        kept = kept.filter(F.length("link") > F.length("url") + url_longer)
+    return kept
+
+
+def titled_links(pages: DataFrame) -> DataFrame:
+    """(url, link, title) of all anchors with their plain text, the first title of each link."""
+    anchors = pages.select("url", F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="[^"#]+"[^>]*>[^<]*'), F.lit(0))).alias("a"))
+    parts = anchors.select("url", F.regexp_extract("a", r'href="([^"#]+)"', 1).alias("href"), F.trim(F.regexp_extract("a", r">([^<]*)$", 1)).alias("title"))
+    found = parts.filter(~F.col("href").rlike("^(?:javascript|mailto):")).select("url", absolute_url(F.col("url"), F.col("href")).alias("link"), "title")
+    return found.groupBy("url", "link").agg(F.min("title").alias("title"))
 
 
 def until_empty(listing: DataFrame, most_empty: int = 3, most_pages: int = 70) -> DataFrame:

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens, uuid5
-from ..providers import embed
+from ..functions.text import squeeze, tokens, uuid5
+from ..providers import ask, embed
 
 #: A query batch of at most this many rows is sent to all tasks; larger ones are joined by shuffle.
 MOST_SENT = 200_000
@@ -40,14 +41,14 @@ def top_k(df: DataFrame, k: int, score: str = "score", key: str = "qid", tie: st
 # --- BM25
 
 
-def doc_tokens(chunks: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return chunks.select(F.col(id_col).alias("chunk_id"), tokens(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens"))
+def doc_tokens(chunks: DataFrame, id_col: str, text_col: str, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
+    return chunks.select(F.col(id_col).alias("chunk_id"), tokenizer(F.col(text_col)).alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
-def build_bm25(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "vector_text") -> dict[str, DataFrame]:
+def build_bm25(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "vector_text", tokenizer: Callable[[Column], Column] = tokens) -> dict[str, DataFrame]:
     """The index tables: postings(term, chunk_id, tf, dl), doc_stats, term_stats, corpus_stats (one row)."""
     chunks = spread(chunks.select(id_col, text_col))
-    docs = doc_tokens(chunks, id_col, text_col)
+    docs = doc_tokens(chunks, id_col, text_col, tokenizer)
     postings = docs.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     return {
         "postings": postings,
@@ -57,45 +58,160 @@ def build_bm25(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "vec
     }
 
 
-def save_index(index: dict[str, DataFrame], path: str) -> None:
+INDEX_TABLES = ("postings", "doc_stats", "term_stats", "corpus_stats")
+
+
+def save_index(index: dict[str, DataFrame], path: str, k1: float = 1.5, b: float = 0.75) -> None:
+    """The four tables and a metadata row. chunk_id stands in the tables themselves: there is no separate id map."""
     for name, df in index.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+    spark = next(iter(index.values())).sparkSession
+    saved = load_index(spark, path)
+    sizes = saved["corpus_stats"].select("n_docs").crossJoin(saved["term_stats"].agg(F.count(F.lit(1)).alias("n_terms")))  # one row each
+    sizes.withColumns({"method": F.lit("lucene"), "k1": F.lit(k1), "b": F.lit(b)}).coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+
+
+def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in INDEX_TABLES}
+
+
+def index_search(index: dict[str, DataFrame], questions: DataFrame, k: int, qid_col: str = "qid", question_col: str = "question", k1: float = 1.5, b: float = 0.75, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """``bm25_search`` over a saved index: postings of the asked terms only, nothing is tokenised again."""
+    n_docs, avgdl = index["corpus_stats"].select("n_docs", "avgdl").first()
+    asked = asked_terms(questions, qid_col, question_col, tokenizer)
+    send = F.broadcast if asked.limit(MOST_SENT + 1).count() <= MOST_SENT else lambda df: df
+    stats = index["term_stats"].join(send(asked.select("term").distinct()), "term").select("term", idf(F.lit(n_docs or 0), F.col("df")).alias("idf"))
+    weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
+    scored = index["postings"].join(send(asked.join(stats, "term")), "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score"))
+    return top_k(scored.filter("score > 0"), k)
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def bm25_search(chunks: DataFrame, questions: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "vector_text", qid_col: str = "qid", question_col: str = "question", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def asked_terms(questions: DataFrame, qid_col: str, question_col: str, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
+    return questions.select(F.col(qid_col).alias("qid"), F.explode(tokenizer(F.col(question_col))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def bm25_search(chunks: DataFrame, questions: DataFrame, k: int, id_col: str = "chunk_id", text_col: str = "vector_text", qid_col: str = "qid", question_col: str = "question", k1: float = 1.5, b: float = 0.75, most_terms: int = MOST_SENT, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
     """(qid, chunk_id, score, rank): Lucene's BM25 without the (k1 + 1) factor; positive scores, k at most.
 
-    Only postings of the batch's terms are made: the corpus's tokens are joined
-    to the distinct query terms before anything is shuffled.
+    The corpus is read twice and never shuffled: one pass counts the terms that are
+    asked for, one scores.  A task keeps the best k of each question, so what is
+    shuffled is k rows a question and task.  The batch's terms go to all tasks;
+    over ``most_terms`` of them the questions are taken in blocks.
     """
-    chunks = spread(chunks.select(id_col, text_col))
-    docs = doc_tokens(chunks, id_col, text_col)
-    n_docs, avgdl = chunks.agg(F.count(F.lit(1)), F.avg(F.size(tokens(F.col(text_col))))).first()
-    asked = questions.select(F.col(qid_col).alias("qid"), F.explode(tokens(F.col(question_col))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    few = asked.limit(MOST_SENT + 1).count() <= MOST_SENT  # then the terms and the weighted query are as few
-    send = F.broadcast if few else lambda df: df
-    terms = send(asked.select("term").distinct())
-    postings = docs.select("chunk_id", "dl", F.explode("tokens").alias("term")).join(terms, "term").groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    stats = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", idf(F.lit(n_docs or 0), F.col("df")).alias("idf"))
-    weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
-    query = asked.join(stats, "term")
-    scored = postings.join(send(query), "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score"))
-    return top_k(scored.filter("score > 0"), k)
+    asked = asked_terms(questions, qid_col, question_col, tokenizer)
+    n = asked.count()
+    blocks = max(1, -(-n // most_terms))
+    parts = [asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) for i in range(blocks)]
+    docs = doc_tokens(spread(chunks.select(id_col, text_col)), id_col, text_col, tokenizer).select("chunk_id", "tokens")
+    return top_k(functools.reduce(DataFrame.unionByName, [_bm25_block(docs, part, k, k1, b) for part in parts]), k)
+
+
+def _bm25_block(docs: DataFrame, asked: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    schema = f"qid {dict(asked.dtypes)['qid']}, chunk_id {dict(docs.dtypes)['chunk_id']}, score double"
+    rows = sorted(asked.collect(), key=lambda r: r["term"])  # most_terms rows, but for one question's
+    if not rows:
+        return docs.sparkSession.createDataFrame([], schema)
+    terms, at = np.unique(np.array([r["term"] for r in rows], object), return_inverse=True)
+    counted = docs.select("tokens").mapInArrow(_count_terms(terms.tolist()), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    found = {r["term"]: r["n"] for r in counted}
+    n_docs, length = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.array([found.get(i, 0) for i in range(len(terms))], np.float64)
+    qids = list(dict.fromkeys(r["qid"] for r in rows))
+    number = {q: i for i, q in enumerate(qids)}
+    weights = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))[at] * np.array([r["qtf"] for r in rows], np.float64)
+    query = np.array([number[r["qid"]] for r in rows])
+    first = np.searchsorted(at, np.arange(len(terms) + 1))  # rows are in the order of their terms
+    score = _score_terms(terms.tolist(), qids, first, query, weights, k, k1, b, length / n_docs if length else 1.0)
+    return docs.mapInArrow(score, schema)
+
+
+def _term_pairs(column: pa.Array, known: pa.Array, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, tf) of the known terms in a column of token lists, and the lists' lengths."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = pc.fill_null(pc.index_in(column.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    keys, tf = np.unique((np.repeat(np.arange(len(lengths)), lengths) * terms + at)[at >= 0], return_counts=True)
+    return keys // terms, keys % terms, tf, lengths
+
+
+def _count_terms(terms: list[str]):
+    """Per task: the number of documents with each term; as term -1 that of all documents, as -2 of all tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, df, n, length = pa.array(terms, pa.string()), np.zeros(len(terms), np.int64), 0, 0
+        for batch in batches:
+            _, term, _, lengths = _term_pairs(batch.column("tokens"), known, len(terms))
+            df += np.bincount(term, minlength=len(terms))
+            n, length = n + len(lengths), length + int(lengths.sum())
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2]).astype(np.int32)), pa.array(np.append(df[some], [n, length]))], ["term", "n"])
+
+    return run
+
+
+def _score_terms(terms: list[str], qids: list, first: np.ndarray, query: np.ndarray, weights: np.ndarray, k: int, k1: float, b: float, avgdl: float):
+    at_once = max(1, 2_000_000 // len(query))  # documents, so that a step holds as many partial scores
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, best, kind = pa.array(terms, pa.string()), Best(len(qids), k), None
+        for batch in batches:
+            kind = batch.column("chunk_id").type
+            ids = np.array(batch.column("chunk_id").to_pylist(), object)
+            for a in range(0, batch.num_rows, at_once):
+                doc, term, tf, lengths = _term_pairs(batch.column("tokens").slice(a, at_once), known, len(terms))
+                weight = tf / (tf + k1 * (1 - b + b * lengths[doc] / avgdl))
+                many = first[term + 1] - first[term]
+                entry = np.arange(many.sum()) + np.repeat(first[term] - np.cumsum(many) + many, many)
+                place = query[entry] * len(lengths) + np.repeat(doc, many)
+                scores = np.bincount(place, weights[entry] * np.repeat(weight, many), len(qids) * len(lengths))
+                best.add(np.round(scores, 6).reshape(len(qids), len(lengths)), ids[a : a + len(lengths)], 0.0)
+        yield from best.batches(qids, kind)
+
+    return run
+
+
+class Best:
+    """The k best (score, then smallest id) of each query over any number of blocks of scores."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.least = k, np.full(queries, -np.inf)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object))] * queries
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, above: float = -np.inf, rows: np.ndarray | None = None) -> None:
+        """scores: queries (all, or those of the given numbers) by ids; only those over ``above`` count."""
+        rows = np.arange(len(scores)) if rows is None else rows
+        good = (scores >= self.least[rows, None]) & (scores > above)
+        for q in np.flatnonzero(good.any(axis=1)).tolist():
+            old, names = self.held[rows[q]]
+            new = np.flatnonzero(good[q])
+            if len(new) > 4 * self.k:  # all that can be among the best, ties with the last of them included
+                new = new[scores[q, new] >= np.partition(scores[q, new], -self.k)[-self.k]]
+            score, name = np.concatenate((old, scores[q, new])), np.concatenate((names, ids[new]))
+            order = np.array(sorted(range(len(score)), key=lambda i, s=score, n=name: (-s[i], n[i]))[: self.k])
+            self.held[rows[q]] = score[order], name[order]
+            if len(order) == self.k:
+                self.least[rows[q]] = score[order[-1]]
+
+    def batches(self, qids: list, kind: pa.DataType | None, at_once: int = 1000) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(qids), at_once) if kind is not None else ():
+            held = self.held[a : a + at_once]
+            names = [x for _, n in held for x in n.tolist()]
+            asked = [q for q, (_, n) in zip(qids[a : a + at_once], held, strict=True) for _ in range(len(n))]
+            yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(names, kind), pa.array(np.concatenate([s for s, _ in held]))], ["qid", "chunk_id", "score"])
 
 
 # --- vectors
 
 
-def dense_search(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", qid_col: str = "qid", query_col: str = "vector", most_queries: int = 20_000) -> DataFrame:
+def dense_search(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", qid_col: str = "qid", query_col: str = "vector", most_queries: int = 20_000, block: int = 256) -> DataFrame:
     """(qid, chunk_id, score, rank): exact cosine top k.
 
-    The queries (number checked) go to every task as one matrix; each batch of
-    points gives at most k rows for each query, so the shuffle is k rows a query
-    and batch, never queries times points.
+    The queries (number checked) go to every task as one matrix, of which ``block``
+    rows at a time are multiplied with a batch of points; a task gives k rows for
+    each query, so the shuffle is k rows a query and task, never queries times points.
     """
     rows = queries.select(qid_col, query_col).limit(most_queries + 1).collect()
     if len(rows) > most_queries:
@@ -108,21 +224,25 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int, id_col: str = "v
     q = _unit(np.array([r[1] for r in rows], np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kind = Best(len(ids), k), None
         for batch in batches:
             vectors = batch.column(1).drop_null()
-            if not len(vectors):
-                continue
-            names = batch.column(0).filter(batch.column(1).is_valid())
-            score = q @ _unit(np.array(vectors.to_pylist(), np.float64)).T
-            score = np.round(score, 6)
-            tie = names.to_numpy(zero_copy_only=False)
-            for i in range(len(ids)):
-                best = np.lexsort((tie, -score[i]))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(best)), names.take(pa.array(best)), pa.array(score[i][best])], ["qid", "chunk_id", "score"])
+            if len(vectors):
+                kind = batch.column(0).type
+                names = np.array(batch.column(0).filter(batch.column(1).is_valid()).to_pylist(), object)
+                unit = _unit(matrix(vectors)).T
+                for a in range(0, len(ids), block):
+                    best.add(np.round(q[a : a + block] @ unit, 6), names, rows=np.arange(a, min(a + block, len(ids))))
+        yield from best.batches(ids, kind)
 
     return top_k(points.select(id_col, vector_col).mapInArrow(run, schema), k)
 
 
+def matrix(vectors: pa.Array) -> np.ndarray:
+    """A list column without nulls as rows of doubles; all of one size."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
 def dense_search_blocks(points: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", qid_col: str = "qid", query_col: str = "vector", block: int = 10_000) -> DataFrame:
     """``dense_search`` for any number of queries: blocks of about ``block`` by a hash of the query id, one search each."""
     blocks = max(1, -(-queries.count() // block))
@@ -135,10 +255,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm == 0, 1, norm)
 
 
+def payload() -> Column:
+    """What a point carries of its chunk."""
+    return F.struct(F.col("doc_title").alias("title"), F.col("display_text").alias("text"), F.col("doc_category").alias("category"), F.col("doc_url").alias("url"), "chunk_id")
+
+
 def vector_points(chunks: DataFrame, provider) -> DataFrame:
     """The vector table: uuid5 id, vector, payload; a chunk that the provider gives no vector has a null one."""
-    payload = F.struct(F.col("doc_title").alias("title"), F.col("display_text").alias("text"), F.col("doc_category").alias("category"), F.col("doc_url").alias("url"), "chunk_id")
-    embedded = embed(chunks.select("chunk_id", "vector_text", payload.alias("payload")), provider, "vector_text")
+    embedded = embed(chunks.select("chunk_id", "vector_text", payload().alias("payload")), provider, "vector_text")
     return embedded.select(uuid5(F.col("chunk_id")).alias("id"), "vector", "payload")
 
 
@@ -206,6 +330,21 @@ def with_payload(hits: DataFrame, chunks: DataFrame, id_col: str, columns: list[
     return chunks.select(F.col(id_col).alias("chunk_id"), *columns).join(hits, "chunk_id")
 
 
+RERANK_PROMPT = "Name the numbers of the passages that help most to answer the question, best first, separated by commas. Numbers only."
+
+
+def rerank(hits: DataFrame, questions: DataFrame, chunks: DataFrame, chat, k: int = 8, most: int = 15, preview: int = 300, id_col: str = "chunk_id", text_col: str = "display_text") -> DataFrame:
+    """(qid, chunk_id, rank): the first ``most`` hits in the order that a model's reply names, k at most; k hits or fewer stay as they are."""
+    found = with_payload(hits.filter(F.col("rank") <= most), chunks, id_col, [text_col])
+    listed = found.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.substring(squeeze(F.col(text_col)), 1, preview).alias("text")))).alias("h"))  # most rows at most
+    passages = F.array_join(F.transform("h", lambda x, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), x["text"])), "\n")
+    asked = listed.join(questions.select("qid", "question"), "qid").select("qid", "h", F.lit(RERANK_PROMPT).alias("system"), F.concat(F.lit("Question: "), "question", F.lit("\n"), passages).alias("user"))
+    few = F.size("h") <= k
+    replied = ask(asked.filter(~few), chat, "system", "user", "reply").select("qid", "h", "reply").unionByName(asked.filter(few).select("qid", "h", F.lit("").alias("reply")))
+    order = parse_ranking(F.col("reply"), F.size("h"), k)
+    return replied.select("qid", "h", F.posexplode(order).alias("place", "at")).select("qid", F.element_at("h", F.col("at") + 1)["chunk_id"].alias("chunk_id"), (F.col("place") + 1).alias("rank"))
+
+
 def parse_ranking(reply: Column, n: Column, k: int) -> Column:
     """Positions (from 0) that a reranking reply names, distinct and in range, filled up in order, k at most."""
     named = F.transform(F.regexp_extract_all(F.coalesce(reply, F.lit("")), F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))

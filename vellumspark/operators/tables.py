@@ -78,3 +78,14 @@ def accuracy(predictions: DataFrame, truth: DataFrame, qid: str = "qid") -> Data
     joined = predictions.select(qid, F.trim(F.col("answer").cast("string")).alias("p")).join(truth.select(qid, F.trim(F.col("answer").cast("string")).alias("t")), qid)
     right = F.count_if(F.col("p") == F.col("t"))
     return joined.agg(F.count(F.lit(1)).alias("checked"), right.alias("correct")).withColumn("accuracy", F.round(100 * F.col("correct") / F.col("checked"), 4))
+
+
+def length_ranges(text: Column) -> dict[str, Column]:
+    """Texts that are worth a look: under 100 characters, over 1,500, over 800 words."""
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda t: t != ""))
+    return {"short": F.length(text) < 100, "long": F.length(text) > 1500, "wordy": words > 800}
+
+
+def seeded_sample(df: DataFrame, key: str, most: int, seed: int = 7) -> DataFrame:
+    """The rows of least hash: the same ones in every run."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(most)

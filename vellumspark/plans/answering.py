@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import prompts
 from ..functions import rules as r
 from ..functions.replies import verdict
 from ..operators.retrieval import bm25_search, dense_search, fuse_ranks, with_payload
 from ..providers import ask
 from ..settings import Settings
+from ..storage import cut
 
 ROUTER_PROMPT = "Classify the question. Reply with one JSON object with the keys safety (SAFE or UNSAFE), domain (STEM, LEGAL or SOCIAL) and refusal_status (NO_INFO_VALID, TRAP_IGNORED, SAFETY_REFUSAL or NONE)."
-STEM_PROMPT = "Solve the multiple-choice question step by step with exact calculation, then end with: ### ĐÁP ÁN: <letter>"
-SOCIAL_PROMPT = "Answer the multiple-choice question from the passages first and general knowledge second, then end with: ### ĐÁP ÁN: <letter>"
 
 
 def lettered(questions: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ FORCE_PROMPT = "Use your own knowledge to choose the best letter. No explanation
 def again(replied: DataFrame, chat) -> DataFrame:
     """Second pass over replies that say they do not know: the option that says so answers, else the model is asked without passages."""
     unsure = r.refusal_reply(F.col("reply"))
-    kept = replied.withColumn("unsure", F.coalesce(unsure, F.lit(False))).persist()  # a paid reply is used twice below
+    kept = cut(replied.withColumn("unsure", F.coalesce(unsure, F.lit(False))))  # a paid reply is used more than once below
     sure = kept.filter(~F.col("unsure"))
     option = r.no_info_key(F.col("options"))
     chosen = kept.filter(F.col("unsure") & option.isNotNull()).withColumn("reply", F.concat(F.lit("### ĐÁP ÁN: "), option))
@@ -84,15 +84,14 @@ def counters(answers: DataFrame) -> DataFrame:
 def answer(questions: DataFrame, chunks: DataFrame, points: DataFrame, vectors: DataFrame, router, chat, settings: Settings | None = None) -> DataFrame:
     """(qid, answer, tag, status) for every question."""
     settings = settings or Settings()
-    routed = route(lettered(questions), router).persist()
+    routed = cut(route(lettered(questions), router))  # paid replies
     found = contexts(retrieve(routed, chunks, points, vectors, settings), chunks, settings, routed.count())
     ready = routed.join(found, "qid", "left").withColumn("passages", F.coalesce("passages", F.array().cast("array<string>")))
     open_ = ready.filter(~F.col("route.is_unsafe"))
     stem = F.col("route.is_stem")
-    block = F.when(stem, r.context_block(F.col("passages"), 3500)).otherwise(r.context_block(F.col("passages"), 2000, first=8, squeezed=True))
-    user = F.concat(F.lit("Passages:\n"), block, F.lit("\n\nQuestion: "), F.col("question"), F.lit("\n"), r.options_block(F.col("options")))
-    prompts = open_.withColumn("system", F.when(stem, STEM_PROMPT).otherwise(SOCIAL_PROMPT)).withColumn("user", user)
-    replied = ask(prompts.select("qid", "question", "options", "route", "system", "user"), chat, "system", "user", "reply")
+    texts = (F.col("question"), F.col("options"), F.col("passages"))
+    asked = open_.withColumn("system", prompts.instruction(stem)).withColumn("user", F.when(stem, prompts.reasoning(*texts)).otherwise(prompts.simple(*texts)))
+    replied = ask(asked.select("qid", "question", "options", "route", "system", "user"), chat, "system", "user", "reply")
     replied = again(replied, chat)
     answered = replied.select("qid", _final(F.col("reply")).alias("answer"), F.col("route.tag").alias("tag"), F.when(F.coalesce("reply", F.lit("")) == "", "fallback").otherwise("replied").alias("status"))
     blocked = ready.filter("route.is_unsafe").select("qid", F.col("route.refusal_key").alias("answer"), F.col("route.tag").alias("tag"), F.lit("blocked").alias("status"))

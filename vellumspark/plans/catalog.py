@@ -18,6 +18,7 @@ from ..functions import words as w
 from ..operators import chunking, pages, retrieval, tables
 from ..providers import HashedEmbedder, OfflineChat, embed
 from ..schemas import from_documents
+from ..storage import cut, work_folder
 from ..streaming import jobs
 from .answering import answer
 
@@ -61,13 +62,6 @@ def s_tokens(column: str) -> str:
     return S_TOKENS.format(column, s_lit(w.PUNCTUATION), s_lit(" " * len(w.PUNCTUATION)))
 
 
-LINE1 = "split_part(text, chr(10), 1)"
-
-
-def line1() -> F.Column:
-    return F.element_at(F.split("text", "\n"), 1)
-
-
 S_OPTIONS = """q AS (SELECT item_id AS qid, text AS question,
   list_transform([0, 1, 2, 3], lambda j: array_to_string(list_slice(string_split(text, ' '), j * 3 + 1, j * 3 + 3), ' ') || ' ' || CAST((item_id * (j + 3)) % 17 AS VARCHAR)) AS opts FROM benchmark)"""
 
@@ -89,26 +83,18 @@ qt AS (SELECT qid, term, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({s_
 sc AS (SELECT qid, chunk_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
        FROM qt JOIN p USING (term) JOIN df USING (term), st GROUP BY qid, chunk_id),
 sr AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INT) AS rank FROM sc WHERE score > 0)"""
-S_DENSE = """vq AS (SELECT vec_id AS qid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS qv FROM embeddings WHERE vec_id < {0}),
+S_DENSE = """vq AS (SELECT vec_id AS qid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS qv FROM embeddings WHERE {0}),
 vp AS (SELECT vec_id AS chunk_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 vs AS (SELECT qid, chunk_id, round(list_cosine_similarity(qv, v), 6) AS score FROM vq, vp),
 dr AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INT) AS rank FROM vs)"""
-
-#: The same for the vectors that a condition names
-S_DENSE_OF = S_DENSE.replace("vec_id < {0}", "{0}")
-S_ASKED, S_ITEMS = S_DENSE_OF.format("vec_id % 20 = 0"), S_DENSE_OF.format("vec_id IN (SELECT item_id FROM benchmark)")
+#: The queries: vectors whose id is divisible by 20, or those of the benchmark's items
+S_ASKED, S_ITEMS = S_DENSE.format("vec_id % 20 = 0"), S_DENSE.format("vec_id IN (SELECT item_id FROM benchmark)")
 
 
 def bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
     return retrieval.bm25_search(tbl(spark, d, "documents"), tbl(spark, d, "benchmark"), k, "doc_id", "text", "item_id", "text")
 
 
-def dense(spark: SparkSession, d: str, k: int, queries: int) -> DataFrame:
-    points = tbl(spark, d, "embeddings")
-    asked = points.filter(F.col("vec_id") < queries).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    return retrieval.dense_search(points, asked, k)
-
-
 def dense_of(spark: SparkSession, d: str, k: int, asked: DataFrame) -> DataFrame:
     """The dense leg of all asked rows of the vectors, in blocks."""
     return retrieval.dense_search_blocks(tbl(spark, d, "embeddings"), asked.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), k)
@@ -141,104 +127,63 @@ def bm25_corpus_stats(spark, d):
     return retrieval.build_bm25(tbl(spark, d, "documents"), "doc_id", "text")["corpus_stats"].select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(f"WITH {S_DENSE.format(20)} SELECT qid, chunk_id, score, rank FROM dr WHERE rank <= 10")
+@query(f"WITH {S_ASKED} SELECT qid, chunk_id, score, rank FROM dr WHERE rank <= 10")
 def dense_topk(spark, d):
-    return dense(spark, d, 10, 20)
+    return dense_of(spark, d, 10, asked_vectors(spark, d))
 
 
-@query(f"WITH {S_DENSE.format(20)} SELECT qid, chunk_id, score, label FROM dr JOIN embeddings ON vec_id = chunk_id WHERE rank <= 5")
+@query(f"WITH {S_ASKED} SELECT qid, chunk_id, score, label FROM dr JOIN embeddings ON vec_id = chunk_id WHERE rank <= 5")
 def dense_payload(spark, d):
-    return retrieval.with_payload(dense(spark, d, 5, 20), tbl(spark, d, "embeddings"), "vec_id", ["label"], 5 * 20).select("qid", "chunk_id", "score", "label")
+    asked = asked_vectors(spark, d)
+    return retrieval.with_payload(dense_of(spark, d, 5, asked), tbl(spark, d, "embeddings"), "vec_id", ["label"], 5 * asked.count()).select("qid", "chunk_id", "score", "label")
 
 
-def _fusion(score: str, dense_rows: str = "SELECT qid, chunk_id, score FROM dr WHERE rank <= 10", sparse_rows: str = "SELECT qid, chunk_id, score FROM sr WHERE rank <= 20", legs: str = S_DENSE.format(200)) -> str:
+def _fusion(score: str, dense_rows: str = "SELECT qid, chunk_id, score FROM dr WHERE rank <= 10", sparse_rows: str = "SELECT qid, chunk_id, score FROM sr WHERE rank <= 20") -> str:
     ranked = lambda x: f"SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) - 1 AS r, max(score) OVER (PARTITION BY qid) AS m FROM ({x})"
-    return f"""WITH {S_BM25}, {legs}, s AS ({ranked(sparse_rows)}), v AS ({ranked(dense_rows)}),
+    return f"""WITH {S_BM25}, {S_ITEMS}, s AS ({ranked(sparse_rows)}), v AS ({ranked(dense_rows)}),
 f AS (SELECT qid, chunk_id, {score} AS score FROM v FULL OUTER JOIN s USING (qid, chunk_id)),
 fr AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INT) AS rank FROM f)
 SELECT qid, chunk_id, score, rank FROM fr WHERE rank <= 10"""
 
 
+def legs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The sparse and the dense hits of all benchmark items; k rows an item, stored because fusion reads them more than once."""
+    return cut(bm25(spark, d, 20)), cut(dense_items(spark, d, 10))
+
+
 COMPAT = "SELECT qid, chunk_id, score FROM dr WHERE rank <= 10 UNION ALL (SELECT qid, chunk_id, 0.0 FROM sr WHERE rank <= 20 AND (qid, chunk_id) NOT IN (SELECT (qid, chunk_id) FROM dr WHERE rank <= 10))"
+S_RRF = "round(coalesce(0.5 / (60 + v.r), 0) + coalesce(0.5 / (60 + s.r), 0), 8)"
+S_MAX_NORM = "round(0.5 * coalesce(CASE WHEN v.m > 0 THEN v.score / v.m ELSE 0 END, 0) + 0.5 * coalesce(CASE WHEN s.m > 0 THEN s.score / s.m ELSE 0 END, 0), 8)"
 
 
-@query(_fusion("round(coalesce(0.5 / (60 + v.r), 0) + coalesce(0.5 / (60 + s.r), 0), 8)"))
+@query(_fusion(S_RRF))
 def hybrid_rrf(spark, d):
-    return retrieval.fuse_ranks(bm25(spark, d, 20), dense(spark, d, 10, 200), 10)
+    return retrieval.fuse_ranks(*legs(spark, d), 10)
 
 
-@query(_fusion("round(coalesce(0.5 / (60 + v.r), 0) + coalesce(0.5 / (60 + s.r), 0), 8)", COMPAT))
+@query(_fusion(S_RRF, COMPAT))
 def hybrid_rrf_compat(spark, d):
-    return retrieval.fuse_ranks(bm25(spark, d, 20), dense(spark, d, 10, 200), 10, compat=True)
+    return retrieval.fuse_ranks(*legs(spark, d), 10, compat=True)
 
 
 @query(_fusion("round(coalesce(0.5 / (60 + v.r), 0.5 / 10059) + coalesce(0.5 / (60 + s.r), 0.5 / 10059), 8)"))
 def hybrid_rrf_9999(spark, d):
-    return retrieval.fuse_ranks(bm25(spark, d, 20), dense(spark, d, 10, 200), 10, absent=9999)
+    return retrieval.fuse_ranks(*legs(spark, d), 10, absent=9999)
 
 
-@query(_fusion("round(0.5 * coalesce(CASE WHEN v.m > 0 THEN v.score / v.m ELSE 0 END, 0) + 0.5 * coalesce(CASE WHEN s.m > 0 THEN s.score / s.m ELSE 0 END, 0), 8)"))
+@query(_fusion(S_MAX_NORM))
 def hybrid_max_norm(spark, d):
-    return retrieval.fuse_max_norm(bm25(spark, d, 20), dense(spark, d, 10, 200), 10)
+    return retrieval.fuse_max_norm(*legs(spark, d), 10)
 
 
-@query(_fusion("round(0.5 * coalesce(CASE WHEN v.m > 0 THEN v.score / v.m ELSE 0 END, 0) + 0.5 * coalesce(CASE WHEN s.m > 0 THEN s.score / s.m ELSE 0 END, 0), 8)",
-               sparse_rows="SELECT qid, chunk_id, score FROM (SELECT *, max(CASE WHEN rank = pos THEN score END) OVER (PARTITION BY qid) AS bound FROM (SELECT *, floor(count(*) OVER (PARTITION BY qid) * 0.3) + 1 AS pos FROM sr WHERE rank <= 20)) WHERE score >= greatest(1.0, bound)"))
+@query(_fusion(S_MAX_NORM, sparse_rows="SELECT qid, chunk_id, score FROM (SELECT *, max(CASE WHEN rank = pos THEN score END) OVER (PARTITION BY qid) AS bound FROM (SELECT *, floor(count(*) OVER (PARTITION BY qid) * 0.3) + 1 AS pos FROM sr WHERE rank <= 20)) WHERE score >= greatest(1.0, bound)"))
 def hybrid_threshold(spark, d):
-    return retrieval.fuse_max_norm(bm25(spark, d, 20), dense(spark, d, 10, 200), 10, least=1.0, share=0.3)
-
-
-@query(f"WITH {S_BM25}, {S_DENSE.format(200)} {COMPAT}")
-def payload_complete(spark, d):
-    return retrieval.complete_payload(bm25(spark, d, 20), dense(spark, d, 10, 200))
-
-
-# the same for all queries: dense_topk and dense_payload above ask vectors 0 to 19, the fusions have no dense leg for items from 200 on
-
-
-@query(f"WITH {S_ASKED} SELECT qid, chunk_id, score, rank FROM dr WHERE rank <= 10")
-def dense_topk_whole(spark, d):
-    return dense_of(spark, d, 10, asked_vectors(spark, d))
-
-
-@query(f"WITH {S_ASKED} SELECT qid, chunk_id, score, label FROM dr JOIN embeddings ON vec_id = chunk_id WHERE rank <= 5")
-def dense_payload_whole(spark, d):
-    asked = asked_vectors(spark, d)
-    return retrieval.with_payload(dense_of(spark, d, 5, asked), tbl(spark, d, "embeddings"), "vec_id", ["label"], 5 * asked.count()).select("qid", "chunk_id", "score", "label")
-
-
-S_RRF = "round(coalesce(0.5 / (60 + v.r), 0) + coalesce(0.5 / (60 + s.r), 0), 8)"
-S_MAX_NORM = "round(0.5 * coalesce(CASE WHEN v.m > 0 THEN v.score / v.m ELSE 0 END, 0) + 0.5 * coalesce(CASE WHEN s.m > 0 THEN s.score / s.m ELSE 0 END, 0), 8)"
-
-
-@query(_fusion(S_RRF, legs=S_ITEMS))
-def hybrid_rrf_whole(spark, d):
-    return retrieval.fuse_ranks(bm25(spark, d, 20), dense_items(spark, d, 10), 10)
-
-
-@query(_fusion(S_RRF, COMPAT, legs=S_ITEMS))
-def hybrid_rrf_compat_whole(spark, d):
-    return retrieval.fuse_ranks(bm25(spark, d, 20), dense_items(spark, d, 10), 10, compat=True)
-
-
-@query(_fusion("round(coalesce(0.5 / (60 + v.r), 0.5 / 10059) + coalesce(0.5 / (60 + s.r), 0.5 / 10059), 8)", legs=S_ITEMS))
-def hybrid_rrf_9999_whole(spark, d):
-    return retrieval.fuse_ranks(bm25(spark, d, 20), dense_items(spark, d, 10), 10, absent=9999)
-
-
-@query(_fusion(S_MAX_NORM, legs=S_ITEMS))
-def hybrid_max_norm_whole(spark, d):
-    return retrieval.fuse_max_norm(bm25(spark, d, 20), dense_items(spark, d, 10), 10)
-
-
-@query(_fusion(S_MAX_NORM, sparse_rows="SELECT qid, chunk_id, score FROM (SELECT *, max(CASE WHEN rank = pos THEN score END) OVER (PARTITION BY qid) AS bound FROM (SELECT *, floor(count(*) OVER (PARTITION BY qid) * 0.3) + 1 AS pos FROM sr WHERE rank <= 20)) WHERE score >= greatest(1.0, bound)", legs=S_ITEMS))
-def hybrid_threshold_whole(spark, d):
-    return retrieval.fuse_max_norm(bm25(spark, d, 20), dense_items(spark, d, 10), 10, least=1.0, share=0.3)
+    return retrieval.fuse_max_norm(*legs(spark, d), 10, least=1.0, share=0.3)
 
 
 @query(f"WITH {S_BM25}, {S_ITEMS} {COMPAT}")
-def payload_complete_whole(spark, d):
-    return retrieval.complete_payload(bm25(spark, d, 20), dense_items(spark, d, 10))
+def payload_complete(spark, d):
+    return retrieval.complete_payload(*legs(spark, d))
 
 
 @query(f"""WITH {S_BM25} SELECT qid, len(string_agg(body, chr(10) || chr(10) ORDER BY rank)) AS n_chars, sha256(string_agg(body, chr(10) || chr(10) ORDER BY rank)) AS block
@@ -263,33 +208,19 @@ def resume_anti(spark, d):
     return tables.remaining(tbl(spark, d, "documents").select("doc_id", "lang"), tbl(spark, d, "labels"), "doc_id")
 
 
-@query("""SELECT doc_id, arg_max(source, (n_chars, new)) AS source, max(n_chars) AS n_chars FROM (
-  SELECT doc_id, source, n_chars, 0 AS new FROM documents WHERE doc_id % 3 <> 0 UNION ALL
-  SELECT doc_id, 'new' AS source, n_chars, 1 AS new FROM documents WHERE doc_id % 2 = 0) GROUP BY doc_id""")
-def state_upsert(spark, d):
-    docs = tbl(spark, d, "documents").select("doc_id", "source", "n_chars")
-    return tables.upsert(docs.filter("doc_id % 3 <> 0"), docs.filter("doc_id % 2 = 0").withColumn("source", F.lit("new")), "doc_id", "n_chars")
-
-
-@query("SELECT doc_id, lang FROM documents WHERE lang IN ('en', 'fr') UNION ALL SELECT doc_id, 'new' FROM documents WHERE lang = 'de' ")
-def insert_ignore(spark, d):
-    docs = tbl(spark, d, "documents").select("doc_id", "lang")
-    return tables.insert_or_ignore(docs.filter("lang IN ('en', 'fr')"), docs.filter("lang IN ('fr', 'de')").withColumn("lang", F.lit("new")), "doc_id")
-
-
-# the same with all documents on the existing side, the even ones again as a second version
+# all documents are on the existing side, the even ones come again as a second version
 
 
 @query("""SELECT doc_id, arg_max(source, (n_chars, new)) AS source, max(n_chars) AS n_chars FROM (
   SELECT doc_id, source, n_chars, 0 AS new FROM documents UNION ALL
   SELECT doc_id, 'new' AS source, n_chars, 1 AS new FROM documents WHERE doc_id % 2 = 0) GROUP BY doc_id""")
-def state_upsert_whole(spark, d):
+def state_upsert(spark, d):
     docs = tbl(spark, d, "documents").select("doc_id", "source", "n_chars")
     return tables.upsert(docs, docs.filter("doc_id % 2 = 0").withColumn("source", F.lit("new")), "doc_id", "n_chars")
 
 
 @query("SELECT doc_id, lang FROM documents UNION ALL SELECT -1 - doc_id, 'new' FROM documents WHERE doc_id % 2 = 1")
-def insert_ignore_whole(spark, d):
+def insert_ignore(spark, d):
     docs = tbl(spark, d, "documents").select("doc_id", "lang")
     again = docs.withColumns({"doc_id": F.expr("CASE WHEN doc_id % 2 = 1 THEN -1 - doc_id ELSE doc_id END"), "lang": F.lit("new")})
     return tables.insert_or_ignore(docs, again, "doc_id")
@@ -432,22 +363,7 @@ def content_flags_sub(spark, d):
     return tbl(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in t.content_flags_sub(F.col("text")).items()])
 
 
-@query(f"SELECT doc_id, length(l) AS n FROM (SELECT doc_id, {LINE1} AS l FROM documents) WHERE length(l) >= 50 OR {s_flag('has_formula', 'l')} OR {s_flag('has_table', 'l')} OR {s_flag('has_legal', 'l')}")
-def keep_chunk_stem(spark, d):
-    return tbl(spark, d, "documents").select("doc_id", line1().alias("l")).filter(t.keep_chunk_stem(F.col("l"))).select("doc_id", F.length("l").alias("n"))
-
-
-@query(f"SELECT doc_id, length(l) AS n FROM (SELECT doc_id, {LINE1} AS l FROM documents) WHERE length(l) >= 50 OR {s_match('l', [w.MATH_SUB])} OR {s_match('lower(l)', [w.LEGAL_SUB])} OR ({s_any('l', w.TIMELINE)} AND regexp_matches(l, '\\d'))")
-def keep_chunk_sub(spark, d):
-    return tbl(spark, d, "documents").select("doc_id", line1().alias("l")).filter(t.keep_chunk_sub(F.col("l"))).select("doc_id", F.length("l").alias("n"))
-
-
-@query(f"SELECT doc_id, length(l) AS n FROM (SELECT doc_id, {LINE1} AS l FROM documents) WHERE (length(l) >= 30 OR ({s_any('l', w.TIMELINE)} AND regexp_matches(l, '\\d'))) AND NOT (contains(l, 'Mục lục') AND length(l) < 50)")
-def keep_chunk_wiki(spark, d):
-    return tbl(spark, d, "documents").select("doc_id", line1().alias("l")).filter(t.keep_chunk_wiki(F.col("l"))).select("doc_id", F.length("l").alias("n"))
-
-
-# the same for every paragraph of the text (a table needs two lines), not only the first line
+# the filters read every paragraph of the text (a table needs two lines)
 
 S_PARTS = "(SELECT doc_id, CAST(generate_subscripts(ls, 1) - 1 AS INT) AS part, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ls FROM documents))"
 
@@ -459,17 +375,17 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"SELECT doc_id, part, length(l) AS n FROM {S_PARTS} WHERE length(l) >= 50 OR {s_flag('has_formula', 'l')} OR {s_flag('has_table', 'l')} OR {s_flag('has_legal', 'l')}")
-def keep_chunk_stem_whole(spark, d):
+def keep_chunk_stem(spark, d):
     return parts(spark, d).filter(t.keep_chunk_stem(F.col("l"))).select("doc_id", "part", F.length("l").alias("n"))
 
 
 @query(f"SELECT doc_id, part, length(l) AS n FROM {S_PARTS} WHERE length(l) >= 50 OR {s_match('l', [w.MATH_SUB])} OR {s_match('lower(l)', [w.LEGAL_SUB])} OR ({s_any('l', w.TIMELINE)} AND regexp_matches(l, '\\d'))")
-def keep_chunk_sub_whole(spark, d):
+def keep_chunk_sub(spark, d):
     return parts(spark, d).filter(t.keep_chunk_sub(F.col("l"))).select("doc_id", "part", F.length("l").alias("n"))
 
 
 @query(f"SELECT doc_id, part, length(l) AS n FROM {S_PARTS} WHERE (length(l) >= 30 OR ({s_any('l', w.TIMELINE)} AND regexp_matches(l, '\\d'))) AND NOT (contains(l, 'Mục lục') AND length(l) < 50)")
-def keep_chunk_wiki_whole(spark, d):
+def keep_chunk_wiki(spark, d):
     return parts(spark, d).filter(t.keep_chunk_wiki(F.col("l"))).select("doc_id", "part", F.length("l").alias("n"))
 
 
@@ -636,14 +552,35 @@ def math_answer(spark, d):
     return option_questions(spark, d).select("qid", r.math_answer(ask, F.col("options")).alias("answer"))
 
 
-REPLIES = ["### ĐÁP ÁN: B", "đáp án: c", "Chọn D", "Kết luận: A", "A.", "d", "Vậy **C** đúng", "**Z** rồi **B**", "nothing", "Đáp án Z. Chọn: b", "là (D)"]
+#: How a letter stands in a reply: by turns at the end of, before or inside the conversation's own text
+REPLIES = ["{t}\n### ĐÁP ÁN: {x}", "đáp án: {x}\n{t}", "{t} Chọn {x}", "{t}\nKết luận: {x}", "{x}.", "{x}", "{t} Vậy **{x}** đúng", "{t} **Z** rồi **{x}**", "{t}", "{t}\nĐáp án Z. Chọn: {x}", "{t} là ({x})"]
+S_LETTER = "chr(65 + CAST((length(text) + turn) % 5 AS INT))"
+S_REPLIES = f"""r AS (SELECT conv_id, turn, CASE (conv_id + turn) % {len(REPLIES)} {" ".join(f"WHEN {i} THEN replace(replace({s_lit(x)}, '{{x}}', {S_LETTER}), '{{t}}', text)" for i, x in enumerate(REPLIES))} END AS reply FROM conversations WHERE role = 'assistant')"""
 
 
-@query(f"""SELECT conv_id, turn, ([{', '.join(['NULL' if x is None else s_lit(x) for x in ['B', 'C', 'D', 'A', 'A', 'D', 'C', 'B', None, 'B', 'D']])}])[(conv_id + turn) % {len(REPLIES)} + 1] AS answer FROM conversations WHERE role = 'assistant'""")
-def extract_answer(spark, d):
-    reply = F.element_at(F.array(*[F.lit(x) for x in REPLIES]), ((F.col("conv_id") + F.col("turn")) % len(REPLIES) + 1).cast("int"))
+def replies(spark: SparkSession, d: str) -> tuple[DataFrame, F.Column]:
+    """Replies made of the assistants' texts and a letter from A to E, of which A to D are options."""
+    letter = F.chr(65 + (F.length("text") + F.col("turn")) % 5)
+    shapes = F.element_at(F.array(*[F.lit(x) for x in REPLIES]), ((F.col("conv_id") + F.col("turn")) % len(REPLIES) + 1).cast("int"))
+    reply = F.replace(F.replace(shapes, F.lit("{x}"), letter), F.lit("{t}"), F.col("text"))
     opts = r.options(F.array(*[F.lit(x) for x in ("one", "two", "three", "four")]))
-    return tbl(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", r.extract_answer(reply, opts).alias("answer"))
+    return tbl(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", reply.alias("reply")), opts
+
+
+def s_valid(letter: str) -> str:
+    return f"CASE WHEN upper({letter}) IN ('A', 'B', 'C', 'D') THEN upper({letter}) END"
+
+
+S_LOW = "lower(trim(reply))"
+S_STRICT = [s_valid(f"regexp_extract({S_LOW}, {s_lit(p)}, 1)") for p in w.ANSWER_STRICT]
+S_BOLD_LAST = s_valid("list_extract(regexp_extract_all(trim(reply), '\\*\\*([A-Z])\\*\\*', 1), -1)")
+S_LOOSE = [s_valid(f"regexp_extract({S_LOW}, {s_lit(p)}, 1)") for p in w.ANSWER_LOOSE]
+
+
+@query(f"WITH {S_REPLIES} SELECT conv_id, turn, coalesce({', '.join([*S_STRICT, S_BOLD_LAST, *S_LOOSE])}) AS answer FROM r")
+def extract_answer(spark, d):
+    found, opts = replies(spark, d)
+    return found.select("conv_id", "turn", r.extract_answer(F.col("reply"), opts).alias("answer"))
 
 
 @query(f"WITH {S_OPTIONS} SELECT qid, CASE WHEN {s_any('lower(question)', w.NEGATIVE_WORDS)} OR qid % 3 = 0 THEN {s_argmax('length(o)')} ELSE {s_argmax(f'len(list_intersect({s_tokens("o")}, {s_tokens("question")}))')} END AS answer FROM q")
@@ -652,14 +589,14 @@ def overlap_answer_negated(spark, d):
     return option_questions(spark, d).select("qid", r.overlap_answer_negated(asked, F.col("options")).alias("answer"))
 
 
-@query(f"""SELECT conv_id, turn, ([{', '.join(map(s_lit, ['B', 'D', 'D', 'A', 'A', 'A', 'C', 'B', 'A', 'A', 'D']))}])[(conv_id + turn) % {len(REPLIES)} + 1] AS answer FROM conversations WHERE role = 'assistant'""")
+S_LONE = "list_extract(list_filter(list_transform(regexp_extract_all(' ' || regexp_replace(trim(reply), '([^\\p{L}\\p{N}_])', '\\1 ', 'g') || ' ', '[^\\p{L}\\p{N}_][A-Z][^\\p{L}\\p{N}_]'), lambda x: substr(x, 2, 1)), lambda x: x IN ('A', 'B', 'C', 'D')), -1)"
+S_BOLD_FIRST = s_valid("regexp_extract(trim(reply), '\\*\\*([A-Z])\\*\\*', 1)")
+
+
+@query(f"WITH {S_REPLIES} SELECT conv_id, turn, coalesce({S_STRICT[0]}, {S_BOLD_FIRST}, {S_LONE}, 'A') AS answer FROM r")
 def extract_two_step(spark, d):
-    replies = [x.replace("đáp án: c", "### đáp án: d") for x in REPLIES]
-    replies[2] = "Chọn D"
-    replies[9] = "Đáp án Z. Chọn: b"
-    reply = F.element_at(F.array(*[F.lit(x) for x in replies]), ((F.col("conv_id") + F.col("turn")) % len(replies) + 1).cast("int"))
-    opts = r.options(F.array(*[F.lit(x) for x in ("one", "two", "three", "four")]))
-    return tbl(spark, d, "conversations").filter("role = 'assistant'").select("conv_id", "turn", r.extract_two_step(reply, opts).alias("answer"))
+    found, opts = replies(spark, d)
+    return found.select("conv_id", "turn", r.extract_two_step(F.col("reply"), opts).alias("answer"))
 
 
 @query(f"WITH {S_OPTIONS}, {S_REFUSAL} SELECT qid, coalesce({s_key(s_any('trim(lower(o))', w.OLD_REFUSALS))}, {s_key(s_any('trim(lower(o))', w.OLD_NO_INFO))}) AS refusal_key FROM r")
@@ -771,7 +708,7 @@ def chunk_table_wiki(spark, d):
 
 @query()
 def answer_batch(spark, d):
-    chunks = chunking.chunk_articles(from_documents(tbl(spark, d, "documents")), "sub").persist()  # read by both legs and the prompts
+    chunks = cut(chunking.chunk_articles(from_documents(tbl(spark, d, "documents")), "sub"))  # read by both legs and the prompts
     questions = option_questions(spark, d).select(F.col("qid").cast("string").alias("qid"), "question", "choices")
     points = embed(chunks.select("chunk_id", "vector_text"), HashedEmbedder(), "vector_text").select("chunk_id", "vector")
     vectors = embed(questions.select("qid", "question"), HashedEmbedder(), "question").select("qid", "vector")
@@ -791,7 +728,7 @@ def event_windows(spark, d):
 @query(S_WINDOWS)
 def stream_event_windows(spark, d):
     """The same windows from a stream over the file, run to its end."""
-    folder = jobs.work_folder(spark)
+    folder = work_folder(spark, "stream")
     counted = jobs.source(spark, d, "events.parquet", jobs.EVENTS).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
     rows = counted.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 

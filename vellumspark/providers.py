@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import random
 import re
 import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -29,11 +31,29 @@ class OfflineChat:
         return f"### ĐÁP ÁN: {best[0]}"
 
 
+class FallbackChat:
+    """The second provider answers what the first leaves empty."""
+
+    def __init__(self, first, second):
+        self.first, self.second = first, second
+
+    def reply(self, system: str, user: str) -> str:
+        return self.first.reply(system, user) or self.second.reply(system, user)
+
+
+def linear_wait(attempt: int, jitter: float = 0.0) -> float:
+    return 3.0 * (attempt + 1) + jitter
+
+
+def growing_wait(attempt: int, base: float = 1.5) -> float:
+    return base**attempt
+
+
 class HttpChat:
     """A chat completion endpoint; retries with growing waits, then gives an empty reply."""
 
-    def __init__(self, model: str, tries: int = 5, timeout: float = 60.0):
-        self.model, self.tries, self.timeout = model, tries, timeout
+    def __init__(self, model: str, tries: int = 5, timeout: float = 60.0, jitter: float = 1.0):
+        self.model, self.tries, self.timeout, self.jitter = model, tries, timeout, jitter
 
     def reply(self, system: str, user: str) -> str:
         body = {"model": self.model, "temperature": 0.1, "top_p": 0.95, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
@@ -48,7 +68,7 @@ class HttpChat:
                     return ""
             except OSError:
                 pass
-            time.sleep(3 * (attempt + 1))
+            time.sleep(linear_wait(attempt, random.uniform(0, self.jitter)))
         return ""
 
 
@@ -66,6 +86,35 @@ class HashedEmbedder:
         return out.tolist()
 
 
+class HttpEmbedder:
+    """An embedding endpoint: one try; errors are raised."""
+
+    def __init__(self, model: str, timeout: float = 30.0):
+        self.model, self.timeout = model, timeout
+
+    def embed(self, text: str) -> list[float]:
+        headers = {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get('EMBED_KEY', '')}"}
+        request = urllib.request.Request(os.environ["EMBED_URL"], json.dumps({"model": self.model, "input": text}).encode(), headers)
+        with urllib.request.urlopen(request, timeout=self.timeout) as got:
+            return json.load(got)["data"][0]["embedding"]
+
+
+class Retrying:
+    """An embedder that is asked again after an error, with growing waits; None after the last try."""
+
+    def __init__(self, embedder, tries: int = 3, wait=growing_wait):
+        self.embedder, self.tries, self.wait = embedder, tries, wait
+
+    def embed(self, text: str) -> list[float] | None:
+        for attempt in range(self.tries):
+            try:
+                return self.embedder.embed(text)
+            except (OSError, ValueError, KeyError, IndexError):
+                if attempt + 1 < self.tries:
+                    time.sleep(self.wait(attempt))
+        return None
+
+
 class TokenBucket:
     """At most ``rate`` calls in ``seconds``, shared out over ``tasks`` concurrent tasks."""
 
@@ -79,18 +128,22 @@ class TokenBucket:
         self.next = max(now, self.next) + self.gap
 
 
-def ask(df: DataFrame, provider, system_col: str, user_col: str, out: str, bucket: TokenBucket | None = None) -> DataFrame:
-    """df with the provider's reply added. Persist the result before it is used twice: a call is never free."""
+def ask(df: DataFrame, provider, system_col: str, user_col: str, out: str, bucket: TokenBucket | None = None, at_once: int = 1) -> DataFrame:
+    """df with the provider's reply added, at most ``at_once`` calls of a task open. Store the result before it is used twice: a call is never free."""
+
+    def one(pair: tuple[str | None, str | None]) -> str:
+        return provider.reply(pair[0] or "", pair[1] or "")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            replies = []
-            for system, user in zip(frame[system_col], frame[user_col], strict=True):
-                if bucket:
-                    bucket.wait()
-                replies.append(provider.reply(system or "", user or ""))
-            frame[out] = replies
-            yield frame
+        with ThreadPoolExecutor(at_once) as pool:
+            for frame in frames:
+                replies = []
+                for pair in zip(frame[system_col], frame[user_col], strict=True):
+                    if bucket:
+                        bucket.wait()
+                    replies.append(pool.submit(one, pair) if at_once > 1 else one(pair))
+                frame[out] = [r.result() for r in replies] if at_once > 1 else replies
+                yield frame
 
     return df.mapInPandas(run, ", ".join(f"`{n}` {k}" for n, k in [*df.dtypes, (out, "string")]))
 
