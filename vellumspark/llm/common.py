@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..storage import checkpoint_dir, cut, drop_cut, drop_folder  # noqa: F401
+
 #: ASCII white space that separates words, as a character class of Java and RE2.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-#: Spark's setting that removes the shuffle files of a finished query.
-DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,45 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: the session's own; a temporary one only where none is set and all runs on one machine."""
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not named and not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vellumspark-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, so that lost executors cost no recomputation; the shuffle files that led to it are removed."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    before = spark.conf.get(DROP_SHUFFLES, "false")
-    spark.conf.set(DROP_SHUFFLES, "true")  # holds for the plans made while it is set
-    try:
-        return df.select("*").checkpoint(eager=True)
-    finally:
-        spark.conf.set(DROP_SHUFFLES, before)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Deletes the checkpoint files of a result of ``cut`` that nothing needs any more."""
-    held = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
-    if held.isDefined():
-        drop_folder(df.sparkSession, held.get())
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Deletes a folder in whatever store holds it."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
