@@ -36,7 +36,7 @@ from .common import attach_groups, cut, drop_cut, hot_keys, spread_join, table
 
 MARKS = re.compile(r"^((?:[ \t]*>)+)[ \t]?")
 WHOLE, PARAGRAPH, LINE = 0, 1, 2
-PARSED = "conv_id long, turn long, role string, own_text string, own array<struct<unit:int,hash:binary>>, quotes array<struct<place:int,level:int,unit:int,hash:binary>>, n_quotes int"
+PARSED = "conv_id long, turn long, role string, own_text string, own array<struct<unit:int,hash:binary>>, quotes array<struct<place:int,level:int,units:array<struct<unit:int,hash:binary>>>>, n_quotes int"
 
 
 def passages(text: str) -> list[tuple[int, str]]:
@@ -65,7 +65,7 @@ def unit_hashes(text: str) -> list[tuple[int, bytes]]:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own_kind = pa.list_(pa.struct([("unit", pa.int32()), ("hash", pa.binary())]))
-    quote_kind = pa.list_(pa.struct([("place", pa.int32()), ("level", pa.int32()), ("unit", pa.int32()), ("hash", pa.binary())]))
+    quote_kind = pa.list_(pa.struct([("place", pa.int32()), ("level", pa.int32()), ("units", own_kind)]))
     for batch in batches:
         texts, own, quotes, n = [], [], [], []
         for text in batch.column("text").to_pylist():
@@ -74,7 +74,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append(mine)
             own.append([{"unit": u, "hash": h} for u, h in unit_hashes(mine)])
             quoted = [(i, level, p) for i, (level, p) in enumerate(parts) if level]
-            quotes.append([{"place": i, "level": level, "unit": u, "hash": h} for i, level, p in quoted for u, h in unit_hashes(p)])
+            quotes.append([{"place": i, "level": level, "units": [{"unit": u, "hash": h} for u, h in unit_hashes(p)]} for i, level, p in quoted])
             n.append(len(quoted))
         arrays = [batch.column("conv_id"), batch.column("turn"), batch.column("role"), pa.array(texts, pa.string()), pa.array(own, own_kind), pa.array(quotes, quote_kind), pa.array(n, pa.int32())]
         yield pa.RecordBatch.from_arrays(arrays, ["conv_id", "turn", "role", "own_text", "own", "quotes", "n_quotes"])
@@ -88,18 +88,33 @@ def parse_messages(messages: DataFrame) -> DataFrame:
 def quote_links(parsed: DataFrame) -> DataFrame:
     """(conv_id, turn, parent, n_linked): the parent of each message that has a linked quote."""
     keyed = parsed.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
-    units = keyed.select("conv_id", "turn", F.explode("own").alias("o")).select("conv_id", "turn", "o.hash")
-    here = units.groupBy("conv_id", "hash").agg(F.min("turn").alias("first_turn"))
-    quotes = keyed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*")
-    near = cut(spread_join(quotes, here, ["conv_id", "hash"], "left", hot_keys(quotes, ["conv_id", "hash"]))).withColumn("target", F.when(F.col("first_turn") < F.col("turn"), F.struct("conv_id", F.col("first_turn").alias("turn"))))
-    anywhere = here.groupBy("hash").agg(F.min(F.struct("conv_id", F.col("first_turn").alias("turn"))).alias("first"))
-    lone = near.filter("target IS NULL")
-    far = spread_join(lone, anywhere, ["hash"], "inner", hot_keys(lone, ["hash"])).withColumn("target", F.when(F.col("first") < F.struct("conv_id", "turn"), F.col("first")))
+    units = keyed.select("conv_id", "turn", F.explode("own.hash").alias("hash"))
+    here = cut(units.groupBy("conv_id", "hash").agg(F.min("turn").alias("first_turn")))
+    anywhere = cut(here.groupBy("hash").agg(F.min(F.struct("conv_id", F.col("first_turn").alias("turn"))).alias("first")))
+    places = keyed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.*").filter(F.size("units") > 0)
+    # whole passages first; only those that link nowhere try their paragraphs and lines
+    whole = places.select("conv_id", "turn", "place", "level", F.col("units")[0]["unit"].alias("unit"), F.col("units")[0]["hash"].alias("hash"), F.slice("units", 2, F.greatest(F.size("units") - 1, F.lit(1))).alias("rest"))
+    first = cut(_targets(whole, here, anywhere))
+    parts = first.filter("target IS NULL").select("conv_id", "turn", "place", "level", F.explode("rest").alias("u")).select("conv_id", "turn", "place", "level", "u.*")
     columns = ["conv_id", "turn", "place", "level", "unit", "target"]
-    linked = near.select(*columns).unionByName(far.select(*columns)).filter("target IS NOT NULL")
+    linked = first.select(*columns).unionByName(_targets(parts, here, anywhere).select(*columns)).filter("target IS NOT NULL")
     # the lowest level, then the last passage, then its largest unit
     best = F.min(F.struct("level", (-F.col("place")).alias("back"), "unit", "target"))
-    return linked.groupBy("conv_id", "turn").agg(best["target"].alias("parent"), F.count_distinct("place").alias("n_linked"))
+    links = cut(linked.groupBy("conv_id", "turn").agg(best["target"].alias("parent"), F.count_distinct("place").alias("n_linked")))
+    for done in (here, anywhere, first):
+        drop_cut(done)
+    return links
+
+
+def _targets(quotes: DataFrame, here: DataFrame, anywhere: DataFrame) -> DataFrame:
+    """quotes with the message that each hash is found in, null if none is earlier: the first of the conversation, else the first of all."""
+    quotes = cut(quotes)
+    earlier = F.when(F.col("first_turn") < F.col("turn"), F.struct("conv_id", F.col("first_turn").alias("turn")))
+    near = cut(spread_join(quotes, here, ["conv_id", "hash"], "left", hot_keys(quotes, ["conv_id", "hash"])).withColumn("near", earlier).drop("first_turn"))
+    lone = near.filter("near IS NULL")
+    far = spread_join(lone, anywhere, ["hash"], "left", hot_keys(lone, ["hash"]))
+    far = far.withColumn("target", F.when(F.col("first") < F.struct("conv_id", "turn"), F.col("first"))).drop("near", "first")
+    return near.filter("near IS NOT NULL").withColumnRenamed("near", "target").unionByName(far)
 
 
 def roots(links: DataFrame, most_rounds: int = 64) -> DataFrame:
@@ -121,10 +136,9 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, parent_conv, parent_turn, root_conv, root_turn, depth, n_quotes, n_linked, text (own words)."""
     parsed = parse_messages(messages)
     slim = cut(parsed.select("conv_id", "turn", "own", "quotes"))
-    links = cut(quote_links(slim))
+    links = quote_links(slim)
     drop_cut(slim)
-    deep = roots(links)
-    told = links.join(deep, ["conv_id", "turn"])
+    told = cut(links.join(roots(links), ["conv_id", "turn"]))
     keys = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"))
     out = spread_join(parsed.select("conv_id", "turn", "role", "own_text", "n_quotes"), told, ["conv_id", "turn"], "left", hot_keys(keys, ["conv_id", "turn"]))
     return out.select(
