@@ -1,6 +1,9 @@
+import os
+import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -37,8 +40,10 @@ def test_run_equals_brute_force(spark, tmp_path):
     live = [r for r in live if r[0] not in dirty]
     assert not any(r[0] >= 700 for r in live) and len(live) > 100
     got = corpus_pipeline.run(spark, d)
-    assert got.columns == ["doc_id", "size", "source_size", "target", "taken"]
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "source_size", "target", "taken"]
     got = got.collect()
+    texts = {r[0]: r[1] for r in rows}
+    assert all(r["text"] == texts[r["doc_id"]] for r in got)
     assert {r["doc_id"] for r in got} <= {r[0] for r in live} and all(r["taken"] > 0 for r in got)
     missing = [r for r in live if r[0] not in {g["doc_id"] for g in got}]
     sizes = {}
@@ -48,9 +53,12 @@ def test_run_equals_brute_force(spark, tmp_path):
     check_mix(live, [g.asDict() for g in got] + fill)
 
 
+CLASHING = [*data.CLASH, "_file", "_row", "_score", "_lang_pred", "_none", "doc", "grp", "plan", "pattern", "fp", "no_id"]
+
+
 def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
     d = data.write(spark, tmp_path, benchmark=spark.createDataFrame([(1, "nothing like it at all here")], "item_id long, text string"))
-    docs = data.clashing(spark)
+    docs = data.clashing(spark).withColumns({c: F.lit("clash") for c in CLASHING})
     docs.write.parquet(f"{tmp_path}/docs")
     for name, stage in corpus_pipeline.STAGES:
         for frame in (docs, spark.read.parquet(f"{tmp_path}/docs"), docs.limit(0)):
@@ -58,7 +66,31 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
             rows = out.collect()
             if name != "mix_sources":
                 assert out.columns == docs.columns
+            assert all(r[c] == "clash" for r in rows for c in CLASHING if not (name == "mix_sources" and c in ("size", "taken")))
             if name in ("exact_dedup", "near_dedup"):
                 assert len([r for r in rows if r["doc_id"] == 9]) <= 1
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontaminate", "mix_sources"]
     assert re.match("^[a-z_]+$", corpus_pipeline.STAGES[0][0])
+
+
+def test_language_stage_rejects_texts_in_no_language(spark, tmp_path):
+    rng = random.Random(6)
+    rows = language_rows(600)
+    junk = [(2000 + i, "".join(rng.sample(rows[i][1], len(rows[i][1]))), "en", "s", 0) for i in range(60) if len(rows[i][1]) > 60]
+    junk += [(3000 + i, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789 ", k=300)), "fr", "s", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows + [(*r[:2], None, *r[3:]) for r in junk], data.DOCS)
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, str(tmp_path)).collect()}
+    assert kept >= {r[0] for r in rows}
+    assert len(kept & {r[0] for r in junk}) <= 0.1 * len(junk)
+
+
+def test_near_dedup_without_ids(spark, tmp_path):
+    rows = [(None, "alpha beta gamma delta", "en", "a", 0)] * 3 + [(None, "quite another text of words", "en", "a", 0), (4, "a third text that has an id", "en", "a", 0)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, data.DOCS), str(tmp_path)).collect()
+    assert sorted(r["text"] for r in kept) == sorted({r[1] for r in rows})
+
+
+def test_folders_are_deleted(spark, tmp_path):
+    d = data.write(spark, tmp_path, documents=spark.createDataFrame(language_rows(40), data.DOCS), benchmark=spark.createDataFrame([(1, "not there at all")], "item_id long, text string"))
+    (file,) = {f.rsplit("/", 2)[0] for f in corpus_pipeline.run(spark, d).inputFiles()}
+    assert os.listdir(file.removeprefix("file://")) == ["mix_sources"]

@@ -9,6 +9,10 @@ follow-the-regularised-leader and elastic-net penalties; a fifth of the sample,
 unseen in training, sets the temperature.  The model (2**14 slots times the
 number of languages) is what scoring tasks get.
 
+With ``other`` the model learns one class more, from copies of a quarter of the
+sample with their characters shuffled and from random letters and digits: texts in
+no language at all.  It is never predicted; its probability is a column.
+
 Defined results: text that is null or has no letter gives ``und`` and score 0;
 rows without lang or text are not learned from; without any learning row all
 texts give ``und``; with one language its score is 1; null and repeated ids are
@@ -26,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, table, with_fields
+from .common import crc_mod, cut, drop_cut, table, with_fields
 from .ftrl import Ftrl, fit_temperature, probabilities
 
 SLOTS = 1 << 14
 CHUNK = 1 << 20
 #: Texts of at most so many code points are counted by sorting.
 SHORT = 256
+#: Label of the class of texts in no language: no code point of a language's name.
+OTHER = "\uffff"
 A, B, C = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
 
@@ -64,23 +70,36 @@ def tf_idf(slots: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray
     return value / (np.sqrt(value @ value) or 1.0)
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def nonsense(text: str, seed: int) -> str:
+    """The text's characters in another order, or as many random letters and digits."""
+    rng = np.random.default_rng(seed)
+    if seed & 8:
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789 "), size=min(len(text), CHUNK)))
+    return "".join(np.array(list(text[:CHUNK]))[rng.permutation(min(len(text), CHUNK))])
+
+
+def _gather(other: bool):
     """One row of document frequencies for each task, and the features of each row that is in the sample."""
-    df, rows, told = np.zeros(SLOTS, np.int64), 0, set()
 
     def out(label, split, slots, counts):
         return pa.RecordBatch.from_arrays([pa.array([label], pa.string()), pa.array([split], pa.int64()), pa.array([slots], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int64()))], ["label", "split", "slots", "counts"])
 
-    for batch in batches:
-        for text, label, split in zip(batch.column("text"), batch.column("label").to_pylist(), batch.column("split").to_pylist(), strict=True):
-            slots, counts = ngram_counts(text.as_py())
-            df[slots] += 1
-            rows += 1
-            if split is not None and (label, split) not in told:  # equal rows have one draw
-                told.add((label, split))
-                yield out(label, split, slots, counts)
-    slots = np.flatnonzero(df)
-    yield out(None, rows, slots, df[slots])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, rows, told = np.zeros(SLOTS, np.int64), 0, set()
+        for batch in batches:
+            for text, label, split in zip(batch.column("text"), batch.column("label").to_pylist(), batch.column("split").to_pylist(), strict=True):
+                slots, counts = ngram_counts(text.as_py())
+                df[slots] += 1
+                rows += 1
+                if split is not None and (label, split) not in told:  # equal rows have one draw
+                    told.add((label, split))
+                    yield out(label, split, slots, counts)
+                    if other and split & 3 == 0 and len(slots):
+                        yield out(OTHER, split >> 2, *ngram_counts(nonsense(text.as_py(), split)))
+        slots = np.flatnonzero(df)
+        yield out(None, rows, slots, df[slots])
+
+    return run
 
 
 def _train(languages: list[str], idf: np.ndarray, settings: dict):
@@ -105,25 +124,31 @@ def _train(languages: list[str], idf: np.ndarray, settings: dict):
 
 
 class LanguageModel:
-    """Languages, idf, weights (float32, slots + bias by languages) and temperature."""
+    """Languages, idf, weights (float32, slots + bias by languages and, if other, the class of no language) and temperature."""
 
-    def __init__(self, languages: list[str], idf: np.ndarray, weights: np.ndarray, temperature: float):
-        self.languages, self.idf, self.weights, self.temperature = languages, idf, weights, temperature
+    def __init__(self, languages: list[str], idf: np.ndarray, weights: np.ndarray, temperature: float, other: bool = False):
+        self.languages, self.idf, self.weights, self.temperature, self.other = languages, idf, weights, temperature, other
 
     def predict(self, text: str | None) -> tuple[str, float]:
+        return self.weigh(text)[:2]
+
+    def weigh(self, text: str | None) -> tuple[str, float, float]:
+        """Language, its probability among the languages, and the probability that the text is in none."""
         if text is None or not self.languages or not any(map(str.isalpha, text)):
-            return "und", 0.0
-        if len(self.languages) == 1:
-            return self.languages[0], 1.0
+            return "und", 0.0, 1.0
+        if len(self.languages) == 1 and not self.other:
+            return self.languages[0], 1.0, 0.0
         slots, counts = ngram_counts(text)
         logits = tf_idf(slots, counts, self.idf) @ self.weights[slots] + self.weights[-1]
         p = probabilities(logits[None], self.temperature)[0]
+        none = float(p[-1]) if self.other else 0.0
+        p = probabilities(logits[None, : len(self.languages)], self.temperature)[0] if len(self.languages) > 1 else np.ones(1)
         best = int(np.argmax(p))
-        return self.languages[best], float(p[best])
+        return self.languages[best], float(p[best]), none
 
 
-def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_label: int = 1500, most_rows: int = 12_000, most_labels: int = 1000, alpha: float = 2.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 3) -> LanguageModel:
-    """Learn from all given rows that have text and language."""
+def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_label: int = 1500, most_rows: int = 12_000, most_labels: int = 1000, alpha: float = 2.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 3, other: bool = False) -> LanguageModel:
+    """Learn from all given rows that have text and language; other: learn texts in no language too."""
     known = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"), F.col(id_col).cast("string").alias("id")).filter("text IS NOT NULL AND label IS NOT NULL")
     draw = F.shiftrightunsigned(F.xxhash64("label", "id", F.md5("text")), 32)
     known = known.select("text", "label", draw.alias("draw"))
@@ -138,7 +163,7 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
     # the row of least draw is always in, so that no language is without one
     bounds = spark.createDataFrame([(k, max(want / n * (1 << 32), float(least))) for k, (n, least) in counts.items()], "label string, bound double")
     drawn = known.join(F.broadcast(bounds), "label").select("text", "label", F.when(F.col("draw") <= F.col("bound"), F.col("draw")).alias("split"))
-    gathered = cut(drawn.mapInArrow(_gather, "label string, split long, slots array<int>, counts array<long>"))
+    gathered = cut(drawn.mapInArrow(_gather(other), "label string, split long, slots array<int>, counts array<long>"))
     rows = gathered.filter("label IS NULL").agg(F.sum("split")).first()[0] or 0
     pairs = gathered.filter("label IS NULL").select(F.explode(F.arrays_zip("slots", "counts")).alias("x")).groupBy("x.slots").agg(F.sum("x.counts").alias("df")).collect()
     df = np.zeros(SLOTS)
@@ -150,21 +175,26 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
     sample = gathered.filter("label IS NOT NULL").groupBy("label", "split").agg(F.first("slots").alias("slots"), F.first("counts").alias("counts"))
     sample = sample.withColumn("rank", rank).filter(F.col("rank") <= 2 * want).drop("rank")
     settings = {"alpha": alpha, "l1": l1, "l2": l2, "epochs": epochs}
+    if other and sample.filter(F.col("label") == OTHER).limit(1).count():
+        languages = [*languages, OTHER]
     got = cut(sample.repartition(1).mapInArrow(_train(languages, idf, settings), "weights binary, temperature double")).first()
     weights = np.frombuffer(got["weights"], np.float32).reshape(SLOTS + 1, len(languages))
-    return LanguageModel(languages, idf, weights, got["temperature"])
+    drop_cut(gathered)
+    known_ones = [x for x in languages if x != OTHER]
+    return LanguageModel(known_ones, idf, weights, got["temperature"], len(known_ones) < len(languages))
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """docs with the columns lang_pred and score (named with the prefix) added or replaced."""
-    names = [f"{prefix}lang_pred", f"{prefix}score"]
-    docs, schema = with_fields(docs, (names[0], "string"), (names[1], "double"))
+    """docs with the columns lang_pred and score (named with the prefix) added or replaced, and ``none`` if the model has texts in no language."""
+    names = [f"{prefix}{n}" for n in ("lang_pred", "score", "none")][: 3 if model.other else 2]
+    docs, schema = with_fields(docs, *zip(names, ("string", "double", "double"), strict=False))
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(None if x is None else str(x)) for x in batch.column(at).to_pylist()]
-            arrays = [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+            found = [model.weigh(None if x is None else str(x)) for x in batch.column(at).to_pylist()]
+            kinds = (pa.string(), pa.float64(), pa.float64())
+            arrays = [*batch.columns, *(pa.array([x[i] for x in found], kinds[i]) for i in range(len(names)))]
             yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *names])
 
     return docs.mapInArrow(run, schema)

@@ -120,14 +120,14 @@ def links(distinct_fp: DataFrame, threshold: int = 3) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: id, fp (signed long), component_id, n (rows with this fingerprint), and the carried columns."""
+    """Per row: id, fp (signed long), root (the component's smallest fp), component_id, n (rows with this fingerprint), and the carried columns."""
     rows = cut(fingerprints(docs, id_col, text_col, carry))
     prints = cut(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")))
     roots = components(links(prints, threshold)).withColumnRenamed("node", "fp")
     tagged = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     tagged = cut(tagged.select("root", "fp", "low", "n"))
     ids = tagged.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("prints"))
-    linked = cut(attach_groups(tagged, ids, ["root"], "prints").select("fp", "component_id", "n"))
+    linked = cut(attach_groups(tagged, ids, ["root"], "prints").select("fp", "root", "component_id", "n"))
     drop_cut(tagged)
     drop_cut(prints)
     return attach_groups(rows, linked, ["fp"], "n")
