@@ -1,9 +1,13 @@
+import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from vellumspark.llm import langid, quality
 from vellumspark.llm.ftrl import Ftrl, fit_temperature, probabilities
 from vellumspark.llm.langid import fit_language_model, ngram_counts, op10_langid_ftrl, predict_language
 from vellumspark.llm.quality import fit_quality, op5_quality_ftrl, score_quality
@@ -46,8 +50,6 @@ def test_temperature_mends_overconfidence():
 
 
 def test_chunked_counts_equal_whole_counts(monkeypatch):
-    from vellumspark.llm import langid
-
     text = "".join(random.Random(2).choices("abc déß漢", k=5000))
     whole = ngram_counts(text)
     monkeypatch.setattr(langid, "CHUNK", 64)
@@ -113,3 +115,115 @@ def test_quality_edge_cases(spark):
     out = score_quality(data.clashing(spark), weights)
     assert out.count() == len(data.ODD) and out.columns.count("score") == 1
     assert np.array_equal(weights, fit_quality(docs.repartition(3), labels.repartition(5)))
+
+
+def plain_ftrl(rows, slots, outputs, alpha, l1, l2, epochs, seed=7):
+    """The updates of the method one coordinate at a time, in plain Python."""
+    size = (slots + 1) * outputs
+    z, n = [0.0] * size, [0.0] * size
+
+    def weight(k):
+        bare = k // outputs == slots
+        if abs(z[k]) <= (0.0 if bare else l1):
+            return 0.0
+        return -(z[k] - (1 if z[k] > 0 else -1) * (0.0 if bare else l1)) / ((1.0 + n[k] ** 0.5) / alpha + (0.0 if bare else l2))
+
+    turn = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in turn.permutation(len(rows)):
+            index, value, label = rows[i]
+            entries = [*zip(index.tolist(), value.tolist(), strict=True), (slots, 1.0)]
+            logits = [sum(v * weight(s * outputs + o) for s, v in entries) for o in range(outputs)]
+            if outputs == 1:
+                errors = [1 / (1 + math.exp(-logits[0])) - label]
+            else:
+                top = max(logits)
+                total = sum(math.exp(x - top) for x in logits)
+                errors = [math.exp(x - top) / total - (o == label) for o, x in enumerate(logits)]
+            old = {s * outputs + o: weight(s * outputs + o) for s, _ in entries for o in range(outputs)}
+            for s, v in entries:
+                for o in range(outputs):
+                    k, g = s * outputs + o, v * errors[o]
+                    z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / alpha * old[k]
+                    n[k] += g * g
+    return np.array([weight(k) for k in range(size)]).reshape(slots + 1, outputs)
+
+
+def test_ftrl_equals_plain_updates():
+    rng = np.random.default_rng(2)
+    for outputs in (1, 3):
+        rows = [(np.sort(rng.choice(20, 4, replace=False)), rng.random(4), int(rng.integers(max(2, outputs)))) for _ in range(60)]
+        got = Ftrl(20, outputs, alpha=0.7, l1=0.05, l2=0.1).fit(rows, 2)
+        assert np.allclose(got, plain_ftrl(rows, 20, outputs, 0.7, 0.05, 0.1, 2), atol=1e-9)
+
+
+def test_quality_query_equals_a_plain_model(spark, tmp_path):
+    docs, labels, truth = quality_tables(spark, 120)
+    d = data.write(spark, tmp_path, documents=docs, labels=labels)
+    rows = [tuple(r) for r in docs.collect()]
+    marked = {}
+    for k, q, _ in truth:
+        if k is not None and q is not None and zlib.crc32(str(k).encode()) % 3 != 1:
+            marked[k] = max(q, marked.get(k, 0))
+    hashes = quality.TokenHashes()
+    draw = lambda k: int(hashlib.md5(str(k).encode()).hexdigest()[:12], 16)
+    learn = [(*quality.features(rows[k][1], hashes), marked[k]) for k in sorted(marked, key=lambda k: (draw(k), k))]
+    slots = {s: i for i, s in enumerate(sorted({int(s) for index, *_ in learn for s in index}))}
+    small = [(np.array([slots[int(s)] for s in index]), value, label) for index, value, label in learn]
+    w = plain_ftrl(small, len(slots), 1, 1.0, 1e-3, 1e-3, 3)[:, 0]
+    want = {}
+    for k, text, *_ in rows:
+        index, value = quality.features(text, hashes)
+        known = [(slots[int(s)], v) for s, v in zip(index, value, strict=True) if int(s) in slots]
+        want[k] = 1 / (1 + math.exp(-(sum(w[s] * v for s, v in known) + w[-1])))
+    for r in op5_quality_ftrl(spark, d).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-5)
+
+
+def test_language_query_equals_a_plain_model(spark, tmp_path):
+    rows = language_rows(90)
+    d = data.write(spark, tmp_path, documents=spark.createDataFrame(rows, data.DOCS))
+    learn = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    drawn = spark.createDataFrame(learn, data.DOCS).select("doc_id", F.shiftrightunsigned(F.xxhash64("lang", F.col("doc_id").cast("string"), F.md5("text")), 32).alias("draw")).collect()
+    draw = {r["doc_id"]: r["draw"] for r in drawn}
+    grams = {r[0]: langid.ngram_counts(r[1]) for r in rows}
+    df = np.zeros(langid.SLOTS)
+    for r in learn:
+        df[grams[r[0]][0]] += 1
+    idf = np.log((1.0 + len(learn)) / (1.0 + df)) + 1.0
+    languages = sorted({r[2] for r in learn})
+    order = sorted(learn, key=lambda r: (draw[r[0]], r[2], len(grams[r[0]][0]), grams[r[0]][1].sum()))
+    vector = lambda k: langid.tf_idf(*grams[k], idf)
+    slots = {s: i for i, s in enumerate(sorted({int(s) for r in rows for s in grams[r[0]][0]}))}
+    index = lambda k: np.array([slots[int(s)] for s in grams[k][0]])
+    some = {r[2] for r in order if draw[r[0]] % 5}
+    kept = [(index(r[0]), vector(r[0]), languages.index(r[2])) for r in order if draw[r[0]] % 5 or r[2] not in some]
+    w = plain_ftrl(kept, len(slots), len(languages), 2.0, 1e-3, 1e-3, 3)
+    logits = lambda k: vector(k) @ w[index(k)] + w[-1]
+    held = [r for r in order if draw[r[0]] % 5 == 0]
+    t = fit_temperature(np.array([logits(r[0]) for r in held]).reshape(-1, len(languages)), np.array([languages.index(r[2]) for r in held], np.int64))
+    for r in op10_langid_ftrl(spark, d).collect():
+        p = probabilities(logits(r["doc_id"])[None], t)[0]
+        assert r["lang_pred"] == languages[int(np.argmax(p))] and r["score"] == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_letters_are_of_category_l(spark):
+    model = fit_language_model(spark.createDataFrame(language_rows(60), data.DOCS))
+    for text in ("½", "²", "Ⅷ", "①", "12 ½!"):
+        assert model.predict(text) == ("und", 0.0)
+    assert model.predict("漢")[0] != "und"
+
+
+def test_every_language_is_learned(spark):
+    rows = [(None, r[1], r[2], "s", 0) for r in language_rows(300)] + [(7, "ǂxyzzy ǂplugh ǂxyzzy", "rare", "s", 0)] + [(None, "hot text that repeats", "en", "s", 0)] * 400
+    docs = spark.createDataFrame(rows, data.DOCS)
+    model = fit_language_model(docs, per_label=40)
+    assert model.languages == ["de", "en", "fr", "rare"] and model.predict("ǂplugh ǂxyzzy")[0] == "rare"
+    right = [model.predict(r[1])[0] == r[2] for r in language_rows(300)]
+    assert np.mean(right) > 0.9
+
+
+def test_repeated_labelled_rows_are_learned_once(spark):
+    docs, labels, _ = quality_tables(spark, 60)
+    many = docs.union(docs).union(docs)
+    assert np.array_equal(fit_quality(docs, labels), fit_quality(many, labels.union(labels)))

@@ -72,8 +72,17 @@ def test_repeated_rows_empty_tables_and_repeated_header_names(spark):
 
 
 def test_query_covers_every_page(spark, tmp_path):
-    pages = spark.createDataFrame([(0, "http://a.com/x", "one"), (7, "http://www.a.com/x/", "two"), (600, "https://a.com/x#f", None), (601, None, "three")], "page_id long, url string, html string")
+    html = ["one", "two", None]
+    rows = [(i, f"http://{'www.' if i % 2 else ''}a.com/{i % 6}", html[i % 3]) for i in range(700)] + [(9000, None, "three")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     pages.write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r["record_id"]: r for r in op1_warc_revisits(spark, str(tmp_path)).collect()}
-    assert {k: (r["resolution"], r["original_id"]) for k, r in got.items()} == {1: ("mismatch", 14), 15: ("mismatch", 14), 1201: ("resolved", 1200), 1203: ("no_original", None)}
-    assert page_captures(pages).count() == 8
+    made = [tuple(r) for r in page_captures(pages).collect()]
+    assert len(made) == 2 * 701 + 141
+    canon = [(r[0], None if r[1] is None else r[1].replace("http://", "").replace("www.", ""), *r[2:]) for r in made]
+    want = {r[0]: r for r in brute(canon)}
+    got = op1_warc_revisits(spark, str(tmp_path)).collect()
+    assert len(got) == 701 and {r["resolution"] for r in got} == {"resolved", "mismatch", "no_validator", "no_original"}
+    for r in got:
+        _, state, original, headers = want[r["record_id"]]
+        lines = None if headers is None else "\n".join(f"{k}: {v}" for k, v in sorted(headers.items()))
+        assert (r["resolution"], r["original_id"], r["headers"]) == (state, original, lines)

@@ -57,6 +57,14 @@ def merge_headers(old: Column, new: Column) -> Column:
     return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
 
 
+def _bounds_up_to(value: Column, bounds: list[float], first: int = 0) -> Column:
+    """How many of the sorted bounds are not over the value, by binary search."""
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    return F.when(value < bounds[half], _bounds_up_to(value, bounds[:half], first)).otherwise(_bounds_up_to(value, bounds[half + 1 :], first + half + 1))
+
+
 def resolve_revisits(captures: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """One row for each revisit.
 
@@ -65,9 +73,8 @@ def resolve_revisits(captures: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     """
     rows = captures.select("record_id", "url", canonical_url(F.col("url")).alias("canon"), F.col("ts").cast("double").alias("at"), "ts", F.coalesce("is_revisit", F.lit(False)).alias("is_revisit"), "etag", "last_modified", "headers", "payload_digest")
     shares = [i / blocks for i in range(1, blocks)]
-    bounds = rows.agg(F.percentile_approx("at", shares, 10_000)).first()[0] or []
-    lookup = F.lit(sorted(set(bounds))) if bounds else F.array().cast("array<double>")
-    rows = rows.withColumn("block", F.size(F.filter(lookup, lambda b: b <= F.col("at"))))
+    bounds = sorted(set(rows.agg(F.percentile_approx("at", shares, 10_000)).first()[0] or []))
+    rows = rows.withColumn("block", _bounds_up_to(F.col("at"), bounds))
     usable = F.col("canon").isNotNull() & F.col("at").isNotNull()
     full = F.struct("at", "ts", "record_id", "etag", "last_modified", "headers", "payload_digest")
     known = rows.filter(usable)
@@ -100,23 +107,34 @@ def resolve_revisits(captures: DataFrame, blocks: int = BLOCKS) -> DataFrame:
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
-    """Every page as a full response, and a revisit of it at a later time; every seventh revisit names another version."""
+    """Every page as a full response, every fifth captured again later, and a revisit of each.
+
+    By number, revisits name another version, name none but a date, name nothing
+    that the response has too, or come before every response.
+    """
     digest = F.md5(F.coalesce("html", F.lit("")))
-    at = F.col("page_id").cast("long") * 2
-    kinds = [
-        F.struct((F.col("page_id") * 2).alias("record_id"), at.alias("ts"), F.lit(False).alias("is_revisit"), F.lit("text/html").alias("kind"), F.lit("first").alias("date")),
-        F.struct((F.col("page_id") * 2 + 1).alias("record_id"), (at + 1001).alias("ts"), F.lit(True).alias("is_revisit"), F.lit("none").alias("kind"), F.lit("later").alias("date")),
-    ]
-    rows = pages.select("page_id", "url", digest.alias("digest"), F.explode(F.array(*kinds)).alias("k"))
-    changed = F.col("k.is_revisit") & (F.col("page_id") % 7 == 0)
+    page = F.col("page_id").cast("long")
+    day = F.when(page % 3 != 0, F.concat(F.lit("day "), (page % 4).cast("string")))
+    early = page % 17 == 5
+    tag = F.when(page % 11 != 3, digest)
+    seen = F.when(page % 7 == 0, F.lit("other")).when(~(page % 11).isin(3, 4), F.concat(F.lit("W/"), digest))
+    kind = lambda n, at, revisit, etag, when: F.struct((page * 4 + n).alias("record_id"), at.alias("ts"), F.lit(revisit).alias("is_revisit"), etag.alias("etag"), F.lit(when).alias("date"))
+    kinds = F.array(
+        kind(0, page * 4, False, tag, "first"),
+        F.when(page % 5 == 0, kind(2, page * 4 + 401, False, tag, "again")),
+        kind(1, F.when(early, -1 - page * 4).otherwise(page * 4 + 2003), True, seen, "later"),
+    )
+    rows = pages.select("url", page.cast("string").alias("page"), digest.alias("digest"), day.alias("day"), F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k"))
+    own = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), F.col("k.date"), F.lit("ETag"), F.col("digest"), F.lit("X-Page"), F.col("page"))
+    sent = F.create_map(F.lit("Content-Type"), F.lit("none"), F.lit("Date"), F.col("k.date"), F.lit("etag"), F.col("digest"))
     return rows.select(
         "k.record_id",
         "url",
         "k.ts",
         "k.is_revisit",
-        F.when(changed, F.lit("other")).otherwise(F.col("digest")).alias("etag"),
-        F.lit(None).cast("string").alias("last_modified"),
-        F.create_map(F.lit("Content-Type"), F.col("k.kind"), F.lit("Date"), F.col("k.date"), F.lit("ETag"), F.col("digest")).alias("headers"),
+        "k.etag",
+        F.col("day").alias("last_modified"),
+        F.when(F.col("k.is_revisit"), sent).otherwise(own).alias("headers"),
         F.when(~F.col("k.is_revisit"), F.col("digest")).alias("payload_digest"),
     )
 
@@ -138,14 +156,16 @@ c AS (
          || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canon
   FROM (SELECT *, list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
                lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|fbclid|gclid|ref|sessionid)(?:=|$)'))) AS q FROM p)),
-r AS (SELECT page_id * 2 AS record_id, canon, page_id * 2 AS ts, digest FROM c),
-v AS (SELECT page_id * 2 + 1 AS record_id, canon, page_id * 2 + 1001 AS ts, digest, CASE WHEN page_id % 7 = 0 THEN 'other' ELSE digest END AS etag FROM c),
-j AS (SELECT v.*, o.record_id AS original_id, o.ts AS original_ts, o.digest AS original_digest
+d AS (SELECT *, CASE WHEN page_id % 3 <> 0 THEN 'day ' || page_id % 4 END AS day, CASE WHEN page_id % 11 <> 3 THEN digest END AS tag FROM c),
+r AS (SELECT page_id * 4 AS record_id, page_id * 4 AS ts, * FROM d UNION ALL SELECT page_id * 4 + 2, page_id * 4 + 401, * FROM d WHERE page_id % 5 = 0),
+v AS (SELECT page_id * 4 + 1 AS record_id, canon, CASE WHEN page_id % 17 = 5 THEN -1 - page_id * 4 ELSE page_id * 4 + 2003 END AS ts, digest, day,
+             CASE WHEN page_id % 7 = 0 THEN 'other' WHEN page_id % 11 NOT IN (3, 4) THEN digest END AS etag FROM d),
+j AS (SELECT v.*, o.record_id AS original_id, o.ts AS original_ts, o.digest AS original_digest, o.page_id AS original_page, coalesce(v.etag = o.tag, v.day = o.day) AS same
       FROM v ASOF LEFT JOIN r o ON v.canon = o.canon AND v.ts > o.ts)
 SELECT record_id, canon AS canonical_url, ts,
-       CASE WHEN original_id IS NULL THEN 'no_original' WHEN etag = original_digest THEN 'resolved' ELSE 'mismatch' END AS resolution,
+       CASE WHEN original_id IS NULL THEN 'no_original' WHEN same IS NULL THEN 'no_validator' WHEN same THEN 'resolved' ELSE 'mismatch' END AS resolution,
        original_id, original_ts,
-       CASE WHEN etag = original_digest THEN 'content-type: text/html' || chr(10) || 'date: later' || chr(10) || 'etag: ' || digest END AS headers,
-       CASE WHEN etag = original_digest THEN original_digest END AS payload_digest
+       CASE WHEN same THEN 'content-type: text/html' || chr(10) || 'date: later' || chr(10) || 'etag: ' || digest || chr(10) || 'x-page: ' || original_page END AS headers,
+       CASE WHEN same THEN original_digest END AS payload_digest
 FROM j
 """
