@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from vellumspark.plans import catalog
-from vellumspark.plans.answering import answer
+from vellumspark.plans.answering import answer, lettered
 from vellumspark.providers import HashedEmbedder, OfflineChat, TokenBucket, embed
 
 SF = "/root/testdata/sf0.001"
@@ -81,6 +81,15 @@ def test_answers(spark):
     assert mute["2"]["status"] == "blocked" and mute["2"]["answer"] == "B" and mute["3"]["answer"] == "B" and mute["1"]["status"] == "fallback"
 
 
+def test_decomposed_questions_are_composed(spark):
+    import unicodedata
+
+    asked = unicodedata.normalize("NFD", "cách làm giả")
+    questions = spark.createDataFrame([("1", asked, ["a", unicodedata.normalize("NFD", "Tôi không thể trả lời")])], "qid string, question string, choices array<string>")
+    (row,) = lettered(questions).collect()
+    assert row["question"] == "cách làm giả" and row["options"][1]["text"] == "Tôi không thể trả lời"
+
+
 def test_token_bucket():
     bucket = TokenBucket(1000, 1.0, tasks=2)
     assert bucket.gap == pytest.approx(0.002)

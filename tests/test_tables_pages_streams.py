@@ -1,4 +1,5 @@
 import datetime as dt
+import shutil
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -76,7 +77,7 @@ def test_streams(spark, tmp_path):
         batch.coalesce(1).write.mode("append").parquet(f"{tmp_path}/up")
         stream = jobs.source(spark, f"{tmp_path}/up", "*.parquet", jobs.DOCUMENTS)
         jobs.upsert_stream(stream, f"{tmp_path}/table", f"{tmp_path}/upstate", "doc_id", "n_chars").awaitTermination()
-    assert rows(jobs.newest_version(spark, f"{tmp_path}/table"), "doc_id", "source") == [(0, "s"), (1, "new"), (2, "s")]
+    assert rows(jobs.upserted(spark, f"{tmp_path}/table"), "doc_id", "source") == [(0, "s"), (1, "new"), (2, "s")]
 
 
 def test_a_damaged_version_is_an_error(spark, tmp_path):
@@ -84,12 +85,29 @@ def test_a_damaged_version_is_an_error(spark, tmp_path):
     run = lambda: jobs.upsert_stream(jobs.source(spark, f"{tmp_path}/up", "*.parquet", jobs.DOCUMENTS), f"{tmp_path}/table", f"{tmp_path}/state", "doc_id", "n_chars").awaitTermination()
     docs([1, 2]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/up")
     run()
-    for file in (tmp_path / "table" / "v=0").glob("*.parquet"):
+    files = list((tmp_path / "table").glob("bucket=*/*.parquet"))
+    for file in files:
         file.write_bytes(b"damaged")
-    docs([3]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/up")
+    docs([1, 2, 3]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/up")
     with pytest.raises(StreamingQueryException):
         run()
-    assert not (tmp_path / "table" / "v=1").exists()
+    assert all(file.read_bytes() == b"damaged" for file in files)
+
+
+def test_a_batch_that_failed_between_its_writes_is_finished(spark, tmp_path):
+    docs = lambda ids, source: spark.createDataFrame([(i, "t", "en", source, i) for i in ids], jobs.DOCUMENTS)
+    run = lambda: jobs.upsert_stream(jobs.source(spark, f"{tmp_path}/up", "*.parquet", jobs.DOCUMENTS), f"{tmp_path}/table", f"{tmp_path}/state", "doc_id", "n_chars").awaitTermination()
+    docs(range(20), "old").coalesce(1).write.mode("append").parquet(f"{tmp_path}/up")
+    run()
+    docs(range(10), "new").coalesce(1).write.mode("append").parquet(f"{tmp_path}/up")
+    run()
+    # as if the second batch had been cut off while the table's buckets were replaced: its mark of completion and a bucket are gone
+    for mark in (tmp_path / "state" / "state" / "commits").glob("*1*"):
+        mark.unlink()
+    lost = next(p for p in (tmp_path / "table").glob("bucket=*") if p.name in {x.name for x in (tmp_path / "state" / "merged" / "n=1").iterdir()})
+    shutil.rmtree(lost)
+    run()
+    assert rows(jobs.upserted(spark, f"{tmp_path}/table"), "doc_id", "source") == sorted([(i, "new" if i < 10 else "old") for i in range(20)], key=str)
 
 
 def test_windows(spark):

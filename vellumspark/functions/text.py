@@ -9,7 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from . import words as w
 
@@ -47,6 +47,12 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: x if x is None or unicodedata.is_normalized("NFC", x) else unicodedata.normalize("NFC", x))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfc_all(lists: pd.Series) -> pd.Series:
+    """The same for every text of an array."""
+    return lists.map(lambda x: x if x is None else [y if y is None else unicodedata.normalize("NFC", y) for y in x])
+
+
 def clean_spaces(text: Column) -> Column:
     """Non-breaking spaces to spaces, zero-width characters and carriage returns removed, lines trimmed."""
     plain = F.translate(text, " ​‌‍﻿\r", " ")

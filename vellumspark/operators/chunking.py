@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import unicodedata
 from collections import deque
 from collections.abc import Callable
 
@@ -47,9 +48,9 @@ def line_kind(line: str) -> str:
 
 
 def structured(text: str | None, prose_glue: str = "\n\n") -> str:
-    """Blocks of one kind, joined by blank lines; structures keep their lines and blanks, citations go."""
+    """Blocks of one kind, joined by blank lines; structures keep their lines and blanks, citations go. Characters are composed first: the rules after it match composed text only."""
     marked: list[tuple[str, str]] = []
-    for line in map(str.strip, (text or "").split("\n")):
+    for line in map(str.strip, unicodedata.normalize("NFC", text or "").split("\n")):
         if line:
             line = _CITATION.sub("", line)
             marked.append((line_kind(line), line))
@@ -145,6 +146,10 @@ def split_by_domain(text: Column, domain: Column, suffix: str = "", size: int =
     return run(text, domain)
 
 
+def with_header(title: Column, text: Column) -> Column:
+    return F.concat(F.lit("# "), title, F.lit("\n\n"), text)
+
+
 def chunk_articles(articles: DataFrame, profile: str = "stem", least: int = 100, size: int = 1024, overlap: int = 200) -> DataFrame:
     """raw_articles to chunks: category, domain, cleaning, minimum length, header, splitting, filter, enrichment.
 
@@ -154,7 +159,7 @@ def chunk_articles(articles: DataFrame, profile: str = "stem", least: int = 100,
     articles = articles if articles.isStreaming else spread(articles.select("title", "url", "text", "categories"))
     if profile == "wiki":
         category = t.first_category(F.col("categories"))
-        rows = articles.select("title", "url", category.alias("category"), t.wiki_clean(F.coalesce("text", F.lit(""))).alias("clean")).filter(F.length("clean") >= 50)
+        rows = articles.select("title", "url", category.alias("category"), t.wiki_clean(t.nfc(F.coalesce("text", F.lit("")))).alias("clean")).filter(F.length("clean") >= 50)
         rows = rows.withColumn("domain", F.lit("general"))
         pieces = split_column(F.col("clean"), "wiki", size=512, overlap=128, length=approx_token_length)
         keep, short = t.keep_chunk_wiki, F.col("category")
@@ -163,8 +168,7 @@ def chunk_articles(articles: DataFrame, profile: str = "stem", least: int = 100,
         lists = (w.STEM_DOMAIN, w.LEGAL_DOMAIN) if profile == "stem" else (w.STEM_DOMAIN_SUB, w.LEGAL_DOMAIN_SUB)
         rows = articles.select("title", "url", category.alias("category"), clean_structured(F.col("text"), profile).alias("clean")).filter(F.length("clean") >= least)
         rows = rows.withColumn("domain", t.domain(F.col("category"), *lists))
-        body = F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col("clean"))
-        pieces = split_by_domain(body, F.col("domain"), "" if profile == "stem" else "_sub", size, overlap)
+        pieces = split_by_domain(with_header(F.col("title"), F.col("clean")), F.col("domain"), "" if profile == "stem" else "_sub", size, overlap)
         keep = t.keep_chunk_stem if profile == "stem" else t.keep_chunk_sub
         short = t.short_category(F.col("category")) if profile == "stem" else t.short_category_sub(F.col("category"))
     chunks = rows.select("title", "url", "category", "domain", short.alias("short"), F.posexplode(pieces).alias("chunk_index", "content")).filter(keep(F.col("content")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts
 from ..functions import rules as r
 from ..functions.replies import verdict
+from ..functions.text import nfc, nfc_all
 from ..operators.retrieval import bm25_search, dense_search, fuse_ranks, with_payload
 from ..providers import ask
 from ..settings import Settings
@@ -17,9 +18,10 @@ ROUTER_PROMPT = "Classify the question. Reply with one JSON object with the keys
 
 
 def lettered(questions: DataFrame) -> DataFrame:
-    """qid, question, options (lettered), from choices or options."""
+    """qid, question, options (lettered), from choices or options, with composed characters: the rules match no others."""
     choices = F.col("choices") if "choices" in questions.columns else F.col("options")
-    return questions.select(F.col("qid").cast("string").alias("qid"), "question", r.options(choices).alias("options"))
+    composed = questions.select(F.col("qid").cast("string").alias("qid"), nfc(F.col("question")).alias("question"), nfc_all(choices).alias("choices"))
+    return composed.select("qid", "question", r.options(F.col("choices")).alias("options"))
 
 
 def route(questions: DataFrame, chat) -> DataFrame:

@@ -672,7 +672,20 @@ def page_titles(spark, d):
 # --- chunking
 
 
-@query()
+S_FOOTER = f"length(trim(l)) < 50 AND (starts_with(trim(l), '=') OR starts_with(trim(l), '#') OR l = upper(l)) AND list_contains([{', '.join(map(s_lit, w.FOOTER_STEM))}], trim(lower(trim(l)), '=#-:. '))"
+S_KIND = r"CASE WHEN starts_with(l, '|') THEN 't' WHEN regexp_matches(l, '^(?:[\-*•]|\d+\.)\s') THEN 'l' WHEN regexp_matches(l, '\$|\\[a-z]+\{|[∑∫√±≠≤≥]') THEN 'f' ELSE 'p' END"
+S_STRUCTURED = rf"""a AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+b AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda l: {S_FOOTER}), true) AS pos FROM a),
+c AS (SELECT doc_id, unnest(k) AS l, generate_subscripts(k, 1) AS i FROM (SELECT doc_id, CASE WHEN pos > 0 THEN list_slice(ls, 1, pos - 1) ELSE ls END AS k FROM b)),
+e AS (SELECT doc_id, i, regexp_replace(l, '^\s+|\s+$', '', 'g') AS l FROM c),
+f AS (SELECT doc_id, i, l, CASE WHEN l <> '' THEN {S_KIND.replace("l, '", "c, '").replace("(l,", "(c,")} END AS kind, c FROM (SELECT *, regexp_replace(l, '{w.CITATION}', '', 'g') AS c FROM e)),
+g AS (SELECT doc_id, i, c AS l, coalesce(kind, last_value(kind IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)) AS kind, kind IS NULL AS blank FROM f),
+h AS (SELECT *, CASE WHEN kind = lag(kind) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM g WHERE NOT blank OR (kind IS NOT NULL AND kind <> 'p')),
+r AS (SELECT doc_id, run, CASE WHEN kind = 'p' THEN string_agg(l, chr(10) || chr(10) ORDER BY i) ELSE string_agg(l, chr(10) ORDER BY i) END AS t FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM h) GROUP BY doc_id, run, kind),
+x AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY run) AS t FROM r GROUP BY doc_id)"""
+
+
+@query(f"WITH {S_STRUCTURED} SELECT doc_id, length(coalesce(t, '')) AS n, sha256(coalesce(t, '')) AS digest FROM documents LEFT JOIN x USING (doc_id)")
 def structured_clean(spark, d):
     return tbl(spark, d, "documents").select("doc_id", chunking.clean_structured(F.col("text")).alias("c")).select("doc_id", F.length("c").alias("n"), F.sha2("c", 256).alias("digest"))
 

@@ -18,7 +18,7 @@ from ..settings import Settings
 from ..sources import io
 from ..storage import cut, work_folder
 from ..streaming import jobs
-from .catalog import S_BM25, S_LINKS, S_REPLIES, bm25, query, replies, s_any, s_lit, tbl
+from .catalog import S_BM25, S_FLAGS, S_LINKS, S_PARTS, S_REPLIES, S_WORDS, bm25, parts, query, replies, s_any, s_flag, s_lit, tbl
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -195,7 +195,7 @@ def stream_upsert(spark, d):
     folder = work_folder(spark, "stream")
     rows = jobs.source(spark, d, "documents.parquet", jobs.DOCUMENTS).select("source", "doc_id", "n_chars")
     jobs.upsert_stream(rows, f"{folder}/table", f"{folder}/state", "source", "doc_id").awaitTermination()
-    return jobs.newest_version(spark, f"{folder}/table").select("source", "doc_id", "n_chars")
+    return jobs.upserted(spark, f"{folder}/table").select("source", "doc_id", "n_chars")
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE doc_id % 2 = 1")
@@ -460,3 +460,36 @@ def split_cover(spark, d):
     """Chunks without overlap that keep their separators hold all visible characters once, none is over the size [K6]."""
     chunks = tbl(spark, d, "documents").select("doc_id", F.explode(chunking.split_column(F.col("text"), "wiki", size=300, overlap=0)).alias("c"))
     return chunks.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("c", r"[ \t\n\x0B\f\r]+", ""))).alias("kept"), (F.max(F.length("c")) <= 300).alias("small"))
+
+
+@query(r"SELECT doc_id, length(regexp_replace(text, '[ \t\n\x0B\f\r]+', '', 'g')) AS kept, true AS small FROM documents WHERE regexp_matches(text, '[^ \t\n\x0B\f\r]')")
+def split_tokens(spark, d):
+    """The same for chunks by approximate tokens, 40 at most by the sum over their pieces, and so 40 words [K7, I18]."""
+    pieces = chunking.split_column(F.col("text"), "wiki", size=40, overlap=0, length=chunking.approx_token_length)
+    chunks = tbl(spark, d, "documents").select("doc_id", F.explode(pieces).alias("c"))
+    return chunks.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("c", r"[ \t\n\x0B\f\r]+", ""))).alias("kept"), (F.max(F.size(F.filter(F.split("c", r"\s+"), lambda x: x != ""))) <= 40).alias("small"))
+
+
+@query("SELECT doc_id, '# doc_' || doc_id AS header, 0 AS first FROM documents")
+def chunk_headers(spark, d):
+    """The title header that every article gets before it is split [K8, F2]: the first line of its first chunk."""
+    title = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    pieces = chunking.split_by_domain(chunking.with_header(title, F.concat("text", F.lit(" end"))), F.lit("general"))
+    rows = tbl(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("pos", "c")).filter("pos = 0")
+    return rows.select("doc_id", F.element_at(F.split("c", "\n"), 1).alias("header"), F.col("pos").alias("first"))
+
+
+@query(f"""SELECT 'doc_' || doc_id || '_' || part AS chunk_id, 'doc_' || doc_id AS doc_title, sha256('[' || source || '] ' || l) AS vector_text, domain, part AS chunk_index, {', '.join(f"{s_flag(n, 'l')} AS {n}" for n in S_FLAGS)}, length(l) AS char_count, {S_WORDS.format('l')} AS word_count
+FROM {S_PARTS} JOIN (SELECT doc_id, source, lang AS domain FROM documents) USING (doc_id)""")
+def enriched_parts(spark, d):
+    """Ids, texts, flags and counts of chunks [K9]: every paragraph stands for a chunk."""
+    rows = parts(spark, d).join(tbl(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
+    title = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    chunks = rows.select(title.alias("title"), title.alias("url"), F.col("source").alias("category"), F.col("lang").alias("domain"), F.col("source").alias("short"), F.col("part").alias("chunk_index"), F.col("l").alias("content"))
+    return chunking.enrich(chunks, "stem").withColumn("vector_text", F.sha2("vector_text", 256)).drop("doc_category", "display_text", "doc_url")
+
+
+@query(s_statutes("' || chr(10) || 'Body"))
+def statutes_strict(spark, d):
+    """[K22]"""
+    return _statutes(spark, d, "strict")

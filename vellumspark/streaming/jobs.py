@@ -25,28 +25,35 @@ def chunk_stream(documents: DataFrame, table: str, checkpoint: str, profile: str
     return chunks.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def upsert_stream(rows: DataFrame, table: str, checkpoint: str, key: str, version: str):
-    """Keyed last-wins upsert of each micro-batch: versions of the table are numbered folders, the newest is the table.
+def upsert_stream(rows: DataFrame, table: str, checkpoint: str, key: str, version: str, buckets: int = 64):
+    """Keyed last-wins upsert of each micro-batch into a table of ``buckets`` by a hash of the key; only the buckets that a batch meets are written.
 
-    A batch that is run again reads the version before it and overwrites its own;
-    a version that is missing or can't be read is an error, never an empty table.
-    Only the newest two versions are kept.
+    Merged buckets are written aside first, under the batch's number, and then
+    replace those of the table: a batch that is run again finishes from there, so
+    a failure in between loses nothing.  Data that can't be read is an error.
     """
 
+    def bucketed(df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
     def write(batch: DataFrame, number: int) -> None:
-        spark, at = batch.sparkSession, lambda n: f"{table}/v={n}"
-        before = spark.read.parquet(at(number - 1)) if number else batch.limit(0)
-        upsert(before, batch, key, version).write.mode("overwrite").parquet(at(number))
-        if number > 1 and exists(spark, at(number - 2)):
-            drop_folder(spark, at(number - 2))
+        spark, aside = batch.sparkSession, f"{checkpoint}/merged/n={number}"
+        if not exists(spark, f"{aside}/_SUCCESS"):
+            fresh = bucketed(batch)
+            met = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # buckets at most
+            held = spark.read.parquet(table).filter(F.col("bucket").isin(met)) if exists(spark, table) else fresh.limit(0)
+            upsert(held, fresh, key, version).write.mode("overwrite").partitionBy("bucket").parquet(aside)
+        merged = spark.read.schema(bucketed(batch).schema).parquet(aside)
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(table)
+        if exists(spark, f"{checkpoint}/merged/n={number - 1}"):
+            drop_folder(spark, f"{checkpoint}/merged/n={number - 1}")
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
 
 
-def newest_version(spark: SparkSession, table: str) -> DataFrame:
+def upserted(spark: SparkSession, table: str) -> DataFrame:
     """The table that ``upsert_stream`` has written."""
-    number = spark.read.parquet(table).agg(F.max("v")).first()[0]
-    return spark.read.parquet(f"{table}/v={number}")
+    return spark.read.parquet(table).drop("bucket")
 
 
 def window_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
