@@ -50,6 +50,19 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(DROP_SHUFFLES, before)
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """The same as a Parquet table in a work folder: for wide rows of which later reads need some columns only."""
+    spark = df.sparkSession
+    folder = work_folder(spark, name)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.select("*").write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the checkpoint files of a result of ``cut`` that nothing needs any more."""
     held = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
