@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..storage import checkpoint_dir, cut, drop_cut, drop_folder  # noqa: F401
+from ..storage import checkpoint_dir, cut, drop_cut, drop_folder, stored  # noqa: F401
 
 #: ASCII white space that separates words, as a character class of Java and RE2.
 SPACE_CLASS = r"[\x20\x09-\x0D]"

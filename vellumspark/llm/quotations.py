@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_groups, cut, drop_cut, hot_keys, spread_join, table
+from .common import attach_groups, cut, drop_cut, hot_keys, spread_join, stored, table
 
 MARKS = re.compile(r"^((?:[ \t]*>)+)[ \t]?")
 WHOLE, PARAGRAPH, LINE = 0, 1, 2
@@ -134,13 +134,10 @@ def roots(links: DataFrame, most_rounds: int = 64) -> DataFrame:
 
 def link_quotations(messages: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, parent_conv, parent_turn, root_conv, root_turn, depth, n_quotes, n_linked, text (own words)."""
-    parsed = parse_messages(messages)
-    slim = cut(parsed.select("conv_id", "turn", "own", "quotes"))
-    links = quote_links(slim)
-    drop_cut(slim)
+    parsed = stored(parse_messages(messages), "messages")
+    links = quote_links(parsed.select("conv_id", "turn", "own", "quotes"))
     told = cut(links.join(roots(links), ["conv_id", "turn"]))
-    keys = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"))
-    out = spread_join(parsed.select("conv_id", "turn", "role", "own_text", "n_quotes"), told, ["conv_id", "turn"], "left", hot_keys(keys, ["conv_id", "turn"]))
+    out = spread_join(parsed.select("conv_id", "turn", "role", "own_text", "n_quotes"), told, ["conv_id", "turn"], "left", hot_keys(parsed, ["conv_id", "turn"]))
     return out.select(
         "conv_id",
         "turn",
@@ -187,13 +184,12 @@ def quoted_conversations(conversations: DataFrame) -> DataFrame:
     """The conversations as mail: each message after the first quotes the one before (by turns its whole text, its first paragraph, its first line), and what that one quoted a level deeper."""
     whole = F.regexp_replace(F.coalesce("text", F.lit("")), "^\\n+|\\n+$", "")
     part = F.when(F.col("turn") % 3 == 0, whole).when(F.col("turn") % 3 == 1, F.element_at(F.split(whole, "\n[ \t]*\n"), 1)).otherwise(F.regexp_extract(whole, "^[^\\n]*", 0))
-    heads = conversations.select("conv_id", (F.col("turn") + 1).alias("turn"), part.alias("head"))
-    heads = heads.groupBy("conv_id", "turn").agg(F.min("head").alias("head"))
-    older = heads.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("head").alias("older"))
-    quotes = heads.join(older, ["conv_id", "turn"], "left").filter("head != ''")
+    none = F.lit(None).cast("string")
+    to = F.explode(F.array(F.struct((F.col("turn") + 1).alias("turn"), part.alias("head"), none.alias("older")), F.struct((F.col("turn") + 2).alias("turn"), none.alias("head"), part.alias("older"))))
+    heads = conversations.select("conv_id", to.alias("x")).select("conv_id", "x.*").groupBy("conv_id", "turn").agg(F.min("head").alias("head"), F.min("older").alias("older"))
     marked = lambda c, marks: F.concat(F.lit(marks), F.replace(c, F.lit("\n"), F.lit(f"\n{marks}")), F.lit("\n"))
     deep = F.when(F.coalesce("older", F.lit("")) != "", marked(F.col("older"), ">> ")).otherwise("")
-    quoted = quotes.select("conv_id", "turn", F.concat(F.lit("They wrote:\n"), deep, marked(F.col("head"), "> ")).alias("quoted"))
+    quoted = heads.filter("head != ''").select("conv_id", "turn", F.concat(F.lit("They wrote:\n"), deep, marked(F.col("head"), "> ")).alias("quoted"))
     return conversations.join(quoted, ["conv_id", "turn"], "left").withColumn("text", F.concat(F.coalesce("quoted", F.lit("")), F.coalesce("text", F.lit("")))).drop("quoted")
 
 
