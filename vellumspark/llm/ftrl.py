@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class Ftrl:
@@ -16,27 +18,31 @@ class Ftrl:
         self.z = np.zeros((features + 1, outputs))
         self.n = np.zeros((features + 1, outputs))
 
-    def _solve(self, z: np.ndarray, n: np.ndarray, l1: float, l2: float) -> np.ndarray:
-        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + l2))
+    def _solve(self, z: np.ndarray, root: np.ndarray, l1: float, l2: float) -> np.ndarray:
+        """Weights; root: square roots of the summed squared gradients."""
+        return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((self.beta + root) / self.alpha + l2))
 
     def weights(self) -> np.ndarray:
-        w = self._solve(self.z, self.n, self.l1, self.l2)
-        w[-1] = self._solve(self.z[-1], self.n[-1], 0.0, 0.0)
+        w = self._solve(self.z, np.sqrt(self.n), self.l1, self.l2)
+        w[-1] = self._solve(self.z[-1], np.sqrt(self.n[-1]), 0.0, 0.0)
         return w
 
     def learn(self, index: np.ndarray, value: np.ndarray, label: int) -> None:
-        z, n = self.z[index], self.n[index]
-        w = self._solve(z, n, self.l1, self.l2)
-        wb = self._solve(self.z[-1], self.n[-1], 0.0, 0.0)
-        error = probabilities((value @ w + wb)[None])[0]
+        z, n, bare_z, bare_n = self.z[index], self.n[index], self.z[-1], self.n[-1]
+        root, bare_root = np.sqrt(n), np.sqrt(bare_n)
+        w, bare = self._solve(z, root, self.l1, self.l2), self._solve(bare_z, bare_root, 0.0, 0.0)
+        error = probabilities((value @ w + bare)[None])[0]
         if len(error) == 1:
             error = error - label
         else:
             error[label] -= 1.0
-        for rows, g, old, z_old, n_old in ((index, value[:, None] * error, w, z, n), (-1, error, wb, self.z[-1], self.n[-1])):
-            sigma = (np.sqrt(n_old + g * g) - np.sqrt(n_old)) / self.alpha
-            self.z[rows] = z_old + g - sigma * old
-            self.n[rows] = n_old + g * g
+        g = value[:, None] * error
+        n += g * g
+        self.z[index] = z + g - (np.sqrt(n) - root) / self.alpha * w
+        self.n[index] = n
+        more = bare_n + error * error
+        self.z[-1] = bare_z + error - (np.sqrt(more) - bare_root) / self.alpha * bare
+        self.n[-1] = more
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int, seed: int = 7) -> np.ndarray:
         turn = np.random.default_rng(seed)
@@ -46,6 +52,12 @@ class Ftrl:
         return self.weights()
 
 
+def list_values(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column without nulls as arrays."""
+    ends = np.cumsum(pc.list_value_length(column).to_numpy())
+    return np.split(column.flatten().to_numpy(), ends[:-1]) if len(column) else []
+
+
 def probabilities(logits: np.ndarray, temperature: float = 1.0) -> np.ndarray:
     """Rows of logits to probabilities: a sigmoid where there is one column, else a softmax."""
     logits = logits / temperature

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, cut, drop_cut, table, with_fields
-from .ftrl import Ftrl, fit_temperature, probabilities
+from .ftrl import Ftrl, fit_temperature, list_values, probabilities
 
 SLOTS = 1 << 14
 CHUNK = 1 << 20
@@ -106,9 +106,8 @@ def _train(languages: list[str], idf: np.ndarray, settings: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, rows = {x: i for i, x in enumerate(languages)}, []
         for batch in batches:
-            for r in batch.to_pylist():
-                slots = np.array(r["slots"], np.int64)
-                rows.append((r["split"], r["label"], slots, np.array(r["counts"], np.int64)))
+            slots, counts = list_values(batch.column("slots")), list_values(batch.column("counts"))
+            rows += zip(batch.column("split").to_pylist(), batch.column("label").to_pylist(), slots, counts, strict=True)
         rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[3].sum()))
         some = {label for split, label, *_ in rows if split % 5}  # a language without such rows is learned from those it has
         data = [(split % 5 == 0, label in some, (slots, tf_idf(slots, counts, idf), place[label])) for split, label, slots, counts in rows]
@@ -150,7 +149,7 @@ class LanguageModel:
 def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_label: int = 1500, most_rows: int = 12_000, most_labels: int = 1000, alpha: float = 2.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 3, other: bool = False) -> LanguageModel:
     """Learn from all given rows that have text and language; other: learn texts in no language too."""
     known = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("label"), F.col(id_col).cast("string").alias("id")).filter("text IS NOT NULL AND label IS NOT NULL")
-    draw = F.shiftrightunsigned(F.xxhash64("label", "id", F.md5("text")), 32)
+    draw = F.shiftrightunsigned(F.xxhash64("label", "id", "text"), 32)
     known = known.select("text", "label", draw.alias("draw"))
     counts = {r["label"]: (r["n"], r["least"]) for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("draw").alias("least")).limit(most_labels + 1).collect()}
     if len(counts) > most_labels:

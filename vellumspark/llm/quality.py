@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, cut, table, with_fields
-from .ftrl import Ftrl, probabilities
+from .ftrl import Ftrl, list_values, probabilities
 
 BITS = 18
 TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -62,10 +62,12 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _train(settings: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in batch.to_pylist()]
-        rows.sort(key=lambda r: (r["draw"], r["label"], len(r["slots"]), r["slots"]))
+        rows = []
+        for batch in batches:
+            rows += zip(batch.column("draw").to_pylist(), batch.column("label").to_pylist(), list_values(batch.column("slots")), list_values(batch.column("counts")), strict=True)
+        rows.sort(key=lambda r: (r[0], r[1], len(r[2]), r[2].tobytes()))
         model = Ftrl(1 << BITS, 1, alpha=settings["alpha"], l1=settings["l1"], l2=settings["l2"])
-        w = model.fit([(np.array(r["slots"], np.int64), np.array(r["counts"]), int(r["label"])) for r in rows], settings["epochs"])
+        w = model.fit([(slots, value, label) for _, label, slots, value in rows], settings["epochs"])
         yield pa.RecordBatch.from_arrays([pa.array([w[:, 0].astype(np.float32).tobytes()])], ["weights"])
 
     return run
