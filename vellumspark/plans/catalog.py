@@ -40,6 +40,11 @@ def tbl(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """The documents, dealt to all cores where their files give fewer tasks."""
+    return retrieval.spread(tbl(spark, d, "documents"))
+
+
 # --- SQL pieces
 
 
@@ -286,7 +291,7 @@ def longest_five(spark, d):
 @query("""SELECT issue, count(*) AS n FROM (SELECT CASE WHEN length(text) = 0 THEN 'empty' WHEN i = '' THEN 'OK' ELSE i END AS issue FROM (
   SELECT text, concat_ws(', ', CASE WHEN regexp_matches(text, '^[a-zà-ỹ]') THEN 'lower-case start' END, CASE WHEN right(text, 1) NOT IN ('.', '!', '?', '"', '''') THEN 'no final mark' END) AS i FROM documents)) GROUP BY issue""")
 def syntax_quality(spark, d):
-    return tbl(spark, d, "documents").select(t.syntax_issues(F.col("text")).alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
+    return texts(spark, d).select(t.syntax_issues(F.col("text")).alias("issue")).groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- text
@@ -300,30 +305,30 @@ def min_length(spark, d):
 @query(rf"SELECT doc_id, len({s_tokens('text')}) AS n_tokens, len(list_distinct({s_tokens('text')})) AS n_distinct FROM documents")
 def tokens_clean(spark, d):
     words = t.tokens(F.col("text"))
-    return tbl(spark, d, "documents").select("doc_id", F.size(words).alias("n_tokens"), F.size(F.array_distinct(words)).alias("n_distinct"))
+    return texts(spark, d).select("doc_id", F.size(words).alias("n_tokens"), F.size(F.array_distinct(words)).alias("n_distinct"))
 
 
 @query(r"SELECT doc_id, CAST(floor(len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) * 1.3) AS BIGINT) AS approx FROM documents")
 def approx_tokens(spark, d):
-    return tbl(spark, d, "documents").select("doc_id", t.approx_tokens(F.col("text")).alias("approx"))
+    return texts(spark, d).select("doc_id", t.approx_tokens(F.col("text")).alias("approx"))
 
 
 @query(r"SELECT doc_id, sha256(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS squeezed FROM documents")
 def squeeze_space(spark, d):
-    return tbl(spark, d, "documents").select("doc_id", F.sha2(t.squeeze(F.col("text")), 256).alias("squeezed"))
+    return texts(spark, d).select("doc_id", F.sha2(t.squeeze(F.col("text")), 256).alias("squeezed"))
 
 
 @query(rf"SELECT doc_id, length(regexp_replace(text || '[12] end[x][3]', '{w.CITATION_DIGITS}', '', 'g')) AS digits_only, length(regexp_replace(text || '[12] [cần dẫn nguồn]', '{w.CITATION}', '', 'g')) AS phrases FROM documents")
 def citation_strip(spark, d):
     both = [t.strip_citations(F.concat("text", F.lit("[12] end[x][3]"))), t.strip_citations(F.concat("text", F.lit("[12] [cần dẫn nguồn]")), digits_only=False)]
-    return tbl(spark, d, "documents").select("doc_id", F.length(both[0]).alias("digits_only"), F.length(both[1]).alias("phrases"))
+    return texts(spark, d).select("doc_id", F.length(both[0]).alias("digits_only"), F.length(both[1]).alias("phrases"))
 
 
 @query(f"""WITH x AS (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || '== Tham khảo ==' || chr(10) || text ELSE text END, chr(10)) AS lines FROM documents),
 m AS (SELECT doc_id, lines, list_position(list_transform(lines, lambda l: length(trim(l)) < 50 AND (starts_with(trim(l), '=') OR starts_with(trim(l), '#') OR l = upper(l)) AND list_contains([{", ".join(map(s_lit, w.FOOTER_STEM))}], trim(lower(trim(l)), '=#-:. '))), true) AS pos FROM x)
 SELECT doc_id, length(array_to_string(CASE WHEN pos > 0 THEN list_slice(lines, 1, pos - 1) ELSE lines END, chr(10))) AS n FROM m""")
 def footer_cut(spark, d):
-    docs = tbl(spark, d, "documents")
+    docs = texts(spark, d)
     text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\n== Tham khảo ==\n"), "text")).otherwise(F.col("text"))
     return docs.select("doc_id", F.length(t.cut_footer(text)).alias("n"))
 
@@ -332,7 +337,7 @@ def footer_cut(spark, d):
 m AS (SELECT doc_id, lines, list_position(list_transform(lines, lambda l: length(trim(l)) < 40 AND list_contains([{", ".join(map(s_lit, w.FOOTER_WIKI))}], trim(lower(trim(l)), '.:-='))), true) AS pos FROM x)
 SELECT doc_id, length(array_to_string(CASE WHEN pos > 0 THEN list_slice(lines, 1, pos - 1) ELSE lines END, chr(10))) AS n FROM m""")
 def footer_cut_wiki(spark, d):
-    docs = tbl(spark, d, "documents")
+    docs = texts(spark, d)
     text = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\nĐọc thêm:\n"), "text")).otherwise(F.col("text"))
     return docs.select("doc_id", F.length(t.cut_footer_wiki(text)).alias("n"))
 
@@ -360,7 +365,7 @@ def content_flags(spark, d):
 
 @query(f"SELECT doc_id, {s_match('text', [w.MATH_SUB])} AS has_math, {s_match('lower(text)', [w.LEGAL_SUB])} AS has_legal, {S_WORDS.format('text')} >= 15 AS is_substantial FROM documents")
 def content_flags_sub(spark, d):
-    return tbl(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in t.content_flags_sub(F.col("text")).items()])
+    return texts(spark, d).select("doc_id", *[c.alias(n) for n, c in t.content_flags_sub(F.col("text")).items()])
 
 
 # the filters read every paragraph of the text (a table needs two lines)
@@ -612,7 +617,7 @@ def route_rules_old(spark, d):
 
 @query(f"SELECT doc_id, length(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 5 AND NOT {s_any('lower(x)', w.GARBAGE_LINES)}), chr(10))) AS n FROM documents")
 def keep_lines(spark, d):
-    return tbl(spark, d, "documents").select("doc_id", F.length(t.keep_lines(F.col("text"))).alias("n"))
+    return texts(spark, d).select("doc_id", F.length(t.keep_lines(F.col("text"))).alias("n"))
 
 
 @query("SELECT source AS category, doc_id // 20 + 1 AS page, n_chars % 3 AS n_new FROM documents WHERE doc_id // 20 + 1 <= 70 AND doc_id // 20 <= coalesce((SELECT min(d2.doc_id // 20) FROM documents d2 WHERE d2.source = documents.source AND d2.doc_id >= 40 AND d2.n_chars % 3 = 0 AND (SELECT max(d3.n_chars % 3) FROM documents d3 WHERE d3.source = d2.source AND d3.doc_id // 20 IN (d2.doc_id // 20 - 1, d2.doc_id // 20 - 2)) = 0), 1000000)")
@@ -687,17 +692,17 @@ x AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY run) AS t FROM r
 
 @query(f"WITH {S_STRUCTURED} SELECT doc_id, length(coalesce(t, '')) AS n, sha256(coalesce(t, '')) AS digest FROM documents LEFT JOIN x USING (doc_id)")
 def structured_clean(spark, d):
-    return tbl(spark, d, "documents").select("doc_id", chunking.clean_structured(F.col("text")).alias("c")).select("doc_id", F.length("c").alias("n"), F.sha2("c", 256).alias("digest"))
+    return texts(spark, d).select("doc_id", chunking.clean_structured(F.col("text")).alias("c")).select("doc_id", F.length("c").alias("n"), F.sha2("c", 256).alias("digest"))
 
 
 @query()
 def split_general(spark, d):
-    return tbl(spark, d, "documents").select("doc_id", F.posexplode(chunking.split_column(F.col("text"), "general"))).select("doc_id", F.col("pos").alias("chunk_index"), F.length("col").alias("n"))
+    return texts(spark, d).select("doc_id", F.posexplode(chunking.split_column(F.col("text"), "general"))).select("doc_id", F.col("pos").alias("chunk_index"), F.length("col").alias("n"))
 
 
 @query()
 def split_legal(spark, d):
-    return tbl(spark, d, "documents").select("doc_id", F.posexplode(chunking.split_column(F.col("text"), "legal_sub"))).select("doc_id", F.col("pos").alias("chunk_index"), F.length("col").alias("n"))
+    return texts(spark, d).select("doc_id", F.posexplode(chunking.split_column(F.col("text"), "legal_sub"))).select("doc_id", F.col("pos").alias("chunk_index"), F.length("col").alias("n"))
 
 
 @query()
