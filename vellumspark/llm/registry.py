@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embedding_dedup, exact_dedup, langid, license_digest, lm_score, mixing, quality, quotations, revisits, simhash
+from . import collocations, decontaminate, embedding_dedup, exact_dedup, langid, license_digest, lm_score, mixing, quality, quotations, revisits, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_revisits": revisits.op1_warc_revisits,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash_anchor": simhash.op9_simhash_anchor,
     "op10_langid_ftrl": langid.op10_langid_ftrl,
+    "op11_collocations": collocations.op11_collocations,
     "op12_embedding_tiles": embedding_dedup.op12_embedding_tiles,
 }
 
@@ -26,5 +27,6 @@ ORACLES: dict[str, str] = {
     "op1_warc_revisits": revisits.ORACLE,
     "op6_license_digest": license_digest.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op12_embedding_tiles": embedding_dedup.ORACLE,
 }
