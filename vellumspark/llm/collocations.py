@@ -14,7 +14,7 @@
 5. Parts of phrases are looked up the same way, and their counts read by slot.
 
 A task holds one block of candidates, ``most_keys`` at most; more of them are
-taken in several passes over the runs.  The bucket table has about a quarter as
+taken in several passes over the runs.  The bucket table has about half as
 many buckets as there are words, ``most_bits`` at most (then fewer phrases are
 ruled out, and the passes are more; the result stays the same).
 
@@ -43,7 +43,7 @@ LONGEST, CHUNK, FAN_IN, SHARD_KEYS = 4, 1 << 16, 32, 32_768
 KEY = [f"k{i}" for i in range(1, LONGEST + 1)]
 #: Bytes that end a piece become ".", a tab becomes a space; "." is in no word, so it can stand for the end of a piece.
 _MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
-_STEP, _RUN = 1 << 20, 1 << 20
+_STEP, _RUN = 1 << 20, 1 << 19
 _CUT = re.compile(rb"[ .]")
 
 
@@ -207,7 +207,7 @@ def tree_sum(rows: DataFrame, parts: int) -> DataFrame:
             return rows
 
 
-def _bucket_counts(bits: int, most: int = 8_000_000) -> Callable:
+def _bucket_counts(bits: int, most: int = 2_000_000) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, n = TaskContext.get().partitionId(), [], 0
         for batch in batches:
@@ -297,15 +297,16 @@ class Block:
         return out
 
 
-def _slot_counts(block: Block, bits: int, passing: np.ndarray) -> Callable:
+def _slot_counts(block: Block, bits: int, passing: np.ndarray, at_once: int = 1 << 18) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(block.keys), np.int64)
         for batch in batches:
             for cell in batch.column(0):
                 words = np.frombuffer(cell.as_buffer(), np.uint64)
                 for k, starts, _ in phrases(words, bits, passing):
-                    slot = block.slots(columns_of(words, k, starts))
-                    total += np.bincount(slot[slot >= 0], minlength=len(total))
+                    for i in range(0, len(starts), at_once):
+                        slot = block.slots(columns_of(words, k, starts[i : i + at_once]))
+                        total += np.bincount(slot[slot >= 0], minlength=len(total))
         some = np.flatnonzero(total)
         if len(some):
             yield from _packed(TaskContext.get().partitionId(), some, total[some])
@@ -379,7 +380,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     runs, words = encoded(docs, lang_col, text_col)
     totals = cut(runs.groupBy("lang").agg(F.sum("words").alias("n")))
     n_words = totals.agg(F.sum("n")).first()[0] or 0
-    bits = int(min(most_bits, max(20, np.ceil(np.log2(max(n_words, 1))) - 2)))
+    bits = int(min(most_bits, max(20, np.ceil(np.log2(max(n_words, 1))) - 1)))
     passing = passing_buckets(runs, bits, least)
     likely = int(np.bitwise_count(passing).sum())
     if not likely:
