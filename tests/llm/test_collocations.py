@@ -55,10 +55,10 @@ def corpus(n=400, seed=4):
     return [(i, t, None if lang == "" else str(lang), None, None) for i, (t, lang) in enumerate(zip(texts, langs, strict=True))]
 
 
-@pytest.mark.parametrize("options", [{}, {"most": 7}, {"least": 3, "covered": 60, "most_keys": 40}, {"least": 2, "most_bits": 16, "most": 100000}])
+@pytest.mark.parametrize("options", [{}, {"most": 7}, {"least": 3, "covered": 60, "most_keys": 400}, {"least": 2, "most_bits": 16, "most": 100000}])
 def test_equals_brute_force(spark, options, monkeypatch):
-    if "most_keys" in options:  # many shards and blocks
-        monkeypatch.setattr(co, "SHARD_KEYS", 16)
+    if "most_keys" in options:  # several shards and blocks
+        monkeypatch.setattr(co, "SHARD_KEYS", 100)
         monkeypatch.setattr(co, "FAN_IN", 2)
     rows = corpus()
     got = found(co.collocations(spark.createDataFrame(rows, data.DOCS).repartition(9), **options))

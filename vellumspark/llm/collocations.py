@@ -32,6 +32,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ from .common import cut, drop_cut, stored, table
 from .mph import Mph, build, mixed
 
 LONGEST, CHUNK, FAN_IN, SHARD_KEYS = 4, 1 << 16, 32, 32_768
+#: Rows that a task gives at once.
+AT_ONCE = 1 << 16
 KEY = [f"k{i}" for i in range(1, LONGEST + 1)]
 #: Bytes that end a piece become ".", a tab becomes a space; "." is in no word, so it can stand for the end of a piece.
 _MARKS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
@@ -75,13 +78,13 @@ def _encode(seed: int, most_words: int = 500_000) -> Callable:
 
     def rows(lang: str, arrays: list[np.ndarray]) -> pa.RecordBatch:
         run = np.concatenate(arrays)
-        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([np.count_nonzero(run)]), pa.array([run.tobytes()], pa.binary()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([np.count_nonzero(run)]), pa.array([zstandard.compress(run.tobytes(), 1)], pa.binary()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64())], schema=schema)
 
-    def found(known: Words) -> pa.RecordBatch:
-        n, hashes = len(known.new), np.array([h for _, h in known.new], np.uint64).view(np.int64)
-        out = pa.RecordBatch.from_arrays([pa.array([known.lang] * n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array([w for w, _ in known.new], pa.binary()).cast(pa.string()), pa.array(hashes)], schema=schema)
-        known.new = []
-        return out
+    def found(known: Words) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(known.new), AT_ONCE):
+            new = known.new[at : at + AT_ONCE]
+            hashes = np.array([h for _, h in new], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([known.lang] * len(new), pa.string()), pa.nulls(len(new), pa.int64()), pa.nulls(len(new), pa.binary()), pa.array([w for w, _ in new], pa.binary()).cast(pa.string()), pa.array(hashes)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: dict[str, Words] = {}
@@ -104,12 +107,12 @@ def _encode(seed: int, most_words: int = 500_000) -> Callable:
                         mine[:] = [whole]
                 mine.append(np.zeros(1, np.uint64))
                 if len(known) > most_words:
-                    yield found(known)
+                    yield from found(known)
                     vocabulary.pop(lang)
         for lang, mine in held.items():
             yield rows(lang, mine)
         for known in vocabulary.values():
-            yield found(known)
+            yield from found(known)
 
     return run
 
@@ -129,6 +132,10 @@ def encoded(docs: DataFrame, lang_col: str, text_col: str) -> tuple[DataFrame, D
 # --- phrases of a run
 
 
+def unpacked(cell: pa.BinaryScalar) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(cell.as_buffer()), np.uint64)
+
+
 def hashes_of(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of phrases given by their words' columns (0: no word)."""
     h, g = np.zeros(len(columns[0]), np.uint64), np.zeros(len(columns[0]), np.uint64)
@@ -212,7 +219,7 @@ def _bucket_counts(bits: int, most: int = 2_000_000) -> Callable:
         part, held, n = TaskContext.get().partitionId(), [], 0
         for batch in batches:
             for cell in batch.column(0):
-                for _, _, h in phrases(np.frombuffer(cell.as_buffer(), np.uint64), bits):
+                for _, _, h in phrases(unpacked(cell), bits):
                     held.append((h >> np.uint64(64 - bits)).astype(np.uint32))
                     n += len(h)
                 if n >= most:
@@ -251,16 +258,19 @@ def _distinct_candidates(bits: int, passing: np.ndarray, shards: int) -> Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cell in batch.column(0):
-                words = np.frombuffer(cell.as_buffer(), np.uint64)
+                words = unpacked(cell)
                 for k, starts, h in phrases(words, bits, passing):
                     order = np.argsort(h)
-                    h, columns = h[order], columns_of(words, k, starts[order])
+                    h, starts = h[order], starts[order]
                     new = np.ones(len(h), bool)
                     new[1:] = h[1:] != h[:-1]
-                    for c in columns:  # of equal hashes all phrases that differ from the one before stay
-                        new[1:] |= c[1:] != c[:-1]
-                    h = h[new]
-                    yield pa.RecordBatch.from_arrays([pa.array((h % np.uint64(shards)).astype(np.int64)), *(pa.array(c.view(np.int64)) for c in (h, *(c[new] for c in columns)))], names)
+                    for i in range(k):  # of equal hashes all phrases that differ from the one before stay
+                        new[1:] |= words[starts[1:] + i] != words[starts[:-1] + i]
+                    h, starts = h[new], starts[new]
+                    for i in range(0, len(h), AT_ONCE):
+                        part = h[i : i + AT_ONCE]
+                        columns = [part, *columns_of(words, k, starts[i : i + AT_ONCE])]
+                        yield pa.RecordBatch.from_arrays([pa.array((part % np.uint64(shards)).astype(np.int64)), *(pa.array(c.view(np.int64)) for c in columns)], names)
 
     return run
 
@@ -302,7 +312,7 @@ def _slot_counts(block: Block, bits: int, passing: np.ndarray, at_once: int = 1
         total = np.zeros(len(block.keys), np.int64)
         for batch in batches:
             for cell in batch.column(0):
-                words = np.frombuffer(cell.as_buffer(), np.uint64)
+                words = unpacked(cell)
                 for k, starts, _ in phrases(words, bits, passing):
                     for i in range(0, len(starts), at_once):
                         slot = block.slots(columns_of(words, k, starts[i : i + at_once]))
