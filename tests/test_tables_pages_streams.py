@@ -26,6 +26,18 @@ def test_bookkeeping(spark):
     assert tables.accuracy(spark.createDataFrame([("1", "A "), ("2", "B")], "qid string, answer string"), spark.createDataFrame([("1", "A"), ("2", "C"), ("3", "D")], "qid string, answer string")).first() == (2, 1, 50.0)
 
 
+def test_columns_of_any_name_survive(spark):
+    df = spark.createDataFrame([("a", 1, "x", "y", "z", "d", "e")], "k string, n int, new string, _new string, row string, done string, _done string")
+    both = tables.upsert(df, df.withColumn("n", F.lit(2)), "k", "n")
+    assert both.columns == df.columns and both.first() == ("a", 2, "x", "y", "z", "d", "e")
+    assert tables.remaining(df, df.filter("n = 9"), "k").columns == df.columns and tables.remaining(df, df, "k").count() == 0
+
+
+def test_seeds_of_a_large_table(spark):
+    many = spark.range(10_500).select(F.col("id").cast("string").alias("x"))
+    assert io.seeds(spark, many.union(many)).count() == 10_500
+
+
 def test_pages(spark):
     html = '<html><head><title>T</title><style>x</style><meta name="date" content="2020"></head><body><nav><a href="/menu">menu</a></nav><div class="ad">buy</div><p>' + "Real text. " * 30 + '<p>more<br>line</p><a href="b/c">l</a><a href="//o.net/z">o</a><a href="#x">no</a><a href="mailto:a@b">m</a></body>'
     df = spark.createDataFrame([("http://a.com/d/p?q=1", html), ("http://e.org", None)], "url string, html string")

@@ -47,13 +47,112 @@ def test_recall_of_the_index(spark, tmp_path, cells):
     made = points(spark)
     held = vectors.Collection(spark, f"{tmp_path}/c")
     held.create(made)
-    probes = held.build_index(cells=cells, k=10, recall=0.95)
+    told = held.build_index(cells=cells, k=10, recall=0.95)
     asked = made.filter("payload % 20 = 0").select(F.col("id").alias("qid"), "vector")
     exact = {(r["qid"], r["chunk_id"]) for r in rt.dense_search(made, asked, 10, "id", "vector").collect()}
-    found = held.search(asked, 10, probes).collect()
-    assert len({(r["qid"], r["chunk_id"]) for r in found} & exact) >= 0.9 * len(exact)
+    found = held.search(asked, 10).collect()
+    assert told["recall"] >= 0.95 and told["points"] == 600
+    assert len({(r["qid"], r["chunk_id"]) for r in found} & exact) >= 0.95 * len(exact)
     assert {r["qid"]: r["chunk_id"] for r in found if r["rank"] == 1} == {f"p{i:04d}": f"p{i:04d}" for i in range(0, 600, 20)}
-    assert held.search(asked.limit(0), 10, probes).count() == 0
+    assert held.search(asked.limit(0), 10).count() == 0
+
+
+def test_search_sees_changes(spark, tmp_path):
+    """New, moved and deleted points before and after a merge, against the exact search over the valid points."""
+    made = points(spark, 300)
+    held = vectors.Collection(spark, f"{tmp_path}/c", buckets=4)
+    held.create(made)
+    held.build_index(cells=16)
+    asked = made.filter("payload % 15 = 0").select(F.col("id").alias("qid"), "vector")
+
+    def agree(n):
+        assert held.points().count() == n
+        exact = sorted(map(tuple, rt.dense_search(held.points(), asked, 7, "id", "vector").collect()))
+        assert sorted(map(tuple, held.search(asked, 7, probes=1000, refine=0).collect())) == exact
+        near = {(r["qid"], r["chunk_id"]) for r in held.search(asked, 7).collect()}
+        assert n < 7 or len(near & {(q, c) for q, c, *_ in exact}) >= 0.9 * len(exact)
+
+    agree(300)
+    moved = made.filter("payload % 3 = 0").withColumn("vector", F.transform("vector", lambda x: -x))
+    for _ in range(2):
+        held.upsert(moved.union(made.limit(1).withColumn("id", F.lit("new"))))
+    agree(301)
+    assert held.search(made.limit(1).select(F.col("id").alias("qid"), "vector"), 1).first()["chunk_id"] in ("new", "p0000")
+    held.delete(made.filter("payload % 5 = 1").union(made.limit(1).withColumn("id", F.lit("absent"))))
+    agree(241)
+    held.upsert(made.filter("payload = 6"))  # deleted before, and back
+    agree(242)
+    held.compact()
+    assert not vectors.exists(spark, f"{tmp_path}/c/changes")
+    agree(242)
+    held.delete(made)
+    agree(1)
+    held.compact()
+    agree(1)
+    held.build_index()
+    agree(1)
+
+
+def test_many_changes_are_merged_by_themselves(spark, tmp_path):
+    held = vectors.Collection(spark, f"{tmp_path}/c", buckets=2, most_changes=10)
+    held.create(points(spark, 50))
+    held.upsert(points(spark, 8))
+    assert vectors.exists(spark, f"{tmp_path}/c/changes")
+    held.delete(points(spark, 8).filter("payload < 5"))
+    assert not vectors.exists(spark, f"{tmp_path}/c/changes") and held.points().count() == 45
+
+
+def test_what_a_failure_cut_off_is_finished(spark, tmp_path, monkeypatch):
+    held = vectors.Collection(spark, f"{tmp_path}/c", buckets=4)
+    held.create(points(spark, 60))
+    held.build_index(cells=4)
+    held.delete(points(spark, 60).filter("payload < 20"))
+    finish = held._finish
+    monkeypatch.setattr(held, "_finish", lambda: None)  # stops where all is written aside
+    held.compact()
+    held._bucketed(points(spark, 10)).limit(0)
+    monkeypatch.setattr(held, "_finish", finish)
+    asked = points(spark, 60).select(F.col("id").alias("qid"), "vector")
+    assert {r["chunk_id"] for r in held.search(asked, 1, 100, 0).collect()} <= {f"p{i:04d}" for i in range(20, 60)}
+    assert held.points().count() == 40 and not vectors.exists(spark, f"{tmp_path}/c/merged") and not vectors.exists(spark, f"{tmp_path}/c/changes")
+    held._bucketed(points(spark, 5)).write.partitionBy("bucket").parquet(f"{tmp_path}/c/replacing")
+    assert held.points().count() == 5 and not vectors.exists(spark, f"{tmp_path}/c/cells")
+
+
+def test_a_query_reads_about_as_many_points_in_a_larger_collection(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_POINTS", 50)
+    rng, shares, read = np.random.default_rng(3), [], []
+    for n in (1000, 8000):
+        centres = rng.normal(size=(n // 25, 16))
+        x = (centres[np.arange(n) % len(centres)] + 0.3 * rng.normal(size=(n, 16))).round(4)
+        held = vectors.Collection(spark, f"{tmp_path}/c{n}")
+        held.create(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id int, vector array<float>"))
+        told = held.build_index(k=5)
+        assert told["recall"] >= 0.95
+        sizes = {r["cell"]: r["count"] for r in spark.read.parquet(f"{tmp_path}/c{n}/cells").groupBy("cell").count().collect()}
+        cells, _, told = held._model()
+        q = rt._unit(x[:100])
+        read.append(np.mean([sum(sizes.get(int(c), 0) for c in near) for near in cells.nearest(q, told["probes"])]))
+        shares.append(read[-1] / n)
+    assert shares[1] < shares[0] / 3 and read[1] < 3 * read[0]
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string", "date", "short"])
+def test_ids_of_any_type(spark, kind, tmp_path):
+    """Question and point ids keep their types in every search."""
+    as_kind = lambda c: F.date_add(F.lit("2020-01-01"), F.col(c).cast("int")) if kind == "date" else F.col(c).cast(kind)
+    made = points(spark, 40).select(as_kind("payload").alias("id"), "vector")
+    asked = made.limit(3).withColumnRenamed("id", "qid")
+    held = vectors.Collection(spark, f"{tmp_path}/c")
+    held.create(made)
+    held.build_index(cells=4)
+    texts = spark.range(3).select(as_kind("id").alias("chunk_id"), F.concat(F.lit("word w"), F.col("id").cast("string")).alias("vector_text"))
+    dense, live = rt.dense_search(made, asked, 2, "id", "vector"), held.search(asked, 2)
+    sparse = rt.bm25_search(texts, texts.select(F.col("chunk_id").alias("qid"), F.col("vector_text").alias("question")), 1)
+    for found in (dense, live, sparse):
+        assert dict(found.dtypes)["qid"] == dict(found.dtypes)["chunk_id"] == {"long": "bigint", "short": "smallint"}.get(kind, kind)
+        first = found.filter("rank = 1").collect()
+        assert len(first) == 3 and all(r["qid"] == r["chunk_id"] for r in first)
 
 
 def test_index_search_equals_search(spark, tmp_path):

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import squeeze, tokens, uuid5
 from ..providers import ask, embed
@@ -125,7 +126,7 @@ def _bm25_block(docs: DataFrame, asked: DataFrame, k: int, k1: float, b: float)
     weights = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))[at] * np.array([r["qtf"] for r in rows], np.float64)
     query = np.array([number[r["qid"]] for r in rows])
     first = np.searchsorted(at, np.arange(len(terms) + 1))  # rows are in the order of their terms
-    score = _score_terms(terms.tolist(), qids, first, query, weights, k, k1, b, length / n_docs if length else 1.0)
+    score = _score_terms(terms.tolist(), qids, to_arrow_type(asked.schema["qid"].dataType), first, query, weights, k, k1, b, length / n_docs if length else 1.0)
     return docs.mapInArrow(score, schema)
 
 
@@ -152,7 +153,7 @@ def _count_terms(terms: list[str]):
     return run
 
 
-def _score_terms(terms: list[str], qids: list, first: np.ndarray, query: np.ndarray, weights: np.ndarray, k: int, k1: float, b: float, avgdl: float):
+def _score_terms(terms: list[str], qids: list, key: pa.DataType, first: np.ndarray, query: np.ndarray, weights: np.ndarray, k: int, k1: float, b: float, avgdl: float):
     at_once = max(1, 2_000_000 // len(query))  # documents, so that a step holds as many partial scores
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +169,7 @@ def _score_terms(terms: list[str], qids: list, first: np.ndarray, query: np.ndar
                 place = query[entry] * len(lengths) + np.repeat(doc, many)
                 scores = np.bincount(place, weights[entry] * np.repeat(weight, many), len(qids) * len(lengths))
                 best.add(np.round(scores, 6).reshape(len(qids), len(lengths)), ids[a : a + len(lengths)], 0.0)
-        yield from best.batches(qids, kind)
+        yield from best.batches(qids, kind, key)
 
     return run
 
@@ -195,12 +196,13 @@ class Best:
             if len(order) == self.k:
                 self.least[rows[q]] = score[order[-1]]
 
-    def batches(self, qids: list, kind: pa.DataType | None, at_once: int = 1000) -> Iterator[pa.RecordBatch]:
+    def batches(self, qids: list, kind: pa.DataType | None, key: pa.DataType, at_once: int = 1000) -> Iterator[pa.RecordBatch]:
+        """Rows of (qid, chunk_id, score), the ids in the types of their columns."""
         for a in range(0, len(qids), at_once) if kind is not None else ():
             held = self.held[a : a + at_once]
             names = [x for _, n in held for x in n.tolist()]
             asked = [q for q, (_, n) in zip(qids[a : a + at_once], held, strict=True) for _ in range(len(n))]
-            yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(names, kind), pa.array(np.concatenate([s for s, _ in held]))], ["qid", "chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(asked, key), pa.array(names, kind), pa.array(np.concatenate([s for s, _ in held]))], ["qid", "chunk_id", "score"])
 
 
 # --- vectors
@@ -221,7 +223,7 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int, id_col: str = "v
     schema = f"qid {dict(queries.dtypes)[qid_col]}, chunk_id {dict(points.dtypes)[id_col]}, score double"
     if not ids:
         return points.sparkSession.createDataFrame([], f"{schema}, rank int")
-    q = _unit(np.array([r[1] for r in rows], np.float64))
+    q, key = _unit(np.array([r[1] for r in rows], np.float64)), to_arrow_type(queries.schema[qid_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, kind = Best(len(ids), k), None
@@ -233,7 +235,7 @@ def dense_search(points: DataFrame, queries: DataFrame, k: int, id_col: str = "v
                 unit = _unit(matrix(vectors)).T
                 for a in range(0, len(ids), block):
                     best.add(np.round(q[a : a + block] @ unit, 6), names, rows=np.arange(a, min(a + block, len(ids))))
-        yield from best.batches(ids, kind)
+        yield from best.batches(ids, kind, key)
 
     return top_k(points.select(id_col, vector_col).mapInArrow(run, schema), k)
 

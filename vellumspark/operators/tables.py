@@ -14,17 +14,27 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> Dat
     return picked.select(*[c if c in keys else F.col(f"row.{c}").alias(c) for c in df.columns])
 
 
+def free_name(wanted: str, *frames: DataFrame) -> str:
+    """The name, with underscores added until no frame has a column of it."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def remaining(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not done yet; keys are compared as text, a null key stays."""
-    return df.join(done.select(F.col(key).cast("string").alias("_done")).distinct(), F.col(key).cast("string") == F.col("_done"), "left_anti")
+    held = free_name("done", df)
+    return df.join(done.select(F.col(key).cast("string").alias(held)).distinct(), F.col(key).cast("string") == F.col(held), "left_anti")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, version: str) -> DataFrame:
     """Last version of each key over both tables; incoming wins a tie."""
-    both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in (key, "_new")]
-    picked = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(version, "_new")).alias("row"))
-    return picked.select(key, *[F.col(f"row.{c}").alias(c) for c in rest])
+    new = free_name("new", existing, incoming)
+    both = existing.withColumn(new, F.lit(0)).unionByName(incoming.withColumn(new, F.lit(1)), allowMissingColumns=True)
+    rest, row = [c for c in both.columns if c not in (key, new)], free_name("row", both)
+    picked = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(version, new)).alias(row))
+    return picked.select(key, *[F.col(row).getField(c).alias(c) for c in rest])
 
 
 def insert_or_ignore(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:

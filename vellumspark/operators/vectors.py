@@ -1,10 +1,18 @@
-"""Vector collections: keyed points in buckets, and an approximate index of cells beside them.
+"""Vector collections: keyed points in buckets, a log of changes, and an approximate index that searches see at once.
 
-Cells are the nearest of some centres, fitted by spherical k-means on a bounded
-sample; every point is in the index.  A search looks into the cells that are
-nearest to each query only, which are folders that the scan prunes.  How many
-cells that takes for a wanted recall is measured on the sample when the index is
-built.
+``points`` holds the points in buckets by id; ``changes`` the upserts and
+deletions since, numbered folders of which the highest wins.  Every read puts
+both together; ``compact`` merges the changes into the points and the index.  What
+is replaced in place is written aside first, and the next call finishes what a
+failure cut off.
+
+The index has two levels of cells (centres by spherical k-means on a bounded
+sample; every point is in the index) in folders that a scan prunes, and each
+point's product-quantised code.  A search reads the codes of the cells nearest
+to each query, and scores the best of them again by their vectors.  The number of
+cells grows with the points, so that a query reads about as many points in a
+larger collection; how many cells and candidates reach the wanted recall is
+measured on all points when the index is built.
 """
 
 from __future__ import annotations
@@ -15,14 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BinaryType, IntegerType, StructType
 
 from ..storage import drop_folder, exists
-from .retrieval import Best, _unit, matrix, top_k
-from .tables import upsert
+from .retrieval import Best, _unit, dense_search, matrix, small, top_k
 
-#: Points that centres are fitted on, and queries that the number of probes is measured with: bounds, whatever the collection's size.
-MOST_SAMPLED, MOST_TRIED = 20_000, 500
+#: Points that centres and codes are fitted on, and queries that recall is measured with: bounds, whatever the collection's size.
+MOST_SAMPLED, MOST_TRIED = 20_000, 200
+#: Points of a cell that are aimed at, and cells at most (the sample gives each some ten points).
+CELL_POINTS, MOST_CELLS = 1000, 2048
 
 
 def fit_cells(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -40,44 +50,118 @@ def fit_cells(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 5) -
     return centres
 
 
-def probes_for(sample: np.ndarray, centres: np.ndarray, k: int, recall: float, seed: int = 5) -> int:
-    """The fewest cells that find this share of the k nearest points of the sample."""
-    asked = sample[np.random.default_rng(seed).choice(len(sample), min(MOST_TRIED, len(sample)), replace=False)]
-    cell = np.argmax(sample @ centres.T, axis=1)
-    rank = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)  # of each cell for each query
-    best = np.argsort(-(asked @ sample.T), axis=1)[:, :k]
-    needed = np.take_along_axis(rank, cell[best], axis=1)
-    for probes in range(1, len(centres)):
-        if (needed < probes).mean() >= recall:
-            return probes
-    return len(centres)
+class Cells:
+    """Two levels: coarse centres, and the fine centres of each; cell = coarse number * width + fine number."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.coarse = fit_cells(sample, max(1, round(np.sqrt(cells))))
+        nearest = np.argmax(sample @ self.coarse.T, axis=1)
+        per = max(1, -(-cells // len(self.coarse)))
+        self.fine = [fit_cells(sample[nearest == c] if (nearest == c).any() else self.coarse[c : c + 1], per) for c in range(len(self.coarse))]
+        self.width = max(map(len, self.fine))
+        self.numbers = np.concatenate([c * self.width + np.arange(len(f)) for c, f in enumerate(self.fine)])
+        self.centres = np.concatenate(self.fine)
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        coarse = np.argmax(x @ self.coarse.T, axis=1)
+        out = np.zeros(len(x), np.int32)
+        for c in np.unique(coarse):
+            mine = coarse == c
+            out[mine] = c * self.width + np.argmax(x[mine] @ self.fine[c].T, axis=1)
+        return out
+
+    def nearest(self, q: np.ndarray, probes: int) -> np.ndarray:
+        """Of each query the numbers of its nearest cells, best first."""
+        return self.numbers[np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, :probes]]
+
+
+class Codes:
+    """Product quantisation: each slice of a unit vector as the number of its nearest of at most 256 centres."""
+
+    def __init__(self, sample: np.ndarray, slices: int, rounds: int = 8, seed: int = 5):
+        rng = np.random.default_rng(seed)
+        self.cuts = np.linspace(0, sample.shape[1], min(slices, sample.shape[1]) + 1).astype(int)
+        self.books = []
+        for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True):
+            x = sample[:, a:b]
+            book = x[rng.choice(len(x), min(256, len(x)), replace=False)]
+            for _ in range(rounds):
+                near = self._near(x, book)
+                n = np.bincount(near, minlength=len(book))
+                sums = np.zeros_like(book)
+                np.add.at(sums, near, x)
+                book = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], book)
+            self.books.append(book)
+
+    @staticmethod
+    def _near(x: np.ndarray, book: np.ndarray) -> np.ndarray:
+        return np.argmin((book**2).sum(axis=1) - 2 * (x @ book.T), axis=1)
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([self._near(x[:, a:b], book) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)], axis=1).astype(np.uint8)
+
+    def tables(self, q: np.ndarray) -> list[np.ndarray]:
+        """For each slice the products of queries and centres."""
+        return [q[:, a:b] @ book.T for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]
 
 
 class Collection:
-    """points(id, vector, payload) under a folder: ``points`` in buckets by id, ``cells`` for search.
+    """points(id, vector, payload) under a folder. One writer at a time; points without id or vector can't be stored; ids are unique, the last version wins."""
 
-    Null vectors can't be stored; ids are unique, the last version wins.
-    """
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16, most_changes: int = 1_000_000):
+        self.spark, self.path, self.buckets, self.most_changes = spark, path.rstrip("/"), buckets, most_changes
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+    # --- points
 
     def exists(self) -> bool:
-        return exists(self.spark, f"{self.path}/points")
+        return exists(self.spark, f"{self.path}/points") or exists(self.spark, f"{self.path}/replacing/_SUCCESS")
 
     def drop(self) -> None:
         drop_folder(self.spark, self.path)
 
     def create(self, points: DataFrame) -> None:
-        """A new collection with the columns of these points; one of that name is replaced."""
-        self.drop()
-        self._bucketed(points).write.partitionBy("bucket").parquet(f"{self.path}/points")
+        """A new collection with the columns of these points; one of that name is replaced once they are written."""
+        self._bucketed(points).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/replacing")
+        self._finish()
 
     def _bucketed(self, points: DataFrame) -> DataFrame:
-        return points.filter("vector IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int"))
+        return points.filter("vector IS NOT NULL AND id IS NOT NULL").withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int"))
+
+    def _finish(self) -> None:
+        """Puts in place what stands whole beside it: a new collection, or merged buckets and cells."""
+        if exists(self.spark, f"{self.path}/replacing/_SUCCESS"):
+            for name in ("points", "cells", "index", "changes", "merged", "merged_cells"):
+                drop_folder(self.spark, f"{self.path}/{name}")
+            self.spark.read.parquet(f"{self.path}/replacing").write.partitionBy("bucket").parquet(f"{self.path}/points")
+            drop_folder(self.spark, f"{self.path}/replacing")
+        if exists(self.spark, f"{self.path}/merged/_SUCCESS"):
+            for aside, table, key in (("merged", "points", "bucket"), ("merged_cells", "cells", "cell")):
+                if exists(self.spark, f"{self.path}/{aside}/_SUCCESS"):
+                    kind = self.spark.read.parquet(f"{self.path}/{table}").schema
+                    new = self.spark.read.schema(kind).parquet(f"{self.path}/{aside}")
+                    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(f"{self.path}/{table}")
+            drop_folder(self.spark, f"{self.path}/changes")
+            drop_folder(self.spark, f"{self.path}/merged")  # first of the two: without it the other is not looked at
+            drop_folder(self.spark, f"{self.path}/merged_cells")
+
+    def _base(self) -> DataFrame:
+        self._finish()
+        return self.spark.read.parquet(f"{self.path}/points").filter("id IS NOT NULL")
+
+    def _changes(self) -> DataFrame | None:
+        """The newest change of each id; ``gone`` marks a deletion."""
+        if not exists(self.spark, f"{self.path}/changes"):
+            return None
+        all_ = self.spark.read.parquet(f"{self.path}/changes")
+        rest = F.struct(*[c for c in all_.columns if c != "id"])
+        return all_.groupBy("id").agg(F.max_by(rest, F.col("n")).alias("row")).select("id", "row.*").drop("n")
 
     def points(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/points").drop("bucket")
+        """All valid points."""
+        held, changes = self._base().drop("bucket"), self._changes()
+        if changes is None:
+            return held
+        return held.join(changes.select("id"), "id", "left_anti").unionByName(changes.filter("NOT gone").drop("gone"))
 
     def lookup(self, ids: DataFrame) -> DataFrame:
         return self.points().join(ids.select("id").distinct(), "id", "left_semi")
@@ -87,61 +171,180 @@ class Collection:
         points = self.points()
         return (points.filter(F.col("id") > after) if after is not None else points).orderBy("id").limit(most)
 
+    def _log(self, rows: DataFrame) -> None:
+        held = self._base().drop("bucket")
+        shaped = rows.select(*[F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in held.dtypes], "gone")
+        changes, n = f"{self.path}/changes", 0
+        if exists(self.spark, changes):
+            n = (self.spark.read.parquet(changes).agg(F.max("n")).first()[0] or 0) + 1
+        shaped.write.mode("overwrite").parquet(f"{changes}/n={n}")
+        if self.spark.read.parquet(changes).count() > self.most_changes:
+            self.compact()
+
     def upsert(self, points: DataFrame) -> None:
-        """Points by id, the incoming ones win; doing it again changes nothing. Only the buckets that are met are written, aside first."""
-        fresh = self._bucketed(points)
-        met = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # buckets at most
-        if not met:
+        """Points by id, the incoming ones win; doing it again changes nothing. Of repeated ids in one call any one counts."""
+        fresh = points.filter("vector IS NOT NULL AND id IS NOT NULL")
+        if not fresh.isEmpty():
+            self._log(fresh.withColumn("gone", F.lit(False)))
+
+    def delete(self, ids: DataFrame) -> None:
+        """Removes the points of these ids; ids that are not there change nothing."""
+        known = ids.select("id").filter("id IS NOT NULL").distinct()
+        if not known.isEmpty():
+            self._log(known.withColumn("gone", F.lit(True)))
+
+    def compact(self) -> None:
+        """Merges the changes into the points, and into the index if there is one; only buckets and cells that are met are written."""
+        held, changes = self._base(), self._changes()
+        if changes is None:
             return
-        held = self.spark.read.parquet(f"{self.path}/points").filter(F.col("bucket").isin(met))
-        aside = f"{self.path}/aside"
-        merged = upsert(held.withColumn("turn", F.lit(0)), fresh.withColumn("turn", F.lit(1)), "id", "turn").drop("turn")
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(aside)
-        written = self.spark.read.parquet(aside)
-        written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/points")
-        drop_folder(self.spark, aside)
-
-    def build_index(self, cells: int = 64, k: int = 10, recall: float = 0.95) -> int:
-        """Writes the cells of all points; the number of cells that a search should look into."""
-        points = self.points()
-        sampled = points.orderBy(F.xxhash64("id")).limit(MOST_SAMPLED).select("vector").collect()
-        sample = _unit(np.array([r["vector"] for r in sampled], np.float64))
-        centres = fit_cells(sample, cells)
-        probes = probes_for(sample, centres, k, recall)
-        schema = StructType(list(points.schema.fields)).add("cell", IntegerType())
+        live = self._bucketed(changes.filter("NOT gone").drop("gone"))
+        met = [r["bucket"] for r in changes.select(F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int").alias("bucket")).distinct().collect()]
+        if exists(self.spark, f"{self.path}/index"):
+            cells, kept = self.spark.read.parquet(f"{self.path}/cells").filter("id IS NOT NULL"), changes.select("id")
+            placed = self._placed(live.drop("bucket"), *self._model()[:2])
+            touched = [r["cell"] for r in cells.join(kept, "id", "left_semi").select("cell").union(placed.select("cell")).distinct().collect()]  # MOST_CELLS at most
+            new = cells.filter(F.col("cell").isin(touched)).join(kept, "id", "left_anti").unionByName(placed)
+            self._with_empty(new, "cell", touched).write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/merged_cells")
+        new = held.filter(F.col("bucket").isin(met)).join(changes.select("id"), "id", "left_anti").unionByName(live)
+        self._with_empty(new, "bucket", met).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/merged")
+        self._finish()
+
+    def _with_empty(self, rows: DataFrame, key: str, met: list[int]) -> DataFrame:
+        """The rows, and for each folder that is met one row without id, so that a folder that loses all its points is replaced as well."""
+        blanks = self.spark.createDataFrame([(m,) for m in met], f"{key} int")
+        return rows.unionByName(blanks.select(*[F.col(c) if c == key else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]))
+
+    # --- index
+
+    def _placed(self, points: DataFrame, cells: Cells, codes: Codes) -> DataFrame:
+        """Points with code and cell."""
         at = points.columns.index("vector")
+        schema = StructType(list(points.schema.fields)).add("code", BinaryType()).add("cell", IntegerType())
 
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cell = np.argmax(_unit(matrix(batch.column(at))) @ centres.T, axis=1) if batch.num_rows else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32))], [*batch.schema.names, "cell"])
+                if batch.num_rows:
+                    x = _unit(matrix(batch.column(at)))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([c.tobytes() for c in codes.encode(x)], pa.binary()), pa.array(cells.assign(x))], [*batch.schema.names, "code", "cell"])
+
+        return points.mapInArrow(run, schema)
 
-        points.mapInArrow(assign, schema).write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/cells")
-        self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/centres")
-        return probes
+    def _model(self) -> tuple[Cells, Codes, dict]:
+        row = self.spark.read.parquet(f"{self.path}/index").first()
+        cells, codes = object.__new__(Cells), object.__new__(Codes)
+        array = lambda x: np.array(x, np.float64)
+        cells.coarse, cells.fine, cells.width = array(row["coarse"]), [array(f) for f in row["fine"]], row["width"]
+        cells.numbers = np.concatenate([c * cells.width + np.arange(len(f)) for c, f in enumerate(cells.fine)])
+        cells.centres = np.concatenate(cells.fine)
+        codes.cuts, codes.books = np.array(row["cuts"]), [array(b) for b in row["books"]]
+        return cells, codes, {"probes": row["probes"], "refine": row["refine"], "recall": row["recall"], "points": row["points"]}
+
+    def _save(self, cells: Cells, codes: Codes, told: dict) -> None:
+        lists = lambda xs: [x.tolist() for x in xs]
+        row = (cells.coarse.tolist(), [f.tolist() for f in cells.fine], int(cells.width), codes.cuts.tolist(), lists(codes.books), told["probes"], told["refine"], told["recall"], told["points"])
+        schema = "coarse array<array<double>>, fine array<array<array<double>>>, width int, cuts array<int>, books array<array<array<double>>>, probes int, refine int, recall double, points long"
+        self.spark.createDataFrame([row], schema).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/index")
+
+    def build_index(self, cells: int | None = None, k: int = 10, recall: float = 0.95, slices: int = 16) -> dict:
+        """Writes the index of all points; the cells to look into, the candidates to score again, and the recall measured with them."""
+        self.compact()
+        points = self.points()
+        n = points.count()
+        sampled = points.orderBy(F.xxhash64("id")).limit(MOST_SAMPLED).select("id", "vector").collect()
+        if not sampled:
+            raise ValueError("no points to index")
+        sample = _unit(np.array([r["vector"] for r in sampled], np.float64))
+        wanted = cells or min(MOST_CELLS, max(16, n // CELL_POINTS))
+        made, codes = Cells(sample, wanted), Codes(sample, slices)
+        placed = self._placed(points, made, codes)
+        placed.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/cells")
+        tried = self.spark.createDataFrame([(i, r["vector"]) for i, r in enumerate(sampled[:MOST_TRIED])], "qid int, vector array<double>")
+        exact = dense_search(points, tried, k, "id", "vector").select("qid", F.col("chunk_id").alias("id")).collect()
+        place = {r["id"]: r["cell"] for r in self.spark.read.parquet(f"{self.path}/cells").join(small(self.spark.createDataFrame([(r["id"],) for r in exact], points.select("id").schema).distinct()), "id", "left_semi").select("id", "cell").collect()}
+        near = made.nearest(sample[: len(sampled[:MOST_TRIED])], len(made.numbers))
+        rank = np.array([np.flatnonzero(near[r["qid"]] == place[r["id"]])[0] for r in exact])
+        aim = recall + (1 - recall) / 2  # what the cells may lose; the codes may lose as much
+        probes = next(p for p in range(1, len(made.numbers) + 1) if (rank < p).mean() >= aim)
+        told = {"probes": probes, "refine": 0, "recall": 0.0, "points": n}
+        self._save(made, codes, told)
+        truth, refine = {(r["qid"], r["id"]) for r in exact}, 4 * k
+        while True:
+            got = {(r["qid"], r["chunk_id"]) for r in self.search(tried, k, probes, refine).collect()}
+            told |= {"refine": refine, "recall": len(got & truth) / len(truth)}
+            if told["recall"] >= recall or refine >= n:
+                break
+            refine *= 2
+        self._save(made, codes, told)
+        return told
 
-    def search(self, queries: DataFrame, k: int, probes: int, most_queries: int = 20_000) -> DataFrame:
-        """(qid, chunk_id, score, rank) of queries (qid, vector): cosine top k among the points of each query's nearest cells."""
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, refine: int | None = None, most_queries: int = 20_000) -> DataFrame:
+        """(qid, chunk_id, score, rank) of queries (qid, vector): cosine top k of the valid points, changes included.
+
+        Indexed points are found in each query's ``probes`` nearest cells: the
+        ``refine`` best by code are scored by their vectors (0: all are).
+        Changed and new points are all compared.
+        """
+        self._finish()
+        cells, codes, told = self._model()
+        probes, refine = told["probes"] if probes is None else probes, told["refine"] if refine is None else refine
         rows = [r for r in queries.select("qid", "vector").limit(most_queries + 1).collect() if r["vector"] is not None]
         if len(rows) > most_queries:
             raise ValueError(f"over {most_queries} query vectors: search in blocks")
-        schema = f"qid {dict(queries.dtypes)['qid']}, chunk_id string, score double"
+        held = self.spark.read.parquet(f"{self.path}/cells").filter("id IS NOT NULL")
+        key, name = queries.schema["qid"].dataType, held.schema["id"].dataType
+        schema = f"qid {key.simpleString()}, chunk_id {name.simpleString()}, score double"
         if not rows:
             return self.spark.createDataFrame([], f"{schema}, rank int")
-        centres = np.array([r["centre"] for r in self.spark.read.parquet(f"{self.path}/centres").orderBy("cell").collect()])
+        kinds = to_arrow_type(key), to_arrow_type(name)
         ids, q = [r["qid"] for r in rows], _unit(np.array([r["vector"] for r in rows], np.float64))
-        near = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes]
+        near = cells.nearest(q, probes)
         wanted = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
+        tables = codes.tables(q)
+        changes = self._changes()
+        held = held.filter(F.col("cell").isin(list(wanted)))
+        valid = held if changes is None else held.join(small(changes.select("id")), "id", "left_anti")
+
+        def by_cell(score, most: int):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                best = Best(len(ids), most)
+                for batch in batches:
+                    names = np.array(batch.column("id").to_pylist(), object)
+                    cell = batch.column("cell").to_numpy()
+                    for c in np.unique(cell).tolist():
+                        mine = np.flatnonzero(cell == c)
+                        best.add(np.round(score(batch, mine, wanted[c]), 6), names[mine], rows=wanted[c])
+                yield from best.batches(ids, kinds[1], kinds[0])
+
+            return run
+
+        def exact(batch: pa.RecordBatch, mine: np.ndarray, asked: np.ndarray) -> np.ndarray:
+            return q[asked] @ _unit(matrix(batch.column("vector").take(pa.array(mine)))).T
+
+        def coded(batch: pa.RecordBatch, mine: np.ndarray, asked: np.ndarray) -> np.ndarray:
+            code = np.frombuffer(b"".join(batch.column("code").take(pa.array(mine)).to_pylist()), np.uint8).reshape(len(mine), -1)
+            return sum(t[asked][:, code[:, j]] for j, t in enumerate(tables))
+
+        if refine:
+            likely = top_k(valid.select("id", "code", "cell").mapInArrow(by_cell(coded, refine), schema), refine).select("qid", F.col("chunk_id").alias("id"))
+            found = self._rescored(held, likely, ids, q, schema, kinds)
+        else:
+            found = valid.select("id", "vector", "cell").mapInArrow(by_cell(exact, k), schema)
+        if changes is not None:
+            fresh = dense_search(changes.filter("NOT gone"), queries, k, "id", "vector")
+            found = found.unionByName(fresh.drop("rank"))
+        return top_k(found, k)
+
+    def _rescored(self, held: DataFrame, likely: DataFrame, ids: list, q: np.ndarray, schema: str, kinds: tuple) -> DataFrame:
+        """Exact scores of candidates (qid, id)."""
+        number = self.spark.createDataFrame([(x, i) for i, x in enumerate(ids)], f"{schema.split(',')[0]}, at int")
+        pairs = held.select("id", "vector").join(likely.join(F.broadcast(number), "qid").select("id", "at"), "id")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = Best(len(ids), k)
             for batch in batches:
-                unit, names = _unit(matrix(batch.column("vector"))), np.array(batch.column("id").to_pylist(), object)
-                cell = batch.column("cell").to_numpy()
-                for c in np.unique(cell).tolist():
-                    mine = cell == c
-                    best.add(np.round(q[wanted[c]] @ unit[mine].T, 6), names[mine], rows=wanted[c])
-            yield from best.batches(ids, pa.string())
-
-        points = self.spark.read.parquet(f"{self.path}/cells").filter(F.col("cell").isin(list(wanted)))
-        return top_k(points.select("id", "vector", "cell").mapInArrow(run, schema), k)
+                if batch.num_rows:
+                    at = batch.column("at").to_numpy()
+                    score = np.round(np.einsum("ij,ij->i", q[at], _unit(matrix(batch.column("vector")))), 6)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in at.tolist()], kinds[0]), batch.column("id").cast(kinds[1]), pa.array(score)], ["qid", "chunk_id", "score"])
+
+        return pairs.mapInArrow(run, schema)

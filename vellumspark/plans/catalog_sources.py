@@ -129,8 +129,8 @@ def paged_lists(spark, d):
 @query("SELECT DISTINCT source AS node FROM documents WHERE source IS NOT NULL")
 def seed_list(spark, d):
     """A static list of seeds, each once [A20]: the sources, given twice."""
-    names = [r["source"] for r in tbl(spark, d, "documents").filter("source IS NOT NULL").select("source").distinct().limit(10_000).collect()]  # settings, not data
-    return io.seeds(spark, names + names)
+    names = tbl(spark, d, "documents").filter("source IS NOT NULL").select(F.col("source").alias("node"))
+    return io.seeds(spark, names.union(names))
 
 
 @query("SELECT 0.3 AS alpha, 60 AS rrf_constant, 8 AS k_stem, 12 AS k_other, 1.5 AS k1, 0.75 AS b")
@@ -261,9 +261,41 @@ def collection_search(spark, d):
     """Approximate cosine top ten of the vectors with ids divisible by 20 [G2, R6, R7]; recall against the exact search is tested."""
     collection = vectors.Collection(spark, work_folder(spark, "vectors"))
     collection.create(named_points(spark, d))
-    probes = collection.build_index()
+    collection.build_index()
     asked = tbl(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    return collection.search(asked, 10, probes)
+    return collection.search(asked, 10)
+
+
+S_LIVE = """WITH q AS (SELECT vec_id AS qid, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS qv FROM embeddings WHERE vec_id % 20 = 0),
+p AS (SELECT 'vec_' || CASE WHEN vec_id % 10 = 9 THEN -vec_id ELSE vec_id END AS chunk_id, list_transform(embedding, lambda x, i: CASE WHEN vec_id % 3 = 0 THEN -1 WHEN vec_id % 7 = 0 AND i % 2 = 1 THEN 2 ELSE 1 END * CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id % 10 <> 4),
+s AS (SELECT qid, chunk_id, round(list_cosine_similarity(qv, v), 6) AS score FROM q, p)
+SELECT qid, chunk_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10"""
+
+
+def live_collection(spark, d):
+    """Points that are indexed, then changed: ids divisible by 3 turn round, those by 7 are stretched by a merge into the index, of ids that end in 9 negative ones take the place, those that end in 4 go."""
+    points = tbl(spark, d, "embeddings").select(F.concat(F.lit("vec_"), F.col("vec_id").cast("string")).alias("id"), F.col("embedding").alias("vector"), "vec_id")
+    collection = vectors.Collection(spark, work_folder(spark, "vectors"))
+    collection.create(points)
+    collection.build_index()
+    turned = F.when(F.col("vec_id") % 3 == 0, F.lit(-1.0).cast("float")).otherwise(F.lit(1.0).cast("float"))
+    stretched = points.filter("vec_id % 7 = 0 AND vec_id % 3 <> 0").withColumn("vector", F.transform("vector", lambda x, i: x * F.when(i % 2 == 0, F.lit(2.0).cast("float")).otherwise(F.lit(1.0).cast("float"))))
+    collection.upsert(stretched)
+    collection.delete(points.filter("vec_id % 10 = 4"))
+    collection.compact()
+    now = collection.points()
+    collection.upsert(now.filter("vec_id % 3 = 0").withColumn("vector", F.transform("vector", lambda x: x * turned)))
+    renamed = collection.points().filter("vec_id % 10 = 9")
+    collection.upsert(renamed.withColumn("id", F.concat(F.lit("vec_-"), F.col("vec_id").cast("string"))))
+    collection.delete(points.filter("vec_id % 10 = 9"))
+    return collection
+
+
+@query(S_LIVE)
+def collection_live(spark, d):
+    """Search that sees upserts and deletions after the index was built, merged ones and later ones [B10, B11, R6]; all cells, scored by vectors, so the result is exact."""
+    asked = tbl(spark, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return live_collection(spark, d).search(asked, 10, probes=1_000_000, refine=0)
 
 
 class Flaky(HashedEmbedder):

@@ -69,7 +69,10 @@ def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("text"))
 
 
-def seeds(spark: SparkSession, values: list[str], name: str = "node") -> DataFrame:
+def seeds(spark: SparkSession, values: list[str] | DataFrame, name: str = "node") -> DataFrame:
+    """Seeds, each once: a list from the settings, or a table's first column."""
+    if isinstance(values, DataFrame):
+        return values.select(values[values.columns[0]].alias(name)).distinct()
     return spark.createDataFrame([(v,) for v in dict.fromkeys(values)], f"{name} string")
 
 
