@@ -78,7 +78,7 @@ def test_recall_is_whole_at_every_length(length, kind):
     rng = random.Random(length)
     pool = " ".join(data.prose(300, 9, vocabulary=3000)).split()
     items = [(i, " ".join(rng.choices(pool, k=length))) for i in range(20)]
-    index = BenchmarkIndex(items, 0.8)
+    index = BenchmarkIndex(items, 0.8, exact=True)
     for i, text in items:
         words = changed(text.split(), length // 5, kind, rng, pool)
         doc = " ".join(rng.choices(pool, k=50) + words + rng.choices(pool, k=50))
@@ -90,7 +90,7 @@ def test_matches_are_those_of_brute_force():
     for similarity in (0.6, 0.8, 0.95, 1.0):
         pool = [f"w{i}" for i in range(40)]
         items = [(i, " ".join(rng.choices(pool, k=rng.randint(1, 30)))) for i in range(25)]
-        index = BenchmarkIndex(items, similarity, most_walks=2)
+        index = BenchmarkIndex(items, similarity, most_walks=2, exact=True)
         docs = [(d, " ".join(rng.choices(pool, k=rng.randint(0, 20)) + edited(rng.choice(items[:20])[1].split() * 2, d % 5, rng, pool) + rng.choices(pool, k=rng.randint(0, 20)))) for d in range(20)]
         got = {(r[0], r[1]): r[2] for r in _match_batch(index, docs)}
         want = {}
@@ -147,6 +147,22 @@ def test_walks_reach_the_target_by_themselves():
         assert found >= 9
 
 
+@pytest.mark.parametrize("length", [5, 10, 20, 40, 100, 200, 400, 1000])
+def test_the_walks_decide(length, monkeypatch):
+    """Copies with all edits that are allowed are found at the target's rate by the walks, none without them, exact copies always."""
+    rng = random.Random(length)
+    pool = " ".join(data.prose(300, 9, vocabulary=3000)).split()
+    items = [(i, " ".join(rng.choices(pool, k=length))) for i in range(40)]
+    docs = [(i, " ".join(rng.choices(pool, k=30) + edited(t.split(), length // 5, rng, pool) + rng.choices(pool, k=30))) for i, t in items]
+    copies = [(i, f"one before {t} and one after") for i, t in items]
+    index = BenchmarkIndex(items, 0.8)
+    assert min(index.recalls.values()) >= 0.99
+    assert len({r[0] for r in _match_batch(index, docs) if r[0] == r[1]}) >= 38
+    assert {r[0] for r in _match_batch(index, copies) if r[0] == r[1] and r[2] == 0} == set(range(40))
+    monkeypatch.setattr(index, "walked", lambda *a: np.zeros((0, 2), np.int64))
+    assert not list(_match_batch(index, docs + copies))
+
+
 def test_target_sets_the_repetitions():
     items = [(i, t) for i, t in enumerate(data.prose(60, 8, words=60, vocabulary=3000))]
     few, many = BenchmarkIndex(items, target_recall=0.3), BenchmarkIndex(items, target_recall=0.99)
