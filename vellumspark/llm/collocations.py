@@ -3,10 +3,11 @@
 1. Texts become runs of 64-bit word hashes, 0 between pieces; the hash covers the
    language, so everything below is per language.  That no two words share a hash
    is checked over all distinct words (else another seed is taken).
-2. Mappers count all runs of 1 to 4 words in hash buckets, as arrays; the arrays
+2. Mappers count words and pairs of words in hash buckets, as arrays; the arrays
    are summed in a tree.  A phrase cannot reach the least count where its bucket,
-   or that of its first or last part, does not: what passes is Apriori-safe, and
-   no phrase that reaches it is lost.
+   or that of a part, does not.  Runs of 3 and 4 words whose pairs pass are then
+   counted in the same way.  What passes is Apriori-safe: no phrase that reaches
+   the least count is lost.
 3. The distinct phrases that pass are the candidates.  Each shard of them gets a
    minimal perfect hash and its stored keys.
 4. Mappers look occurrences up, verify them against the stored key, and count by
@@ -14,7 +15,7 @@
 5. Parts of phrases are looked up the same way, and their counts read by slot.
 
 A task holds one block of candidates, ``most_keys`` at most; more of them are
-taken in several passes over the runs.  The bucket table has about half as
+taken in several passes over the runs.  The bucket tables have about half as
 many buckets as there are words, ``most_bits`` at most (then fewer phrases are
 ruled out, and the passes are more; the result stays the same).
 
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import cut, drop_cut, stored, table
 from .mph import Mph, build, mixed
 
-LONGEST, CHUNK, FAN_IN, SHARD_KEYS = 4, 1 << 16, 32, 32_768
+LONGEST, CHUNK, FAN_IN, SHARD_KEYS = 4, 1 << 16, 64, 32_768
 #: Rows that a task gives at once.
 AT_ONCE = 1 << 16
 KEY = [f"k{i}" for i in range(1, LONGEST + 1)]
@@ -146,10 +147,13 @@ def hashes_of(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return mixed(h), mixed(g)
 
 
-def phrases(run: np.ndarray, bits: int, passing: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, starts, first hash) of all phrases of a run; with ``passing`` (a bit for each bucket) those that it and their parts pass."""
+def phrases(run: np.ndarray, bits: int, passing: list[np.ndarray], first: int = 1, last: int = LONGEST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, starts, hash) of a run's phrases of these lengths, where they and all their parts pass.
+
+    passing: a bit for each bucket, of words and pairs, then of longer phrases; lengths beyond those given are not tested themselves.
+    """
     alive, h = run != 0, np.zeros(len(run), np.uint64)
-    for k in range(1, LONGEST + 1):
+    for k in range(1, last + 1):
         n = len(run) - k + 1
         if n <= 0:
             return
@@ -158,15 +162,20 @@ def phrases(run: np.ndarray, bits: int, passing: np.ndarray | None = None) -> It
         starts = np.flatnonzero(alive)
         h[starts] = mixed(h[starts]) * np.uint64(0xD6E8FEB86659FD93) + run[starts + (k - 1)]
         value = mixed(h[starts])
-        if passing is not None:
-            at = value >> np.uint64(64 - bits)
-            good = (passing[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        if (k - 1) // 2 < len(passing):
+            good = passes(passing[(k - 1) // 2], value, bits)
             starts, value = starts[good], value[good]
             alive = np.zeros(n, bool)
             alive[starts] = True
         if not len(starts):
             return
-        yield k, starts, value
+        if k >= first:
+            yield k, starts, value
+
+
+def passes(table: np.ndarray, value: np.ndarray, bits: int) -> np.ndarray:
+    at = value >> np.uint64(64 - bits)
+    return (table[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
 def columns_of(run: np.ndarray, k: int, starts: np.ndarray) -> list[np.ndarray]:
@@ -214,12 +223,15 @@ def tree_sum(rows: DataFrame, parts: int) -> DataFrame:
             return rows
 
 
-def _bucket_counts(bits: int, most: int = 2_000_000) -> Callable:
+def _bucket_counts(bits: int, passing: list[np.ndarray], most: int = 2_000_000) -> Callable:
+    """Counts of the two lengths after those that ``passing`` has."""
+    first = 2 * len(passing) + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, n = TaskContext.get().partitionId(), [], 0
         for batch in batches:
             for cell in batch.column(0):
-                for _, _, h in phrases(unpacked(cell), bits):
+                for _, _, h in phrases(unpacked(cell), bits, passing, first, first + 1):
                     held.append((h >> np.uint64(64 - bits)).astype(np.uint32))
                     n += len(h)
                 if n >= most:
@@ -231,7 +243,7 @@ def _bucket_counts(bits: int, most: int = 2_000_000) -> Callable:
     return run
 
 
-def passing_buckets(runs: DataFrame, bits: int, least: int) -> np.ndarray:
+def passing_buckets(runs: DataFrame, bits: int, least: int, passing: list[np.ndarray]) -> np.ndarray:
     """A bit for each of 2 ** bits buckets: whether it holds the least count."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +254,7 @@ def passing_buckets(runs: DataFrame, bits: int, least: int) -> np.ndarray:
                 flags[places[counts >= least]] = 1
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column("chunk")[i].as_py()]), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["chunk", "flags"])
 
-    summed = tree_sum(runs.select("run").mapInArrow(_bucket_counts(bits), SUMS), runs.rdd.getNumPartitions())
+    summed = tree_sum(runs.select("run").mapInArrow(_bucket_counts(bits, passing), SUMS), runs.rdd.getNumPartitions())
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in summed.mapInArrow(keep, "chunk long, flags binary").collect():  # 2 ** bits bits in all
         out[r["chunk"] * CHUNK // 8 : (r["chunk"] + 1) * CHUNK // 8] = np.frombuffer(r["flags"], np.uint8)
@@ -252,25 +264,44 @@ def passing_buckets(runs: DataFrame, bits: int, least: int) -> np.ndarray:
 # --- candidates, their perfect hash, exact counts
 
 
-def _distinct_candidates(bits: int, passing: np.ndarray, shards: int) -> Callable:
-    names = ["shard", "h", *KEY]
+def _distinct_candidates(bits: int, passing: list[np.ndarray]) -> Callable:
+    """Phrases of two words and more, each once a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cell in batch.column(0):
                 words = unpacked(cell)
-                for k, starts, h in phrases(words, bits, passing):
+                for k, starts, h in phrases(words, bits, passing, 2):
                     order = np.argsort(h)
                     h, starts = h[order], starts[order]
                     new = np.ones(len(h), bool)
                     new[1:] = h[1:] != h[:-1]
                     for i in range(k):  # of equal hashes all phrases that differ from the one before stay
                         new[1:] |= words[starts[1:] + i] != words[starts[:-1] + i]
-                    h, starts = h[new], starts[new]
-                    for i in range(0, len(h), AT_ONCE):
-                        part = h[i : i + AT_ONCE]
-                        columns = [part, *columns_of(words, k, starts[i : i + AT_ONCE])]
-                        yield pa.RecordBatch.from_arrays([pa.array((part % np.uint64(shards)).astype(np.int64)), *(pa.array(c.view(np.int64)) for c in columns)], names)
+                    starts = starts[new]
+                    for i in range(0, len(starts), AT_ONCE):
+                        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns_of(words, k, starts[i : i + AT_ONCE])], KEY)
+
+    return run
+
+
+def _single_words(bits: int, passing: np.ndarray) -> Callable:
+    """The words that pass, as phrases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word = batch.column(0).to_numpy().view(np.uint64)
+            word = word[passes(passing, mixed(mixed(np.zeros(len(word), np.uint64)) * np.uint64(0xD6E8FEB86659FD93) + word), bits)]
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *[pa.array(np.zeros(len(word), np.int64))] * (LONGEST - 1)], KEY)
+
+    return run
+
+
+def _with_shard(shards: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, _ = hashes_of([batch.column(k).to_numpy().view(np.uint64) for k in KEY])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((h % np.uint64(shards)).astype(np.int64))], [*KEY, "shard"])
 
     return run
 
@@ -307,7 +338,7 @@ class Block:
         return out
 
 
-def _slot_counts(block: Block, bits: int, passing: np.ndarray, at_once: int = 1 << 18) -> Callable:
+def _slot_counts(block: Block, bits: int, passing: list[np.ndarray], at_once: int = 1 << 18) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(block.keys), np.int64)
         for batch in batches:
@@ -391,17 +422,19 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     totals = cut(runs.groupBy("lang").agg(F.sum("words").alias("n")))
     n_words = totals.agg(F.sum("n")).first()[0] or 0
     bits = int(min(most_bits, max(20, np.ceil(np.log2(max(n_words, 1))) - 1)))
-    passing = passing_buckets(runs, bits, least)
-    likely = int(np.bitwise_count(passing).sum())
-    if not likely:
+    passing = [passing_buckets(runs, bits, least, [])]
+    if not passing[0].any():
         return empty
-    n_shards = -(-likely // SHARD_KEYS)
-    seen = runs.select("run").mapInArrow(_distinct_candidates(bits, passing, n_shards), ", ".join(f"{c} long" for c in ["shard", "h", *KEY])).distinct()
-    shards = cut(seen.groupBy("shard").applyInArrow(_build_shard, "shard long, n long, sizes array<long>, words binary, keys binary"))
+    passing.append(passing_buckets(runs, bits, least, passing))
+    n_shards = -(-int(sum(np.bitwise_count(p).sum() for p in passing)) // SHARD_KEYS)
+    longs = lambda *names: ", ".join(f"{c} long" for c in names)
+    seen = runs.select("run").mapInArrow(_distinct_candidates(bits, passing), longs(*KEY)).distinct()
+    seen = seen.unionByName(words.select("hash").mapInArrow(_single_words(bits, passing[0]), longs(*KEY)))
+    shards = cut(seen.mapInArrow(_with_shard(n_shards), longs(*KEY, "shard")).groupBy("shard").applyInArrow(_build_shard, "shard long, n long, sizes array<long>, words binary, keys binary"))
     tables, blocks = [], []
     for block in _blocks(shards, n_shards, most_keys):
         summed = cut(tree_sum(runs.select("run").mapInArrow(_slot_counts(block, bits, passing), SUMS), runs.rdd.getNumPartitions()))
-        tables.append(cut(summed.mapInArrow(_frequent(block, least), ", ".join(f"{c} long" for c in ["slot", "a", *KEY]))))
+        tables.append(cut(summed.mapInArrow(_frequent(block, least), longs("slot", "a", *KEY))))
         blocks.append(summed)
     frequent = tables[0]
     for more in tables[1:]:
