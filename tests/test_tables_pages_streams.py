@@ -50,6 +50,14 @@ def test_pages(spark):
     assert pages.document_links(found, "http://a.com/list/").count() == 1
 
 
+def test_fields_by_selector(spark):
+    html = '<div class="a b" id="top"><p>one <b>two</b><p>three<ul><li>x<li>y</ul></div><div class="a"><p>four</p></div><img src="i"><span>tail &amp; end</span>'
+    fields = {"first": "p", "all": ".a.b p", "nested": "div#top b", "items": "ul li", "tail": "span", "none": "div.c p", "deep": "div ul .z"}
+    df = spark.createDataFrame([(html,), (None,), ("<p>open",)], "html string")
+    got = [tuple(r["f"]) for r in df.select(pages.pick(F.col("html"), fields, joined=("all", "items")).alias("f")).collect()]
+    assert got == [("one two", "one two three", "two", "x y", "tail & end", "", ""), ("",) * 7, ("open", "", "", "", "", "", "")]
+
+
 def test_traverse(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("z", "c"), ("d", "e"), ("b", "a")], "src string, dst string")
     got = rows(pages.traverse(io.seeds(spark, ["a", "z", "a"]), edges, 2), "node", "level", "origin")

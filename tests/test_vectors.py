@@ -169,6 +169,22 @@ def test_index_search_equals_search(spark, tmp_path):
     assert (meta["n_docs"], meta["n_terms"], meta["method"]) == (201, 30, "lucene")
 
 
+def test_stop_words_bring_no_document_in(spark, tmp_path):
+    """Over texts full of stop words the candidates are few, and the result is still exact."""
+    rng = np.random.default_rng(2)
+    stop, rare = [f"the{i}" for i in range(6)], [f"r{i}" for i in range(500)]
+    docs = spark.createDataFrame([(i, " ".join([*stop, *rng.choice(rare, size=8), *rng.choice(stop, size=rng.integers(0, 9))])) for i in range(3000)], "chunk_id long, vector_text string")
+    asked = spark.createDataFrame([(i, " ".join([*rng.choice(stop, size=4), *rng.choice(rare, size=3)])) for i in range(25)], "qid int, question string")
+    rt.save_index(rt.build_bm25(docs), f"{tmp_path}/index")
+    saved = rt.load_index(spark, f"{tmp_path}/index")
+    found, lookups = rt.candidates(saved, asked, 5)
+    assert sorted(rt.index_search(saved, asked, 5).collect()) == sorted(rt.bm25_search(docs, asked, 5).collect())
+    postings = 25 * 4 * 3000  # every question shares four stop words with every document
+    assert found.count() + lookups.count() < postings / 20
+    only_stop = spark.createDataFrame([(1, "the0 the1"), (2, "none")], "qid int, question string")
+    assert sorted(rt.index_search(saved, only_stop, 5).collect()) == sorted(rt.bm25_search(docs, only_stop, 5).collect())
+
+
 def test_search_never_shuffles_the_corpus(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "chunk_id long, vector_text string")
     plan = rt.bm25_search(docs, spark.createDataFrame([("q", "b")], "qid string, question string"), 1)._jdf.queryExecution().optimizedPlan().toString()

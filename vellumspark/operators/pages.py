@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -158,6 +159,88 @@ def scrape(html: Column, names: list[str]) -> Column:
     return run(html)
 
 
+#: Elements without content, and elements that another of their kind ends.
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_ENDED_BY_NEXT = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+_ENDS_PARAGRAPH = {"ul", "ol", "dl", "div", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "form"}
+
+
+class _Picker(HTMLParser):
+    """Text of the elements that selectors match; a selector is steps of tag, .class and #id, each inside the one before."""
+
+    def __init__(self, selectors: list[str]):
+        super().__init__(convert_charrefs=True)
+        self.steps = [[self._step(s) for s in selector.split()] for selector in selectors]
+        self.open: list[tuple[str, set[str], str | None]] = []
+        self.held: list[list[list[str]]] = [[] for _ in selectors]
+        self.inside: list[list[tuple[int, list[str]]]] = [[] for _ in selectors]
+
+    @staticmethod
+    def _step(step: str) -> tuple[str, set[str], str | None]:
+        tag, *rest = re.split(r"(?=[.#])", step)
+        if tag[:1] in (".", "#"):
+            tag, rest = "", [tag, *rest]
+        return tag.lower(), {x[1:] for x in rest if x[0] == "."}, next((x[1:] for x in rest if x[0] == "#"), None)
+
+    @staticmethod
+    def _fits(step: tuple, element: tuple) -> bool:
+        return step[0] in ("", element[0]) and step[1] <= element[1] and step[2] in (None, element[2])
+
+    def handle_starttag(self, tag, attrs):
+        last = self.open[-1][0] if self.open else ""
+        if (tag in _ENDED_BY_NEXT and last == tag) or (tag in _ENDS_PARAGRAPH and last == "p"):
+            self.handle_endtag(last)
+        given = dict(attrs)
+        self.open.append((tag, set((given.get("class") or "").split()), given.get("id")))
+        for steps, held, inside in zip(self.steps, self.held, self.inside, strict=True):
+            if self._fits(steps[-1], self.open[-1]):
+                above = iter(reversed(self.open[:-1]))
+                if all(any(self._fits(s, e) for e in above) for s in reversed(steps[:-1])):
+                    held.append([])
+                    inside.append((len(self.open), held[-1]))
+        if tag in _VOID:
+            self.handle_endtag(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in _VOID:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        if any(e[0] == tag for e in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+            for inside in self.inside:
+                while inside and inside[-1][0] > len(self.open):
+                    inside.pop()
+
+    def handle_data(self, data):
+        for inside in self.inside:
+            for _, text in inside:
+                text.append(data)
+
+
+def pick(html: Column, fields: dict[str, str], joined: tuple[str, ...] = ()) -> Column:
+    """struct of one text for each field: that of the first element that the field's selector matches, of all of them for the names in ``joined``; empty if there is none.
+
+    White space counts as one space; null pages give empty fields.
+    """
+    names, selectors = list(fields), list(fields.values())
+
+    @F.pandas_udf(", ".join(f"`{n}` string" for n in names))
+    def run(pages: pd.Series) -> pd.DataFrame:
+        rows = []
+        for page in pages:
+            picker = _Picker(selectors)
+            picker.feed(page or "")
+            picker.close()
+            texts = [[re.sub(r"[ \t\n\x0b\f\r]+", " ", "".join(t)).strip(" ") for t in held] for held in picker.held]
+            rows.append([" ".join(t) if n in joined else (t[0] if t else "") for n, t in zip(names, texts, strict=True)])
+        return pd.DataFrame(rows, columns=names)
+
+    return run(html)
+
+
 def absolute_url(base: Column, href: Column) -> Column:
     origin = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
     folder = F.regexp_replace(F.regexp_extract(base, r"^([^?#]*)", 1), r"(^https?://[^/]+)$|[^/]*$", "$1")

@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import squeeze, tokens, uuid5
 from ..providers import ask, embed
+from ..storage import cut
 
 #: A query batch of at most this many rows is sent to all tasks; larger ones are joined by shuffle.
 MOST_SENT = 200_000
@@ -59,34 +60,84 @@ def build_bm25(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "vec
     }
 
 
-INDEX_TABLES = ("postings", "doc_stats", "term_stats", "corpus_stats")
+INDEX_TABLES = ("postings", "blocks", "doc_stats", "term_stats", "corpus_stats", "metadata")
+#: Blocks of a term's postings at most: bands of the part of the score that lies in (0, 1).
+BANDS = 16
+#: Scores are rounded to six places, so bounds are compared with a little to spare.
+SLACK = 2e-6
+
+
+def _saturation(k1: float, b: float, avgdl: float) -> Column:
+    return F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
 
 
 def save_index(index: dict[str, DataFrame], path: str, k1: float = 1.5, b: float = 0.75) -> None:
-    """The four tables and a metadata row. chunk_id stands in the tables themselves: there is no separate id map."""
-    for name, df in index.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    """The index tables and a metadata row. chunk_id stands in the tables themselves: there is no separate id map.
+
+    Postings are sorted by term and block; a block holds the postings of a term
+    that score alike, and ``blocks`` how many they are and the most that they can add.
+    """
     spark = next(iter(index.values())).sparkSession
-    saved = load_index(spark, path)
-    sizes = saved["corpus_stats"].select("n_docs").crossJoin(saved["term_stats"].agg(F.count(F.lit(1)).alias("n_terms")))  # one row each
-    sizes.withColumns({"method": F.lit("lucene"), "k1": F.lit(k1), "b": F.lit(b)}).coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
+    for name in ("doc_stats", "corpus_stats"):
+        index[name].write.mode("overwrite").parquet(f"{path}/{name}")
+    stats = spark.read.parquet(f"{path}/corpus_stats").first()
+    weighed = index["postings"].withColumn("weight", _saturation(k1, b, stats["avgdl"])).withColumn("block", F.floor(F.col("weight") * BANDS).cast("int"))
+    weighed.repartitionByRange("term", "block", "chunk_id").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    saved = spark.read.parquet(f"{path}/postings")
+    saved.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most")).write.mode("overwrite").parquet(f"{path}/blocks")
+    saved.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("weight").alias("most")).write.mode("overwrite").parquet(f"{path}/term_stats")
+    terms = spark.read.parquet(f"{path}/term_stats").count()
+    row = (stats["n_docs"], stats["avgdl"], terms, "lucene", k1, b)
+    spark.createDataFrame([row], "n_docs long, avgdl double, n_terms long, method string, k1 double, b double").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
 
 
 def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in INDEX_TABLES}
 
 
-def index_search(index: dict[str, DataFrame], questions: DataFrame, k: int, qid_col: str = "qid", question_col: str = "question", k1: float = 1.5, b: float = 0.75, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
-    """``bm25_search`` over a saved index: postings of the asked terms only, nothing is tokenised again."""
-    n_docs, avgdl = index["corpus_stats"].select("n_docs", "avgdl").first()
-    asked = asked_terms(questions, qid_col, question_col, tokenizer)
-    send = F.broadcast if asked.limit(MOST_SENT + 1).count() <= MOST_SENT else lambda df: df
-    stats = index["term_stats"].join(send(asked.select("term").distinct()), "term").select("term", idf(F.lit(n_docs or 0), F.col("df")).alias("idf"))
-    weight = F.col("idf") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
-    scored = index["postings"].join(send(asked.join(stats, "term")), "term").groupBy("qid", "chunk_id").agg(F.round(F.sum(F.col("qtf") * weight), 6).alias("score"))
+def index_search(index: dict[str, DataFrame], questions: DataFrame, k: int, qid_col: str = "qid", question_col: str = "question", tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
+    """``bm25_search`` over a saved index, with the parameters it was saved with: nothing is tokenised again, and stop words are not expanded.
+
+    The blocks that can add most give each question a score that its k-th
+    document reaches at least.  Terms that even together stay below it bring no
+    document in; of the others only blocks are read that can still lead over it, and
+    documents that cannot are dropped.  What is left gets its other terms by a
+    look-up.  The result is exact.
+    """
+    wide, lookups = candidates(index, questions, k, qid_col, question_col, tokenizer)
+    scored = wide.unionByName(lookups).groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top_k(scored.filter("score > 0"), k)
 
 
+def candidates(index: dict[str, DataFrame], questions: DataFrame, k: int, qid_col: str = "qid", question_col: str = "question", tokenizer: Callable[[Column], Column] = tokens) -> tuple[DataFrame, DataFrame]:
+    """(qid, chunk_id, part): parts of scores from the terms that can decide, for the documents that may be among the k best; and the parts of their other terms."""
+    told = index["metadata"].first()
+    asked = asked_terms(questions, qid_col, question_col, tokenizer)
+    share = F.col("qtf") * idf(F.lit(told["n_docs"]), F.col("df"))
+    terms = cut(small(asked).join(index["term_stats"], "term").select("qid", "term", share.alias("share"), (share * F.col("most")).alias("bound")))
+    blocks = cut(small(terms).join(index["blocks"], "term").select("qid", "term", "block", "n", "share", "bound", (F.col("share") * F.col("most")).alias("most")))
+    read = lambda wanted: index["postings"].join(small(wanted), ["term", "block"]).select("qid", "chunk_id", (F.col("share") * F.col("weight")).alias("part"))
+    # what the k-th best has at least: from each question's best blocks, as many as hold some k documents each
+    best = Window.partitionBy("qid").orderBy(F.desc("most"), "term", "block").rowsBetween(Window.unboundedPreceding, -1)
+    first = blocks.withColumn("before", F.coalesce(F.sum("n").over(best), F.lit(0))).filter(F.col("before") < 4 * k)
+    begun = read(first).groupBy("qid", "chunk_id").agg(F.sum("part").alias("part"))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("part")))
+    least = begun.withColumn("place", place).filter(F.col("place") == k).select("qid", F.col("part").alias("least"))
+    # terms from the weakest on, as long as they stay below it together, bring nothing in
+    weak = Window.partitionBy("qid").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    every = terms.groupBy("qid").agg(F.sum("bound").alias("all"))
+    split = terms.withColumn("up_to", F.sum("bound").over(weak)).join(least, "qid", "left").join(every, "qid")
+    split = cut(split.select("qid", "term", "share", "bound", "all", F.coalesce("least", F.lit(0.0)).alias("least"), (F.col("up_to") < F.coalesce("least", F.lit(0.0)) - SLACK).alias("weak")))
+    strong = blocks.select("qid", "term", "block", "share", "most").join(split.filter("NOT weak").select("qid", "term", "bound", "all", "least"), ["qid", "term"])
+    strong = strong.filter(F.col("all") - F.col("bound") + F.col("most") >= F.col("least") - SLACK)
+    others = split.groupBy("qid").agg(F.sum(F.when(F.col("weak"), F.col("bound")).otherwise(0.0)).alias("rest"), F.max("least").alias("least"))
+    found = read(strong).groupBy("qid", "chunk_id").agg(F.sum("part").alias("part"))
+    found = cut(found.join(small(others), "qid").filter(F.col("part") + F.col("rest") >= F.col("least") - SLACK).select("qid", "chunk_id", "part"))
+    wanted = found.select("qid", "chunk_id").join(small(split.filter("weak").select("qid", "term", "share")), "qid")
+    lookups = index["postings"].join(small(wanted), ["term", "chunk_id"]).select("qid", "chunk_id", (F.col("share") * F.col("weight")).alias("part"))
+    return found, lookups
+
+
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 

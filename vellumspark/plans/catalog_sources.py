@@ -391,6 +391,26 @@ def scraped_fields(spark, d):
     return tbl(spark, d, "pages").select("page_id", pages.scrape(html, ["language"]).alias("s")).select("page_id", "s.title", "s.language")
 
 
+#: Where a law site's document page has its fields: fixed values.
+LAW_FIELDS = {"number": "span.so-hieu", "issued": "span.ngay-ban-hanh", "agency": "span.co-quan-ban-hanh", "status": "span.tinh-trang", "content": "div.noi-dung-van-ban p"}
+
+
+@query(r"""SELECT doc_id, doc_id || '/' || n_chars AS number, '01/02/2020' AS issued, coalesce(source, '') AS agency, coalesce(lang, '') AS status,
+array_to_string(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: trim(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g'))), ' ') AS content FROM documents""")
+def law_fields(spark, d):
+    """Fields by selector [K17]: each text as a law site's page, its paragraphs as the content, with other elements that almost match."""
+    safe = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    field = lambda name, c: F.concat(F.lit(f'<span class="x {name}"> '), c, F.lit("</span>"))
+    paragraphs = F.array_join(F.transform(F.split(safe(F.col("text")), "\n\n"), lambda x: F.concat(F.lit("<section><p class='y'>"), x, F.lit("</p></section><br/>"))), "")
+    html = F.concat(
+        F.lit('<html><body><p>before</p><div class="noi-dung"><p>no</p></div><span class="so-hieu-cu">no</span>'),
+        field("so-hieu", F.concat(F.col("doc_id").cast("string"), F.lit("/<b>"), F.col("n_chars").cast("string"), F.lit("</b>"))),
+        field("ngay-ban-hanh", F.lit("01/02/2020")), field("co-quan-ban-hanh", safe(F.col("source"))), field("tinh-trang", safe(F.col("lang"))),
+        F.lit('<span class="so-hieu">second</span><div id="c" class="noi-dung-van-ban"><h1>no</h1>'), paragraphs, F.lit("</div><p>after<p>end</body></html>"),
+    )
+    return tbl(spark, d, "documents").select("doc_id", pages.pick(html, LAW_FIELDS, joined=("content",)).alias("f")).select("doc_id", "f.*")
+
+
 @query("SELECT page_id, 'Kept ' || page_id || chr(10) || 'after' AS text FROM pages")
 def site_cleaned(spark, d):
     """A law site's text without its garbage [K18]: the pages' own HTML stands in an element that goes."""
