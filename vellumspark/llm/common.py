@@ -13,9 +13,9 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table; one whose files give at most half as many partitions as there are cores is dealt to all of them."""
+    """A table; one of few partitions (eight, about 1 GB, at most, and half as many as there are cores) is dealt to all cores. Larger ones stay as the reader splits them, whatever the cluster."""
     df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= min(cores // 2, 8) else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
