@@ -62,6 +62,11 @@ def test_traverse(spark):
     edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "d"), ("z", "c"), ("d", "e"), ("b", "a")], "src string, dst string")
     got = rows(pages.traverse(io.seeds(spark, ["a", "z", "a"]), edges, 2), "node", "level", "origin")
     assert got == [("a", 0, "a"), ("b", 1, "a"), ("c", 1, "a"), ("d", 2, "a"), ("z", 0, "z")]
+    chain = spark.range(40).select(F.col("id").cast("string").alias("src"), (F.col("id") + 1).cast("string").alias("dst"))
+    deep = pages.traverse(io.seeds(spark, ["0"]), chain, 12)
+    assert deep.count() == 13 and deep.agg(F.max("level")).first()[0] == 12
+    assert len(deep._jdf.queryExecution().optimizedPlan().toString()) < 20_000
+    assert pages.traverse(io.seeds(spark, ["38"]), chain, 1000).count() == 3  # ends where nothing is new
 
 
 def test_sources_and_sinks(spark, tmp_path):

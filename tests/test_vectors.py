@@ -185,10 +185,24 @@ def test_stop_words_bring_no_document_in(spark, tmp_path):
     assert sorted(rt.index_search(saved, only_stop, 5).collect()) == sorted(rt.bm25_search(docs, only_stop, 5).collect())
 
 
-def test_search_never_shuffles_the_corpus(spark):
-    docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "chunk_id long, vector_text string")
-    plan = rt.bm25_search(docs, spark.createDataFrame([("q", "b")], "qid string, question string"), 1)._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join" not in plan and "Aggregate" not in plan and "MapInArrow" in plan
+def test_search_never_shuffles_the_corpus(spark, tmp_path):
+    """No exchange of texts: the only one is that of each task's best."""
+    spark.range(100).select(F.col("id").alias("chunk_id"), F.concat(F.lit("a b w"), F.col("id").cast("string")).alias("vector_text")).repartition(3).write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    found = rt.bm25_search(docs, spark.createDataFrame([("q", "b w7")], "qid string, question string"), 1)
+    assert found.first()["chunk_id"] == 7
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert "Join" not in plan and "Exchange" not in below.split("Initial Plan")[0] and "RoundRobin" not in plan
+    flags = docs.select("chunk_id", *[c.alias(n) for n, c in t.content_flags(F.col("vector_text")).items()])
+    assert "Exchange" not in flags._jdf.queryExecution().executedPlan().toString()
+    index = rt.build_bm25(docs)["postings"]._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in index and "vector_text" not in index.split("HashAggregate")[1]
+
+
+def test_only_small_tables_are_dealt_anew(spark):
+    assert rt.spread(spark.range(100, numPartitions=2)).rdd.getNumPartitions() == max(2, spark.sparkContext.defaultParallelism)
+    assert rt.spread(spark.range(100, numPartitions=9)).rdd.getNumPartitions() == 9
 
 
 class Shy:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import words as w
 from ..functions.text import contains_any
+from ..storage import cut, stored
 
 #: Fixed values
 DROPPED_TAGS = {"script", "style", "nav", "header", "footer", "aside", "form", "iframe", "noscript"}
@@ -268,13 +269,17 @@ def traverse(seeds: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     """(node, level, origin): nodes within ``depth`` links of a seed, the least level then the least origin.
 
     seeds: node; edges: src, dst.  Each round joins the frontier only and drops
-    what has been seen.
+    what has been seen; rounds are cut, so that no plan grows with the depth, and
+    end where nothing new is found.
     """
-    seen = seeds.select("node", F.lit(0).alias("level"), F.col("node").alias("origin")).distinct()
+    edges = stored(edges.select("src", "dst").distinct(), "edges") if depth > 1 else edges
+    seen = cut(seeds.select("node", F.lit(0).alias("level"), F.col("node").alias("origin")).distinct())
     frontier = seen
     for level in range(1, depth + 1):
         step = frontier.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("origin").alias("origin"))
-        frontier = step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("level"), "origin")
+        frontier = cut(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(level).alias("level"), "origin"))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen
 

@@ -29,10 +29,14 @@ def _score_order(score: str, tie: str) -> list[Column]:
     return [F.col(score).desc(), F.col(tie)]
 
 
+#: Partitions that a table has at most to be dealt anew: about 1 GB at the reader's default size.
+FEW_PARTITIONS = 8
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files give fewer partitions than that: text work then runs in parallel. Large inputs stay as they are."""
+    """A small table over all cores; one of more than FEW_PARTITIONS stays as the reader splits it, whatever the cluster. For queries: operators never do this to texts."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_PARTITIONS + 1) else df
 
 
 def top_k(df: DataFrame, k: int, score: str = "score", key: str = "qid", tie: str = "chunk_id", name: str = "rank") -> DataFrame:
@@ -49,7 +53,6 @@ def doc_tokens(chunks: DataFrame, id_col: str, text_col: str, tokenizer: Callabl
 
 def build_bm25(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "vector_text", tokenizer: Callable[[Column], Column] = tokens) -> dict[str, DataFrame]:
     """The index tables: postings(term, chunk_id, tf, dl), doc_stats, term_stats, corpus_stats (one row)."""
-    chunks = spread(chunks.select(id_col, text_col))
     docs = doc_tokens(chunks, id_col, text_col, tokenizer)
     postings = docs.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
     return {
@@ -158,7 +161,7 @@ def bm25_search(chunks: DataFrame, questions: DataFrame, k: int, id_col: str = "
     n = asked.count()
     blocks = max(1, -(-n // most_terms))
     parts = [asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) for i in range(blocks)]
-    docs = doc_tokens(spread(chunks.select(id_col, text_col)), id_col, text_col, tokenizer).select("chunk_id", "tokens")
+    docs = doc_tokens(chunks, id_col, text_col, tokenizer).select("chunk_id", "tokens")
     return top_k(functools.reduce(DataFrame.unionByName, [_bm25_block(docs, part, k, k1, b) for part in parts]), k)
 
 

@@ -41,7 +41,7 @@ def tbl(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    """The documents, dealt to all cores where their files give fewer tasks."""
+    """The documents, dealt to all cores where they are small."""
     return retrieval.spread(tbl(spark, d, "documents"))
 
 
@@ -97,7 +97,7 @@ S_ASKED, S_ITEMS = S_DENSE.format("vec_id % 20 = 0"), S_DENSE.format("vec_id IN
 
 
 def bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return retrieval.bm25_search(tbl(spark, d, "documents"), tbl(spark, d, "benchmark"), k, "doc_id", "text", "item_id", "text")
+    return retrieval.bm25_search(texts(spark, d), tbl(spark, d, "benchmark"), k, "doc_id", "text", "item_id", "text")
 
 
 def dense_of(spark: SparkSession, d: str, k: int, asked: DataFrame) -> DataFrame:
@@ -122,14 +122,14 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {S_BM25} SELECT term, df, CAST(cf AS BIGINT) AS cf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, st")
 def bm25_term_stats(spark, d):
-    index = retrieval.build_bm25(tbl(spark, d, "documents"), "doc_id", "text")
+    index = retrieval.build_bm25(texts(spark, d), "doc_id", "text")
     n = index["corpus_stats"].first()["n_docs"]
     return index["term_stats"].select("term", "df", "cf", F.round(retrieval.idf(F.lit(n), F.col("df")), 6).alias("idf"))
 
 
 @query(f"WITH {S_BM25} SELECT n AS n_docs, round(avgdl, 6) AS avgdl FROM st")
 def bm25_corpus_stats(spark, d):
-    return retrieval.build_bm25(tbl(spark, d, "documents"), "doc_id", "text")["corpus_stats"].select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+    return retrieval.build_bm25(texts(spark, d), "doc_id", "text")["corpus_stats"].select("n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {S_ASKED} SELECT qid, chunk_id, score, rank FROM dr WHERE rank <= 10")

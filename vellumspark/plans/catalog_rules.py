@@ -36,10 +36,10 @@ def marker_breaks(spark, d):
 S_LONE_TWICE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^\n([^\n])', '. \1'), '([^\n])\n$', '\1. '), '([^\n])\n([^\n])', '\1. \2', 'g'), '([^\n])\n([^\n])', '\1. \2', 'g')"
 
 
-@query(f"SELECT doc_id, sha256({S_LONE_TWICE}) AS joined FROM documents WHERE text <> chr(10)")
+@query(f"SELECT doc_id, sha256(CASE WHEN text = chr(10) THEN '. ' ELSE {S_LONE_TWICE} END) AS joined FROM documents")
 def lone_newlines(spark, d):
     """Lone line feeds to full stops [I4]."""
-    return tbl(spark, d, "documents").filter("text <> '\n'").select("doc_id", F.sha2(t.join_lone_newlines(F.col("text")), 256).alias("joined"))
+    return tbl(spark, d, "documents").select("doc_id", F.sha2(t.join_lone_newlines(F.col("text")), 256).alias("joined"))
 
 
 @query("""SELECT page_id, array_to_string(list_transform(list_filter(string_split(translate(slug, '-_', '  '), ' '), lambda x: true), lambda x: upper(substr(x, 1, 1)) || lower(substr(x, 2))), ' ') AS title
@@ -66,12 +66,13 @@ def retry_waits(spark, d):
     return tbl(spark, d, "conversations").select("conv_id", "turn").join(F.broadcast(waits), "turn").select("conv_id", "turn", "growing", "linear")
 
 
-@query("SELECT conv_id, turn, CAST(regexp_extract(x, '([0-9.]+)', 1) AS DOUBLE) AS number, regexp_matches(x, '[0-9]') AS has_digit, x AS text FROM (SELECT conv_id, turn, substr(text, 1, 5) || ' ' || (length(text) * 3) || '.5 kg' AS x FROM conversations WHERE NOT regexp_matches(substr(text, 1, 5), '[0-9.]'))")
+@query("SELECT conv_id, turn, TRY_CAST(regexp_extract(x, '([0-9.]+)', 1) AS DOUBLE) AS number, regexp_matches(x, '[0-9]') AS has_digit FROM (SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 0 THEN text WHEN 1 THEN text || ' ' || (length(text) * 3) || '.5 kg' ELSE replace(text, '.', ' ') || ' ' || length(text) || ' m' END AS x FROM conversations)")
 def first_numbers(spark, d):
-    """The first number of a text [I26]."""
-    head = F.substring("text", 1, 5)
-    rows = tbl(spark, d, "conversations").filter(~head.rlike("[0-9.]")).select("conv_id", "turn", F.concat(head, F.lit(" "), (F.length("text") * 3).cast("string"), F.lit(".5 kg")).alias("text"))
-    return rows.select("conv_id", "turn", r.first_number(F.col("text")).alias("number"), F.col("text").rlike(r"\d").alias("has_digit"), "text")
+    """The first number of a whole text [I26]: by turns the text itself, where a full stop alone is no number, with a number after it, and with one but without full stops."""
+    text, n = F.col("text"), F.length("text")
+    shapes = [text, F.concat(text, F.lit(" "), (n * 3).cast("string"), F.lit(".5 kg")), F.concat(F.replace(text, F.lit("."), F.lit(" ")), F.lit(" "), n.cast("string"), F.lit(" m"))]
+    rows = tbl(spark, d, "conversations").withColumn("x", F.get(F.array(*shapes), ((F.col("conv_id") + F.col("turn")) % 3).cast("int")))
+    return rows.select("conv_id", "turn", r.first_number(F.col("x")).alias("number"), F.col("x").rlike(r"\d").alias("has_digit"))
 
 
 # --- JSON replies

@@ -18,7 +18,7 @@ from ..settings import Settings
 from ..sources import io
 from ..storage import cut, work_folder
 from ..streaming import jobs
-from .catalog import S_BM25, S_FLAGS, S_LINKS, S_PARTS, S_REPLIES, S_WORDS, bm25, parts, query, replies, s_any, s_flag, s_lit, tbl
+from .catalog import S_BM25, S_FLAGS, S_LINKS, S_PARTS, S_REPLIES, S_WORDS, bm25, parts, query, replies, s_any, s_flag, s_lit, tbl, texts
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -215,7 +215,7 @@ def incremental_titles(spark, d):
 def saved_index(spark, d):
     """Search in an index that was saved and loaded [A10, A11, B12, R3, R4]."""
     folder = work_folder(spark)
-    retrieval.save_index(retrieval.build_bm25(tbl(spark, d, "documents"), "doc_id", "text"), folder)
+    retrieval.save_index(retrieval.build_bm25(texts(spark, d), "doc_id", "text"), folder)
     return retrieval.index_search(retrieval.load_index(spark, folder), tbl(spark, d, "benchmark"), 5, "item_id", "text")
 
 
@@ -223,7 +223,7 @@ def saved_index(spark, d):
 def index_metadata(spark, d):
     """A saved index's metadata, and whether its tables have their columns [B12, R15]."""
     folder = work_folder(spark)
-    retrieval.save_index(retrieval.build_bm25(tbl(spark, d, "documents"), "doc_id", "text"), folder)
+    retrieval.save_index(retrieval.build_bm25(texts(spark, d), "doc_id", "text"), folder)
     missing = schemas.missing_columns(retrieval.load_index(spark, folder)["postings"], ["term", "chunk_id", "tf", "dl"])
     return spark.read.parquet(f"{folder}/metadata").select("n_docs", "n_terms", "method", F.lit(not missing).alias("whole"))
 
@@ -411,13 +411,14 @@ def law_fields(spark, d):
     return tbl(spark, d, "documents").select("doc_id", pages.pick(html, LAW_FIELDS, joined=("content",)).alias("f")).select("doc_id", "f.*")
 
 
-@query("SELECT page_id, 'Kept ' || page_id || chr(10) || 'after' AS text FROM pages")
+@query(r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(coalesce(text, ''), chr(10) || chr(10)), lambda x: trim(regexp_replace(x, '[ \t\n\x0B\f\r\x1C-\x1F]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM documents""")
 def site_cleaned(spark, d):
-    """A law site's text without its garbage [K18]: the pages' own HTML stands in an element that goes."""
-    own = F.regexp_replace("html", "(?is)</?script[^>]*>", "")
-    rest = ' <a href="x">Tải về</a></p><div class="x tool-bar">no</div><button>b</button><p>after</p>'
-    html = F.concat(F.lit("<script>"), own, F.lit("</script><p>Kept "), F.col("page_id").cast("string"), F.lit(rest))
-    return tbl(spark, d, "pages").select("page_id", pages.site_free(html).alias("text"))
+    """A law site's text without its garbage [K18]: each text's paragraphs between scripts, buttons, elements with the site's classes, and links with the site's words, which go."""
+    safe = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    garbage = ["<script>if (1 < 2) x()</script>", '<div class="x tool-bar"><p>no</p></div>', "<button>no</button>", '<p class="quangcao2">no</p>', "<style>p{}</style><noscript>no</noscript>"]
+    pieces = F.transform(F.split(safe, "\n\n"), lambda x, i: F.concat(F.lit("<p>"), x, F.lit(' <a href="x">Tải về</a></p>'), F.get(F.array(*[F.lit(g) for g in garbage]), (i % len(garbage)).cast("int"))))
+    html = F.concat(F.lit("<html><body>" + garbage[0]), F.array_join(pieces, ""), F.lit("<div class='box-lien-quan'>no</div></body></html>"))
+    return tbl(spark, d, "documents").select("doc_id", pages.site_free(html).alias("text"))
 
 
 @query("SELECT count_if(length(text) < 100) AS short, count_if(length(text) > 1500) AS long, count_if(len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) > 800) AS wordy FROM documents")
@@ -457,46 +458,54 @@ def long_replies(spark, d):
 
 # --- statutes
 
-S_LAW = "'CHƯƠNG I' || chr(10) || 'Quy định' || chr(10) || 'Điều 1. ' || replace(text, chr(10), ' ') || chr(10) || 'More words here' || chr(10) || 'CHƯƠNG II' || chr(10) || 'Điều 2: End' || chr(10) || 'Điều 3. Last' || chr(10) || 'Body'"
+#: A law around each text, whose first article the text is: lines that one option set or another reads in its own way.
+TITLE = ("XIN CHÀO " * 13).strip()
+LAW_AFTER = ["Xem ......... 5", "nguồn TVPL", "abc", "ab", "tải VỀ ngay", "Tải về đây", "một quảng cáo nhỏ", "dòng giữa có Điều 9. Inline", "CỘNG HÒA XÃ HỘI", "after one", TITLE, "after two"]
+LAW_END = ["CHƯƠNG II", "TIÊU ĐỀ HAI", "Điều 2: End", "điều 3 low", "Điều 4x", "Body"]
 
 
 def _statutes(spark, d, rules):
-    body = F.replace("text", F.lit("\n"), F.lit(" "))
-    law = F.concat(F.lit("CHƯƠNG I\nQuy định\nĐiều 1. "), body, F.lit("\nMore words here\nCHƯƠNG II\nĐiều 2: End\nĐiều 3. Last\nBody"))
+    first = F.concat(F.lit("CHƯƠNG I\nQuy định\nĐiều 1. "), F.replace("text", F.lit("\n"), F.lit(" ")))
+    law = F.concat(first, F.lit("\n" + "\n".join(LAW_AFTER + LAW_END)))
     title = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
-    parsed = tbl(spark, d, "documents").filter(~F.col("text").rlike(r"Tải về|Mục lục|\.{5}|quảng cáo")).select("doc_id", F.posexplode(chunking.statute_column(law, title, rules)).alias("article", "content"))
+    parsed = tbl(spark, d, "documents").select("doc_id", F.posexplode(chunking.statute_column(law, title, rules)).alias("article", "content"))
     return parsed.select("doc_id", "article", F.sha2("content", 256).alias("content"))
 
 
-def s_statutes(last: str) -> str:
-    """Every rule set finds the three articles; v1 drops lines under five characters."""
-    head = "'Văn bản: doc_' || doc_id || chr(10)"
-    return f"""WITH p AS (SELECT doc_id, rtrim('Điều 1. ' || replace(text, chr(10), ' ')) AS first FROM documents WHERE NOT regexp_matches(text, 'Tải về|Mục lục|\\.{{5}}|quảng cáo')),
-a AS (SELECT doc_id, unnest([0, 1, 2]) AS article, unnest([{head} || 'CHƯƠNG I' || chr(10) || first || chr(10) || 'More words here', {head} || 'CHƯƠNG II' || chr(10) || 'Điều 2: End', {head} || 'CHƯƠNG II' || chr(10) || 'Điều 3. Last{last}']) AS c FROM p)
-SELECT doc_id, article, sha256(c) AS content FROM a"""
+def s_statutes(garbage: str, first: list[str], others: list[tuple[str, list[str]]]) -> str:
+    """The articles as they are read: of the first one the lines after the text (it is gone where the text's own line counts as garbage), of the others their context and lines."""
+    text = lambda context, lines: f"{s_lit(context)} || chr(10) || " + " || chr(10) || ".join(lines)
+    bodies = [f"CASE WHEN NOT {garbage} THEN {text('CHƯƠNG I', ['line', *map(s_lit, first)])} END", *(text(c, [s_lit(x) for x in lines]) for c, lines in others)]
+    return f"""WITH p AS (SELECT doc_id, rtrim('Điều 1. ' || replace(text, chr(10), ' ')) AS line FROM documents),
+a AS (SELECT doc_id, list_filter([{', '.join(bodies)}], lambda x: x IS NOT NULL) AS bodies FROM p)
+SELECT doc_id, CAST(article - 1 AS INT) AS article, sha256('Văn bản: doc_' || doc_id || chr(10) || bodies[article]) AS content FROM (SELECT *, unnest(range(1, len(bodies) + 1)) AS article FROM a)"""
 
 
-@query(s_statutes(""))
+LAST = ("CHƯƠNG II", ["Điều 2: End", "điều 3 low", "Điều 4x", "Body"])
+INLINE = "dòng giữa có"
+
+
+@query(s_statutes("contains(line, 'TVPL')", ["Xem ......... 5", "tải VỀ ngay", "Tải về đây", "một quảng cáo nhỏ", "dòng giữa có Điều 9. Inline"], [("CHƯƠNG II", ["Điều 2: End", "điều 3 low", "Điều 4x"])]))
 def statutes_v1(spark, d):
-    """[K19]"""
+    """No breaks inside lines, lines of five characters at least, a source mark as garbage [K19]."""
     return _statutes(spark, d, "v1")
 
 
-@query(s_statutes("' || chr(10) || 'Body"))
+@query(s_statutes("contains(line, '.......')", ["nguồn TVPL", "abc", "ab", "tải VỀ ngay", "Tải về đây", "một quảng cáo nhỏ", INLINE], [("CHƯƠNG I", ["Điều 9. Inline"]), LAST]))
 def statutes_v2(spark, d):
-    """[K20]"""
+    """Markers inside lines, leaders of a table of contents, every short upper-case line ends an article [K20]."""
     return _statutes(spark, d, "v2")
 
 
-@query(s_statutes("' || chr(10) || 'Body"))
+@query(s_statutes("contains(line, '......')", ["nguồn TVPL", "abc", "tải VỀ ngay", "Tải về đây", "một quảng cáo nhỏ", INLINE], [("CHƯƠNG I", ["Điều 9. Inline", "CỘNG HÒA XÃ HỘI", "after one"]), LAST]))
 def statutes_v3(spark, d):
-    """[K20]"""
+    """As v2, but the national heading ends nothing, and lines have three characters at least [K20]."""
     return _statutes(spark, d, "v3")
 
 
-@query(s_statutes("' || chr(10) || 'Body"))
+@query(s_statutes(s_any("lower(line)", [x.lower() for x in w.STATUTE_GARBAGE_WIDE]), ["Xem ......... 5", "nguồn TVPL", "abc", INLINE], [("CHƯƠNG I", ["Điều 9. Inline", "CỘNG HÒA XÃ HỘI", "after one"]), LAST]))
 def statutes_v4(spark, d):
-    """[K21]"""
+    """As v3, with a wider list of garbage in any case in place of leaders [K21]."""
     return _statutes(spark, d, "v4")
 
 
@@ -541,7 +550,8 @@ def enriched_parts(spark, d):
     return chunking.enrich(chunks, "stem").withColumn("vector_text", F.sha2("vector_text", 256)).drop("doc_category", "display_text", "doc_url")
 
 
-@query(s_statutes("' || chr(10) || 'Body"))
+@query(s_statutes(s_any("line", w.STATUTE_GARBAGE), ["Xem ......... 5", "nguồn TVPL", "abc", "ab", "tải VỀ ngay", "một quảng cáo nhỏ", "dòng giữa có Điều 9. Inline", "CỘNG HÒA XÃ HỘI", "after one", TITLE, "after two"],
+    [("CHƯƠNG II - TIÊU ĐỀ HAI", ["Điều 2: End"]), ("CHƯƠNG II - TIÊU ĐỀ HAI", ["điều 3 low"]), ("CHƯƠNG II - TIÊU ĐỀ HAI", ["Điều 4x", "Body"])]))
 def statutes_strict(spark, d):
-    """[K22]"""
+    """Articles in any case, titles join the context [K22]."""
     return _statutes(spark, d, "strict")
