@@ -406,8 +406,7 @@ def _blocks(shards: DataFrame, n_shards: int, most_keys: int) -> Iterator[Block]
         while end < len(sizes) and n + sizes[end][1] <= most_keys:
             n += sizes[end][1]
             end += 1
-        rows = shards.filter(F.col("shard").between(sizes[at][0], sizes[end - 1][0])).orderBy("shard").collect()
-        yield Block(rows, n_shards, base)
+        yield Block(shards.filter(F.col("shard").between(sizes[at][0], sizes[end - 1][0])).orderBy("shard").collect(), n_shards, base)
         at, base = end, base + n
 
 
@@ -436,6 +435,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         summed = cut(tree_sum(runs.select("run").mapInArrow(_slot_counts(block, bits, passing), SUMS), runs.rdd.getNumPartitions()))
         tables.append(cut(summed.mapInArrow(_frequent(block, least), longs("slot", "a", *KEY))))
         blocks.append(summed)
+        block = None  # the driver holds one at a time
     frequent = tables[0]
     for more in tables[1:]:
         frequent = frequent.unionByName(more)
