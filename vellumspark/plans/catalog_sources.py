@@ -17,7 +17,7 @@ from ..providers import FallbackChat, HashedEmbedder, Retrying, ask
 from ..settings import Settings
 from ..sources import io
 from ..storage import cut, work_folder
-from ..streaming import jobs
+from ..streaming import deadlines, jobs
 from .catalog import S_BM25, S_FLAGS, S_LINKS, S_PARTS, S_REPLIES, S_WORDS, bm25, parts, query, replies, s_any, s_flag, s_lit, tbl, texts
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -555,3 +555,25 @@ def enriched_parts(spark, d):
 def statutes_strict(spark, d):
     """Articles in any case, titles join the context [K22]."""
     return _statutes(spark, d, "strict")
+
+
+@query("""
+WITH t AS (SELECT event_id, ts, n, 1 + (event_id * 5 + n * 7) % 6 AS minutes, CASE WHEN (event_id + n) % 3 = 0 THEN '' WHEN event_id % 7 = 0 THEN NULL ELSE chr(CAST(65 + (event_id + n) % 4 AS INTEGER)) END AS answer
+           FROM events CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS n) WHERE n <= event_id % 5),
+g AS (SELECT event_id, min(struct_pack(n := n, answer := answer)) FILTER (WHERE answer <> '' AND n <= 3 AND minutes * n <= 10) AS best, coalesce(bool_or(n = 3 AND minutes * n <= 10), false) AS spent FROM t GROUP BY event_id)
+SELECT CAST(event_id AS VARCHAR) AS qid, ts AS asked_at, coalesce(best.answer, 'A') AS answer, CASE WHEN best IS NOT NULL THEN 'replied' WHEN spent THEN 'gave_up' ELSE 'timed_out' END AS status
+FROM events LEFT JOIN g USING (event_id)""")
+def answers_in_time(spark, d):
+    """Every event asks and gets up to four attempts, some blank and some too late: a stream joins both within their time, with the default where none answers, closed by a sentinel [S1, S6, P19]."""
+    folder, e = work_folder(spark, "stream"), tbl(spark, d, "events")
+    asked = e.select(F.col("event_id").cast("string").alias("qid"), F.col("ts").alias("asked_at"))
+    tried = e.select("event_id", "ts", F.explode(F.sequence(F.lit(1), (F.col("event_id") % 5).cast("int"))).alias("attempt")).filter("attempt <= event_id % 5")
+    minutes = (1 + (F.col("event_id") * 5 + F.col("attempt") * 7) % 6) * F.col("attempt")
+    answer = F.when((F.col("event_id") + F.col("attempt")) % 3 == 0, "").when(F.col("event_id") % 7 != 0, F.char(65 + (F.col("event_id") + F.col("attempt")) % 4))
+    given = tried.select(F.col("event_id").cast("string").alias("qid"), "attempt", answer.alias("answer"), (F.col("ts") + F.make_dt_interval(mins=minutes)).alias("replied_at"))
+    for name, rows, at in (("questions", asked, "asked_at"), ("replies", given, "replied_at")):
+        rows.unionByName(deadlines.closing(rows, at, "2 hours")).write.parquet(f"{folder}/{name}")
+    questions = jobs.source(spark, f"{folder}/questions", "*.parquet", deadlines.QUESTIONS)
+    replies = jobs.source(spark, f"{folder}/replies", "*.parquet", deadlines.REPLIES)
+    deadlines.settle_stream(questions, replies, f"{folder}/table", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/table").select("qid", "asked_at", "answer", "status")
