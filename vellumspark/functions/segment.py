@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import tokens
@@ -13,49 +13,46 @@ from .text import tokens
 class UnigramLattice:
     """Splits into the words whose frequencies have the largest product (Viterbi); for ``segmented``.
 
-    by_letter: runs without spaces are split into words; else syllables between
-    spaces are grouped, and a group is joined by underscores (keys of ``counts`` have
-    spaces).  A piece of n letters or syllables that is not known has probability
-    10 / (N * 10**n), and neighbouring unknown pieces of one run are one word.  Ties go to the
-    longer last word.  Time is proportional to the length times the longest known word.
+    by_letter: runs without spaces are split into words.  A piece of n letters that is
+    not known has probability 10 / (N * 10**n), N being all counts; neighbouring unknown
+    pieces are one word.  Else syllables between spaces are grouped and joined by
+    underscores (keys of ``counts`` have spaces); an unknown syllable stays alone.  Ties
+    go to the longer last word.  Time is the length times the longest known word.
     """
 
     def __init__(self, counts: dict[str, int], by_letter: bool = False):
         self.by_letter, self.total = by_letter, max(sum(counts.values()), 1)
-        split = tuple if by_letter else lambda x: tuple(x.split())
-        self.known = {split(k): math.log(n / self.total) for k, n in counts.items()}
+        self.known = {k if by_letter else tuple(k.split(" ")): math.log(n / self.total) for k, n in counts.items()}
         self.longest = max(map(len, self.known), default=1)
+        self.unknown = [math.log(10 / self.total) - n * math.log(10) if by_letter or n == 1 else -math.inf for n in range(self.longest + 1)]
 
-    def score(self, piece: tuple[str, ...]) -> float:
-        known = self.known.get(piece)
-        return math.log(10 / self.total) - len(piece) * math.log(10) if known is None else known
-
-    def split(self, atoms: tuple[str, ...]) -> list[tuple[str, ...]]:
-        best, start = [0.0], [0]
+    def split(self, atoms: str | tuple[str, ...]) -> list:
+        best, start, known = [0.0], [0], self.known
         for end in range(1, len(atoms) + 1):
-            options = ((best[at] + self.score(atoms[at:end]), -at) for at in range(max(0, end - self.longest), end))
-            top, at = max(options)
+            top, where = -math.inf, end - 1
+            for at in range(max(0, end - self.longest), end):
+                score = known.get(atoms[at:end])
+                if score is None:
+                    score = self.unknown[end - at]
+                if best[at] + score > top:
+                    top, where = best[at] + score, at
             best.append(top)
-            start.append(-at)
+            start.append(where)
         pieces, end = [], len(atoms)
         while end:
             pieces.append(atoms[start[end] : end])
             end = start[end]
-        out: list[tuple[str, ...]] = []
-        open_ = False  # whether the last piece is unknown
+        out: list = []
         for piece in reversed(pieces):
-            unknown = self.by_letter and piece not in self.known
-            if unknown and open_:
+            if self.by_letter and out and piece not in self.known and out[-1] not in self.known:
                 out[-1] += piece
             else:
                 out.append(piece)
-            open_ = unknown
         return out
 
     def __call__(self, text: str) -> list[str]:
-        if self.by_letter:
-            return ["".join(p) for run in text.split() for p in self.split(tuple(run))]
-        return ["_".join(p) for p in self.split(tuple(text.split()))]
+        runs = [x for x in text.split(" ") if x]
+        return [p for run in runs for p in self.split(run)] if self.by_letter else ["_".join(p) for p in self.split(tuple(runs))]
 
 
 def word_counts(texts: DataFrame, text_col: str, most: int = 100_000, longest: int = 30) -> DataFrame:
@@ -69,12 +66,15 @@ def phrase_counts(texts: DataFrame, text_col: str, phrases: list[str]) -> DataFr
     known = [" ".join(p.lower().split()) for p in phrases]
     if not known:
         return texts.sparkSession.createDataFrame([], "word string, n bigint")
-    listed = texts.select(tokens(F.col(text_col)).alias("t"))
     sizes = sorted({p.count(" ") + 1 for p in known})
-    runs = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - n + 1, F.lit(1))), lambda i, n=n: F.array_join(F.slice("t", i, n), " ")) for n in sizes]))
+    listed = texts.select(tokens(F.col(text_col)).alias("t"))
+
+    def runs(n: int) -> Column:
+        all_ = F.transform(F.sequence(F.lit(1), F.size("t") - n + 1), lambda i: F.array_join(F.slice("t", i, n), " "))
+        return F.when(F.size("t") >= n, all_).otherwise(F.array().cast("array<string>"))
+
     held = F.broadcast(texts.sparkSession.createDataFrame([(p,) for p in dict.fromkeys(known)], "word string"))
-    # a text shorter than n words gives itself once for each such size: only its own size may count
-    found = listed.select(F.explode(F.array_distinct(runs) if len(sizes) == 0 else runs).alias("word"))
+    found = listed.select(F.explode(F.flatten(F.array(*map(runs, sizes)))).alias("word"))
     return found.join(held, "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 

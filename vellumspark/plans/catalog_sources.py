@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import rules as r
+from ..functions import segment
 from ..functions import text as t
 from ..functions import words as w
 from ..operators import chunking, pages, retrieval, tables, vectors
@@ -577,3 +578,15 @@ def answers_in_time(spark, d):
     replies = jobs.source(spark, f"{folder}/replies", "*.parquet", deadlines.REPLIES)
     deadlines.settle_stream(questions, replies, f"{folder}/table", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/table").select("qid", "asked_at", "answer", "status")
+
+
+@query()
+def segmented_pairs(spark, d):
+    """Word segmentation on held-out texts: frequencies from four fifths of the documents, neighbouring words of the others glued together and split again; boundaries met by language [R1]."""
+    docs = tbl(spark, d, "documents").select(F.coalesce("lang", F.lit("und")).alias("lang"), "text", (F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("held_out"))
+    model = segment.lattice(segment.word_counts(docs.filter(~F.col("held_out")), "text"), by_letter=True)
+    pairs = segment.glued_pairs(docs.filter("held_out"), "text", ["lang"])
+    split = pairs.withColumn("parts", t.segmented(model)(F.concat("a", "b")))
+    ends = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", F.lit(1), i), ""))
+    boundaries = split.select("lang", "n", (F.size("parts") - 1).alias("inside"), F.array_contains(ends, F.col("a")).cast("int").alias("right"))
+    return boundaries.groupBy("lang").agg(F.sum("n").alias("n_pairs"), F.sum(F.col("n") * F.col("inside")).alias("n_found"), F.sum(F.col("n") * F.col("right")).alias("n_right"))
