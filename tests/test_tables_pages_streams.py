@@ -1,5 +1,7 @@
 import datetime as dt
+import random
 import shutil
+from collections import Counter
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -50,6 +52,49 @@ def test_pages(spark):
     assert pages.document_links(found, "http://a.com/list/").count() == 1
 
 
+def page_of(words, rng):
+    """A page in one of many layouts, and its content lines: paragraphs, headings, short lists and a table in the text; links, teasers and bars around and in it."""
+    take = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    links = lambda n: "<ul>" + "".join(f'<li><a href="/{i}">{take(rng.randint(2, 14))}</a>' for i in range(n)) + "</ul>"
+    bar = "<div>" + "".join(f"<span><i></i>{x}</span>" for x in ("Mail", "Pin", "Like", "Say")) + "</div>"
+    lines, inner = [], []
+    for i in range(rng.randint(3, 12)):
+        kind = rng.choice(["p", "p", "p", "h2", "li", "td", "div"])
+        some = [take(rng.randint(12, 90) if kind in ("p", "div") else rng.randint(2, 6)) for _ in range(rng.randint(2, 5) if kind in ("li", "td") else 1)]
+        lines += some
+        inner.append({"li": "<ul>" + "".join(f"<li>{x}" for x in some) + "</ul>", "td": "<table>" + "".join(f"<tr><td>{x}</td></tr>" for x in some) + "</table>"}.get(kind, f"<{kind}>{some[0]}</{kind}>"))
+        if i % 4 == 1:
+            inner.append(rng.choice([links(4), bar, f'<div><h4>Related</h4>{links(3)}</div>']))
+    inner.insert(0, "<p>" + (first := take(120)) + "</p>")
+    body, shell = "".join(inner), rng.choice(["article", "div", "section", "td"])
+    body = f"<table><tr><td>{links(6)}</td><td>{bar}{body}</td></tr></table>" if shell == "td" else f"<{shell}>{body}</{shell}>"
+    return f"<html><title>t</title><body><div>{links(12)}</div><div><div>{body}</div><div>{links(9)}<p>{take(8)}</p></div></div><div>{take(5)}</div></body></html>", [first, *lines]
+
+
+def test_main_content_over_the_element_tree(spark):
+    rng = random.Random(5)
+    made = [page_of([f"word{i}" for i in range(400)], rng) for _ in range(120)]
+    df = spark.createDataFrame([(i, html) for i, (html, _) in enumerate(made)], "i int, html string")
+    got = {r["i"]: r["text"].split("\n") for r in df.select("i", pages.main_content(F.col("html"))["text"].alias("text")).collect()}
+    right = found = known = 0
+    for i, (_, lines) in enumerate(made):
+        want, have = Counter(lines), Counter(got[i])
+        right += sum(len(x) * n for x, n in (want & have).items())
+        found += sum(len(x) * n for x, n in have.items())
+        known += sum(len(x) * n for x, n in want.items())
+    assert right / found > 0.97 and right / known > 0.97, (right / found, right / known)
+
+
+def test_main_content_of_odd_pages():
+    assert pages.main_lines(None) == pages.main_lines("") == ("", [])
+    assert pages.main_lines("<h1>A  b</h1>text")[0] == "A b" and pages.main_lines("<p>one<p>two<div>three") == ("", ["one", "two", "three"])
+    assert pages.main_lines("</div></p>loose<ul><li>a<li>b<ul><li>c</ul><li>d</ul>")[1] == ["loose", "a", "b", "c", "d"]
+    deep = "<div>" * 5000 + "x" * 300 + "</div>" * 5000
+    assert pages.main_lines(deep)[1] == ["x" * 300]
+    only_links = '<ul><li><a href="/a">' + "a link " * 60 + "</a></ul>"
+    assert len(pages.main_lines(only_links)[1]) == 1  # nothing else is there: all lines
+
+
 def test_fields_by_selector(spark):
     html = '<div class="a b" id="top"><p>one <b>two</b><p>three<ul><li>x<li>y</ul></div><div class="a"><p>four</p></div><img src="i"><span>tail &amp; end</span>'
     fields = {"first": "p", "all": ".a.b p", "nested": "div#top b", "items": "ul li", "tail": "span", "none": "div.c p", "deep": "div ul .z"}

@@ -20,6 +20,12 @@ BLOCKS = {"p", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr"
 VOID = {"br", "img", "meta", "link", "hr", "input", "source", "wbr", "area", "base", "col", "embed", "param", "track"}
 
 
+#: Elements without content, and elements that another of their kind ends.
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_ENDED_BY_NEXT = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+_ENDS_PARAGRAPH = {"ul", "ol", "dl", "div", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "form"}
+
+
 class _Reader(HTMLParser):
     """Text of a page by block, each with the tags above it and its share of link text."""
 
@@ -129,21 +135,118 @@ def site_free(html: Column, tags: list[str] = w.SITE_TAGS, garbage: list[str] =
     return run(html)
 
 
-def main_content(html: Column, least: int = 200, shortest_block: int = 25, most_linked: float = 0.5) -> Column:
-    """struct(title, text, n_blocks): blocks of enough text with few links; all blocks if that leaves too little."""
+#: Elements that hold other blocks; the content of a page is looked for among these.
+_HOLDERS = {"div", "section", "article", "main", "table", "td", "ul", "ol", "blockquote"}
+_PARAGRAPH_LIKE = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+
+
+class _Tree(_Reader):
+    """The page's block elements as a tree, with sums over each subtree: characters, characters in links, elements, lines."""
+
+    def __init__(self, dropped: set[str], noise: tuple[str, ...]):
+        self.tags, self.above, self.sums, self.path = ["#page"], [-1], [[0, 0, 1, 0]], [0]
+        super().__init__(dropped, noise)
+
+    def _leave(self, tag: str, within: set[str] = frozenset()) -> None:
+        """Ends the innermost open element of the tag and all in it, unless one of ``within`` is open inside it."""
+        for place in range(len(self.path) - 1, 0, -1):
+            name = self.tags[self.path[place]]
+            if name == tag:
+                del self.path[place:]
+                return
+            if name in within:
+                return
+
+    def handle_starttag(self, tag, attrs):
+        super().handle_starttag(tag, attrs)
+        if tag in _HOLDERS or tag in BLOCKS - {"br"}:
+            if tag in _ENDS_PARAGRAPH or tag in _PARAGRAPH_LIKE or tag == "li":
+                self._leave("p", _HOLDERS)
+            if tag in ("li", "tr", "td"):
+                self._leave(tag, {"ul", "ol", "table"})
+            self.tags.append(tag)
+            self.above.append(self.path[-1])
+            self.sums.append([0, 0, 0, 0])
+            self.path.append(len(self.tags) - 1)
+        self.sums[self.path[-1]][2] += 1
+
+    def handle_endtag(self, tag):
+        super().handle_endtag(tag)
+        self._leave(tag)
+
+    def handle_data(self, data):
+        self.blocks[-1].setdefault("node", self.path[-1])
+        super().handle_data(data)
+
+    def summed(self) -> list[tuple[str, int, int]]:
+        """Lines as (text, characters in links, element); the sums of all subtrees are made."""
+        out = []
+        for b in self.blocks:
+            if text := " ".join("".join(b["text"]).split()):
+                out.append((text, b["linked"], b["node"]))
+                own = self.sums[b["node"]]
+                own[0] += len(text)
+                own[1] += b["linked"]
+                own[3] += 1
+        for node in range(len(self.tags) - 1, 0, -1):  # an element stands after the one it is in
+            for i, n in enumerate(self.sums[node]):
+                self.sums[self.above[node]][i] += n
+        return out
+
+    def content(self, share: float) -> int:
+        """The innermost element that holds, from the page down, at least ``share`` of the unlinked text of the one around it."""
+        inner: dict[int, list[int]] = {}
+        for node in range(1, len(self.tags)):
+            if self.tags[node] in _HOLDERS and self.sums[node][3] > 1:
+                inner.setdefault(self.above[node], []).append(node)
+        free = lambda node: self.sums[node][0] - self.sums[node][1]
+        at = 0
+        while at in inner:
+            best = max(inner[at], key=free)
+            if free(best) < share * free(at):
+                break
+            at = best
+        return at
+
+    def kept(self, root: int, most_linked: float, least_density: float) -> list[bool]:
+        """Whether an element lies in ``root`` and no subtree on its way there is of links, or of many elements with little text."""
+        out = [False] * len(self.tags)
+        for node in range(root, len(self.tags)):
+            chars, linked, elements, _ = self.sums[node]
+            thin = elements > 3 and chars - linked < least_density * elements
+            out[node] = node == root or (out[self.above[node]] and not (linked > most_linked * chars or thin))
+        return out
+
+
+def main_lines(page: str | None, least: int = 200, most_linked: float = 0.5, share: float = 0.7, least_density: float = 5.0) -> tuple[str, list[str]]:
+    """Title and content lines of a page, see ``main_content``."""
+    tree = _Tree(DROPPED_TAGS, NOISE)
+    tree.feed(page or "")
+    tree.close()
+    lines = tree.summed()
+    kept = tree.kept(tree.content(share), most_linked, least_density)
+    good = [text for text, linked, node in lines if kept[node] and linked <= most_linked * len(text)]
+    if sum(map(len, good)) < least:
+        good = [text for text, *_ in lines]
+    return " ".join((tree.title or tree.heading).split()), good
+
+
+def main_content(html: Column, least: int = 200, most_linked: float = 0.5, share: float = 0.7, least_density: float = 5.0) -> Column:
+    """struct(title, text, n_blocks): the page's content by text density over its element tree.
+
+    From the page down, the content is in the innermost element that holds at
+    least ``share`` of the unlinked text of the one around it.  Inside it subtrees
+    go whose text is mostly links, or that have more than three elements and fewer
+    than ``least_density`` unlinked characters for each; short lines, such as
+    headings and list items, stay.  If under ``least`` characters remain, all lines
+    are given.  The title is that of the page, or its first-level heading; a null
+    page gives empty texts.
+    """
 
     @F.pandas_udf("title string, text string, n_blocks int")
     def run(pages: pd.Series) -> pd.DataFrame:
-        out = []
-        for page in pages:
-            reader = read_page(page)
-            every = reader.lines()
-            good = [text for text, linked in every if len(text) >= shortest_block and linked <= most_linked]
-            if sum(map(len, good)) < least:
-                good = [text for text, _ in every]
-            title = " ".join((reader.title or reader.heading).split())
-            out.append((title, "\n".join(good), len(good)))
-        return pd.DataFrame(out, columns=["title", "text", "n_blocks"])
+        found = [main_lines(page, least, most_linked, share, least_density) for page in pages]
+        return pd.DataFrame([(title, "\n".join(good), len(good)) for title, good in found], columns=["title", "text", "n_blocks"])
 
     return run(html)
 
@@ -160,12 +263,6 @@ def scrape(html: Column, names: list[str]) -> Column:
     return run(html)
 
 
-#: Elements without content, and elements that another of their kind ends.
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_ENDED_BY_NEXT = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
-_ENDS_PARAGRAPH = {"ul", "ol", "dl", "div", "table", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "form"}
-
-
 class _Picker(HTMLParser):
     """Text of the elements that selectors match; a selector is steps of tag, .class and #id, each inside the one before."""
 

@@ -659,9 +659,34 @@ def link_bfs2(spark, d):
     return pages.traverse(edges.agg(F.min("src").alias("node")), both, 2)
 
 
-@query()
+# lines of the article: block tags end them, other tags go, entities are read, white space is one space
+S_LINES = """x AS (SELECT page_id, url, html, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_split_to_array(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '</?(?:h1|p|br)>') AS parts FROM pages),
+y AS (SELECT *, list_filter(list_transform(parts, lambda l: trim(regexp_replace(replace(replace(regexp_replace(l, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda l: l <> '') AS lines,
+length(trim(regexp_replace(replace(replace(title, '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS title_chars FROM x)"""
+
+
+def content_rows(pages_: DataFrame, least: int = 200):
+    found = pages_.select("page_id", pages.main_content(F.col("html"), least).alias("m"))
+    return found.select("page_id", F.length("m.title").alias("title_chars"), "m.n_blocks", F.sha2("m.text", 256).alias("text"))
+
+
+@query(f"WITH {S_LINES} SELECT page_id, title_chars, CAST(len(lines) AS INT) AS n_blocks, sha256(array_to_string(lines, chr(10))) AS text FROM y")
 def main_content(spark, d):
-    return tbl(spark, d, "pages").select("page_id", pages.main_content(F.col("html")).alias("m")).select("page_id", F.length("m.title").alias("title_chars"), F.length("m.text").alias("text_chars"), "m.n_blocks")
+    """Title and content of pages [K14, K15]."""
+    return content_rows(tbl(spark, d, "pages"))
+
+
+#: What stands around and inside an article in a page's layout, and is no content.
+BAR = '<div><span>Share</span><span>Like</span><span>Pin</span><span>Send</span></div>'
+BESIDE = '<section><h4>More</h4><ul>' + "".join(f'<li><a href="/m{i}">Another page that is worth the reading, number {i}</a>' for i in range(5)) + "</ul><p>Also new</p></section>"
+SHORT = "<h2>In short</h2><ul><li>first point<li>second point</ul>"
+
+
+@query(f"WITH {S_LINES} SELECT page_id, title_chars, CAST(len(lines) + 3 AS INT) AS n_blocks, sha256(array_to_string(lines || ['In short', 'first point', 'second point'], chr(10))) AS text FROM y")
+def content_in_layout(spark, d):
+    """Content of pages whose article stands in columns among lists of links, and holds a bar of buttons, a list of links, and a short list that stays [K14]."""
+    inner = F.replace(F.replace("html", F.lit("</article>"), F.lit(f"{SHORT}{BESIDE}</article></div>{BESIDE}</div>")), F.lit("<article>"), F.lit(f"<div><div>{BESIDE}</div><div>{BAR}<article>{BAR}"))
+    return content_rows(tbl(spark, d, "pages").withColumn("html", inner), 1)
 
 
 @query()
