@@ -1,6 +1,9 @@
+import tracemalloc
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vellumspark.operators import chunking as c
 from vellumspark.schemas import CHUNKS, RAW_ARTICLES, from_legal
@@ -38,6 +41,41 @@ def test_split_shapes():
     assert [p[:7] for p in c.split_text(law, c.SEPARATORS["legal_sub"], keep=True)] == ["Điều 1.", "Điều 2."]
 
 
+def test_rows_equal_arrays_for_odd_texts(spark):
+    many = ["", None, " ", "word " * 3000, "x" * 5000, "a. b! c? " * 400, "\n\n".join("para " * i for i in range(60)), "short"] * 3
+    df = spark.createDataFrame([(i, x, "k" * (i % 3)) for i, x in enumerate(many)], "id int, text string, other string").repartition(3)
+    for profile in ("general", "legal_sub", "wiki"):
+        want = {(r["id"], r["other"], r["pos"], r["col"]) for r in df.select("id", "other", F.posexplode(c.split_column(F.col("text"), profile))).collect()}
+        got = [tuple(r) for r in c.split_rows(df, "text", ["id", "other"], profile).collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert c.split_rows(df.limit(0), "text", ["id"]).count() == 0
+    small = c.piece_rows(df, lambda x: iter((x or "").split()), ["text"], ["id"], held_chars=50)  # many batches for each text
+    assert small.count() == sum(len((x or "").split()) for x in many)
+    with pytest.raises(ValueError):
+        c.split_rows(df.withColumn("Content", F.lit(1)), "text", ["Content"])
+
+
+def test_pieces_of_a_long_text_are_made_one_at_a_time():
+    text = "Some words of a sentence, and more. " * 300_000  # over 10 MB
+    made = c.split_pieces(text, c.SEPARATORS["general"])
+    law = c.statute_articles("\n".join(f"Điều {i}. " + "nội dung " * 20 for i in range(40_000)), "t", c.STATUTE_RULES["strict"])
+    tracemalloc.start()
+    n = sum(1 for _ in zip(made, range(10_000), strict=False)) + sum(1 for _ in zip(law, range(40_000), strict=False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 50_000
+    assert peak < 2_000_000
+
+
+def test_domain_callback(spark):
+    rows = [(f"T{i}", "u", "Some clause of it; and one more. " * 60, None, [x], None) for i, x in enumerate(["law", "code", "none"])]
+    df = spark.createDataFrame(rows, RAW_ARTICLES)
+    own = lambda category: F.when(category == "law", "legal").when(category == "code", "unheard-of")
+    got = {r["doc_title"]: r["domain"] for r in c.chunk_articles(df, "sub", domain_of=own).collect()}
+    assert got == {"T0": "legal", "T1": "unheard-of", "T2": "general"}
+    assert {r["domain"] for r in c.chunk_new(df, df.filter("title = 'T0'").select("title"), domain_of=own).collect()} == {"unheard-of", "general"}
+
+
 STATUTE = "QUỐC HỘI\nLời nói đầu\nCHƯƠNG I\nCHẾ ĐỘ CHÍNH TRỊ\nĐiều 1. Nước\nThân một\nTải về\nĐiều 2.\nCHƯƠNG II\nĐiều 3. Ba\nThân ba"
 
 

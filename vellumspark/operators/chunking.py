@@ -10,11 +10,13 @@ import itertools
 import re
 import unicodedata
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..functions import words as w
@@ -71,14 +73,23 @@ def clean_structured(text: Column, profile: str = "stem") -> Column:
     return run(t.cut_footer(F.coalesce(text, F.lit(""))))
 
 
-def _cut_at(text: str, separator: str, keep: bool) -> list[str]:
+def _cut_at(text: str, separator: str, keep: bool) -> Iterator[str]:
+    """The parts that are not empty, one at a time; keep: each but the first begins with the separator."""
     if not separator:
-        return list(text)
-    first, *others = text.split(separator)
-    return [p for p in [first, *(separator + p if keep else p for p in others)] if p]
-
-
-def _windows(parts: list[str], glue: str, size: int, overlap: int, length: Callable[[str], int]):
+        yield from text
+        return
+    begin = body = 0
+    while True:
+        end = text.find(separator, body)
+        if part := text[begin : end if end >= 0 else None]:
+            yield part
+        if end < 0:
+            return
+        body = end + len(separator)
+        begin = end if keep else body
+
+
+def _windows(parts: Iterable[str], glue: str, size: int, overlap: int, length: Callable[[str], int]):
     """Greedy joins of at most ``size``; each begins with up to ``overlap`` of the one before."""
     held: deque[tuple[str, int]] = deque()
     total, gap = 0, length(glue)
@@ -94,30 +105,75 @@ def _windows(parts: list[str], glue: str, size: int, overlap: int, length: Calla
         yield glue.join(p for p, _ in held)
 
 
-def split_text(text: str | None, separators: list[str], size: int = 1024, overlap: int = 200, keep: bool = False, length: Callable[[str], int] = len) -> list[str]:
-    """Chunks of at most ``size`` where the separators allow, stripped, blanks dropped.
+def split_pieces(text: str | None, separators: list[str], size: int = 1024, overlap: int = 200, keep: bool = False, length: Callable[[str], int] = len) -> Iterator[str]:
+    """Chunks of at most ``size`` where the separators allow, stripped, blanks dropped, one at a time.
 
     The first separator that occurs cuts the text; small pieces are joined
-    again, larger ones are cut by the separators after it. keep: a separator
-    begins the piece that follows it.
+    again, larger ones are cut by the separators after it (as a public splitter
+    is described to do).  keep: a separator begins the piece that follows it.
     """
     text = text or ""
     at = next((i for i, s in enumerate(separators) if not s or s in text), len(separators) - 1)
-    separator, finer, out, small = separators[at], separators[at + 1 :], [], []
-    glue = "" if keep else separator
+    separator, finer = separators[at], separators[at + 1 :]
+    for small, parts in itertools.groupby(_cut_at(text, separator, keep), key=lambda part: length(part) < size):
+        if small:
+            found = _windows(parts, "" if keep else separator, size, overlap, length)
+        elif finer:
+            found = itertools.chain.from_iterable(split_pieces(part, finer, size, overlap, keep, length) for part in parts)
+        else:
+            found = parts
+        yield from filter(None, map(str.strip, found))
 
-    def flush():
-        out.extend(_windows(small, glue, size, overlap, length))
-        small.clear()
 
-    for part in _cut_at(text, separator, keep):
-        if length(part) < size:
-            small.append(part)
-            continue
-        flush()
-        out.extend(split_text(part, finer, size, overlap, keep, length) if finer else [part])
-    flush()
-    return [c for c in map(str.strip, out) if c]
+def split_text(text: str | None, separators: list[str], size: int = 1024, overlap: int = 200, keep: bool = False, length: Callable[[str], int] = len) -> list[str]:
+    """The chunks of ``split_pieces`` in a list."""
+    return list(split_pieces(text, separators, size, overlap, keep, length))
+
+
+def piece_rows(df: DataFrame, pieces: Callable[..., Iterator[str]], using: list[str], keep: list[str], place: str = "chunk_index", out: str = "content", held_chars: int = 1 << 20) -> DataFrame:
+    """One row for each piece that ``pieces`` makes of the columns ``using``: the columns ``keep``, its place from 0, and the piece.
+
+    Rows leave a task as they are made, about ``held_chars`` characters at a time,
+    so that a text's pieces are never held together.  The names of the two new
+    columns must be free.
+    """
+    if {place.lower(), out.lower()} & {c.lower() for c in keep}:
+        raise ValueError(f"{place} or {out} is a column that is kept")
+    fields = {f.name: f for f in df.select(*keep).schema}
+    schema = T.StructType([*(fields[c] for c in keep), T.StructField(place, T.IntegerType()), T.StructField(out, T.StringType())])
+    n = len(using)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = pa.RecordBatch.from_arrays(batch.columns[n:], keep) if keep else None
+            rows, places, made, size = [], [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                nonlocal rows, places, made, size
+                columns = kept.take(pa.array(rows, pa.int32())).columns if keep else []
+                ready = pa.RecordBatch.from_arrays([*columns, pa.array(places, pa.int32()), pa.array(made, pa.string())], [*keep, place, out])
+                rows, places, made, size = [], [], [], 0
+                return ready
+
+            for i in range(batch.num_rows):
+                for at, piece in enumerate(pieces(*(batch.column(c)[i].as_py() for c in range(n)))):
+                    rows.append(i)
+                    places.append(at)
+                    made.append(piece)
+                    size += len(piece) + 16
+                    if size >= held_chars:
+                        yield flush()
+            if rows:
+                yield flush()
+
+    given = [F.col(c).alias(f"_using{i}") for i, c in enumerate(using)]
+    return df.select(*given, *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]).mapInArrow(run, schema)
+
+
+def split_rows(df: DataFrame, text: str, keep: list[str], profile: str = "general", size: int = 1024, overlap: int = 200, length: Callable[[str], int] = len) -> DataFrame:
+    """(keep, chunk_index, content): the chunks of ``split_column`` as rows, for texts of any length."""
+    separators, keeps = SEPARATORS[profile], profile.endswith("_sub") or profile == "wiki"
+    return piece_rows(df, lambda x: split_pieces(x, separators, size, overlap, keeps, length), [text], keep)
 
 
 def split_column(text: Column, profile: str = "general", size: int = 1024, overlap: int = 200, length: Callable[[str], int] = len) -> Column:
@@ -150,29 +206,33 @@ def with_header(title: Column, text: Column) -> Column:
     return F.concat(F.lit("# "), title, F.lit("\n\n"), text)
 
 
-def chunk_articles(articles: DataFrame, profile: str = "stem", least: int = 100, size: int = 1024, overlap: int = 200) -> DataFrame:
+def chunk_articles(articles: DataFrame, profile: str = "stem", least: int = 100, size: int = 1024, overlap: int = 200, domain_of: Callable[[Column], Column] | None = None) -> DataFrame:
     """raw_articles to chunks: category, domain, cleaning, minimum length, header, splitting, filter, enrichment.
 
     profile: stem, sub (submission) or wiki.  chunk_index counts before the
-    filter, so ids may have gaps.
+    filter, so ids may have gaps.  domain_of: the domain of a category, in place of
+    the profile's rules (wiki has one domain); it chooses the separators, those of
+    "general" for domains that have none, and a null domain is "general".
     """
     articles = articles if articles.isStreaming else spread(articles.select("title", "url", "text", "categories"))
     if profile == "wiki":
         category = t.first_category(F.col("categories"))
         rows = articles.select("title", "url", category.alias("category"), t.wiki_clean(t.nfc(F.coalesce("text", F.lit("")))).alias("clean")).filter(F.length("clean") >= 50)
         rows = rows.withColumn("domain", F.lit("general"))
-        pieces = split_column(F.col("clean"), "wiki", size=512, overlap=128, length=approx_token_length)
+        pieces = lambda x, _: split_pieces(x, SEPARATORS["wiki"], 512, 128, True, approx_token_length)
         keep, short = t.keep_chunk_wiki, F.col("category")
     else:
         category = F.coalesce(F.nullif(t.category_path(F.col("categories")), F.lit("")), F.lit("Uncategorized"))
         lists = (w.STEM_DOMAIN, w.LEGAL_DOMAIN) if profile == "stem" else (w.STEM_DOMAIN_SUB, w.LEGAL_DOMAIN_SUB)
         rows = articles.select("title", "url", category.alias("category"), clean_structured(F.col("text"), profile).alias("clean")).filter(F.length("clean") >= least)
-        rows = rows.withColumn("domain", t.domain(F.col("category"), *lists))
-        pieces = split_by_domain(with_header(F.col("title"), F.col("clean")), F.col("domain"), "" if profile == "stem" else "_sub", size, overlap)
+        told = (domain_of or (lambda category: t.domain(category, *lists)))(F.col("category"))
+        rows = rows.withColumns({"domain": F.coalesce(told, F.lit("general")), "clean": with_header(F.col("title"), F.col("clean"))})
+        suffix = "" if profile == "stem" else "_sub"
+        pieces = lambda x, domain: split_pieces(x, SEPARATORS.get(f"{domain}{suffix}", SEPARATORS[f"general{suffix}"]), size, overlap, bool(suffix))
         keep = t.keep_chunk_stem if profile == "stem" else t.keep_chunk_sub
         short = t.short_category(F.col("category")) if profile == "stem" else t.short_category_sub(F.col("category"))
-    chunks = rows.select("title", "url", "category", "domain", short.alias("short"), F.posexplode(pieces).alias("chunk_index", "content")).filter(keep(F.col("content")))
-    return enrich(chunks, profile)
+    chunks = piece_rows(rows.withColumn("short", short), pieces, ["clean", "domain"], ["title", "url", "category", "domain", "short"])
+    return enrich(chunks.filter(keep(F.col("content"))), profile)
 
 
 def enrich(chunks: DataFrame, profile: str) -> DataFrame:
@@ -197,9 +257,9 @@ def enrich(chunks: DataFrame, profile: str) -> DataFrame:
     )
 
 
-def chunk_new(articles: DataFrame, done_titles: DataFrame, profile: str = "stem") -> DataFrame:
+def chunk_new(articles: DataFrame, done_titles: DataFrame, profile: str = "stem", **how) -> DataFrame:
     """Chunks of the articles whose title is not in the state table yet."""
-    return chunk_articles(remaining(articles, done_titles, "title"), profile)
+    return chunk_articles(remaining(articles, done_titles, "title"), profile, **how)
 
 
 # --- statutes
@@ -240,19 +300,25 @@ STATUTE_RULES = {
 _MARKER = re.compile(w.MARKER_INSIDE)
 
 
-def parse_statute(text: str | None, title: str, rules: StatuteRules) -> list[str]:
-    """One text per article: document title, chapter context, article line, body."""
+def statute_articles(text: str | None, title: str, rules: StatuteRules) -> Iterator[str]:
+    """One text per article, as it ends: document title, chapter context, article line, body."""
     text = _MARKER.sub("\n", text or "") if rules.breaks else text or ""
-    articles: list[tuple[list[str], list[str]]] = []  # (context, lines)
     context: list[str] = []
+    article: tuple[str, list[str]] | None = None  # context and lines
     open_ = False
-    for line in map(str.strip, text.split("\n")):
+
+    def whole() -> str:
+        above, lines = article
+        return f"Văn bản: {title}\n{above}\n{lines[0]}\n{chr(10).join(lines[1:])}".strip()
+
+    for line in map(str.strip, _cut_at(text, "\n", False)):
         if len(line) < rules.shortest or rules.is_garbage(line):
             continue
         chapter = bool(rules.context.match(line))
         if rules.article.match(line):
-            articles.append((list(context), [line]))
-            open_ = True
+            if article:
+                yield whole()
+            article, open_ = (" - ".join(context), [line]), True
         elif chapter or rules.is_title(line):
             open_ = False
             if chapter:
@@ -260,8 +326,20 @@ def parse_statute(text: str | None, title: str, rules: StatuteRules) -> list[str
             elif rules.titles and line not in context:
                 context.append(line)
         elif open_:
-            articles[-1][1].append(line)
-    return [f"Văn bản: {title}\n{' - '.join(above)}\n{lines[0]}\n{chr(10).join(lines[1:])}".strip() for above, lines in articles]
+            article[1].append(line)
+    if article:
+        yield whole()
+
+
+def parse_statute(text: str | None, title: str, rules: StatuteRules) -> list[str]:
+    """The texts of ``statute_articles`` in a list."""
+    return list(statute_articles(text, title, rules))
+
+
+def statute_rows(df: DataFrame, text: str, title: str, keep: list[str], rules: str = "strict", place: str = "article") -> DataFrame:
+    """(keep, article, content): the articles of ``statute_column`` as rows, for texts of any length."""
+    chosen = STATUTE_RULES[rules]
+    return piece_rows(df, lambda x, name: statute_articles(x, name, chosen), [text, title], keep, place)
 
 
 def statute_column(text: Column, title: Column, rules: str = "strict", whole: bool = False) -> Column:

@@ -722,20 +722,28 @@ def structured_clean(spark, d):
 
 @query()
 def split_general(spark, d):
-    return texts(spark, d).select("doc_id", F.posexplode(chunking.split_column(F.col("text"), "general"))).select("doc_id", F.col("pos").alias("chunk_index"), F.length("col").alias("n"))
+    return chunking.split_rows(texts(spark, d), "text", ["doc_id"], "general").select("doc_id", "chunk_index", F.length("content").alias("n"))
 
 
 @query()
 def split_legal(spark, d):
-    return texts(spark, d).select("doc_id", F.posexplode(chunking.split_column(F.col("text"), "legal_sub"))).select("doc_id", F.col("pos").alias("chunk_index"), F.length("col").alias("n"))
+    return chunking.split_rows(texts(spark, d), "text", ["doc_id"], "legal_sub").select("doc_id", "chunk_index", F.length("content").alias("n"))
 
 
 @query()
 def statute_parse(spark, d):
     docs = tbl(spark, d, "documents")
     law = F.concat(F.lit("CHƯƠNG I\nQUY ĐỊNH CHUNG\nĐiều 1. "), "text", F.lit("\nĐiều 2. End\nCHƯƠNG II\nĐiều 3. Last\nBody"))
-    parsed = docs.select("doc_id", F.posexplode(chunking.statute_column(law, F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))))
-    return parsed.select("doc_id", F.col("pos").alias("article"), F.length("col").alias("n"))
+    laws = docs.select("doc_id", law.alias("law"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("title"))
+    return chunking.statute_rows(laws, "law", "title", ["doc_id"]).select("doc_id", "article", F.length("content").alias("n"))
+
+
+@query(f"""WITH {S_STRUCTURED} SELECT domain, count(*) AS n_docs FROM (SELECT CASE WHEN lang = 'en' THEN 'legal' WHEN lang = 'de' THEN 'own' ELSE 'general' END AS domain
+FROM documents JOIN x USING (doc_id) WHERE length(t) >= 100) GROUP BY domain""")
+def chunks_by_callback(spark, d):
+    """Documents with chunks by the domain that a caller's rule gives their category [K11]; a null one is general."""
+    own = lambda category: F.when(category.startswith("en"), "legal").when(category.startswith("de"), "own")
+    return chunking.chunk_articles(from_documents(tbl(spark, d, "documents")), domain_of=own).groupBy("domain").agg(F.count_distinct("doc_title").alias("n_docs"))
 
 
 @query()

@@ -469,7 +469,7 @@ def _statutes(spark, d, rules):
     first = F.concat(F.lit("CHƯƠNG I\nQuy định\nĐiều 1. "), F.replace("text", F.lit("\n"), F.lit(" ")))
     law = F.concat(first, F.lit("\n" + "\n".join(LAW_AFTER + LAW_END)))
     title = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
-    parsed = tbl(spark, d, "documents").select("doc_id", F.posexplode(chunking.statute_column(law, title, rules)).alias("article", "content"))
+    parsed = chunking.statute_rows(tbl(spark, d, "documents").select("doc_id", law.alias("law"), title.alias("title")), "law", "title", ["doc_id"], rules)
     return parsed.select("doc_id", "article", F.sha2("content", 256).alias("content"))
 
 
