@@ -1,6 +1,8 @@
+import base64
 import os
 import random
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,6 +55,34 @@ def test_run_equals_brute_force(spark, tmp_path):
     check_mix(live, [g.asDict() for g in got] + fill)
 
 
+def noise_of(kind, n, rng):
+    """About n characters that are in no language, made in other ways than those the model learns from."""
+    made = {
+        "shuffled": lambda: "".join(rng.sample("the quick words of some text that goes on and on " * 40, n)),
+        "csv": lambda: "\n".join(",".join(f"{rng.uniform(-500, 500):.3f}" for _ in range(6)) for _ in range(n // 50 + 1)),
+        "log": lambda: "\n".join(f"2024-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}T10:{rng.randint(0, 59):02d}:00 {rng.getrandbits(64):016x} {rng.randint(0, 99999)}" for _ in range(n // 45 + 1)),
+        "base64": lambda: base64.b64encode(rng.randbytes(n)).decode(),
+        "uuid": lambda: "\n".join(str(uuid.UUID(int=rng.getrandbits(128))) for _ in range(n // 37 + 1)),
+        "code": lambda: "\n".join(f"for (int {rng.choice('ijk')} = {rng.randint(0, 9)}; i < n_{rng.randint(0, 99)}; i++) {{ buf[{rng.randint(0, 64)}] ^= tmp->{rng.choice(['ptr', 'len'])} & 0x{rng.getrandbits(16):x}; }}" for _ in range(n // 80 + 1)),
+        "signs": lambda: "".join(rng.choice("#$%&*+-=|/<>[]{}()0123456789 a") for _ in range(n)),
+    }
+    return made[kind]()
+
+
+NOISE_KINDS = ["shuffled", "csv", "log", "base64", "uuid", "code", "signs"]
+
+
+def test_language_stage_rejects_noise_and_keeps_documents(spark):
+    rng, clean = random.Random(11), language_rows(240)
+    keys = [(5000 + i, f'{r[1]} token = "{rng.getrandbits(160):040x}" {rng.getrandbits(50)}', r[2], "s", 0) for i, r in enumerate(clean[:60])]
+    noise = [(9000 + 100 * k + i, noise_of(kind, rng.randint(300, 1500), rng), None, "n", 0) for k, kind in enumerate(NOISE_KINDS) for i in range(30)]
+    docs = spark.createDataFrame([*clean, *keys, *noise], data.DOCS)
+    kept = {r[0] for r in corpus_pipeline.language_id(spark, docs, "").select("doc_id").collect()}
+    assert kept >= {r[0] for r in [*clean, *keys]}
+    for k in range(len(NOISE_KINDS)):
+        assert len(kept & set(range(9000 + 100 * k, 9030 + 100 * k))) <= 1, NOISE_KINDS[k]
+
+
 CLASHING = [*data.CLASH, "_file", "_row", "_score", "_lang_pred", "_none", "doc", "grp", "plan", "pattern", "fp", "no_id"]
 
 

@@ -71,11 +71,23 @@ def tf_idf(slots: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray
 
 
 def nonsense(text: str, seed: int) -> str:
-    """The text's characters in another order, or as many random letters and digits."""
+    """About as many characters in no language: the text's own in another order, random letters and digits, tables of numbers, keys, or lines of made-up code."""
     rng = np.random.default_rng(seed)
-    if seed & 8:
-        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789 "), size=min(len(text), CHUNK)))
-    return "".join(np.array(list(text[:CHUNK]))[rng.permutation(min(len(text), CHUNK))])
+    n, kind = min(len(text), CHUNK), (seed >> 3) % 5
+    if kind == 0:
+        return "".join(np.array(list(text[:n]))[rng.permutation(n)])
+    if kind == 1:
+        return "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789 "), size=n))
+    if kind == 2:
+        return "".join(rng.choice(list("0123456789" * 3 + ".,-/:;%+ \t\n" + " " * 4), size=n))
+    if kind == 3:
+        signs = "0123456789abcdef" if seed & 4096 else "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+        made, width = "".join(rng.choice(list(signs), size=n)), int(rng.integers(16, 65))
+        return "\n".join(made[i : i + width] for i in range(0, n, width))
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz_0"), size=n))
+    joints = rng.choice(["(", ")", " = ", ";\n", "{\n  ", "}\n", "[", "] ", ".", "->", " + ", " != ", ", ", "();\n", ": ", " 0x", " 10 "], size=n // 3 + 1).tolist()
+    steps = np.cumsum(rng.integers(1, 8, size=n // 3 + 1)).tolist()
+    return "".join(letters[i:j] + x for i, j, x in zip([0, *steps], steps, joints, strict=False) if i < n)[:n]
 
 
 def _gather(other: bool):
