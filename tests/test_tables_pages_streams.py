@@ -150,6 +150,20 @@ def test_streams(spark, tmp_path):
     assert rows(jobs.upserted(spark, f"{tmp_path}/table"), "doc_id", "source") == [(0, "s"), (1, "new"), (2, "s")]
 
 
+@pytest.mark.parametrize("name", ["stream_upsert", "stream_event_windows"])
+def test_a_stream_reads_a_table_of_one_file_or_of_a_folder(spark, tmp_path, name):
+    from __spark_entry__ import queries
+
+    docs = spark.createDataFrame([(i, "t", "en", f"src{i % 3}", i) for i in range(9)], jobs.DOCUMENTS)
+    events = spark.createDataFrame([(i, dt.datetime(2024, 1, 1, i), 1, "t", 1.0, "{}") for i in range(3)], jobs.EVENTS)
+    for table, df in (("documents", docs), ("events", events)):
+        df.repartition(2).write.parquet(f"{tmp_path}/parts/{table}.parquet")
+        df.coalesce(1).write.parquet(f"{tmp_path}/{table}")
+        shutil.copy(next((tmp_path / table).glob("*.parquet")), tmp_path / f"{table}.parquet")
+    got = [sorted(queries()[name](spark, folder).collect()) for folder in (f"{tmp_path}/parts", str(tmp_path))]
+    assert got[0] == got[1] and len(got[0]) == 3
+
+
 def test_a_damaged_version_is_an_error(spark, tmp_path):
     docs = lambda ids: spark.createDataFrame([(i, "t", "en", "s", i) for i in ids], jobs.DOCUMENTS)
     run = lambda: jobs.upsert_stream(jobs.source(spark, f"{tmp_path}/up", "*.parquet", jobs.DOCUMENTS), f"{tmp_path}/table", f"{tmp_path}/state", "doc_id", "n_chars").awaitTermination()

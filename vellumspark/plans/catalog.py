@@ -780,7 +780,7 @@ def event_windows(spark, d):
 def stream_event_windows(spark, d):
     """The same windows from a stream over the file, run to its end."""
     folder = work_folder(spark, "stream")
-    counted = jobs.source(spark, d, "events.parquet", jobs.EVENTS).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    counted = jobs.table_source(spark, f"{d}/events.parquet", jobs.EVENTS).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
     rows = counted.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
     def write(batch: DataFrame, number: int) -> None:  # complete mode: the last batch has all windows

@@ -79,6 +79,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return _store(spark, path).exists(_path(spark, path))
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    return exists(spark, path) and _store(spark, path).getFileStatus(_path(spark, path)).isDirectory()
+
+
 def _path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.chunking import chunk_articles
 from ..operators.tables import upsert
 from ..schemas import from_documents
-from ..storage import drop_folder, exists
+from ..storage import drop_folder, exists, is_folder
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -19,6 +19,14 @@ def source(spark: SparkSession, folder: str, pattern: str, schema: str, files_at
     return (reader.option("maxFilesPerTrigger", files_at_once) if files_at_once else reader).parquet(folder)
 
 
+def table_source(spark: SparkSession, path: str, schema: str, files_at_once: int | None = None) -> DataFrame:
+    """A stream of a Parquet table that is one file or a folder of files."""
+    if is_folder(spark, path):
+        return source(spark, path, "*", schema, files_at_once)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    return source(spark, folder, name, schema, files_at_once)
+
+
 def chunk_stream(documents: DataFrame, table: str, checkpoint: str, profile: str = "stem"):
     """Appends the chunks of new documents; the checkpoint remembers which files are done. Runs until nothing is left."""
     chunks = chunk_articles(from_documents(documents), profile)
