@@ -62,9 +62,13 @@ def structured(text: str | None, prose_glue: str = "\n\n") -> str:
     return "\n\n".join(glue(kind).join(line for _, line in run) for kind, run in itertools.groupby(marked, key=lambda m: m[0]))
 
 
+#: What joins the prose lines of a cleaned text.
+_GLUE = {"stem": "\n\n", "sub": "\n"}
+
+
 def clean_structured(text: Column, profile: str = "stem") -> Column:
     """Footer cut, then structure cleaning. profile: stem (prose lines become paragraphs) or sub (they stay lines)."""
-    glue = {"stem": "\n\n", "sub": "\n"}[profile]
+    glue = _GLUE[profile]
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
@@ -73,6 +77,18 @@ def clean_structured(text: Column, profile: str = "stem") -> Column:
     return run(t.cut_footer(F.coalesce(text, F.lit(""))))
 
 
+def structured_rows(df: DataFrame, text: str, keep: list[str], profile: str = "stem", out: str = "clean") -> DataFrame:
+    """(keep, out): the texts of ``clean_structured`` as rows that leave a task as they are made, whatever their number and length."""
+    glue = _GLUE[profile]
+    cut = df.select(*keep, t.cut_footer(F.coalesce(text, F.lit(""))).alias("_cut"))
+    return piece_rows(cut, lambda x: iter((structured(x, glue),)), ["_cut"], keep, "_place", out).drop("_place")
+
+
+def composed_rows(df: DataFrame, text: str, keep: list[str], out: str) -> DataFrame:
+    """(keep, out): the texts with composed characters, null ones empty, as rows that leave a task as they are made."""
+    return piece_rows(df, lambda x: iter((unicodedata.normalize("NFC", x or ""),)), [text], keep, "_place", out).drop("_place")
+
+
 def _cut_at(text: str, separator: str, keep: bool) -> Iterator[str]:
     """The parts that are not empty, one at a time; keep: each but the first begins with the separator."""
     if not separator:
@@ -165,6 +181,7 @@ def piece_rows(df: DataFrame, pieces: Callable[..., Iterator[str]], using: list[
                         yield flush()
             if rows:
                 yield flush()
+            del batch, kept  # before the next one is read
 
     given = [F.col(c).alias(f"_using{i}") for i, c in enumerate(using)]
     return df.select(*given, *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)]).mapInArrow(run, schema)
@@ -217,21 +234,28 @@ def chunk_articles(articles: DataFrame, profile: str = "stem", least: int = 100,
     articles = articles if articles.isStreaming else spread(articles.select("title", "url", "text", "categories"))
     if profile == "wiki":
         category = t.first_category(F.col("categories"))
-        rows = articles.select("title", "url", category.alias("category"), t.wiki_clean(t.nfc(F.coalesce("text", F.lit("")))).alias("clean")).filter(F.length("clean") >= 50)
-        rows = rows.withColumn("domain", F.lit("general"))
-        pieces = lambda x, _: split_pieces(x, SEPARATORS["wiki"], 512, 128, True, approx_token_length)
-        keep, short = t.keep_chunk_wiki, F.col("category")
+        rows = composed_rows(articles.select("title", "url", category.alias("category"), "text"), "text", ["title", "url", "category"], "text")
+        rows = rows.withColumns({"text": t.wiki_clean(F.col("text")), "domain": F.lit("general"), "short": F.col("category")}).filter(F.length("text") >= 50)
+        pieces = lambda x, title, domain: split_pieces(x, SEPARATORS["wiki"], 512, 128, True, approx_token_length)
+        keep = t.keep_chunk_wiki
     else:
         category = F.coalesce(F.nullif(t.category_path(F.col("categories")), F.lit("")), F.lit("Uncategorized"))
         lists = (w.STEM_DOMAIN, w.LEGAL_DOMAIN) if profile == "stem" else (w.STEM_DOMAIN_SUB, w.LEGAL_DOMAIN_SUB)
-        rows = articles.select("title", "url", category.alias("category"), clean_structured(F.col("text"), profile).alias("clean")).filter(F.length("clean") >= least)
+        rows = articles.select("title", "url", category.alias("category"), t.cut_footer(F.coalesce("text", F.lit(""))).alias("text"))
         told = (domain_of or (lambda category: t.domain(category, *lists)))(F.col("category"))
-        rows = rows.withColumns({"domain": F.coalesce(told, F.lit("general")), "clean": with_header(F.col("title"), F.col("clean"))})
-        suffix = "" if profile == "stem" else "_sub"
-        pieces = lambda x, domain: split_pieces(x, SEPARATORS.get(f"{domain}{suffix}", SEPARATORS[f"general{suffix}"]), size, overlap, bool(suffix))
-        keep = t.keep_chunk_stem if profile == "stem" else t.keep_chunk_sub
         short = t.short_category(F.col("category")) if profile == "stem" else t.short_category_sub(F.col("category"))
-    chunks = piece_rows(rows.withColumn("short", short), pieces, ["clean", "domain"], ["title", "url", "category", "domain", "short"])
+        rows = rows.withColumns({"domain": F.coalesce(told, F.lit("general")), "short": short})
+        suffix, glue = "" if profile == "stem" else "_sub", _GLUE[profile]
+
+        def pieces(x: str, title: str | None, domain: str) -> Iterator[str]:
+            """Cleaning, header and splitting in one pass over the texts."""
+            clean = structured(x, glue)
+            if title is not None and len(clean) >= least:
+                separators = SEPARATORS.get(f"{domain}{suffix}", SEPARATORS[f"general{suffix}"])
+                yield from split_pieces(f"# {title}\n\n{clean}", separators, size, overlap, bool(suffix))
+
+        keep = t.keep_chunk_stem if profile == "stem" else t.keep_chunk_sub
+    chunks = piece_rows(rows, pieces, ["text", "title", "domain"], ["title", "url", "category", "domain", "short"])
     return enrich(chunks.filter(keep(F.col("content"))), profile)
 
 
