@@ -717,7 +717,7 @@ x AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY run) AS t FROM r
 
 @query(f"WITH {S_STRUCTURED} SELECT doc_id, length(coalesce(t, '')) AS n, sha256(coalesce(t, '')) AS digest FROM documents LEFT JOIN x USING (doc_id)")
 def structured_clean(spark, d):
-    return texts(spark, d).select("doc_id", chunking.clean_structured(F.col("text")).alias("c")).select("doc_id", F.length("c").alias("n"), F.sha2("c", 256).alias("digest"))
+    return chunking.structured_rows(texts(spark, d), "text", ["doc_id"], out="c").select("doc_id", F.length("c").alias("n"), F.sha2("c", 256).alias("digest"))
 
 
 @query()
