@@ -253,3 +253,18 @@ def test_segmented_tokens(spark):
     assert phrases("xin chào bạn học sinh giỏi xin") == ["xin_chào_bạn", "học_sinh", "giỏi", "xin"] and phrases("") == []
     df = spark.createDataFrame([("Xin chào, học-sinh!",), (None,)], "x string")
     assert [r[0] for r in df.select(t.segmented(phrases)(F.col("x"))).collect()] == [["xin_chào", "học_sinh"], []]
+
+
+def test_any_number_of_queries_is_searched_in_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of queries and candidates that are handed on early change nothing."""
+    made = points(spark, 400)
+    held = vectors.Collection(spark, f"{tmp_path}/c")
+    held.create(made)
+    held.build_index(cells=16)
+    held.upsert(made.filter("payload % 9 = 0").withColumn("vector", F.transform("vector", lambda x: -x)))
+    asked = made.select(F.col("id").alias("qid"), "vector").union(spark.createDataFrame([("none", None)], "qid string, vector array<float>"))
+    exact = sorted(map(tuple, rt.dense_search(held.points(), asked, 5, "id", "vector").collect()))
+    whole = sorted(map(tuple, held.search(asked, 5).collect()))
+    monkeypatch.setattr(vectors, "MOST_HELD", 40)
+    assert sorted(map(tuple, held.search(asked, 5, block=90).collect())) == whole
+    assert sorted(map(tuple, held.search(asked, 5, probes=1000, refine=0, block=90).collect())) == exact

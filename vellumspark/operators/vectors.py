@@ -17,6 +17,7 @@ measured on all points when the index is built.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +28,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, IntegerType, StructType
 
 from ..storage import drop_folder, exists
-from .retrieval import Best, _unit, dense_search, matrix, small, top_k
+from .retrieval import MOST_SENT, Best, _unit, dense_search, matrix, small, top_k
 
 #: Points that centres and codes are fitted on, and queries that recall is measured with: bounds, whatever the collection's size.
 MOST_SAMPLED, MOST_TRIED = 20_000, 200
 #: Points of a cell that are aimed at, and cells at most (the sample gives each some ten points).
 CELL_POINTS, MOST_CELLS = 1000, 2048
+#: Candidates that a task holds before it hands them on, and queries that are scored at once.
+MOST_HELD, AT_ONCE = 500_000, 256
 
 
 def fit_cells(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
@@ -100,9 +103,9 @@ class Codes:
     def encode(self, x: np.ndarray) -> np.ndarray:
         return np.stack([self._near(x[:, a:b], book) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)], axis=1).astype(np.uint8)
 
-    def tables(self, q: np.ndarray) -> list[np.ndarray]:
-        """For each slice the products of queries and centres."""
-        return [q[:, a:b] @ book.T for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]
+    def scores(self, q: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Products of queries and coded vectors, by those of queries and centres in each slice."""
+        return sum((q[:, a:b] @ book.T)[:, code[:, j]] for j, (a, b, book) in enumerate(zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)))
 
 
 class Collection:
@@ -251,7 +254,9 @@ class Collection:
         self.compact()
         points = self.points()
         n = points.count()
-        sampled = points.orderBy(F.xxhash64("id")).limit(MOST_SAMPLED).select("id", "vector").collect()
+        share = 1.2 * MOST_SAMPLED / max(n, 1)  # hashes lie evenly: some more than are taken lie below, and few go to the driver
+        least = (1 << 63) - 1 if share >= 1 else int((2 * share - 1) * (1 << 63))
+        sampled = points.filter(F.xxhash64("id") <= least).select("id", "vector").orderBy(F.xxhash64("id")).limit(MOST_SAMPLED).collect()
         if not sampled:
             raise ValueError("no points to index")
         sample = _unit(np.array([r["vector"] for r in sampled], np.float64))
@@ -278,19 +283,24 @@ class Collection:
         self._save(made, codes, told)
         return told
 
-    def search(self, queries: DataFrame, k: int, probes: int | None = None, refine: int | None = None, most_queries: int = 20_000) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, probes: int | None = None, refine: int | None = None, block: int = 10_000) -> DataFrame:
         """(qid, chunk_id, score, rank) of queries (qid, vector): cosine top k of the valid points, changes included.
 
         Indexed points are found in each query's ``probes`` nearest cells: the
         ``refine`` best by code are scored by their vectors (0: all are).
-        Changed and new points are all compared.
+        Changed and new points are all compared.  Any number of queries: blocks of
+        about ``block`` by a hash of the id are searched by themselves.
         """
         self._finish()
-        cells, codes, told = self._model()
+        blocks = max(1, -(-queries.count() // block))
+        parts = [queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [queries]
+        model, changes = self._model(), self._changes()
+        return functools.reduce(DataFrame.unionByName, [self._search_block(part, model, changes, k, probes, refine) for part in parts])
+
+    def _search_block(self, queries: DataFrame, model: tuple[Cells, Codes, dict], changes: DataFrame | None, k: int, probes: int | None, refine: int | None) -> DataFrame:
+        cells, codes, told = model
         probes, refine = told["probes"] if probes is None else probes, told["refine"] if refine is None else refine
-        rows = [r for r in queries.select("qid", "vector").limit(most_queries + 1).collect() if r["vector"] is not None]
-        if len(rows) > most_queries:
-            raise ValueError(f"over {most_queries} query vectors: search in blocks")
+        rows = [r for r in queries.select("qid", "vector").collect() if r["vector"] is not None]
         held = self.spark.read.parquet(f"{self.path}/cells").filter("id IS NOT NULL")
         key, name = queries.schema["qid"].dataType, held.schema["id"].dataType
         schema = f"qid {key.simpleString()}, chunk_id {name.simpleString()}, score double"
@@ -298,47 +308,59 @@ class Collection:
             return self.spark.createDataFrame([], f"{schema}, rank int")
         kinds = to_arrow_type(key), to_arrow_type(name)
         ids, q = [r["qid"] for r in rows], _unit(np.array([r["vector"] for r in rows], np.float64))
-        near = cells.nearest(q, probes)
-        wanted = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
-        tables = codes.tables(q)
-        changes = self._changes()
-        held = held.filter(F.col("cell").isin(list(wanted)))
+        every = np.arange(len(ids))
+        if probes >= len(cells.numbers):
+            wanted = None  # each cell by each query
+        else:
+            near = cells.nearest(q, probes)
+            order = np.argsort(near, axis=None, kind="stable")
+            cell, begin = np.unique(near.ravel()[order], return_index=True)
+            wanted = dict(zip(cell.tolist(), np.split((order // near.shape[1]).astype(np.int32), begin[1:]), strict=True))
+            held = held.filter(F.col("cell").isin(list(wanted)))
         valid = held if changes is None else held.join(small(changes.select("id")), "id", "left_anti")
 
         def by_cell(score, most: int):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                best = Best(len(ids), most)
+                best, seen = Best(len(ids), most), np.zeros(len(ids), bool)
                 for batch in batches:
                     names = np.array(batch.column("id").to_pylist(), object)
                     cell = batch.column("cell").to_numpy()
                     for c in np.unique(cell).tolist():
                         mine = np.flatnonzero(cell == c)
-                        best.add(np.round(score(batch, mine, wanted[c]), 6), names[mine], rows=wanted[c])
+                        asked = every if wanted is None else wanted[c]
+                        points = batch.take(pa.array(mine))
+                        for a in range(0, len(asked), AT_ONCE):
+                            some = asked[a : a + AT_ONCE]
+                            best.add(np.round(score(points, some), 6), names[mine], rows=some)
+                        seen[asked] = True
+                        if seen.sum() * most > MOST_HELD:
+                            yield from best.batches(ids, kinds[1], kinds[0])
+                            best, seen = Best(len(ids), most), np.zeros(len(ids), bool)
                 yield from best.batches(ids, kinds[1], kinds[0])
 
             return run
 
-        def exact(batch: pa.RecordBatch, mine: np.ndarray, asked: np.ndarray) -> np.ndarray:
-            return q[asked] @ _unit(matrix(batch.column("vector").take(pa.array(mine)))).T
+        def exact(points: pa.RecordBatch, asked: np.ndarray) -> np.ndarray:
+            return q[asked] @ _unit(matrix(points.column("vector"))).T
 
-        def coded(batch: pa.RecordBatch, mine: np.ndarray, asked: np.ndarray) -> np.ndarray:
-            code = np.frombuffer(b"".join(batch.column("code").take(pa.array(mine)).to_pylist()), np.uint8).reshape(len(mine), -1)
-            return sum(t[asked][:, code[:, j]] for j, t in enumerate(tables))
+        def coded(points: pa.RecordBatch, asked: np.ndarray) -> np.ndarray:
+            return codes.scores(q[asked], np.frombuffer(b"".join(points.column("code").to_pylist()), np.uint8).reshape(points.num_rows, -1))
 
         if refine:
             likely = top_k(valid.select("id", "code", "cell").mapInArrow(by_cell(coded, refine), schema), refine).select("qid", F.col("chunk_id").alias("id"))
-            found = self._rescored(held, likely, ids, q, schema, kinds)
+            found = self._rescored(held, likely, refine, ids, q, schema, kinds)
         else:
             found = valid.select("id", "vector", "cell").mapInArrow(by_cell(exact, k), schema)
         if changes is not None:
-            fresh = dense_search(changes.filter("NOT gone"), queries, k, "id", "vector")
+            fresh = dense_search(changes.filter("NOT gone"), queries, k, "id", "vector", most_queries=len(ids) + 1)
             found = found.unionByName(fresh.drop("rank"))
         return top_k(found, k)
 
-    def _rescored(self, held: DataFrame, likely: DataFrame, ids: list, q: np.ndarray, schema: str, kinds: tuple) -> DataFrame:
+    def _rescored(self, held: DataFrame, likely: DataFrame, refine: int, ids: list, q: np.ndarray, schema: str, kinds: tuple) -> DataFrame:
         """Exact scores of candidates (qid, id)."""
         number = self.spark.createDataFrame([(x, i) for i, x in enumerate(ids)], f"{schema.split(',')[0]}, at int")
-        pairs = held.select("id", "vector").join(likely.join(F.broadcast(number), "qid").select("id", "at"), "id")
+        asked = likely.join(F.broadcast(number), "qid").select("id", "at")
+        pairs = held.select("id", "vector").join(F.broadcast(asked) if len(ids) * refine <= MOST_SENT else asked.hint("merge"), "id")  # vectors never go through the driver
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
