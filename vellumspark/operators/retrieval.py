@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import squeeze, tokens, uuid5
 from ..providers import ask, embed
-from ..storage import cut
+from ..storage import cut, drop_folder, work_folder
 
 #: A query batch of at most this many rows is sent to all tasks; larger ones are joined by shuffle.
 MOST_SENT = 200_000
@@ -52,20 +53,52 @@ def doc_tokens(chunks: DataFrame, id_col: str, text_col: str, tokenizer: Callabl
 
 
 def build_bm25(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "vector_text", tokenizer: Callable[[Column], Column] = tokens) -> dict[str, DataFrame]:
-    """The index tables: postings(term, chunk_id, tf, dl), doc_stats, term_stats, corpus_stats (one row)."""
+    """The index tables: postings(term, chunk_id, tf, dl), doc_stats, term_stats, corpus_stats (one row).
+
+    counted has the postings of each row by itself, and its length under a null
+    term: one pass over the texts gives all that ``save_index`` needs.
+    """
     docs = doc_tokens(chunks, id_col, text_col, tokenizer)
-    postings = docs.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "chunk_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    counted = docs.select("chunk_id", "tokens").mapInArrow(_doc_terms, f"chunk_id {dict(docs.dtypes)['chunk_id']}, dl int, term string, tf bigint")
+    postings = _merged(counted.filter("term IS NOT NULL"))
     return {
         "postings": postings,
         "doc_stats": docs.select("chunk_id", "dl"),
         "term_stats": postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")),
-        "corpus_stats": docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")),
+        "corpus_stats": _corpus(docs),
+        "counted": counted,
     }
 
 
+def _merged(counted: DataFrame) -> DataFrame:
+    """Rows of one id and length are one document."""
+    return counted.groupBy("term", "chunk_id", "dl").agg(F.sum("tf").alias("tf"))
+
+
+def _corpus(docs: DataFrame) -> DataFrame:
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+
+def _doc_terms(batches: Iterator[pa.RecordBatch], at_once: int = 300_000) -> Iterator[pa.RecordBatch]:
+    """(chunk_id, dl, term, tf) of each row, and one row with its length and no term; about ``at_once`` tokens at a time."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.list_value_length(batch.column("tokens")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        steps = np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // at_once)) + 1
+        for begin, end in itertools.pairwise([0, *steps.tolist(), batch.num_rows]):
+            ids, dl = batch.column("chunk_id").slice(begin, end - begin), lengths[begin:end]
+            coded = batch.column("tokens").slice(begin, end - begin).flatten().dictionary_encode()
+            words = max(len(coded.dictionary), 1)
+            keys, tf = np.unique(np.repeat(np.arange(end - begin), dl) * words + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+            doc = np.append(keys // words, np.arange(end - begin))
+            term = pa.concat_arrays([coded.dictionary.take(pa.array(keys % words)), pa.nulls(end - begin, coded.dictionary.type)])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(dl[doc].astype(np.int32)), term, pa.array(np.append(tf, np.zeros(end - begin, np.int64)))], ["chunk_id", "dl", "term", "tf"])
+
+
 INDEX_TABLES = ("postings", "blocks", "doc_stats", "term_stats", "corpus_stats", "metadata")
 #: Blocks of a term's postings at most: bands of the part of the score that lies in (0, 1).
 BANDS = 16
+#: Partitions over which the postings of a term are dealt, so that those of a stop word are no task's alone.
+SALTS = 16
 #: Scores are rounded to six places, so bounds are compared with a little to spare.
 SLACK = 2e-6
 
@@ -77,18 +110,30 @@ def _saturation(k1: float, b: float, avgdl: float) -> Column:
 def save_index(index: dict[str, DataFrame], path: str, k1: float = 1.5, b: float = 0.75) -> None:
     """The index tables and a metadata row. chunk_id stands in the tables themselves: there is no separate id map.
 
-    Postings are sorted by term and block; a block holds the postings of a term
-    that score alike, and ``blocks`` how many they are and the most that they can add.
+    Postings of a term stand in SALTS partitions at most, its blocks one after the
+    other; a block holds the postings of a term that score alike, and ``blocks`` how many they are and the most that they can add.
+    The texts are read once: what they count to is kept until the postings are written.
     """
     spark = next(iter(index.values())).sparkSession
-    for name in ("doc_stats", "corpus_stats"):
-        index[name].write.mode("overwrite").parquet(f"{path}/{name}")
+    folder = work_folder(spark, "counted")
+    index["counted"].write.parquet(folder)
+    counted = spark.read.schema(index["counted"].schema).parquet(folder)
+    counted.filter("term IS NULL").select("chunk_id", "dl").write.mode("overwrite").parquet(f"{path}/doc_stats")
+    docs = spark.read.parquet(f"{path}/doc_stats")
+    _corpus(docs).write.mode("overwrite").parquet(f"{path}/corpus_stats")
     stats = spark.read.parquet(f"{path}/corpus_stats").first()
-    weighed = index["postings"].withColumn("weight", _saturation(k1, b, stats["avgdl"])).withColumn("block", F.floor(F.col("weight") * BANDS).cast("int"))
-    weighed.repartitionByRange("term", "block", "chunk_id").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/postings")
+    postings = counted.filter("term IS NOT NULL")
+    if docs.groupBy("chunk_id", "dl").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        postings = _merged(postings)
+    weighed = postings.withColumn("weight", _saturation(k1, b, stats["avgdl"])).withColumn("block", F.floor(F.col("weight") * BANDS).cast("int"))
+    dealt = weighed.repartition("term", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)))
+    place = F.shiftleft(F.xxhash64("term"), 5).bitwiseOR(F.col("block"))  # one number: sorted without a look at the words
+    dealt.sortWithinPartitions(place).write.mode("overwrite").parquet(f"{path}/postings")
+    drop_folder(spark, folder)
     saved = spark.read.parquet(f"{path}/postings")
-    saved.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("weight").alias("most")).write.mode("overwrite").parquet(f"{path}/blocks")
-    saved.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("weight").alias("most")).write.mode("overwrite").parquet(f"{path}/term_stats")
+    saved.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("tf").alias("cf"), F.max("weight").alias("most")).write.mode("overwrite").parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("most").alias("most")).write.mode("overwrite").parquet(f"{path}/term_stats")
     terms = spark.read.parquet(f"{path}/term_stats").count()
     row = (stats["n_docs"], stats["avgdl"], terms, "lucene", k1, b)
     spark.createDataFrame([row], "n_docs long, avgdl double, n_terms long, method string, k1 double, b double").coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
@@ -98,20 +143,96 @@ def load_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in INDEX_TABLES}
 
 
-def index_search(index: dict[str, DataFrame], questions: DataFrame, k: int, qid_col: str = "qid", question_col: str = "question", tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
-    """``bm25_search`` over a saved index, with the parameters it was saved with: nothing is tokenised again, and stop words are not expanded.
+#: How many times each posting is used on average from which on a batch is scored document by document.
+SHARED = 4
+
 
-    The blocks that can add most give each question a score that its k-th
-    document reaches at least.  Terms that even together stay below it bring no
+def index_search(index: dict[str, DataFrame], questions: DataFrame, k: int, qid_col: str = "qid", question_col: str = "question", tokenizer: Callable[[Column], Column] = tokens, most_terms: int = MOST_SENT) -> DataFrame:
+    """``bm25_search`` over a saved index, with the parameters it was saved with: nothing is tokenised again. The result is exact.
+
+    Few questions: the blocks that can add most give each question a score that its
+    k-th document reaches at least.  Terms that even together stay below it bring no
     document in; of the others only blocks are read that can still lead over it, and
     documents that cannot are dropped.  What is left gets its other terms by a
-    look-up.  The result is exact.
+    look-up.
+
+    A batch whose questions share their terms (SHARED) would repeat each posting for
+    all of them: there each posting of an asked term goes to its document once, and
+    a task keeps the best k of each question over the documents that it gets.
     """
+    asked = asked_terms(questions, qid_col, question_col, tokenizer)
+    known = F.broadcast(asked.select("term").distinct()) if asked.count() <= most_terms else asked.select("term").distinct()
+    used = asked.join(index["term_stats"].join(known, "term", "left_semi").select("term", "df"), "term").groupBy("term").agg(F.first("df").alias("df"), F.count(F.lit(1)).alias("n"))
+    once, all_ = used.agg(F.sum("df"), F.sum(F.col("df") * F.col("n"))).first()
+    if (all_ or 0) >= SHARED * (once or 1):
+        return _score_batch(index, asked, k, most_terms)
     wide, lookups = candidates(index, questions, k, qid_col, question_col, tokenizer)
     scored = wide.unionByName(lookups).groupBy("qid", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top_k(scored.filter("score > 0"), k)
 
 
+def _score_batch(index: dict[str, DataFrame], asked: DataFrame, k: int, most_terms: int) -> DataFrame:
+    """All questions' best k from the postings of their terms, which are dealt by document; over ``most_terms`` the questions are taken in blocks."""
+    n_docs = index["metadata"].first()["n_docs"]
+    blocks = max(1, -(-asked.count() // most_terms))
+    parts = [asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i) for i in range(blocks)]
+    return top_k(functools.reduce(DataFrame.unionByName, [_postings_block(index, part, n_docs, k) for part in parts]), k)
+
+
+def _postings_block(index: dict[str, DataFrame], asked: DataFrame, n_docs: int, k: int) -> DataFrame:
+    spark, postings = asked.sparkSession, index["postings"]
+    schema = f"qid {dict(asked.dtypes)['qid']}, chunk_id {dict(postings.dtypes)['chunk_id']}, score double"
+    share = F.col("qtf") * idf(F.lit(n_docs), F.col("df"))
+    rows = sorted(F.broadcast(asked).join(index["term_stats"], "term").select("qid", "term", share.alias("share")).collect(), key=lambda r: r["term"])  # most_terms rows, but for one question's
+    if not rows:
+        return spark.createDataFrame([], schema)
+    terms, at = np.unique(np.array([r["term"] for r in rows], object), return_inverse=True)
+    qids = list(dict.fromkeys(r["qid"] for r in rows))
+    number = {q: i for i, q in enumerate(qids)}
+    query, shares = np.array([number[r["qid"]] for r in rows]), np.array([r["share"] for r in rows], np.float64)
+    first = np.searchsorted(at, np.arange(len(terms) + 1))  # rows are in the order of their terms
+    numbered = spark.createDataFrame([(t, i) for i, t in enumerate(terms.tolist())], "term string, at int")
+    dealt = postings.join(F.broadcast(numbered), "term").select("chunk_id", "at", "weight").repartition("chunk_id").sortWithinPartitions("chunk_id")
+    return dealt.mapInArrow(_score_dealt(qids, to_arrow_type(asked.schema["qid"].dataType), first, query, shares, k), schema)
+
+
+def _score_dealt(qids: list, key: pa.DataType, first: np.ndarray, query: np.ndarray, shares: np.ndarray, k: int, rows_held: int = 100_000, at_once: int = 2_000_000):
+    """Per task: the best k of each question over postings that come document by document; a step holds about ``at_once`` partial scores."""
+
+    def score(best: Best, held: pa.Table) -> None:
+        coded = held.column("chunk_id").combine_chunks().dictionary_encode("encode")
+        ids, doc = np.array(coded.dictionary.to_pylist(), object), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        term, weight = held.column("at").to_numpy(), held.column("weight").to_numpy()
+        many = first[term + 1] - first[term]
+        cost = np.cumsum(np.bincount(doc, many, len(ids)) + len(qids))
+        steps = np.flatnonzero(np.diff((cost - cost[0]) // at_once)) + 1
+        for begin, end in itertools.pairwise([0, *steps.tolist(), len(ids)]):
+            a, b = np.searchsorted(doc, [begin, end])
+            n = many[a:b]
+            entry = np.arange(n.sum()) + np.repeat(first[term[a:b]] - np.cumsum(n) + n, n)
+            place = query[entry] * (end - begin) + np.repeat(doc[a:b] - begin, n)
+            scores = np.bincount(place, shares[entry] * np.repeat(weight[a:b], n), len(qids) * (end - begin))
+            best.add(np.round(scores, 6).reshape(len(qids), end - begin), ids[begin:end], 0.0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kind, held = Best(len(qids), k), None, []
+        for batch in batches:
+            kind = batch.schema.field("chunk_id").type
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= rows_held:
+                table = pa.Table.from_batches(held)
+                same = pc.is_in(table.column("chunk_id"), value_set=table.column("chunk_id").slice(table.num_rows - 1).combine_chunks())
+                whole = table.num_rows - pc.sum(same).as_py()  # the last document may go on in the next batch
+                if whole:
+                    score(best, table.slice(0, whole))
+                held = table.slice(whole).to_batches()
+        if held and kind is not None:
+            score(best, pa.Table.from_batches(held))
+        yield from best.batches(qids, kind, key)
+
+    return run
+
+
 def candidates(index: dict[str, DataFrame], questions: DataFrame, k: int, qid_col: str = "qid", question_col: str = "question", tokenizer: Callable[[Column], Column] = tokens) -> tuple[DataFrame, DataFrame]:
     """(qid, chunk_id, part): parts of scores from the terms that can decide, for the documents that may be among the k best; and the parts of their other terms."""
     told = index["metadata"].first()
@@ -137,7 +258,8 @@ def candidates(index: dict[str, DataFrame], questions: DataFrame, k: int, qid_co
     found = read(strong).groupBy("qid", "chunk_id").agg(F.sum("part").alias("part"))
     found = cut(found.join(small(others), "qid").filter(F.col("part") + F.col("rest") >= F.col("least") - SLACK).select("qid", "chunk_id", "part"))
     wanted = found.select("qid", "chunk_id").join(small(split.filter("weak").select("qid", "term", "share")), "qid")
-    lookups = index["postings"].join(small(wanted), ["term", "chunk_id"]).select("qid", "chunk_id", (F.col("share") * F.col("weight")).alias("part"))
+    weak_terms = F.broadcast(split.filter("weak").select("term").distinct())
+    lookups = index["postings"].join(weak_terms, "term", "left_semi").join(small(wanted), ["term", "chunk_id"]).select("qid", "chunk_id", (F.col("share") * F.col("weight")).alias("part"))
     return found, lookups
 
 
