@@ -3,7 +3,11 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from vellumspark.operators import chunking
 from vellumspark.operators import retrieval as rt
+from vellumspark.plans import answering
+from vellumspark.providers import HashedEmbedder, embed
+from vellumspark.settings import Settings
 
 
 def corpus(spark):
@@ -72,3 +76,50 @@ def test_rows_of_one_id_are_one_document_of_an_index(spark, tmp_path):
     rows = lambda df: sorted(tuple(r) for r in df.select("term", "chunk_id", "dl", "tf").collect())
     assert ("a", 1, 2, 2) in rows(saved["postings"]) and rows(saved["postings"]) == rows(index["postings"])
     assert {r["term"]: (r["df"], r["cf"]) for r in saved["term_stats"].collect()} == {"a": (2, 3), "b": (2, 2), "c": (2, 2), "d": (1, 1), "e": (1, 1)}
+
+
+class Counting(HashedEmbedder):
+    """Counts its calls."""
+
+    def __init__(self, calls):
+        super().__init__()
+        self.calls = calls
+
+    def embed(self, text):
+        self.calls.add(1)
+        return super().embed(text)
+
+
+def articles(spark, n=30):
+    return spark.createDataFrame([(f"t{i}", f"u{i}", f"Words of text {i} that is long enough to stay, " * 40, ["a", "b"]) for i in range(n)], "title string, url string, text string, categories array<string>")
+
+
+def test_points_are_embedded_once(spark):
+    """Both uses of the dense hits in the fusion are of one search."""
+    calls = spark.sparkContext.accumulator(0)
+    chunks = answering.answered_from(chunking.chunk_articles(articles(spark), "sub"))
+    assert chunks.columns == ["chunk_id", "vector_text", "display_text"]
+    questions = spark.createDataFrame([("q", "words of text 3", False, True), ("r", "long enough", False, False)], "qid string, question string, is_unsafe boolean, is_stem boolean").select("qid", "question", F.struct("is_unsafe", "is_stem").alias("route"))
+    points = embed(chunks, Counting(calls), "vector_text").select("chunk_id", "vector")
+    vectors = embed(questions, HashedEmbedder(), "question").select("qid", "vector")
+    got = answering.retrieve(questions, chunks, points, vectors, Settings())
+    assert {r["qid"] for r in got.collect()} == {"q", "r"} and calls.value == chunks.count()
+
+
+def test_only_new_chunks_are_embedded(spark):
+    """The indexed points are read for their ids alone, and a point's payload does not pass through Python."""
+    calls, old = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    chunks = chunking.chunk_articles(articles(spark), "sub")
+    indexed = rt.vector_points(chunks.filter("chunk_index = 1"), Counting(old))
+    points, dead = rt.index_new(chunks, indexed, Counting(calls))
+    ids = {r["chunk_id"]: tuple(r["vector"]) for r in points.select("payload.chunk_id", "vector").collect()}
+    texts = {r["chunk_id"]: r["vector_text"] for r in chunks.filter("chunk_index <> 1").collect()}
+    assert ids == {c: tuple(HashedEmbedder().embed(x)) for c, x in texts.items()} and texts
+    assert calls.value == len(texts) and old.value == 0
+
+
+def test_held_places_change_no_vector():
+    texts = ["one two two", "", "three one", "Zwei EINS zwei"]
+    assert [HashedEmbedder(8, most_held=1).embed(x) for x in texts] == [HashedEmbedder(8, most_held=0).embed(x) for x in texts]
+    held = HashedEmbedder(8, most_held=2)
+    assert [held.embed(x) for x in texts * 2] == [HashedEmbedder(8).embed(x) for x in texts * 2] and len(held.held) == 2

@@ -42,6 +42,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, points: DataFrame, vectors
     k = max(settings.k_stem, settings.k_other)
     sparse = bm25_search(chunks, open_, 2 * k, text_col="vector_text", k1=settings.k1, b=settings.b)
     dense = dense_search(points, vectors, k, "chunk_id", "vector")
+    sparse, dense = cut(sparse), cut(dense)  # few rows each, used more than once by the fusion
     fused = fuse_ranks(sparse, dense, k, settings.alpha, settings.rrf_constant, compat=True)
     most = F.when(F.col("route.is_stem"), settings.k_stem).otherwise(settings.k_other)
     return fused.join(open_.select("qid", most.alias("k")), "qid").filter(F.col("rank") <= F.col("k")).drop("k")
@@ -83,6 +84,11 @@ def again(replied: DataFrame, chat, small=None, **how) -> DataFrame:
     return sure.unionByName(chosen).unionByName(ask_by_size(open_, chat, small or chat, "system", "user", "reply", **how)).drop("unsure")
 
 
+def answered_from(chunks: DataFrame) -> DataFrame:
+    """The columns of a chunk table that answers need: what they leave out is not computed."""
+    return chunks.select("chunk_id", "vector_text", "display_text")
+
+
 def counters(answers: DataFrame) -> DataFrame:
     """Answers by route tag and status."""
     return answers.groupBy("tag", "status").agg(F.count(F.lit(1)).alias("n"))

@@ -18,9 +18,9 @@ from ..functions import words as w
 from ..operators import chunking, pages, retrieval, tables
 from ..providers import HashedEmbedder, OfflineChat, embed
 from ..schemas import from_documents
-from ..storage import cut, work_folder
+from ..storage import cut, stored, work_folder
 from ..streaming import jobs
-from .answering import answer
+from .answering import answer, answered_from
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -759,7 +759,7 @@ def chunk_table_wiki(spark, d):
 
 @query()
 def answer_batch(spark, d):
-    chunks = cut(chunking.chunk_articles(from_documents(tbl(spark, d, "documents")), "sub"))  # read by both legs and the prompts
+    chunks = stored(answered_from(chunking.chunk_articles(from_documents(tbl(spark, d, "documents")), "sub")))  # read by both legs and the prompts
     questions = option_questions(spark, d).select(F.col("qid").cast("string").alias("qid"), "question", "choices")
     points = embed(chunks.select("chunk_id", "vector_text"), HashedEmbedder(), "vector_text").select("chunk_id", "vector")
     vectors = embed(questions.select("qid", "question"), HashedEmbedder(), "question").select("qid", "vector")

@@ -16,6 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 class OfflineChat:
@@ -73,17 +74,25 @@ class HttpChat:
 
 
 class HashedEmbedder:
-    """Words hashed to signed dimensions: deterministic, no model."""
+    """Words hashed to signed dimensions: deterministic, no model. The places of the first ``most_held`` words are held, as common words come again."""
 
-    def __init__(self, size: int = 64):
-        self.size = size
+    def __init__(self, size: int = 64, most_held: int = 100_000):
+        self.size, self.most_held = size, most_held
+        self.held: dict[str, int] = {}
+
+    def place(self, word: str) -> int:
+        """The word's dimension; that of positive ones plus ``size``."""
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+        at = h % self.size + (self.size if h >> 63 else 0)
+        if len(self.held) < self.most_held:
+            self.held[word] = at
+        return at
 
     def embed(self, text: str) -> list[float]:
-        out = np.zeros(self.size, np.float32)
-        for word in re.findall(r"\w+", text.lower()):
-            h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
-            out[h % self.size] += 1.0 if h >> 63 else -1.0
-        return out.tolist()
+        held = self.held
+        places = [at if (at := held.get(word)) is not None else self.place(word) for word in re.findall(r"\w+", text.lower())]
+        n = np.bincount(np.array(places, np.int64), minlength=2 * self.size)
+        return (n[self.size :] - n[: self.size]).astype(np.float32).tolist()
 
 
 class HttpEmbedder:
@@ -149,9 +158,10 @@ def ask(df: DataFrame, provider, system_col: str, user_col: str, out: str, bucke
 
 
 def embed(df: DataFrame, provider, text_col: str, out: str = "vector") -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame[out] = [provider.embed(x or "") for x in frame[text_col]]
-            yield frame
+    """df with the vectors of a text column. Only that column goes to Python; the function is called non-deterministic so that no text is sent twice for one row."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([provider.embed(x or "") for x in texts], index=texts.index, dtype=object)
 
-    return df.mapInPandas(run, ", ".join(f"`{n}` {k}" for n, k in [*df.dtypes, (out, "array<float>")]))
+    return df.select("*", run.asNondeterministic()(F.col(text_col)).alias(out))
