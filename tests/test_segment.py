@@ -43,6 +43,34 @@ def test_syllables_take_the_likeliest_of_all_groupings(words):
     assert math.isclose(sum(score(p.split("_")) for p in parts), max(sum(map(score, s)) for s in every_split(words)) if words else 0, abs_tol=1e-9)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcx \U0001f600é", max_size=12), max_size=30), st.integers(1, 200))
+def test_a_batch_is_split_as_each_text(texts, at_once):
+    old, segment.AT_ONCE = segment.AT_ONCE, at_once
+    try:
+        for counts in (COUNTS, {"\U0001f600": 3, "aé": 1, "xxxx": 2}, {"a": 1}, {}):
+            model = segment.UnigramLattice(counts, by_letter=True)
+            assert model.many(texts) == [model(x) for x in texts]
+    finally:
+        segment.AT_ONCE = old
+    model = segment.UnigramLattice({"a b": 2, "c": 1})
+    assert model.many(texts) == [model(x) for x in texts]
+
+
+def test_runs_are_split_together_but_for_very_long_ones():
+    model = segment.UnigramLattice(COUNTS, by_letter=True)
+    texts = ["abca" * n + " bcx" for n in (1, 2, 15, 17, 40)] * 2
+    want, alone, split = [model(x) for x in texts], [], model.split
+    model.split = lambda run: alone.append(run) or split(run)
+    assert model.many(texts) == want and sorted(map(len, alone)) == [68, 160]
+
+
+def test_pairs_split_the_texts_once(spark, tmp_path):
+    spark.createDataFrame([("a b",)], "x string").write.parquet(f"{tmp_path}/t")
+    plan = segment.glued_pairs(spark.read.parquet(f"{tmp_path}/t"), "x", [])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
 def test_a_later_word_can_take_what_the_longest_match_would(spark):
     counts = {"học sinh": 50, "học": 20, "sinh": 1, "sinh học": 60}
     df = spark.createDataFrame([("Học sinh học",), ("học SINH.",), (None,)], "x string")

@@ -65,11 +65,12 @@ def tokens(text: Column) -> Column:
 
 
 def segmented(segment: Callable[[str], list[str]]) -> Callable[[Column], Column]:
-    """A tokenizer like ``tokens`` whose words a segmenter groups: it gets the words joined by spaces."""
+    """A tokenizer like ``tokens`` whose words a segmenter groups: it gets the words joined by spaces, a batch at a time if it has ``many``."""
+    many = getattr(segment, "many", lambda texts: map(segment, texts))
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: [w for w in segment(x) if w])
+        return pd.Series([[w for w in words if w] for words in many(texts)], index=texts.index, dtype=object)
 
     return lambda text: run(F.array_join(tokens(text), " "))
 
