@@ -211,6 +211,23 @@ def test_vector_index(spark):
     assert {r["id"] for r in got} <= possible and chunks.count() > 0
 
 
+def test_vector_index_is_whole(spark):
+    """All chunks that are kept but the second of each document, by plain Python."""
+    want = {}
+    for r in table("documents"):
+        title, clean = f"doc_{r['doc_id']}", plain_structured(r["text"], "\n")
+        if len(clean) < 100:
+            continue
+        category = f"{r['lang']} > {r['source']}".lower()
+        domain = "stem" if any(x in category for x in w.STEM_DOMAIN_SUB) else "legal" if any(x in category for x in w.LEGAL_DOMAIN_SUB) else "general"
+        for i, c in enumerate(plain_split(f"# {title}\n\n{clean}", chunking.SEPARATORS[f"{domain}_sub"], 1024, 200, True)):
+            timeline = any(x in c for x in w.TIMELINE) and re.search(r"\d", c)
+            if i != 1 and (len(c) >= 50 or re.search(w.MATH_SUB, c) or re.search(w.LEGAL_SUB, c.lower()) or timeline):
+                want[str(uuid.uuid5(uuid.NAMESPACE_DNS, f"{title}_{i}"))] = (64, "dns")
+    got = QUERIES["vector_index"](spark, SF).collect()
+    assert len(got) == len(want) and {r["id"]: (r["dimensions"], r["namespace"]) for r in got} == want
+
+
 def test_answer_batch(spark):
     """Every question has one answer, a letter; nothing in these questions is unsafe, so all are answered by the model's letter or a heuristic."""
     got = QUERIES["answer_batch"](spark, SF).collect()

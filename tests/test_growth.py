@@ -1,5 +1,7 @@
 """What grows with the input: each step reads its input as often as it has to, and gives the same rows."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -118,6 +120,15 @@ def test_only_new_chunks_are_embedded(spark):
     assert calls.value == len(texts) and old.value == 0
 
 
+def test_only_texts_of_new_chunks_enter_the_embedder(spark):
+    """Rows wait in the JVM for their vectors: Python gets one column, so that a worker holds a batch of texts, whatever a payload weighs."""
+    chunks = spark.createDataFrame([(f"t_{i}", i, "t", "c", "u", f"text {i}", "long " * 100) for i in range(5)], "chunk_id string, chunk_index int, doc_title string, doc_category string, doc_url string, vector_text string, display_text string")
+    points, _ = rt.index_new(chunks, rt.vector_points(chunks.filter("chunk_index = 1"), HashedEmbedder()), HashedEmbedder())
+    plan = points._jdf.queryExecution().executedPlan().toString()
+    assert [re.sub(r"#\d+", "", x) for x in re.findall(r"EvalPython \[\w+\((.*?)\)#", plan)] == ["vector_text"] and not re.search("MapIn(Pandas|Arrow)", plan)
+    assert sorted(r["payload"]["chunk_id"] for r in points.collect()) == ["t_0", "t_2", "t_3", "t_4"]
+
+
 def test_held_places_change_no_vector():
     texts = ["one two two", "", "three one", "Zwei EINS zwei"]
     assert [HashedEmbedder(8, most_held=1).embed(x) for x in texts] == [HashedEmbedder(8, most_held=0).embed(x) for x in texts]
