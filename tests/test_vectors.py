@@ -268,3 +268,43 @@ def test_any_number_of_queries_is_searched_in_blocks(spark, tmp_path, monkeypatc
     monkeypatch.setattr(vectors, "MOST_HELD", 40)
     assert sorted(map(tuple, held.search(asked, 5, block=90).collect())) == whole
     assert sorted(map(tuple, held.search(asked, 5, probes=1000, refine=0, block=90).collect())) == exact
+
+
+@pytest.mark.parametrize("copies", [1, 6, 60])
+def test_nearest_points_of_many_queries(copies, monkeypatch):
+    """Equal to sorting all pairs, with ties by id, in whatever batches the points come and however little is held."""
+    rng = np.random.default_rng(4)
+    x = rt._unit(np.repeat(rng.normal(size=(600 // copies, 8)), copies, axis=0)[rng.permutation(600)])
+    q = rt._unit(np.concatenate([rng.normal(size=(28, 8)), x[:1], np.zeros((1, 8))]))
+    ids = np.array([f"p{i:03d}" for i in rng.permutation(600)], object)
+    scores = np.round(q @ x.T, 6)
+    for k in (1, 4, 30):
+        want = [(i, ids[j]) for i in range(30) for j in sorted(range(600), key=lambda j, i=i: (-scores[i, j], ids[j]))[:k]]
+        for held in (500_000, 50):
+            monkeypatch.setattr(vectors, "MOST_HELD", held)
+            best = vectors.Nearest(q, k)
+            for a in range(0, 600, 150):
+                first = best.open(vectors.pa.array(ids[a : a + 150]))
+                for part in np.array_split(np.arange(150), 4):
+                    best.add(np.arange(30), x[a + part], first + part)
+            got = [(r["qid"], r["chunk_id"]) for b in best.batches(vectors.pa.array(range(30)), vectors.pa.string()) for r in b.to_pylist()]
+            assert got == want
+
+
+def test_many_queries_hand_on_no_candidates(spark, tmp_path):
+    """Where the candidates by code would be as many as the points, a task gives k rows a query, and all that the candidates hold is found."""
+    made = points(spark, 800)
+    held = vectors.Collection(spark, f"{tmp_path}/c")
+    held.create(made)
+    told = held.build_index(cells=16)
+    held.upsert(spark.createDataFrame([("nan", [float("nan")] * 12, 0)], made.schema))  # counts for nothing
+    held.compact()
+    asked = made.filter("payload % 4 = 0").select(F.col("id").alias("qid"), "vector")
+    many, few = held.search(asked, 5), held.search(asked.limit(3), 5)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert 3 * told["refine"] < 800 <= 200 * told["refine"]
+    assert plan(many).count("MapInArrow") == 1 and "Join" not in plan(many) and plan(few).count("MapInArrow") == 2
+    exact = {(r["qid"], r["chunk_id"]) for r in rt.dense_search(made, asked, 5, "id", "vector").collect()}
+    got = {(r["qid"], r["chunk_id"]) for r in many.collect()}
+    by_code = {(r["qid"], r["chunk_id"]) for r in held.search(asked, 5, refine=told["refine"]).collect()}
+    assert len(got) == 1000 and by_code & exact <= got & exact and len(got & exact) >= 0.95 * len(exact)

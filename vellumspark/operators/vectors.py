@@ -9,7 +9,8 @@ failure cut off.
 The index has two levels of cells (centres by spherical k-means on a bounded
 sample; every point is in the index) in folders that a scan prunes, and each
 point's product-quantised code.  A search reads the codes of the cells nearest
-to each query, and scores the best of them again by their vectors.  The number of
+to each query, and scores the best of them again by their vectors; where these
+would be as many as the points, it reads the vectors at once.  The number of
 cells grows with the points, so that a query reads about as many points in a
 larger collection; how many cells and candidates reach the wanted recall is
 measured on all points when the index is built.
@@ -22,13 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, IntegerType, StructType
 
 from ..storage import drop_folder, exists
-from .retrieval import MOST_SENT, Best, _unit, dense_search, matrix, small, top_k
+from .retrieval import MOST_SENT, _unit, dense_search, matrix, small, top_k
 
 #: Points that centres and codes are fitted on, and queries that recall is measured with: bounds, whatever the collection's size.
 MOST_SAMPLED, MOST_TRIED = 20_000, 200
@@ -103,9 +105,103 @@ class Codes:
     def encode(self, x: np.ndarray) -> np.ndarray:
         return np.stack([self._near(x[:, a:b], book) for a, b, book in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)], axis=1).astype(np.uint8)
 
-    def scores(self, q: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """Products of queries and coded vectors, by those of queries and centres in each slice."""
-        return sum((q[:, a:b] @ book.T)[:, code[:, j]] for j, (a, b, book) in enumerate(zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)))
+    def decode(self, code: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for: of each slice its centre."""
+        return np.concatenate([book[code[:, j]] for j, book in enumerate(self.books)], axis=1)
+
+
+class Nearest:
+    """The k best points (rounded cosine, then smallest id) of each of many queries.
+
+    A block of queries and points is multiplied in single precision, which with its
+    largest error decides what can be among the best; only that is scored in doubles.
+    It is held as rows (query, score, point), which are cut to k a query together.
+    """
+
+    def __init__(self, q: np.ndarray, k: int):
+        self.q, self.single, self.k = q, q.astype(np.float32), k
+        #: What a product of unit vectors in single precision and the rounding may be off.
+        self.error = 1e-6 + (q.shape[1] + 8) * 2.0**-24
+        self.clear()
+
+    def clear(self) -> None:
+        #: What a product has to reach.
+        self.bound = np.full(len(self.q), -np.inf, np.float32)
+        self.held = np.zeros(0, np.int32), np.zeros(0), np.zeros(0, np.int64)
+        self.fresh: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.names: list[pa.Array] = []
+        self.named = self.waiting = 0
+
+    def open(self, names: pa.Array) -> int:
+        """Takes the ids of a batch; the number of its first point. Of earlier ones only the ids that are held stay."""
+        if self.named > max(MOST_HELD, 2 * len(self.held[0])):
+            self.cut()
+            query, score, point = self.held
+            some, point = np.unique(point, return_inverse=True)
+            self.held, self.names, self.named = (query, score, point), [self._names(some)], len(some)
+        self.names.append(names)
+        self.named += len(names)
+        return self.named - len(names)
+
+    def _names(self, points: np.ndarray) -> pa.Array:
+        return pa.concat_arrays(self.names).take(pa.array(points))
+
+    def add(self, rows: np.ndarray, x: np.ndarray, point: np.ndarray) -> None:
+        """The queries of these numbers by points: finite vectors of length 1 at most, and their numbers."""
+        if len(point) > self.k:
+            mine = self._few_of_equal(x, point)
+            x, point = x[mine], point[mine]
+        single, most = x.astype(np.float32).T, max(1, 4_000_000 // x.shape[1])
+        for a in range(0, len(rows) if len(point) else 0, AT_ONCE):
+            some = rows[a : a + AT_ONCE]
+            scores, bound = self.single[some] @ single, self.bound[some]
+            first = np.flatnonzero(np.isneginf(bound))
+            if len(first) and len(point) > self.k:
+                bound[first] = np.partition(scores[first], -self.k, axis=1)[:, -self.k] - np.float32(2 * self.error)
+                self.bound[some] = bound
+            pairs = np.flatnonzero(scores >= bound[:, None])
+            for b in range(0, len(pairs), most):
+                at, found = np.divmod(pairs[b : b + most], len(point))
+                self.fresh.append((some[at].astype(np.int32), np.round(np.einsum("ij,ij->i", self.q[some[at]], x[found]), 6), point[found]))
+                self.waiting += len(at)
+                if self.waiting > max(50_000, 2 * len(self.held[0])):
+                    self.cut()
+
+    def _few_of_equal(self, x: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """Places of the points without those that k equal ones of smaller id come before, for any query."""
+        kind, n = np.unique(np.ascontiguousarray(x).view(f"V{x.shape[1] * x.itemsize}").ravel(), return_inverse=True, return_counts=True)[1:]
+        if n.max() <= self.k:
+            return np.arange(len(point))
+        order = np.lexsort((pc.rank(self._names(point), tiebreaker="dense").to_numpy(), kind))
+        return np.sort(order[_nth(kind[order]) < self.k])
+
+    def cut(self) -> None:
+        """Only the k best of each query stay."""
+        query, score, point = (np.concatenate(c) for c in zip(self.held, *self.fresh, strict=True))
+        if len(query):
+            some, place = np.unique(point, return_inverse=True)
+            rank = pc.rank(self._names(some), tiebreaker="dense").to_numpy().astype(np.int64)[place]
+            order = np.lexsort((rank, -score, query))
+            query, score, point = query[order], score[order], point[order]
+            nth = _nth(query)
+            last, keep = nth == self.k - 1, nth < self.k
+            self.bound[query[last]] = np.maximum(self.bound[query[last]], (score[last] - self.error).astype(np.float32))
+            query, score, point = query[keep], score[keep], point[keep]
+        self.held, self.fresh, self.waiting = (query, score, point), [], 0
+
+    def batches(self, qids: pa.Array, kind: pa.DataType, at_once: int = 10_000) -> Iterator[pa.RecordBatch]:
+        """Rows of (qid, chunk_id, score), the ids in the types of their columns."""
+        self.cut()
+        query, score, point = self.held
+        for a in range(0, len(query), at_once):
+            some = slice(a, a + at_once)
+            yield pa.RecordBatch.from_arrays([qids.take(pa.array(query[some])), self._names(point[some]).cast(kind), pa.array(score[some])], ["qid", "chunk_id", "score"])
+
+
+def _nth(sorted_: np.ndarray) -> np.ndarray:
+    """Of each of the values, which lie in order, how many equal ones come before it."""
+    begin = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+    return np.arange(len(sorted_)) - np.repeat(begin, np.diff(np.r_[begin, len(sorted_)]))
 
 
 class Collection:
@@ -287,7 +383,9 @@ class Collection:
         """(qid, chunk_id, score, rank) of queries (qid, vector): cosine top k of the valid points, changes included.
 
         Indexed points are found in each query's ``probes`` nearest cells: the
-        ``refine`` best by code are scored by their vectors (0: all are).
+        ``refine`` best by code are scored by their vectors (0: all are).  Of a block
+        whose best by code would be as many as the points, all are scored by their
+        vectors unless ``refine`` is given: that finds what the codes find, and more.
         Changed and new points are all compared.  Any number of queries: blocks of
         about ``block`` by a hash of the id are searched by themselves.
         """
@@ -295,13 +393,15 @@ class Collection:
         blocks = max(1, -(-queries.count() // block))
         parts = [queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [queries]
         model, changes = self._model(), self._changes()
-        return functools.reduce(DataFrame.unionByName, [self._search_block(part, model, changes, k, probes, refine) for part in parts])
+        held = self.spark.read.parquet(f"{self.path}/cells").filter("id IS NOT NULL")  # its many folders are listed once
+        return functools.reduce(DataFrame.unionByName, [self._search_block(part, model, held, changes, k, probes, refine) for part in parts])
 
-    def _search_block(self, queries: DataFrame, model: tuple[Cells, Codes, dict], changes: DataFrame | None, k: int, probes: int | None, refine: int | None) -> DataFrame:
+    def _search_block(self, queries: DataFrame, model: tuple[Cells, Codes, dict], held: DataFrame, changes: DataFrame | None, k: int, probes: int | None, refine: int | None) -> DataFrame:
         cells, codes, told = model
-        probes, refine = told["probes"] if probes is None else probes, told["refine"] if refine is None else refine
+        probes = told["probes"] if probes is None else probes
         rows = [r for r in queries.select("qid", "vector").collect() if r["vector"] is not None]
-        held = self.spark.read.parquet(f"{self.path}/cells").filter("id IS NOT NULL")
+        if refine is None:
+            refine = told["refine"] if len(rows) * told["refine"] < told["points"] else 0
         key, name = queries.schema["qid"].dataType, held.schema["id"].dataType
         schema = f"qid {key.simpleString()}, chunk_id {name.simpleString()}, score double"
         if not rows:
@@ -319,32 +419,32 @@ class Collection:
             held = held.filter(F.col("cell").isin(list(wanted)))
         valid = held if changes is None else held.join(small(changes.select("id")), "id", "left_anti")
 
-        def by_cell(score, most: int):
+        def by_cell(vectors, most: int):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                best, seen = Best(len(ids), most), np.zeros(len(ids), bool)
+                best, seen, qids = Nearest(q, most), np.zeros(len(ids), bool), pa.array(ids, kinds[0])
                 for batch in batches:
-                    names = np.array(batch.column("id").to_pylist(), object)
-                    cell = batch.column("cell").to_numpy()
+                    if not batch.num_rows:
+                        continue
+                    x, cell = vectors(batch), batch.column("cell").to_numpy()
+                    first, whole = best.open(batch.column("id")), np.isfinite(x).all(axis=1)
                     for c in np.unique(cell).tolist():
-                        mine = np.flatnonzero(cell == c)
+                        mine = np.flatnonzero((cell == c) & whole)
                         asked = every if wanted is None else wanted[c]
-                        points = batch.take(pa.array(mine))
-                        for a in range(0, len(asked), AT_ONCE):
-                            some = asked[a : a + AT_ONCE]
-                            best.add(np.round(score(points, some), 6), names[mine], rows=some)
+                        best.add(asked, x[mine], first + mine)
                         seen[asked] = True
                         if seen.sum() * most > MOST_HELD:
-                            yield from best.batches(ids, kinds[1], kinds[0])
-                            best, seen = Best(len(ids), most), np.zeros(len(ids), bool)
-                yield from best.batches(ids, kinds[1], kinds[0])
+                            yield from best.batches(qids, kinds[1])
+                            best.clear()
+                            seen[:], first = False, best.open(batch.column("id"))
+                yield from best.batches(qids, kinds[1])
 
             return run
 
-        def exact(points: pa.RecordBatch, asked: np.ndarray) -> np.ndarray:
-            return q[asked] @ _unit(matrix(points.column("vector"))).T
+        def exact(points: pa.RecordBatch) -> np.ndarray:
+            return _unit(matrix(points.column("vector")))
 
-        def coded(points: pa.RecordBatch, asked: np.ndarray) -> np.ndarray:
-            return codes.scores(q[asked], np.frombuffer(b"".join(points.column("code").to_pylist()), np.uint8).reshape(points.num_rows, -1))
+        def coded(points: pa.RecordBatch) -> np.ndarray:
+            return codes.decode(np.frombuffer(b"".join(points.column("code").to_pylist()), np.uint8).reshape(points.num_rows, -1))
 
         if refine:
             likely = top_k(valid.select("id", "code", "cell").mapInArrow(by_cell(coded, refine), schema), refine).select("qid", F.col("chunk_id").alias("id"))
