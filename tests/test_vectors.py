@@ -308,3 +308,18 @@ def test_many_queries_hand_on_no_candidates(spark, tmp_path):
     got = {(r["qid"], r["chunk_id"]) for r in many.collect()}
     by_code = {(r["qid"], r["chunk_id"]) for r in held.search(asked, 5, refine=told["refine"]).collect()}
     assert len(got) == 1000 and by_code & exact <= got & exact and len(got & exact) >= 0.95 * len(exact)
+
+
+def test_recall_of_queries_that_the_index_was_not_fitted_on(spark, tmp_path, monkeypatch):
+    """Few of the points are fitted on; the copies of all others are found as well."""
+    for name, most in (("MOST_SAMPLED", 800), ("MOST_TRIED", 79), ("CELL_POINTS", 50)):
+        monkeypatch.setattr(vectors, name, most)
+    x = np.random.default_rng(6).normal(size=(1500, 24)).round(4)
+    made = spark.createDataFrame([(f"p{i:04d}", x[i % 1500].tolist(), i) for i in range(9000)], "id string, vector array<float>, payload int")
+    held = vectors.Collection(spark, f"{tmp_path}/c")
+    held.create(made)
+    told = held.build_index(k=5)
+    asked = made.filter("payload < 1500").select(F.col("id").alias("qid"), "vector")
+    exact = {(r["qid"], r["chunk_id"]) for r in rt.dense_search(made, asked, 5, "id", "vector").collect()}
+    found = {(r["qid"], r["chunk_id"]) for r in held.search(asked, 5).collect()}
+    assert told["recall"] >= 0.95 and len(found & exact) >= 0.9 * len(exact)

@@ -356,14 +356,15 @@ class Collection:
         if not sampled:
             raise ValueError("no points to index")
         sample = _unit(np.array([r["vector"] for r in sampled], np.float64))
+        asked, fitted = sample[:MOST_TRIED], sample[MOST_TRIED:] if len(sample) > 10 * MOST_TRIED else sample  # most queries are not fitted on
         wanted = cells or min(MOST_CELLS, max(16, n // CELL_POINTS))
-        made, codes = Cells(sample, wanted), Codes(sample, slices)
+        made, codes = Cells(fitted, wanted), Codes(fitted, slices)
         placed = self._placed(points, made, codes)
         placed.hint("rebalance", "cell").write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/cells")
         tried = self.spark.createDataFrame([(i, r["vector"]) for i, r in enumerate(sampled[:MOST_TRIED])], "qid int, vector array<double>")
         exact = dense_search(points, tried, k, "id", "vector").select("qid", F.col("chunk_id").alias("id")).collect()
         place = {r["id"]: r["cell"] for r in self.spark.read.parquet(f"{self.path}/cells").join(small(self.spark.createDataFrame([(r["id"],) for r in exact], points.select("id").schema).distinct()), "id", "left_semi").select("id", "cell").collect()}
-        near = made.nearest(sample[: len(sampled[:MOST_TRIED])], len(made.numbers))
+        near = made.nearest(asked, len(made.numbers))
         rank = np.array([np.flatnonzero(near[r["qid"]] == place[r["id"]])[0] for r in exact])
         aim = recall + (1 - recall) / 2  # what the cells may lose; the codes may lose as much
         probes = next(p for p in range(1, len(made.numbers) + 1) if (rank < p).mean() >= aim)
